@@ -43,3 +43,15 @@ def discard(df: DataFrame) -> None:
 def whole_text(col: str = "text"):
     """The text, null read as empty."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+#: Rows of an Arrow batch at most: whole texts are long, so the default of 10,000 rows would set a task's memory.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands Python at most BATCH_ROWS rows at a time. Results do not depend on it."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
