@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import whole_text
+from .shared import small_batches, whole_text
 
-#: A worker's memo of pieces is emptied at this many entries, which bounds its memory; it never changes a result.
-MEMO_PIECES = 600_000
-MEMO_BYTES = 64
+#: A worker remembers this many pieces at most, in two halves: a full half replaces the older one. Results never depend on it.
+MEMO_PIECES = 240_000
+MEMO_CHARS = 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -92,6 +92,7 @@ class Codec(dict):
 
     def __init__(self, path: str, pattern: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
         self.vocabulary = [b""] * (max(self.ranks.values(), default=-1) + 1)
@@ -99,9 +100,12 @@ class Codec(dict):
             self.vocabulary[rank] = token
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge_piece(raw := piece.encode(), self.ranks), "<u4").tobytes()
-        if len(raw) <= MEMO_BYTES:
-            if len(self) >= MEMO_PIECES:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(merge_piece(piece.encode(), self.ranks), "<u4").tobytes()
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_PIECES // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -133,7 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
         for s in parts:
             yield pd.Series([c.encode(t) for t in s], dtype=object)
 
-    return docs.withColumn(ids, run.asNondeterministic()(whole_text(text)))
+    return small_batches(docs).withColumn(ids, run.asNondeterministic()(whole_text(text)))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -145,7 +149,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", out: s
         for s in parts:
             yield pd.Series([c.decode(t) for t in s], dtype=object)
 
-    return encoded.withColumn(out, run.asNondeterministic()(F.coalesce(F.col(ids), F.lit(b""))))
+    return small_batches(encoded).withColumn(out, run.asNondeterministic()(F.coalesce(F.col(ids), F.lit(b""))))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

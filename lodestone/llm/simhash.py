@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .graph import components
-from .shared import discard, whole_text, written
+from .shared import small_batches, whole_text, written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (lowest bit, bits) of each segment, and the pairs of segments that are joined.
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in s], np.uint64).view(np.int64), dtype="int64")
 
-    return docs.withColumn(out, run.asNondeterministic()(whole_text(text)))
+    return small_batches(docs).withColumn(out, run.asNondeterministic()(whole_text(text)))
 
 
 @functools.cache
