@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, quality, simhash
+from . import bpe, chat, mixing, parsing, quality, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -18,6 +18,10 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_fingerprint_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(_table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op3_mix_entropy_balancing, op7_chat_prefix_targets, op9_simhash_golay, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op7_chat_prefix_targets, op9_simhash_golay, op10_byte_bpe)}
 ORACLE_SQL = {"op7_chat_prefix_targets": chat.ORACLE_SQL}
