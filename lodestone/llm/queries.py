@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, parsing, quality, simhash
+from . import bpe, chat, mixing, parsing, quality, repeats, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -33,6 +33,10 @@ def op7_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(given.unionByName(own)))
 
 
+def op8_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digests(_table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op7_chat_prefix_targets, op9_simhash_golay, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op7_chat_prefix_targets, op8_maximal_repeats, op9_simhash_golay, op10_byte_bpe)}
 ORACLE_SQL = {"op7_chat_prefix_targets": chat.ORACLE_SQL}
