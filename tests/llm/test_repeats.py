@@ -87,7 +87,7 @@ def _anchors_of(raw, doc):
 
 
 def test_repeated_rows_nulls_and_empty(spark):
-    t = "".join(random.Random(5).choice("abcdefghij") for _ in range(400))
+    t = "".join(random.Random(5).choices("abcdefghij", k=400))
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (2, t + t)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_removed, r.n_spans) for r in repeats.digests(df).collect())
     assert got == [("1", 400, 1), ("1", 400, 1), ("2", 800, 1), ("None", 0, 0)]
