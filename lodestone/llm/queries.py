@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, mixing, neighbours, parsing, quality, repeats, simhash
+from . import bpe, chat, html, mixing, neighbours, parsing, pii, quality, repeats, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -26,6 +26,10 @@ def op3_mix_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
@@ -53,5 +57,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op5_anisotropic_search, op6_site_style_tree, op7_chat_prefix_targets, op8_maximal_repeats, op9_simhash_golay, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op4_bootstrapped_pii, op5_anisotropic_search, op6_site_style_tree, op7_chat_prefix_targets, op8_maximal_repeats, op9_simhash_golay, op10_byte_bpe)}
 ORACLE_SQL = {"op7_chat_prefix_targets": chat.ORACLE_SQL}
