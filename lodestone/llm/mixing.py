@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, discard, written
+from .shared import WORD, discard, free, written
 
 #: Weights of the sources in code-point order, repeating; words of the mix over words given; most copies of a document.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
@@ -150,6 +150,7 @@ def mix(docs: DataFrame) -> DataFrame:
     Only (doc_id, source, size) goes through the balancing; repeated rows of one doc_id share the copies of the first.
     """
     rows = written(sized(docs.select("doc_id", "source", "text")).drop("text"), "sized")
-    taken = copies(rows.dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).where("_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_, times, each = (free(c, docs) for c in ("_mix_id", "_mix_copies", "_mix_each"))
+    taken = copies(rows.dropDuplicates(["doc_id"])).select(F.col("doc_id").alias(id_), F.col("copies").alias(times))
+    joined = docs.join(taken.where(F.col(times) > 0), F.col("doc_id").eqNullSafe(F.col(id_)))
+    return joined.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, discard, whole_text, written
+from .shared import WORD, discard, free, whole_text, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: The patterns in forms that match the same and never go back: a start that follows a character of the same run can't succeed.
@@ -140,13 +140,14 @@ def scores(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return state
 
 
-def find(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows of docs (written once: columns `keep`, and _pii_row), and the spans (row, kind, start, end, value)."""
-    rows = written(_cut(docs.select(*[F.col(f"`{c}`") for c in keep], whole_text(text).alias("_pii_text")), "_pii_text", "_pii_row", "_pii_cut").drop("_pii_text"), "cut")
-    spans = written(_placed(rows, "_pii_row", "_pii_cut"), "spans")
+def find(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, str, DataFrame]:
+    """The rows of docs (written once: columns `keep` and a row number), that column's name, the spans (row, kind, start, end, value)."""
+    whole, row, cut = (free(c, docs) for c in ("_pii_text", "_pii_row", "_pii_cut"))
+    rows = written(_cut(docs.select(*[F.col(f"`{c}`") for c in keep], whole_text(text).alias(whole)), whole, row, cut).drop(whole), "cut")
+    spans = written(_placed(rows, row, cut), "spans")
     named = scores(spans).where((F.col("score") >= CONFIDENT) & F.col("value").rlike(SHAPE)).select(F.col("value").alias("_named"))
     more = spans.where("kind = 4").join(named, F.lower("value") == F.col("_named"), "left_semi")
-    return rows.drop("_pii_cut"), spans.where("kind < 4").unionByName(more).select("row", "kind", "start", "end", "value")
+    return rows.drop(cut), row, spans.where("kind < 4").unionByName(more).select("row", "kind", "start", "end", "value")
 
 
 def _joined(spans: Column) -> Column:
@@ -156,9 +157,9 @@ def _joined(spans: Column) -> Column:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id of every document."""
-    rows, spans = find(docs, ["doc_id"])
+    rows, row, spans = find(docs, ["doc_id"])
     each = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("all"))
-    whole = rows.join(each, F.col("_pii_row") == F.col("row"), "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))
+    whole = rows.join(each, F.col(row) == F.col("row"), "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))
     n = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long")
     return whole.select(
         "doc_id",
@@ -171,22 +172,23 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; spans that overlap become the first one's. Null text stays null."""
-    rows, spans = find(docs, docs.columns, text)
+    rows, row, spans = find(docs, docs.columns, text)
+    at, parts, end = (free(c, docs) for c in ("_pii_at", "_pii_parts", "_pii_end"))
     before = Window.partitionBy("row").orderBy("start", "end", "kind")
     done = F.coalesce(F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tag = F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)), F.lit("]"))
     cuts = spans.withColumn("done", done).select(
         "row", F.struct("start", "end", "done", F.when(F.col("start") >= F.col("done"), tag).otherwise("").alias("tag")).alias("c")
     )
-    each = cuts.groupBy(F.col("row").alias("_pii_at")).agg(F.array_sort(F.collect_list("c")).alias("_pii_cuts"), F.max("c.end").alias("_pii_end"))
-    whole = rows.join(each, F.col("_pii_row") == F.col("_pii_at"), "left")
+    each = cuts.groupBy(F.col("row").alias(at)).agg(F.array_sort(F.collect_list("c")).alias(parts), F.max("c.end").alias(end))
+    whole = rows.join(each, F.col(row) == F.col(at), "left")
     t = F.col(f"`{text}`")
     kept = lambda c: t.substr((c["done"] + 1).cast("int"), F.greatest(c["start"] - c["done"], F.lit(0)).cast("int"))
     new = F.concat(
-        F.array_join(F.transform("_pii_cuts", lambda c: F.concat(kept(c), c["tag"])), ""),
-        t.substr((F.col("_pii_end") + 1).cast("int"), F.char_length(t)),
+        F.array_join(F.transform(parts, lambda c: F.concat(kept(c), c["tag"])), ""),
+        t.substr((F.col(end) + 1).cast("int"), F.char_length(t)),
     )
-    out = whole.withColumn(text, F.when(F.col("_pii_cuts").isNull(), t).otherwise(new))
+    out = whole.withColumn(text, F.when(F.col(parts).isNull(), t).otherwise(new))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_pii_cuts").isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(parts).isNull(), F.col("n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import small_batches, whole_text
+from .shared import free, small_batches, whole_text
 
 FIT_ROWS = 6000
 BUCKETS, FACTORS, EPOCHS, BATCH, RATE, DECAY = 1 << 16, 6, 6, 128, 0.08, 1e-5
@@ -222,4 +222,5 @@ def digests(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score reaches THRESHOLD."""
-    return score(docs, train(docs, labels), out="_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    own = free("_score", docs)
+    return score(docs, train(docs, labels), out=own).where(F.col(own) >= THRESHOLD).drop(own)

@@ -40,6 +40,14 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free(name: str, df: DataFrame) -> str:
+    """name, with underscores after it until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_text(col: str = "text"):
     """The text, null read as empty."""
     return F.coalesce(F.col(col), F.lit(""))

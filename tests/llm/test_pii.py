@@ -83,7 +83,7 @@ def letters():
 def test_trusted_contexts_find_unseen_values(spark, letters):
     want = bootstrapped(letters)
     assert {"kd-4400-77", "kd-4401-77"} <= want and not any(v.endswith(".0") for v in want)
-    _, spans = pii.find(spark.createDataFrame(letters, SCHEMA), ["doc_id"])
+    _, _, spans = pii.find(spark.createDataFrame(letters, SCHEMA), ["doc_id"])
     assert {r.value.lower() for r in spans.where("kind = 4").collect()} == want
     got = {r.doc_id: r for r in pii.digests(spark.createDataFrame(letters, SCHEMA)).collect()}
     assert got[20].spans == "id:17:27" and got[70].spans == "" and got[50].n_id == 0
