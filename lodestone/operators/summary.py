@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import formulas
 from lodestone.functions.numbers import short_number as plain_number
 from lodestone.functions.text import source_label
+from lodestone.session import materialised
 
 from . import evidence as ev
 
@@ -120,6 +121,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
     rows = rows.withColumn("cited", F.coalesce(F.col("evidence_type") == "cited", F.lit(False)))
     regime = F.coalesce("tc_regime", F.lit("bulk_equilibrium"))
     rows = rows.withColumn("ambient", F.coalesce(tc.isNotNull() & F.col("ambient_sc") & ~regime.isin("high_pressure", "interface") & ~F.col("theory"), F.lit(False)))
+    rows = materialised(rows, "records")  # read by every aggregate below
     tops = {
         "exp": ev.corroborated_max(rows.where("not theory and not cited"), "key", "paper_id", "tc_kelvin", "tc_exp", "sup_exp"),
         "theo": ev.corroborated_max(rows.where("theory"), "key", "paper_id", "tc_kelvin", "tc_theo", "sup_theo"),
@@ -149,6 +151,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
     s = base
     for part in tops.values():
         s = s.join(part.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k"), "left").drop("_k")
+    s = materialised(s, "votes")
     theory_only = F.col("tc_exp").isNull()
     s = s.withColumn("tc_max", F.coalesce("tc_exp", "tc_theo")).withColumn("sup", F.coalesce(F.when(theory_only, F.col("sup_theo")).otherwise(F.col("sup_exp")), F.lit(0)))
     raised = F.coalesce(F.col("tc_amb") > F.col("tc_max"), F.lit(False))
@@ -167,9 +170,10 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         "has_competing_order": F.col("competing_order").isNotNull() | F.col("t_cdw_k").isNotNull() | F.col("t_sdw_k").isNotNull() | F.col("t_afm_k").isNotNull(),
         "face": formulas.interface(formulas.canonical(F.col("formula"))),
     })
+    s = materialised(s, "derived")
     s = s.withColumn("review_reason", review_reason()).withColumn("needs_review", F.col("review_reason").isNotNull())
     s = s.withColumnsRenamed({"tc_exp": "tc_max_experimental", "tc_theo": "tc_max_theoretical", "tc_amb": "tc_ambient"})
-    s = apply_overrides(s, overrides)
+    s = materialised(apply_overrides(s, overrides), "curated")
     claim = refuted.groupBy(F.col("canonical").alias("_k")).agg(F.min("claim_type").alias("claim"))
     s = s.join(claim, F.col("key") == F.col("_k"), "left").drop("_k")
     noted = F.concat(F.lit("refuted:"), F.col("claim"))

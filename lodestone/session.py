@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +27,18 @@ def build(name: str = "lodestone", master: str | None = None, **conf: str) -> Sp
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; columns are pruned by the scan, so callers select what they need."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """df written once to the folder in spark.checkpoint.dir and read back: later steps start from files that all executors share.
+
+    Where the setting is missing (tests), a temporary folder is set.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
