@@ -24,12 +24,22 @@ def texts():
 
 def test_equals_the_library_and_round_trips(theirs):
     c = bpe.Codec(RANKS, PATTERN)
-    for t in texts():
-        ids = c.encode(t)
+    for t, ids in zip(texts(), c.encode(list(texts()))):
         assert list(memoryview(ids).cast("I")) == theirs.encode_ordinary(t)
         assert c.decode(ids) == t.encode()
 
 
+def test_one_piece_and_many_pieces_merge_alike():
+    c = bpe.Codec(RANKS, PATTERN)
+    rng = random.Random(7)
+    pieces = {bytes(rng.choice(b"abnthe ring\xc3\xa9\xff") for _ in range(rng.randint(2, 64))) for _ in range(400)}
+    pieces = sorted(p for p in pieces if p not in c.ranks)
+    for width in (2, 4, 8, 16, 32, 64):
+        part = [p for p in pieces if 1 << (len(p) - 1).bit_length() == width]
+        for p, ids in zip(part, bpe.merge_pieces(part, c.pairs, width) if part else []):
+            assert list(memoryview(ids).cast("I")) == bpe.merge_piece(p, c.ranks)
+
+
 def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     rows = [(1, None, b"x"), (2, "ab ab", b"y"), (2, "ab ab", b"y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids binary")
