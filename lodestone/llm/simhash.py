@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = written(fingerprints(docs.select("doc_id", F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
     roots = components(links(marked))
     rooted = marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    first = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
     return rooted.join(first, "root").select("doc_id", "fp", "component_id")
 
 
