@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, discard, free, whole_text, written
+from .shared import WORD, few_files, free, whole_text, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: The patterns in forms that match the same and never go back: a start that follows a character of the same run can't succeed.
@@ -36,7 +36,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TOKEN = r"(?<![\p{L}\p{N}@._%+/-])[\p{L}._%+/-]*+[\p{N}@][\p{L}\p{N}@._%+/-]*+"
 REGEX = (EMAIL, IP, CARD, PHONE, TOKEN)
 
-WINDOW, SUPPORT, CONFIDENT, ROUNDS = 80, 3.0, 0.7, 6
+WINDOW, SUPPORT, CONFIDENT, ROUNDS = 80, 3.0, 0.7, 4
 #: What a found value looks like: six characters or more, with four digits or an @ among them.
 SHAPE = r"^(?=.{6,})(?:(?:[^0-9]*[0-9]){4}|[^@]+@)"
 
@@ -118,25 +118,15 @@ def patterns(before: Column, after: Column) -> Column:
 def scores(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(value, score) of every value that is not a seed and scores more than 0, by rounds over the pattern-instance graph."""
     seen = spans.select(F.explode(patterns(F.col("before"), F.col("after"))).alias("pattern"), F.lower("value").alias("value"), (F.col("kind") < 4).alias("seed"))
-    edges = written(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
-    sizes = F.count("*").alias("n")
-    state, last = None, None
+    edges = written(few_files(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))), "edges")
+    state = None
     for _ in range(rounds):
-        scored = edges.withColumn("s", F.when(F.col("seed"), 1.0).otherwise(0.0)) if state is None else (
-            edges.join(state, "value", "left").withColumn("s", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        )
-        sums = scored.groupBy("pattern").agg(F.round(F.sum("s"), 6).alias("mass"), sizes, F.count_if(~F.col("seed")).alias("open"))
+        known = F.when(F.col("seed"), 1.0)
+        scored = edges.withColumn("s", known.otherwise(0.0)) if state is None else edges.join(state, "value", "left").withColumn("s", known.otherwise(F.coalesce("score", F.lit(0.0))))
+        sums = scored.groupBy("pattern").agg(F.round(F.sum("s"), 6).alias("mass"), F.count("*").alias("n"), F.count_if(~F.col("seed")).alias("open"))
         trusted = sums.where((F.col("open") > 0) & (F.col("mass") >= SUPPORT) & (F.col("mass") / (F.col("n") + 1) >= CONFIDENT))
         trusted = trusted.select("pattern", F.log1p(-F.col("mass") / (F.col("n") + 1)).alias("doubt"))
-        hit = edges.where(~F.col("seed")).join(trusted, "pattern").groupBy("value").agg(F.round(1 - F.exp(F.sum("doubt")), 6).alias("score"))
-        after = written(hit, "scores")
-        mark = after.agg(F.count("*"), F.sum("score")).first()
-        before, state = state, after
-        if before is not None:
-            discard(before)
-        if not mark[0] or tuple(mark) == last:
-            break
-        last = tuple(mark)
+        state = edges.where(~F.col("seed")).join(trusted, "pattern").groupBy("value").agg(F.round(1 - F.exp(F.sum("doubt")), 6).alias("score"))
     return state
 
 
@@ -144,7 +134,7 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFram
     """The rows of docs (written once: columns `keep` and a row number), that column's name, the spans (row, kind, start, end, value)."""
     whole, row, cut = (free(c, docs) for c in ("_pii_text", "_pii_row", "_pii_cut"))
     rows = written(_cut(docs.select(*[F.col(f"`{c}`") for c in keep], whole_text(text).alias(whole)), whole, row, cut).drop(whole), "cut")
-    spans = written(_placed(rows, row, cut), "spans")
+    spans = written(few_files(_placed(rows, row, cut)), "spans")
     named = scores(spans).where((F.col("score") >= CONFIDENT) & F.col("value").rlike(SHAPE)).select(F.col("value").alias("_named"))
     more = spans.where("kind = 4").join(named, F.lower("value") == F.col("_named"), "left_semi")
     return rows.drop(cut), row, spans.where("kind < 4").unionByName(more).select("row", "kind", "start", "end", "value")

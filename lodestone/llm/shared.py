@@ -31,6 +31,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in no more partitions than the cluster has cores: for small tables between steps, which else are a file a shuffle partition."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that written() made once nothing lazy reads it any more."""
     path = getattr(df, "_lodestone_path", None)
