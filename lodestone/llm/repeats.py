@@ -10,8 +10,9 @@ elsewhere too. Per anchor there are
    repeat with all its occurrences. Its members are told apart by their left extensions: they are sorted by the bytes to
    the left, and every maximal run that extends far enough to the left to make WIDTH bytes is a maximal repeat group.
    In it each member is covered as far as it agrees with some earlier member;
-3. a GRAM string with more than MANY different contexts (a very frequent line) is not gathered: its windows are matched one
-   by one, by hash, in a grouped aggregation that combines before the shuffle.
+3. a GRAM string with more than MANY different contexts (a very frequent line) is not gathered: its contexts are dealt out in
+   parts of about MANY. A part covers what it has seen before itself, and sends each of its distinct windows on by hash, to be
+   matched between parts in a grouped aggregation that combines before the shuffle.
 
 Anchors are combined by context inside each batch before they are shuffled, so a large group of copies sends a row a batch.
 Hashes are 64 bits of GRAM bytes and, by another function, 64 of the context; both must agree.
@@ -261,20 +262,33 @@ def _cover(doc, start, stop, key=None, gram=None) -> pd.DataFrame:
     return pd.DataFrame({"doc": np.array(doc, np.int64), "start": np.array(start, np.int64), "stop": np.array(stop, np.int64), "key": z if key is None else np.array(key, np.int64), "gram": z if gram is None else np.array(gram, np.int64)})
 
 
-def _tree(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Contexts sorted by gram -> covers (key 0), or windows of grams with MANY contexts (key: the window's hash)."""
-    gram, held, hot = None, [], False
-    out: list[tuple] = []
+def _windows(held: list[tuple], gram: int, out: list[tuple]) -> None:
+    """A part of a frequent gram: windows met before in the part are covered, each other one goes on by its hash."""
+    first: dict[int, tuple[int, int]] = {}
+    for doc, at, left, context in held:
+        run = None
+        for k in range(len(context) - WIDTH + 1):
+            key, place = xxhash.xxh64_intdigest(context[k : k + WIDTH], 9) | 1, (doc, at - left + k)
+            if first.get(key, place) < place:
+                run = k if run is None else run
+                continue
+            if run is not None:
+                out.append((doc, at - left + run, at - left + k - 1 + WIDTH, 0, 0))
+                run = None
+            if first.get(key) != place:  # else met through another anchor of the same window
+                first[key] = place
+                out.append((*place, place[1] + WIDTH, key - (1 << 64) if key >> 63 else key, gram))
+        if run is not None:
+            out.append((doc, at - left + run, at - left + len(context), 0, 0))
+
 
-    def windows(rows):
-        for doc, at, left, context in rows:
-            for k in range(len(context) - WIDTH + 1):
-                key = xxhash.xxh64_intdigest(context[k : k + WIDTH], 9) | 1
-                out.append((doc, at - left + k, at - left + k + WIDTH, key - (1 << 64) if key >> 63 else key, gram))
+def _tree(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Contexts sorted by gram and part, then doc and spot -> covers (key 0); of frequent grams also windows (key: the window's hash)."""
+    now, held, out = None, [], []
 
     def close():
-        if hot:
-            windows(held)
+        if now is not None and now[2]:
+            _windows(held, now[0], out)
         elif len(held) > 1:
             rights, lefts = [c[x:] for _, _, x, c in held], [c[:x][::-1] for _, _, x, c in held]
             for depth, run, best in maximal_repeats([h[:2] for h in held], rights, lefts):
@@ -283,15 +297,12 @@ def _tree(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         out.append((held[i][0], held[i][1] - left, held[i][1] + depth, 0, 0))
 
     for part in parts:
-        for g, doc, spot, context in zip(part["gram"].tolist(), part["doc"].tolist(), part["spot"].tolist(), part["context"]):
-            if g != gram:
+        rows = zip(part["gram"].tolist(), part["part"].tolist(), part["frequent"].tolist(), part["doc"].tolist(), part["spot"].tolist(), part["context"])
+        for g, share, frequent, doc, spot, context in rows:
+            if (g, share, frequent) != now:
                 close()
-                gram, held, hot = g, [], False
+                now, held = (g, share, frequent), []
             held.append((doc, spot >> 16, spot >> 8 & 255, context))
-            if len(held) > MANY:
-                hot = True
-                windows(held)
-                held = []
         if out:
             yield _cover(*zip(*out))
             out.clear()
@@ -301,16 +312,16 @@ def _tree(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(raw, wanted: [(gram, spot)], doc) -> one row a wanted anchor with the bytes of its context."""
+    """(raw, wanted: [(gram, spot, part, frequent)], doc) -> one row a wanted anchor with the bytes of its context."""
     for part in parts:
         rows = []
         for doc, raw, wanted in zip(part["doc"].tolist(), part["raw"], part["wanted"]):
             for w in wanted:
                 g, s = w["gram"], w["spot"]
                 at = s >> 16
-                rows.append((g, doc, s, bytes(raw[at - (s >> 8 & 255) : at + (s & 255)])))
+                rows.append((g, w["part"], w["frequent"], doc, s, bytes(raw[at - (s >> 8 & 255) : at + (s & 255)])))
         if rows:
-            yield pd.DataFrame(rows, columns=["gram", "doc", "spot", "context"])
+            yield pd.DataFrame(rows, columns=["gram", "part", "frequent", "doc", "spot", "context"])
 
 
 def covers(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -322,9 +333,14 @@ def covers(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = found.where("not open").select(
         "doc", (F.shiftright("spot", 16) - F.shiftright("spot", 8).bitwiseAND(255)).alias("start"), (F.shiftright("spot", 16) + F.col("spot").bitwiseAND(255)).alias("stop")
     )
-    wanted = found.where("open").groupBy("doc").agg(F.collect_set(F.struct("gram", "spot")).alias("wanted"))
-    contexts = raw.join(wanted.hint("shuffle_hash"), "doc").mapInPandas(_contexts, "gram long, doc long, spot long, context binary")
-    deeper = written(contexts.repartition("gram").sortWithinPartitions("gram", "doc", "spot").mapInPandas(_tree, COVERS), "covers")
+    many = found.where("open").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select(F.col("gram").alias("_g"), F.ceil(F.col("n") / MANY).alias("parts"))
+    opened = found.where("open").join(many, F.col("gram") == F.col("_g"), "left")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "spot"), F.col("parts"))).cast("int")
+    opened = opened.select("doc", F.struct("gram", "spot", part.alias("part"), F.col("parts").isNotNull().alias("frequent")).alias("w"))
+    wanted = opened.groupBy("doc").agg(F.collect_set("w").alias("wanted"))
+    contexts = raw.join(wanted.hint("shuffle_hash"), "doc").mapInPandas(_contexts, "gram long, part int, frequent boolean, doc long, spot long, context binary")
+    near = contexts.repartition("gram", "part").sortWithinPartitions("gram", "part", "doc", "spot")
+    deeper = written(near.mapInPandas(_tree, COVERS), "covers")
     windows = deeper.where("key <> 0").withColumn("place", F.struct("doc", "start"))
     first = windows.groupBy("gram", "key").agg(F.min("place").alias("first"))
     later = windows.join(first, ["gram", "key"]).where("place <> first")

@@ -65,11 +65,10 @@ def test_the_tree_equals_the_windows_of_hot_grams(spark, monkeypatch):
         raw = a + frequent[rng.randint(0, 40) : rng.randint(100, 130)] + b
         rows += [(d, i, at, left, raw[at - left : at + right], g) for d, at, left, right, g in _anchors_of(raw, i)]
     frame = pd.DataFrame([(g, d, at << 16 | left << 8 | (len(c) - left), c) for d, _, at, left, c, g in rows], columns=["gram", "doc", "spot", "context"])
-    frame = frame.sort_values(["gram", "doc", "spot"])
 
-    def covered(many):
-        monkeypatch.setattr(repeats, "MANY", many)
-        got = pd.concat(list(repeats._tree(iter([frame[:100], frame[100:]]))))
+    def covered(parts):
+        cut = frame.assign(part=0 if parts == 1 else (frame["doc"] * 7 + frame["spot"]) % parts, frequent=parts > 1).sort_values(["gram", "part", "doc", "spot"])
+        got = pd.concat(list(repeats._tree(iter([cut[:100], cut[100:]]))))
         plain_spans = got[got.key == 0]
         hot = got[got.key != 0].sort_values(["doc", "start"])
         hot = hot[hot.groupby(["gram", "key"]).cumcount() > 0]
@@ -78,7 +77,7 @@ def test_the_tree_equals_the_windows_of_hot_grams(spark, monkeypatch):
             spans.setdefault(d, []).append((a, b))
         return {d: repeats.merged(s) for d, s in spans.items()}
 
-    assert covered(10**9) == covered(5)
+    assert covered(1) == covered(2) == covered(5) == covered(40)
 
 
 def _anchors_of(raw, doc):
@@ -86,6 +85,22 @@ def _anchors_of(raw, doc):
     return [(doc, int(a), int(x), int(y), int(g >> 1)) for a, x, y, g in zip(at, left, right, gram)]
 
 
+def test_frequent_grams_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MANY", 6)
+    rng = random.Random(8)
+    line = "".join(rng.choices("abcdefgh ", k=170))
+    rows = [(i, "".join(rng.choices("xyz ", k=rng.randint(0, 150))) + line[rng.randint(0, 60) :] * rng.randint(1, 2) + "".join(rng.choices("xyz ", k=80))) for i in range(60)]
+    seen, want = set(), {}
+    for i, t in rows:
+        raw, gone = t.encode(), set()
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone |= {*range(k, k + 100)}
+            seen.add(raw[k : k + 100])
+        want[i] = len(gone)
+    assert {r.doc_id: r.n_removed for r in repeats.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     t = "".join(random.Random(5).choices("abcdefghij", k=400))
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (2, t + t)], "doc_id long, text string")
