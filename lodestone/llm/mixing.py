@@ -26,7 +26,7 @@ from .shared import WORD, discard, free, written
 
 #: Weights of the sources in code-point order, repeating; words of the mix over words given; most copies of a document.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
-CELL, STEPS, NEAR = 4096, 60, 1e-10
+CELL, STEPS, NEAR = 1024, 60, 1e-10
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
