@@ -20,10 +20,9 @@ def read_number(text: Column) -> Column:
 def short_number(c: Column) -> Column:
     """Up to six significant digits, no trailing zeros."""
     d = c.cast("double")
-    digits = F.greatest(F.lit(0), F.lit(5) - F.floor(F.log10(F.abs(d))).cast("int"))
-    shown = F.coalesce(*[F.when(digits == k, F.format_string(f"%.{k}f", d)) for k in range(10)], F.format_string("%.10f", d))
-    bare = F.when(shown.contains("."), F.regexp_replace(F.regexp_replace(shown, "0+$", ""), r"\.$", "")).otherwise(shown)
-    return F.when(d.isNotNull(), F.when(d == 0, "0").otherwise(bare))
+    scale = F.pow(F.lit(10.0), F.greatest(F.lit(0), 5 - F.floor(F.log10(F.abs(d)))))
+    text = (F.bround(d * scale, 0) / scale).cast("decimal(38,15)").cast("string")
+    return F.when(d == 0, "0").otherwise(F.regexp_replace(text, r"\.?0+$", ""))
 
 
 def to_kelvin(value: Column, unit: Column) -> Column:

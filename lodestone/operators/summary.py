@@ -44,6 +44,7 @@ MOST_CHARS = {
     "review_reason": 200, "family": 50,
 }
 VOTED = "structure_phase family pairing_symmetry gap_structure competing_order sample_form pressure_type doping_type".split()
+FLAGS = "ambient_sc is_unconventional disputed".split()
 LARGEST = "hc2_tesla lambda_eph omega_log_k rho_s_mev t_cdw_k t_sdw_k t_afm_k".split()
 MEDIANS = "rho_exponent doping_level".split()
 TEXT_OVERRIDES = "pairing_symmetry gap_structure competing_order crystal_structure space_group structure_phase".split()
@@ -104,13 +105,27 @@ def phase_checked(phase: Column, shown: Column) -> Column:
     return F.when(~wrong, phase)
 
 
+def _by_field(rows: DataFrame, fields: Column, *keep: str) -> DataFrame:
+    """A row a record and field: e (key, field), v if the fields come with values, and the columns to keep. All fields then share one pass."""
+    long = rows.select("key", *keep, F.explode(fields).alias("f"))
+    if dict(long.dtypes)["f"] == "string":
+        return long.select(F.struct("key", F.col("f").alias("field")).alias("e"), *keep)
+    return long.select(F.struct("key", "f.field").alias("e"), "f.v", *keep)
+
+
+def _wide(long: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row a key: each column is one field's value."""
+    return long.groupBy(F.col("e.key").alias("key")).agg(*[F.max(F.when(F.col("e.field") == f, F.col(v))).alias(c) for c, (f, v) in columns.items()])
+
+
 def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: DataFrame | None = None) -> DataFrame:
     """One row a key from accepted records (see `records`): columns of the summary, needs_review and review_reason."""
-    spark = rows.sparkSession
+    spark, curated = rows.sparkSession, overrides is not None
     if overrides is None:
         overrides = spark.createDataFrame([], "canonical string, field string, override_value string, is_cap boolean, source string")
     if refuted is None:
         refuted = spark.createDataFrame([], "canonical string, claim_type string, claimed_tc double")
+    rows = materialised(rows, "accepted")
     cap = overrides.where("is_cap and field = 'tc_max'").groupBy(F.col("canonical").alias("_k")).agg(F.min("override_value").try_cast("double").alias("cap"))
     rows = rows.join(cap, F.col("key") == F.col("_k"), "left").drop("_k")
     tc = F.col("tc_kelvin")
@@ -122,14 +137,18 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
     regime = F.coalesce("tc_regime", F.lit("bulk_equilibrium"))
     rows = rows.withColumn("ambient", F.coalesce(tc.isNotNull() & F.col("ambient_sc") & ~regime.isin("high_pressure", "interface") & ~F.col("theory"), F.lit(False)))
     rows = materialised(rows, "records")  # read by every aggregate below
-    tops = {
-        "exp": ev.corroborated_max(rows.where("not theory and not cited"), "key", "paper_id", "tc_kelvin", "tc_exp", "sup_exp"),
-        "theo": ev.corroborated_max(rows.where("theory"), "key", "paper_id", "tc_kelvin", "tc_theo", "sup_theo"),
-        "amb": ev.corroborated_max(rows.where("ambient"), "key", "paper_id", "tc_kelvin", "tc_amb", "sup_amb"),
-    }
-    tops |= {c: ev.weighted_mode(rows, "key", "paper_id", c, "confidence", c) for c in VOTED}
-    tops |= {c: ev.weighted_flag(rows, "key", c, "confidence", c) for c in ("ambient_sc", "is_unconventional", "disputed")}
-    tops["shown"] = ev.display_form(rows, "key", "shown", "formula")
+    kinds = F.array_compact(F.array(F.when(~F.col("theory") & ~F.col("cited"), "exp"), F.when(F.col("theory"), "theo"), F.when(F.col("ambient"), "amb")))
+    maxima = ev.corroborated_max(_by_field(rows, kinds, "paper_id", "tc_kelvin"), "e", "paper_id", "tc_kelvin", "tc", "sup")
+    said = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("v")) for c in VOTED])
+    votes = ev.weighted_mode(_by_field(rows, said, "paper_id", "confidence"), "e", "paper_id", "v", "confidence", "v")
+    flags = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in FLAGS])
+    agreed = ev.weighted_flag(_by_field(rows, flags, "confidence"), "e", "v", "confidence", "v")
+    tops = [
+        _wide(maxima, {f"{v}_{k}": (k, v) for k in ("exp", "theo", "amb") for v in ("tc", "sup")}),
+        _wide(votes, {c: (c, "v") for c in VOTED}),
+        _wide(agreed, {c: (c, "v") for c in FLAGS}),
+        ev.display_form(rows, "key", "shown", "formula"),
+    ]
     amb = F.when(F.col("ambient"), tc)
     base = rows.groupBy("key").agg(
         F.count_distinct("paper_id").alias("total_papers"),
@@ -149,7 +168,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         F.min("tier").alias("best_credibility_tier"),
     )
     s = base
-    for part in tops.values():
+    for part in tops:
         s = s.join(part.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k"), "left").drop("_k")
     s = materialised(s, "votes")
     theory_only = F.col("tc_exp").isNull()
@@ -173,7 +192,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
     s = materialised(s, "derived")
     s = s.withColumn("review_reason", review_reason()).withColumn("needs_review", F.col("review_reason").isNotNull())
     s = s.withColumnsRenamed({"tc_exp": "tc_max_experimental", "tc_theo": "tc_max_theoretical", "tc_amb": "tc_ambient"})
-    s = materialised(apply_overrides(s, overrides), "curated")
+    s = materialised(apply_overrides(s, overrides), "curated") if curated else s
     claim = refuted.groupBy(F.col("canonical").alias("_k")).agg(F.min("claim_type").alias("claim"))
     s = s.join(claim, F.col("key") == F.col("_k"), "left").drop("_k")
     noted = F.concat(F.lit("refuted:"), F.col("claim"))
