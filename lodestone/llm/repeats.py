@@ -328,7 +328,8 @@ def covers(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc, start, stop): byte spans that together are exactly what an earlier start repeats. doc: doc_id, null as the least long."""
     raw = small_batches(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
     marks = raw.where(F.length("raw") >= WIDTH).mapInPandas(_emit, ANCHORS)
-    sorted_marks = marks.repartition("gram").sortWithinPartitions("gram", "full", "doc", "spot")
+    dealt = F.when(F.col("done"), F.xxhash64("doc", "spot")).otherwise(F.col("gram"))  # what a batch has settled can go anywhere
+    sorted_marks = marks.withColumn("deal", dealt).repartition("deal").drop("deal").sortWithinPartitions("gram", "full", "doc", "spot")
     found = written(sorted_marks.mapInPandas(_settle, FOUND), "anchors")
     whole = found.where("not open").select(
         "doc", (F.shiftright("spot", 16) - F.shiftright("spot", 8).bitwiseAND(255)).alias("start"), (F.shiftright("spot", 16) + F.col("spot").bitwiseAND(255)).alias("stop")
