@@ -7,11 +7,11 @@ the m pages that have a node,
     content importance      = 1 - mean_i (log_m n_i)        n_i: pages that have its text i
     importance of a branch  = (1 - GAMMA) presentation + GAMMA (mean content importance below it)
 
-so what looks and reads alike on every page of a site scores low, and branches below CUT are removed from each page. The tree
-needs at least LEAST pages of the node; where it has fewer, and for what markup itself declares, a prior decides: navigation,
-page header and footer, aside, form, script, style and elements whose class, id or role says menu, advert, notice, comment and
-the like have importance 0; a page that marks its article or main part is that part only, and its own text is never cut for being
-repeated on other pages.
+so what looks and reads alike on every page of a site scores low. A block goes if its own node is below CUT, and stays if not; a
+node in a marked article or main part counts as RAISE more important than it scores. The tree needs at least LEAST pages of the
+node; there, a block also goes if ALL of them or more have its text. Where it has fewer, a prior decides: a page that marks its article or main part is that part only. Before both, what markup
+itself declares has importance 0: navigation, page header and footer, aside, form, script, style and elements whose class, id or
+role says menu, advert, notice, comment and the like.
 
 Blocks are split at block elements, white space in a block becomes one space, blocks are joined by two newlines.
 
@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import small_batches
+from .shared import few_files, small_batches, written
 
-GAMMA, CUT, LEAST = 0.8, 0.35, 4
+GAMMA, CUT, LEAST, RAISE, ALL = 0.8, 0.35, 4, 0.15, 0.9
 
 #: Elements without content, elements that break text into blocks, elements whose content is never text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -144,11 +144,16 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def candidates(html: str) -> list[Block]:
-    """The blocks that the prior leaves: those of the article if one is marked, else all that are not declared noise."""
+def judged(html: str) -> list[tuple[Block, bool]]:
+    """The blocks that are not declared noise, and whether the prior leaves them: those of the article if one is marked, else all."""
     kept = [b for b in blocks(html) if not b.noise]
-    marked = [b for b in kept if b.article]
-    return marked or kept
+    marked = any(b.article for b in kept)
+    return [(b, b.article or not marked) for b in kept]
+
+
+def candidates(html: str) -> list[Block]:
+    """The blocks that the prior leaves."""
+    return [b for b, left in judged(html) if left]
 
 
 def _key(path: tuple[str, ...], depth: int) -> int:
@@ -168,7 +173,7 @@ def nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     said = children.setdefault(b.path[:k], [])
                     if not said or said[-1] != below:
                         said.append(below)
-                texts.setdefault(b.path, set()).add(xxhash.xxh64_intdigest(b.text, 5) >> 1)
+                texts.setdefault(b.path, set()).add(_text(b.text))
             page = None if page is None or page != page else int(page)
             for path, said in children.items():
                 out.append((page, host, _key(path, len(path)), 0, xxhash.xxh64_intdigest("|".join(said), 4) >> 1, None))
@@ -181,9 +186,39 @@ def nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield frame
 
 
+def _text(said: str) -> int:
+    return xxhash.xxh64_intdigest(said, 5) >> 1
+
+
+def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(page_id, host, html) -> once a page: the nodes that the tree decides on (value 0) and their texts (value), whether the prior
+    leaves them and whether they are marked."""
+    for part in parts:
+        out = []
+        for page, host, html in zip(part["page_id"], part["host"], part["html"]):
+            page = None if page is None or page != page else int(page)
+            found = set()
+            for b, left in judged(html):
+                node = _key(b.path, len(b.path))
+                found |= {(node, 0, left, b.article), (node, _text(b.text), left, b.article)}
+            out += [(page, host, *f) for f in found]
+        if out:
+            frame = pd.DataFrame(out, columns=["page_id", "host", "node", "value", "left", "marked"])
+            frame["page_id"] = frame["page_id"].astype("Int64")
+            yield frame
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """The rows of nodes() with n, the number of pages that have them."""
+    return rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"), F.first("above").alias("above"))
+
+
 def importances(rows: DataFrame) -> DataFrame:
     """(host, node, pages, importance) of the style trees of all hosts, from the rows of nodes()."""
-    counts = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"), F.first("above").alias("above"))
+    return _importances(counted(rows))
+
+
+def _importances(counts: DataFrame) -> DataFrame:
     layouts = counts.where("kind = 0").groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     looks = layouts.select("host", "node", "m", F.when(F.col("m") > 1, 1 - F.col("nlogn") / (F.col("m") * F.log("m"))).otherwise(1.0).alias("looks"))
     texts = counts.where("kind = 1").join(looks.select("host", "node", "m"), ["host", "node"])
@@ -198,20 +233,32 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
     given = small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = given.select("page_id", host.alias("host"), "html").mapInPandas(nodes, "page_id long, host string, node long, kind int, value long, above array<long>")
-    low = importances(rows).where((F.col("pages") >= LEAST) & (F.col("importance") < CUT)).select("host", "node")
-    cut = rows.where("kind = 0").select("page_id", "host", "node").join(low, ["host", "node"]).groupBy("page_id").agg(F.collect_set("node").alias("cut"))
+    sites = given.select("page_id", host.alias("host"), "html")
+    rows = sites.mapInPandas(nodes, "page_id long, host string, node long, kind int, value long, above array<long>")
+    counts = written(counted(rows), "counts")
+    known = written(few_files(_importances(counts).where(F.col("pages") >= LEAST).select("host", "node", "pages", "importance")), "known")
+    everywhere = written(few_files(counts.where("kind = 1").join(known, ["host", "node"]).where(F.col("n") >= ALL * F.col("pages")).select("host", "node", "value")), "everywhere")
+    open_ = sites.mapInPandas(asked, "page_id long, host string, node long, value long, left boolean, marked boolean")
+    stays = F.col("importance") + F.when(F.col("marked"), RAISE).otherwise(0.0) >= CUT
+    turned = open_.where("value = 0").join(known, ["host", "node"]).where(stays != F.col("left")).select("page_id", "node", "value")
+    said = open_.where("value <> 0").join(everywhere, ["host", "node", "value"]).select("page_id", "node", "value")
+    turned = turned.unionByName(said).groupBy("page_id").agg(F.collect_set(F.struct("node", "value")).alias("turned"))
 
     @pandas_udf("string")
-    def text(html: pd.Series, cut: pd.Series) -> pd.Series:
+    def text(html: pd.Series, turned: pd.Series) -> pd.Series:
         out = []
-        for h, c in zip(html, cut):
-            kept = candidates(h)
-            low = set(c) if c is not None else ()
-            if low:
-                kept = [b for b in kept if b.article or not any(_key(b.path, k) in low for k in range(1, len(b.path) + 1))]
-            out.append("\n\n".join(b.text for b in kept))
+        for h, t in zip(html, turned):
+            if t is None:
+                out.append("\n\n".join(b.text for b in candidates(h)))
+                continue
+            other, repeated = {x["node"] for x in t if not x["value"]}, {(x["node"], x["value"]) for x in t}
+            kept = []
+            for b, left in judged(h):
+                node = _key(b.path, len(b.path))
+                if left != (node in other) and (node, _text(b.text)) not in repeated:
+                    kept.append(b.text)
+            out.append("\n\n".join(kept))
         return pd.Series(out, dtype=object)
 
-    joined = given.join(cut.hint("shuffle_hash"), "page_id", "left").withColumn("text", text.asNondeterministic()("html", "cut"))
+    joined = given.join(turned.hint("shuffle_hash"), "page_id", "left").withColumn("text", text.asNondeterministic()("html", "turned"))
     return joined.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

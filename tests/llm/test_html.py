@@ -42,3 +42,20 @@ def test_importance_follows_the_formula(spark):
     got = html.importances(spark.createDataFrame(rows, "page_id long, host string, node long, kind int, value long, above array<long>")).collect()[0]
     looks = -2 * 0.5 * math.log(0.5, 4)
     assert abs(got.importance - (0.2 * looks + 0.8 * (0 + 1) / 2)) < 1e-9 and got.pages == 4
+
+
+def test_the_tree_decides_inside_and_outside_marked_parts(spark):
+    rng = random.Random(2)
+    say = lambda: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(20))
+    pages, want = [], {}
+    for i in range(8):
+        a, b = say(), say()
+        want[i] = f"{a}\n\n{b}"
+        pages.append((i, "http://posts.example/", f"<html><body><article><p>{a}</p><div class='end'><p>Read more of this site</p></div><p>{b}</p><p>More next week</p></article><div class='low'>All rights</div></body></html>"))
+        want[100 + i] = a
+        cards = "<article><p>Our best offer</p></article><article><p>Our second offer</p></article>"
+        pages.append((100 + i, "http://cards.example/", f"<html><body><div class='text'><p>{a}</p></div>{cards}</body></html>"))
+        want[200 + i] = a  # hosts of fewer pages than the tree needs
+        pages.append((200 + i, f"http://few{i // 3}.example/", f"<html><body><article><p>{a}</p></article><div>All rights</div></body></html>"))
+    got = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
