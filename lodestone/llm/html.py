@@ -16,7 +16,8 @@ role says menu, advert, notice, comment and the like.
 Blocks are split at block elements, white space in a block becomes one space, blocks are joined by two newlines.
 
 Defined cases: null or empty html gives an empty text; null url is a host of its own; broken markup (unclosed or stray tags, cut
-entities) is read on as browsers do, roughly; repeated rows give repeated rows and count as pages; rows with a null page_id are
+entities) is read on as browsers do, roughly; repeated rows give repeated rows; pages of a host whose texts without declared
+noise are equal count as one page; rows with a null page_id are
 cut by the prior alone; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -160,13 +161,18 @@ def _key(path: tuple[str, ...], depth: int) -> int:
     return xxhash.xxh64_intdigest("/".join(path[:depth]), 3) >> 1
 
 
+NODES = "host string, content long, nodes array<long>, layouts array<long>, owners array<long>, texts array<long>, above array<array<long>>"
+
+
 def nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(page_id, host, html) -> once a page: nodes with their layout (kind 0), and their texts (kind 1) with the keys of all nodes above."""
+    """(host, html) -> a row a page: the hash of its texts without declared noise; its nodes and their layouts; its texts, the nodes
+    that have them, and the keys of all nodes above."""
     for part in parts:
         out = []
-        for page, host, html in zip(part["page_id"], part["host"], part["html"]):
+        for host, html in zip(part["host"], part["html"]):
             children: dict[tuple, list[str]] = {}
             texts: dict[tuple, set[int]] = {}
+            content = xxhash.xxh64(seed=6)
             for b in blocks(html):
                 for k in range(1, len(b.path) + 1):
                     below = b.path[k] if k < len(b.path) else "#text"
@@ -174,16 +180,22 @@ def nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if not said or said[-1] != below:
                         said.append(below)
                 texts.setdefault(b.path, set()).add(_text(b.text))
-            page = None if page is None or page != page else int(page)
-            for path, said in children.items():
-                out.append((page, host, _key(path, len(path)), 0, xxhash.xxh64_intdigest("|".join(said), 4) >> 1, None))
-            for path, found in texts.items():
-                above = [_key(path, k) for k in range(1, len(path) + 1)]
-                out += [(page, host, above[-1] if above else 0, 1, t, above) for t in found]
+                if not b.noise:
+                    content.update(b.text + "\n")
+            known = {path: _key(path, len(path)) for path in children}
+            found = [([known[path[:k]] for k in range(1, len(path) + 1)], t) for path, own in texts.items() for t in sorted(own)]
+            layouts = [xxhash.xxh64_intdigest("|".join(said), 4) >> 1 for said in children.values()]
+            out.append((host, content.intdigest() >> 1, list(known.values()), layouts, [a[-1] if a else 0 for a, _ in found], [t for _, t in found], [a for a, _ in found]))
         if out:
-            frame = pd.DataFrame(out, columns=["page_id", "host", "node", "kind", "value", "above"])
-            frame["page_id"] = frame["page_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=["host", "content", "nodes", "layouts", "owners", "texts", "above"])
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, node, kind, value, above) of the rows of nodes(), copies of one page of a host once: layouts are kind 0, texts kind 1."""
+    one = pages.groupBy("host", "content").agg(F.min(F.struct("nodes", "layouts", "owners", "texts", "above")).alias("p"))
+    layouts = F.transform(F.arrays_zip("p.nodes", "p.layouts"), lambda x: F.struct(x["nodes"].alias("node"), F.lit(0).alias("kind"), x["layouts"].alias("value"), F.lit(None).cast("array<long>").alias("above")))
+    texts = F.transform(F.arrays_zip("p.owners", "p.texts", "p.above"), lambda x: F.struct(x["owners"].alias("node"), F.lit(1).alias("kind"), x["texts"].alias("value"), x["above"].alias("above")))
+    return one.select("host", F.explode(F.concat(layouts, texts)).alias("x")).select("host", "x.*")
 
 
 def _text(said: str) -> int:
@@ -234,7 +246,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
     given = small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     sites = given.select("page_id", host.alias("host"), "html")
-    rows = sites.mapInPandas(nodes, "page_id long, host string, node long, kind int, value long, above array<long>")
+    rows = distinct_pages(sites.select("host", "html").mapInPandas(nodes, NODES))
     counts = written(counted(rows), "counts")
     known = written(few_files(_importances(counts).where(F.col("pages") >= LEAST).select("host", "node", "pages", "importance")), "known")
     everywhere = written(few_files(counts.where("kind = 1").join(known, ["host", "node"]).where(F.col("n") >= ALL * F.col("pages")).select("host", "node", "value")), "everywhere")

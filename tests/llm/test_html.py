@@ -59,3 +59,12 @@ def test_the_tree_decides_inside_and_outside_marked_parts(spark):
         pages.append((200 + i, f"http://few{i // 3}.example/", f"<html><body><article><p>{a}</p></article><div>All rights</div></body></html>"))
     got = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == want
+
+
+def test_copies_of_a_page_are_no_evidence(spark):
+    same = "<html><body><div id='post-123'><p>The only article</p><p>Its end</p></div></body></html>"
+    pages = [(i, "http://copies.example/", same) for i in range(5)]
+    pages += [(10 + i, "http://mixed.example/", same.replace("</body>", f"<div class='ad'>buy {i}</div></body>")) for i in range(5)]
+    pages += [(20 + i, "http://mixed.example/", f"<html><body><div class='t'><p>Text {i}</p></div><div class='low'>All rights</div></body></html>") for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "The only article\n\nIts end" for i in [*range(5), *range(10, 15)]} | {20 + i: f"Text {i}" for i in range(6)}
