@@ -107,8 +107,8 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
     return state
 
 
-def copies(docs: DataFrame, key: str = "doc_id", prior: str | None = None, cap: float = CAP, **aims) -> DataFrame:
-    """docs with size, source_size, target and copies (how often the mix takes the row)."""
+def copies(docs: DataFrame, key: str = "doc_id", prior: str | None = None, cap: float = CAP, ties: tuple[str, ...] = (), **aims) -> DataFrame:
+    """docs with size, source_size, target and copies (how often the mix takes the row). ties: columns that order rows of one key."""
     docs = docs.withColumn("_prior", F.col(prior).cast("double") if prior else F.lit(1.0))
     cells = written(docs.groupBy("source", "size", F.col("_prior").alias("prior")).agg(F.count("*").alias("n")), "sizes")
     totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
@@ -122,7 +122,7 @@ def copies(docs: DataFrame, key: str = "doc_id", prior: str | None = None, cap:
     placed = docs.join(rated, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & F.col("_prior").eqNullSafe(F.col("_p")))
     placed = placed.withColumn("_part", F.pmod(spread, F.col("parts"))).drop("_s", "_z", "_p", "parts")
     inside = Window.partitionBy("source", "size", "_prior", "_part")
-    placed = placed.withColumn("_k", F.row_number().over(inside.orderBy(F.xxhash64(key, F.lit("round")), key)))
+    placed = placed.withColumn("_k", F.row_number().over(inside.orderBy(F.xxhash64(key, F.lit("round")), key, *ties)))
     counts = placed.groupBy("source", "size", "_prior", "_part", "rate").agg(F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy("size", "_prior", "_part").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("n") * F.col("rate")).over(order)
@@ -147,10 +147,15 @@ def digests(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """docs, each row as often as the mix takes it (not at all, once or twice), with the columns it came with.
 
-    Only (doc_id, source, size) goes through the balancing; repeated rows of one doc_id share the copies of the first.
+    Every row has its own copies, also those that share a doc_id or have none. Rows get a number, written once with them; only
+    (number, deal, content, source, size) goes through the balancing. deal is doc_id, or without one a hash of the row, so which
+    rows are taken does not depend on the numbers.
     """
-    rows = written(sized(docs.select("doc_id", "source", "text")).drop("text"), "sized")
-    id_, times, each = (free(c, docs) for c in ("_mix_id", "_mix_copies", "_mix_each"))
-    taken = copies(rows.dropDuplicates(["doc_id"])).select(F.col("doc_id").alias(id_), F.col("copies").alias(times))
-    joined = docs.join(taken.where(F.col(times) > 0), F.col("doc_id").eqNullSafe(F.col(id_)))
-    return joined.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    id_, deal, content, times, each = (free(c, docs) for c in ("_mix_id", "_mix_deal", "_mix_content", "_mix_copies", "_mix_each"))
+    told = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    docs, given = written(docs.withColumn(id_, F.monotonically_increasing_id()), "numbered"), docs.columns
+    rows = sized(docs.select(id_, "doc_id", F.xxhash64(*told).alias(content), "source", "text")).drop("text")
+    rows = written(rows.withColumn(deal, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col(content).cast("string")))).drop("doc_id"), "sized")
+    taken = copies(rows, key=deal, ties=(content,)).select(id_, F.col("copies").alias(times))
+    joined = docs.join(taken.where(F.col(times) > 0), id_)
+    return joined.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*[F.col(f"`{c}`") for c in given])

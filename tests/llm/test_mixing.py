@@ -65,3 +65,19 @@ def test_cases(spark):
     assert len(got) == 5 and all(r.taken <= 2 * r.size for r in got)
     assert mixing.digests(df.limit(0)).count() == 0
     assert mixing.mix(df).columns == df.columns and mixing.mix(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_are_mixed_one_by_one(spark):
+    rng = random.Random(3)
+    rows = [(None if i % 3 else i, "ab"[i % 2], f"t{i} " + "w " * rng.randint(0, 60)) for i in range(600)] + [(9001, "a", "x y z"), (9001, "a", "other words " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sorted(r.text for r in mixing.mix(df).collect())
+    again = sorted(r.text for r in mixing.mix(df.repartition(7)).collect())
+    assert got == again
+    words = lambda texts, s: sum(len(t.split()) for t in texts if s is None or source[t] == s)
+    source = {t: s for _, s, t in rows}
+    want = plain_targets({s: words(source, s) for s in "ab"})
+    assert all(abs(words(got, s) - want[s]) <= 100 for s in "ab")
+    assert max(got.count(t) for t in {*got}) <= 2
+    nulls = [t for d, _, t in rows if d is None]
+    assert len({got.count(t) for t in nulls}) > 1
