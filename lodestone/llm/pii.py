@@ -10,7 +10,8 @@ what stands around it are patterns too. Patterns and values form a bipartite gra
 so a value that a trusted context has named lends trust to its other contexts in the next round. Values that score
 CONFIDENT or more and have the shape of an identifier (SHAPE) are found: all their occurrences become spans of kind `id`.
 
-Texts are cut once by each pattern, in the scan; only matches with WINDOW characters of context on either side are shuffled.
+Texts are cut once by each pattern, in the scan; only matches with WINDOW characters of the whole text on either side, other
+matches among them, are shuffled. Rounds go on until the written scores, looked at every ROUNDS rounds, no longer rise.
 Their places are running sums within the document. The graph's edges are distinct (pattern, value) pairs, combined before
 every shuffle, so a context or value that a third of all rows share is one node of small sums.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, few_files, free, whole_text, written
+from .shared import WORD, discard, few_files, free, whole_text, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: The patterns in forms that match the same and never go back: a start that follows a character of the same run can't succeed.
@@ -51,21 +52,36 @@ def _cut(docs: DataFrame, text: str, ids: str, out: str) -> DataFrame:
         cols[f"_m{k}"] = F.when(may & digits, F.regexp_extract_all(text, F.lit(regex), F.lit(0))).otherwise(none)
     cutting = docs.withColumn(ids, F.monotonically_increasing_id()).withColumns(cols)
 
+    def ends(k: int) -> Column:
+        """Of each match, the last WINDOW characters of it and the gap before, and the first ones of it and the gap after."""
+        return F.transform(
+            f"_m{k}",
+            lambda m, i: F.struct(
+                F.substring(F.concat(F.get(f"_p{k}", i), m), -WINDOW, WINDOW).alias("tail"), F.substring(F.concat(m, F.get(f"_p{k}", i + 1)), 1, WINDOW).alias("head")
+            ),
+        )
+
+    cutting = cutting.withColumns({f"_e{k}": ends(k) for k in range(len(REGEX))})
+    near = WINDOW // 2  # matches of a kind and the gaps after them have two characters at least, so no more of them are in reach
+
     def found(k: int) -> Column:
         def one(m: Column, i: Column) -> Column:
             gap, after = F.get(f"_p{k}", i), F.get(f"_p{k}", i + 1)
+            told = F.array_join(F.slice(F.col(f"_e{k}")["tail"], F.greatest(i - near, F.lit(0)) + 1, F.least(i, F.lit(near))), "")
+            tells = F.array_join(F.slice(F.col(f"_e{k}")["head"], i + 2, F.lit(near)), "")
+            full = lambda c: F.char_length(c) >= WINDOW
             return F.struct(
                 F.lit(k).alias("kind"),
                 i.alias("i"),
                 F.char_length(gap).alias("gap"),
-                F.substring(gap, -WINDOW, WINDOW).alias("before"),
+                F.substring(F.when(full(gap), gap).otherwise(F.concat(told, gap)), -WINDOW, WINDOW).alias("before"),
                 m.alias("value"),
-                F.substring(after, 1, WINDOW).alias("after"),
+                F.substring(F.when(full(after), after).otherwise(F.concat(after, tells)), 1, WINDOW).alias("after"),
             )
 
         return F.transform(f"_m{k}", one)
 
-    return cutting.withColumn(out, F.concat(*map(found, range(len(REGEX))))).drop(*cols)
+    return cutting.withColumn(out, F.concat(*map(found, range(len(REGEX))))).drop(*cols, *[f"_e{k}" for k in range(len(REGEX))])
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -116,18 +132,29 @@ def patterns(before: Column, after: Column) -> Column:
 
 
 def scores(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, score) of every value that is not a seed and scores more than 0, by rounds over the pattern-instance graph."""
+    """(value, score) of every value that is not a seed and scores more than 0, by rounds over the pattern-instance graph.
+
+    Scores never fall from round to round; they are written every `rounds` rounds, until their sum no longer rises.
+    """
     seen = spans.select(F.explode(patterns(F.col("before"), F.col("after"))).alias("pattern"), F.lower("value").alias("value"), (F.col("kind") < 4).alias("seed"))
     edges = written(few_files(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))), "edges")
-    state = None
-    for _ in range(rounds):
-        known = F.when(F.col("seed"), 1.0)
-        scored = edges.withColumn("s", known.otherwise(0.0)) if state is None else edges.join(state, "value", "left").withColumn("s", known.otherwise(F.coalesce("score", F.lit(0.0))))
-        sums = scored.groupBy("pattern").agg(F.round(F.sum("s"), 6).alias("mass"), F.count("*").alias("n"), F.count_if(~F.col("seed")).alias("open"))
-        trusted = sums.where((F.col("open") > 0) & (F.col("mass") >= SUPPORT) & (F.col("mass") / (F.col("n") + 1) >= CONFIDENT))
-        trusted = trusted.select("pattern", F.log1p(-F.col("mass") / (F.col("n") + 1)).alias("doubt"))
-        state = edges.where(~F.col("seed")).join(trusted, "pattern").groupBy("value").agg(F.round(1 - F.exp(F.sum("doubt")), 6).alias("score"))
-    return state
+    state, total = None, 0
+    while True:
+        before = state
+        for _ in range(rounds):
+            known = F.when(F.col("seed"), 1.0)
+            scored = edges.withColumn("s", known.otherwise(0.0)) if state is None else edges.join(state, "value", "left").withColumn("s", known.otherwise(F.coalesce("score", F.lit(0.0))))
+            sums = scored.groupBy("pattern").agg(F.round(F.sum("s"), 6).alias("mass"), F.count("*").alias("n"), F.count_if(~F.col("seed")).alias("open"))
+            trusted = sums.where((F.col("open") > 0) & (F.col("mass") >= SUPPORT) & (F.col("mass") / (F.col("n") + 1) >= CONFIDENT))
+            trusted = trusted.select("pattern", F.log1p(-F.col("mass") / (F.col("n") + 1)).alias("doubt"))
+            state = edges.where(~F.col("seed")).join(trusted, "pattern").groupBy("value").agg(F.round(1 - F.exp(F.sum("doubt")), 6).alias("score"))
+        state = written(few_files(state), "scores")
+        now = state.agg(F.sum(F.col("score").cast("decimal(20,6)"))).first()[0] or 0
+        if now <= total:
+            return state
+        if before is not None:
+            discard(before)
+        total = now
 
 
 def find(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFrame, str, DataFrame]:

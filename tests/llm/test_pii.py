@@ -98,3 +98,46 @@ def test_redaction_keeps_columns_and_clean_rows(spark, letters):
     assert got == [(-1, "é [PHONE]", 9), (1, "x [EMAIL], [IP]!", 16), (3, "clean", 5), (3, "clean", 5)]
     assert out.where("text is null").count() == 1
     assert pii.redact(df.limit(0)).count() == 0 and pii.digests(df.limit(0)).count() == 0
+
+
+def test_context_holds_the_matches_before(spark):
+    texts = ["invoice 2023 77881234", "hosts 10.0.0.1 10.0.0.2, 10.0.0.3 end", "é " + "7 " * 90 + "x", "a@b.co c@d.co " * 9, "1" * 200 + " 22 " + "3" * 200 + " 4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = pii._cut(df, "text", "id", "cut").collect()
+    for r in got:
+        last, end = None, 0
+        assert r.cut
+        for m in sorted(r.cut, key=lambda m: (m.kind, m.i)):
+            end = 0 if m.kind != last else end
+            a = end + m.gap
+            last, end = m.kind, a + len(m.value)
+            assert (r.text[a:end], m.before, m.after) == (m.value, r.text[max(0, a - 80) : a], r.text[end : end + 80])
+    one = [m for m in got[0].cut if m.value == "77881234"][0]
+    assert one.before == "invoice 2023 "
+
+
+def test_rounds_go_on_until_nothing_changes(spark):
+    word = "abcdefghi"
+    rows = [("a", f"seed{k}", 0) for k in range(60)]
+    for step in range(9):  # one value of a step is what makes the next step's context trusted: 6 + score >= 0.7 * 9 needs it
+        rows += [(word[step], f"v{step}-{k}", 4) for k in range(5 * (step == 0))]
+        rows += [(word[step], f"v{step}", 4)] + ([(word[step], f"v{step - 1}", 4)] if step else [])
+        rows += [(word[step], f"own{step}-{k}", 0) for k in range(6 if step else 0)]
+    spans = spark.createDataFrame([(f"x {p} ", "", v, k) for p, v, k in rows], "before string, after string, value string, kind int")
+    got = {r.value: r.score for r in pii.scores(spans).collect()}
+    seeds = {v for _, v, k in rows if k == 0}
+    edges, score = {(p, v) for p, v, _ in rows}, {}
+    for _ in range(60):
+        trust = {}
+        for p in word:
+            own = [v for q, v in edges if q == p]
+            mass = round(sum(1.0 if v in seeds else score.get(v, 0.0) for v in own), 6)
+            if mass >= pii.SUPPORT and mass / (len(own) + 1) >= pii.CONFIDENT:
+                trust[p] = mass / (len(own) + 1)
+        new = {}
+        for p, v in edges:
+            if v not in seeds and p in trust:
+                new[v] = 1 - (1 - new.get(v, 0.0)) * (1 - trust[p])
+        score = new
+    assert "v8" in score and got.keys() == score.keys()
+    assert all(abs(got[v] - score[v]) < 1e-4 for v in got)
