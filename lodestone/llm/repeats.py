@@ -18,8 +18,8 @@ Anchors are combined by context inside each batch before they are shuffled, so a
 Hashes are 64 bits of GRAM bytes and, by another function, 64 of the context; both must agree.
 
 Defined cases: null text counts as empty; texts shorter than WIDTH keep all bytes; a null doc_id comes before all others;
-rows that repeat a doc_id are one document to the rule "earlier": only an earlier start in the same document counts, so
-identical rows get identical results; matches never cross texts; other columns are ignored; an empty table gives an empty table.
+rows that repeat a doc_id, or have none, are one document to the rule "earlier": only an earlier start in the same document counts,
+so identical rows get identical results; each of its texts has its own anchors and spans (by a 64-bit hash of the text); matches never cross texts; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import small_batches, written
+from .shared import few_files, small_batches, written
 
 WIDTH, GRAM = 100, 32
 REACH = WIDTH - GRAM
@@ -91,56 +91,58 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, ...]:
     return own, at - begin[own], at - a, b - at, _mixed(h[at]), full
 
 
-ANCHORS = "gram long, full long, doc long, spot long, done boolean"
+ANCHORS = "gram long, full long, doc long, spot long, row long, done boolean"
 
 
-def _frame(gram, full, doc, spot, done) -> pd.DataFrame:
+def _frame(gram, full, doc, spot, row, done) -> pd.DataFrame:
     as_long = lambda x: np.asarray(x).astype(np.uint64).view(np.int64) if np.asarray(x).dtype == np.uint64 else np.asarray(x, np.int64)
-    return pd.DataFrame({"gram": as_long(gram), "full": as_long(full), "doc": as_long(doc), "spot": as_long(spot), "done": np.asarray(done, bool)})
+    return pd.DataFrame({"gram": as_long(gram), "full": as_long(full), "doc": as_long(doc), "spot": as_long(spot), "row": as_long(row), "done": np.asarray(done, bool)})
 
 
 def _emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Anchors of each batch of (doc, raw); of equal contexts the earliest stays an anchor, the others are done: covered.
+    """Anchors of each batch of (doc, row, raw); of equal contexts the earliest stays an anchor, the others are done: covered.
 
-    spot packs place << 16 | left << 8 | right.
+    spot packs place << 16 | left << 8 | right. Anchors of different texts of one doc at the same place are equally early: all stay.
     """
     for part in parts:
-        rows = sorted(((d, r) for d, r in zip(part["doc"].tolist(), part["raw"]) if len(r) >= WIDTH), key=lambda x: x[0])
+        rows = sorted(((d, w, r) for d, w, r in zip(part["doc"].tolist(), part["row"].tolist(), part["raw"]) if len(r) >= WIDTH), key=lambda x: x[:2])
         k = 0
         while k < len(rows):
             total, j = 0, k
-            while j < len(rows) and (j == k or total + len(rows[j][1]) <= AT_ONCE):
-                total += len(rows[j][1])
+            while j < len(rows) and (j == k or total + len(rows[j][2]) <= AT_ONCE):
+                total += len(rows[j][2])
                 j += 1
-            own, at, left, right, gram, full = anchors([r for _, r in rows[k:j]])
-            doc = np.array([d for d, _ in rows[k:j]], np.int64)[own]
+            own, at, left, right, gram, full = anchors([r for _, _, r in rows[k:j]])
+            doc, row = np.array([d for d, _, _ in rows[k:j]], np.int64)[own], np.array([w for _, w, _ in rows[k:j]], np.int64)[own]
             both = gram ^ (full * np.uint64(_BASE))
-            order = np.argsort(both, kind="stable")
+            several = any(a[0] == b[0] and a[1] != b[1] for a, b in zip(rows[k:j], rows[k + 1 : j]))
+            order = np.lexsort((row, at, doc, both)) if several else np.argsort(both, kind="stable")
             new = np.append(True, both[order][1:] != both[order][:-1])
             first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             done = np.zeros(len(order), bool)
-            done[order] = ~new & ~((doc[order] == doc[first]) & (at[order] == at[first]))
+            same = ~new & (doc[order] == doc[first]) & (at[order] == at[first])
+            done[order] = ~new & ~same
             keep = np.zeros(len(order), bool)
-            keep[order[new]] = True
+            keep[order] = new | (same & np.append(False, row[order][1:] != row[order][:-1]))
             take = done | keep
-            yield _frame(gram[take], full[take], doc[take], (at << 16 | left << 8 | right)[take], done[take])
+            yield _frame(gram[take], full[take], doc[take], (at << 16 | left << 8 | right)[take], row[take], done[take])
             k = j
 
 
-FOUND = "gram long, doc long, spot long, open boolean"
+FOUND = "gram long, doc long, spot long, row long, open boolean"
 
 
 def _settle(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Anchors sorted by gram, full, doc, spot: later ones of equal contexts are covered, first ones of grams with several contexts stay open."""
-    gram0 = full0 = doc0 = spot0 = None  # the last row's gram and context, and that context's first row
-    seen, waits = 0, None  # contexts of that gram so far; its only context's first row
+    """Anchors sorted by gram, full, doc, spot, row: later ones of equal contexts are covered, first ones of grams with several contexts stay open."""
+    gram0 = full0 = doc0 = spot0 = row0 = None  # the last row's gram, context and text, and that context's first row
+    seen, waits = 0, []  # contexts of that gram so far; its only context's first rows, one a text
 
     for part in parts:
         over = part["done"].to_numpy()
         own = part[~over]
-        gram, full, doc, spot = (own[c].to_numpy(np.int64) for c in ("gram", "full", "doc", "spot"))
+        gram, full, doc, spot, row = (own[c].to_numpy(np.int64) for c in ("gram", "full", "doc", "spot", "row"))
         n = len(own)
-        cover_doc, cover_spot = [part["doc"].to_numpy(np.int64)[over]], [part["spot"].to_numpy(np.int64)[over]]
+        cover_doc, cover_spot, cover_row = ([part[c].to_numpy(np.int64)[over]] for c in ("doc", "spot", "row"))
         open_rows = []
         if n:
             new_gram = np.append(gram0 is None or gram[0] != gram0, gram[1:] != gram[:-1])
@@ -148,31 +150,33 @@ def _settle(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             first = np.maximum.accumulate(np.where(new_full, np.arange(n), -1))
             first_doc = np.where(first >= 0, doc[first], doc0 if doc0 is not None else 0)
             first_spot = np.where(first >= 0, spot[first], spot0 if spot0 is not None else 0)
-            again = ~new_full & ~((doc == first_doc) & (spot == first_spot))
-            cover_doc.append(doc[again]), cover_spot.append(spot[again])
+            same = ~new_full & (doc == first_doc) & (spot == first_spot)
+            again = ~new_full & ~same
+            lead = new_full | (same & (row != np.append(row0 if row0 is not None else 0, row[:-1])))
+            cover_doc.append(doc[again]), cover_spot.append(spot[again]), cover_row.append(row[again])
             group = np.cumsum(new_gram)  # 0 goes on with the last batch's gram
             contexts = np.bincount(group, new_full, minlength=group[-1] + 1).astype(np.int64)
             contexts[0] += seen if not new_gram[0] else 0
-            if waits is not None and not new_gram[0] and contexts[0] >= 2:
-                open_rows.append(waits)
-                waits = None
-            several = np.flatnonzero(new_full & (contexts[group] >= 2))
-            open_rows += list(zip(gram[several].tolist(), doc[several].tolist(), spot[several].tolist()))
+            at = lambda k: list(zip(gram[k].tolist(), doc[k].tolist(), spot[k].tolist(), row[k].tolist()))
+            if waits and not new_gram[0] and contexts[0] >= 2:
+                open_rows += waits
+                waits = []
+            open_rows += at(np.flatnonzero(lead & (contexts[group] >= 2)))
             if contexts[group[-1]] >= 2:
-                waits = None
-            elif new_gram.any():
-                k = int(np.flatnonzero(new_gram)[-1])
-                waits = (int(gram[k]), int(doc[k]), int(spot[k]))
+                waits = []
+            else:
+                waits = ([] if new_gram.any() else waits) + at(np.flatnonzero(lead & (group == group[-1])))
             seen = int(contexts[group[-1]])
-            gram0, full0, doc0, spot0 = int(gram[-1]), int(full[-1]), int(first_doc[-1]), int(first_spot[-1])
-        doc, spot = np.concatenate(cover_doc), np.concatenate(cover_spot)
+            gram0, full0, doc0, spot0, row0 = int(gram[-1]), int(full[-1]), int(first_doc[-1]), int(first_spot[-1]), int(row[-1])
+        doc, spot, row = np.concatenate(cover_doc), np.concatenate(cover_spot), np.concatenate(cover_row)
         if len(doc) or open_rows:
-            more = np.array(open_rows, np.int64).reshape(-1, 3)
+            more = np.array(open_rows, np.int64).reshape(-1, 4)
             yield pd.DataFrame(
                 {
                     "gram": np.append(np.zeros(len(doc), np.int64), more[:, 0]),
                     "doc": np.append(doc, more[:, 1]),
                     "spot": np.append(spot, more[:, 2]),
+                    "row": np.append(row, more[:, 3]),
                     "open": np.append(np.zeros(len(doc), bool), np.ones(len(more), bool)),
                 }
             )
@@ -253,19 +257,18 @@ def maximal_repeats(rows: list[tuple], rights: list[bytes], lefts: list[bytes],
             k = j
 
 
-COVERS = "doc long, start long, stop long, key long, gram long"
+COVERS = "doc long, start long, stop long, key long, gram long, row long"
 
 
-def _cover(doc, start, stop, key=None, gram=None) -> pd.DataFrame:
-    n = len(doc)
-    z = np.zeros(n, np.int64)
-    return pd.DataFrame({"doc": np.array(doc, np.int64), "start": np.array(start, np.int64), "stop": np.array(stop, np.int64), "key": z if key is None else np.array(key, np.int64), "gram": z if gram is None else np.array(gram, np.int64)})
+def _cover(doc, start, stop, key, gram, row) -> pd.DataFrame:
+    return pd.DataFrame({n: np.array(x, np.int64) for n, x in zip(("doc", "start", "stop", "key", "gram", "row"), (doc, start, stop, key, gram, row))})
 
 
 def _windows(held: list[tuple], gram: int, out: list[tuple]) -> None:
     """A part of a frequent gram: windows met before in the part are covered, each other one goes on by its hash."""
     first: dict[int, tuple[int, int]] = {}
-    for doc, at, left, context in held:
+    sent: set[tuple[int, int]] = set()  # of the texts that have a window at its first place
+    for doc, at, left, context, row in held:
         run = None
         for k in range(len(context) - WIDTH + 1):
             key, place = xxhash.xxh64_intdigest(context[k : k + WIDTH], 9) | 1, (doc, at - left + k)
@@ -273,13 +276,14 @@ def _windows(held: list[tuple], gram: int, out: list[tuple]) -> None:
                 run = k if run is None else run
                 continue
             if run is not None:
-                out.append((doc, at - left + run, at - left + k - 1 + WIDTH, 0, 0))
+                out.append((doc, at - left + run, at - left + k - 1 + WIDTH, 0, 0, row))
                 run = None
-            if first.get(key) != place:  # else met through another anchor of the same window
+            if first.get(key) != place or (key, row) not in sent:  # else met through another anchor of the same window
                 first[key] = place
-                out.append((*place, place[1] + WIDTH, key - (1 << 64) if key >> 63 else key, gram))
+                sent.add((key, row))
+                out.append((*place, place[1] + WIDTH, key - (1 << 64) if key >> 63 else key, gram, row))
         if run is not None:
-            out.append((doc, at - left + run, at - left + len(context), 0, 0))
+            out.append((doc, at - left + run, at - left + len(context), 0, 0, row))
 
 
 def _tree(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,19 +294,19 @@ def _tree(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if now is not None and now[2]:
             _windows(held, now[0], out)
         elif len(held) > 1:
-            rights, lefts = [c[x:] for _, _, x, c in held], [c[:x][::-1] for _, _, x, c in held]
+            rights, lefts = [c[x:] for _, _, x, c, _ in held], [c[:x][::-1] for _, _, x, c, _ in held]
             for depth, run, best in maximal_repeats([h[:2] for h in held], rights, lefts):
                 for i, left in zip(run, best):
                     if left >= 0 and left + depth >= WIDTH:
-                        out.append((held[i][0], held[i][1] - left, held[i][1] + depth, 0, 0))
+                        out.append((held[i][0], held[i][1] - left, held[i][1] + depth, 0, 0, held[i][4]))
 
     for part in parts:
-        rows = zip(part["gram"].tolist(), part["part"].tolist(), part["frequent"].tolist(), part["doc"].tolist(), part["spot"].tolist(), part["context"])
-        for g, share, frequent, doc, spot, context in rows:
+        rows = zip(part["gram"].tolist(), part["part"].tolist(), part["frequent"].tolist(), part["doc"].tolist(), part["spot"].tolist(), part["context"], part["row"].tolist() if "row" in part else [0] * len(part))
+        for g, share, frequent, doc, spot, context, row in rows:
             if (g, share, frequent) != now:
                 close()
                 now, held = (g, share, frequent), []
-            held.append((doc, spot >> 16, spot >> 8 & 255, context))
+            held.append((doc, spot >> 16, spot >> 8 & 255, context, row))
         if out:
             yield _cover(*zip(*out))
             out.clear()
@@ -312,40 +316,50 @@ def _tree(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(raw, wanted: [(gram, spot, part, frequent)], doc) -> one row a wanted anchor with the bytes of its context."""
+    """(raw, wanted: [(gram, spot, part, frequent)], doc, row) -> one row a wanted anchor with the bytes of its context."""
     for part in parts:
         rows = []
-        for doc, raw, wanted in zip(part["doc"].tolist(), part["raw"], part["wanted"]):
+        for doc, row, raw, wanted in zip(part["doc"].tolist(), part["row"].tolist(), part["raw"], part["wanted"]):
             for w in wanted:
                 g, s = w["gram"], w["spot"]
                 at = s >> 16
-                rows.append((g, w["part"], w["frequent"], doc, s, bytes(raw[at - (s >> 8 & 255) : at + (s & 255)])))
+                rows.append((g, w["part"], w["frequent"], doc, s, bytes(raw[at - (s >> 8 & 255) : at + (s & 255)]), row))
         if rows:
-            yield pd.DataFrame(rows, columns=["gram", "part", "frequent", "doc", "spot", "context"])
+            yield pd.DataFrame(rows, columns=["gram", "part", "frequent", "doc", "spot", "context", "row"])
 
 
-def covers(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc, start, stop): byte spans that together are exactly what an earlier start repeats. doc: doc_id, null as the least long."""
-    raw = small_batches(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, doc (doc_id, null as the least long), row, raw (the text's bytes). row tells the texts of one doc apart: their hash,
+    or 0 where a doc has one text only."""
+    raw = small_batches(docs).select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    texts = raw.groupBy("doc").agg(F.min(F.xxhash64("raw")).alias("low"), F.max(F.xxhash64("raw")).alias("high"))
+    several = written(few_files(texts.where("low <> high").select(F.col("doc").alias("_doc"))), "several")
+    raw = raw.join(several, F.col("doc") == F.col("_doc"), "left")
+    return raw.select("doc_id", "doc", F.when(F.col("_doc").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("raw")).alias("row"), "raw")
+
+
+def covers(raw: DataFrame) -> DataFrame:
+    """(doc, row, start, stop): byte spans that together are exactly what an earlier start repeats, from the rows of keyed()."""
+    raw = raw.select("doc", "row", "raw")
     marks = raw.where(F.length("raw") >= WIDTH).mapInPandas(_emit, ANCHORS)
     dealt = F.when(F.col("done"), F.xxhash64("doc", "spot")).otherwise(F.col("gram"))  # what a batch has settled can go anywhere
-    sorted_marks = marks.withColumn("deal", dealt).repartition("deal").drop("deal").sortWithinPartitions("gram", "full", "doc", "spot")
+    sorted_marks = marks.withColumn("deal", dealt).repartition("deal").drop("deal").sortWithinPartitions("gram", "full", "doc", "spot", "row")
     found = written(sorted_marks.mapInPandas(_settle, FOUND), "anchors")
     whole = found.where("not open").select(
-        "doc", (F.shiftright("spot", 16) - F.shiftright("spot", 8).bitwiseAND(255)).alias("start"), (F.shiftright("spot", 16) + F.col("spot").bitwiseAND(255)).alias("stop")
+        "doc", "row", (F.shiftright("spot", 16) - F.shiftright("spot", 8).bitwiseAND(255)).alias("start"), (F.shiftright("spot", 16) + F.col("spot").bitwiseAND(255)).alias("stop")
     )
     many = found.where("open").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select(F.col("gram").alias("_g"), F.ceil(F.col("n") / MANY).alias("parts"))
     opened = found.where("open").join(many, F.col("gram") == F.col("_g"), "left")
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "spot"), F.col("parts"))).cast("int")
-    opened = opened.select("doc", F.struct("gram", "spot", part.alias("part"), F.col("parts").isNotNull().alias("frequent")).alias("w"))
-    wanted = opened.groupBy("doc").agg(F.collect_set("w").alias("wanted"))
-    contexts = raw.join(wanted.hint("shuffle_hash"), "doc").mapInPandas(_contexts, "gram long, part int, frequent boolean, doc long, spot long, context binary")
+    opened = opened.select("doc", "row", F.struct("gram", "spot", part.alias("part"), F.col("parts").isNotNull().alias("frequent")).alias("w"))
+    wanted = opened.groupBy("doc", "row").agg(F.collect_set("w").alias("wanted"))
+    contexts = raw.join(wanted.hint("shuffle_hash"), ["doc", "row"]).mapInPandas(_contexts, "gram long, part int, frequent boolean, doc long, spot long, context binary, row long")
     near = contexts.repartition("gram", "part").sortWithinPartitions("gram", "part", "doc", "spot")
     deeper = written(near.mapInPandas(_tree, COVERS), "covers")
     windows = deeper.where("key <> 0").withColumn("place", F.struct("doc", "start"))
     first = windows.groupBy("gram", "key").agg(F.min("place").alias("first"))
     later = windows.join(first, ["gram", "key"]).where("place <> first")
-    return whole.unionByName(deeper.where("key = 0").select("doc", "start", "stop")).unionByName(later.select("doc", "start", "stop"))
+    return whole.unionByName(deeper.where("key = 0").select("doc", "row", "start", "stop")).unionByName(later.select("doc", "row", "start", "stop"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -361,8 +375,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs(doc_id, text) with kept (the remaining bytes), n_bytes, n_removed, n_spans; texts are shuffled by doc_id."""
-    spans = covers(docs, text).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    raw = small_batches(docs).select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    raw = keyed(docs, text)
+    spans = covers(raw).groupBy("doc", "row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     @pandas_udf("kept binary, n_removed long, n_spans long")
     def cut(raws: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -373,7 +387,7 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
             rows.append((b"".join(r[a:b] for a, b in zip(edge[::2], edge[1::2])), sum(b - a for a, b in runs), len(runs)))
         return pd.DataFrame(rows, columns=["kept", "n_removed", "n_spans"])
 
-    both = raw.join(spans.hint("shuffle_hash"), "doc", "left").withColumn("cut", cut.asNondeterministic()("raw", "spans"))
+    both = raw.join(spans.hint("shuffle_hash"), ["doc", "row"], "left").withColumn("cut", cut.asNondeterministic()("raw", "spans"))
     return both.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.col("cut.n_removed").alias("n_removed"), F.col("cut.n_spans").alias("n_spans"), F.col("cut.kept").alias("kept"))
 
 

@@ -107,3 +107,18 @@ def test_repeated_rows_nulls_and_empty(spark):
     got = sorted((str(r.doc_id), r.n_removed, r.n_spans) for r in repeats.digests(df).collect())
     assert got == [("1", 400, 1), ("1", 400, 1), ("2", 800, 1), ("None", 0, 0)]
     assert repeats.digests(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("many", [4096, 6])
+def test_texts_of_one_id_or_none_equal_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(repeats, "MANY", many)
+    rng = random.Random(9)
+    say = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    passages = [say(180) for _ in range(4)]
+    texts = [rng.choice(["", say(40), say(200)]) + rng.choice(passages)[rng.choice([0, 0, 30]) :] + say(120) for _ in range(60)]
+    rows = [(rng.choice([None, None, 7, i]), t, str(i)) for i, t in enumerate(texts)]
+    rows += [(None, rows[0][1], "60"), (7, rows[1][1], "61")]
+    want = plain([r[:2] for r in rows])
+    got = repeats.digests(spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(3)).collect()
+    as_text = lambda d, v: (str(d), *v)
+    assert sorted(as_text(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == sorted(as_text(rows[k][0], v) for k, v in want.items())
