@@ -1,32 +1,34 @@
 r"""Mixing sources to target weights by entropy balancing.
 
-A document's rate is its tilt r = prior * exp(a + b * size / mean size of its source), at most `cap`: the rates
-closest in entropy to the prior under two constraints a source, the words of the mix (the source's target) and
-its documents (which keep the source's mean length, so long texts are not favoured). The convex dual in (a, b) is
-solved by Newton steps for all sources at once. Each step sums gradient and Hessian over the distribution of sizes
-within each source (source, size, prior -> count), which is exact and far smaller than the documents; sources stay rows
-of a table throughout.
-
-Rates become copies by systematic rounding: within a source, cells of equal size are laid out by size, the running
-sum of rates is rounded at each cell's end, and the copies of a cell go to its documents by a hash of doc_id. The
-words taken then differ from the target by about one document's size. Cells are cut to about CELL documents by
-that hash, so a size or source that a third of all rows share is spread over many groups.
+A document's rate is its tilt r = min(cap, prior * exp(b * z)), z = size / mean size of its source: the rates in [0, cap] closest
+in entropy to the prior under one constraint a source, the words of the mix (the source's target). The convex dual, one b a
+source, is solved for all sources at once by Newton steps on the logarithm of the words, held inside a bracket: a step that
+would leave it, or does not halve the error, halves the bracket instead (doubles its open side). Each step sums words and
+curvature over the distribution of sizes within each source (source, size, prior -> count), which is exact and far smaller than
+the documents; sources stay rows of a table throughout. A source that does not get within NEAR of a target below its cap is an error.
+
+Rates become copies from long to short: each cell of equal documents takes as many copies as bring the words taken so far
+nearest to the sum of rates so far, so shorter documents make up for what longer ones missed, and a source ends about half its
+shortest documents from its target. A cell's copies go to its documents by a hash of doc_id. Cells are cut to about CELL
+documents by that hash, so a size or source that a third of all rows share is spread over many groups.
 
 Defined cases: null text has size 0; null source is a source of its own and comes last; documents of size 0 take
 0 words; a source without words has target 0; equal rows with equal doc_id are rounded one by one; null doc_id
-takes part like any other; an empty table gives an empty table; other columns pass through `mix` untouched.
+takes part like any other; a prior of null or below 0 counts as 0; an empty table gives an empty table; other columns pass
+through `mix` untouched.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import WORD, discard, free, written
 
 #: Weights of the sources in code-point order, repeating; words of the mix over words given; most copies of a document.
-WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
-CELL, STEPS, NEAR = 1024, 60, 1e-10
+WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
+CELL, STEPS, NEAR = 1024, 80, 1e-9
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -34,22 +36,31 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
 
 
+def _ranked(names: DataFrame) -> DataFrame:
+    """names (source) with place, its number in code-point order from 0, null last; numbers are counted in each range, then added up."""
+    ranges = written(names.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_range", F.spark_partition_id()), "names")
+    inside = Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last())
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    starts = ranges.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return ranges.withColumn("_k", F.row_number().over(inside)).join(starts, "_range").select("source", (F.col("_k") - 1 + F.col("_first")).alias("place"))
+
+
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """totals (source, source_size, ...) with target: shares by weight, none above cap times its source's size.
 
-    The level L with sum(min(cap * size, L * weight)) = share * all is the largest of the levels that are left
-    when the sources of the smallest cap per weight are filled one after another. One row a source.
+    The excess of sources that reach the cap is shared again among the others until none is above. One row a source.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    t = totals.withColumn("_w", w).withColumn("_most", F.col("source_size") * F.lit(float(cap)))
-    order = Window.orderBy(F.col("_most") / F.col("_w"), F.col("source").asc_nulls_last())
-    upto, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
-    spent, used = F.coalesce(F.sum("_most").over(upto), F.lit(0.0)), F.coalesce(F.sum("_w").over(upto), F.lit(0.0))
-    want = F.sum("source_size").over(every) * F.lit(float(min(share, cap)))
-    t = t.withColumn("_level", (want - spent) / (F.sum("_w").over(every) - used))
-    t = t.withColumn("target", F.least("_most", F.max("_level").over(every) * F.col("_w")))
-    return t.drop("_w", "_most", "_level")
+    w = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))
+    t = _same_source(totals, _ranked(totals.select("source"))).withColumns({"_w": w, "_most": F.col("source_size") * F.lit(float(cap))})
+    t = written(t.drop("place"), "weighed")
+    want, level = (t.agg(F.sum("source_size")).first()[0] or 0) * min(share, cap), 0.0
+    while True:  # the level rises from round to round, and each round but the last adds a source to those at the cap
+        full = F.col("_most") <= F.lit(level) * F.col("_w")
+        spent, weight = t.agg(F.sum(F.when(full, F.col("_most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("_w")))).first()
+        before, level = level, (want - spent) / weight if weight else level
+        if level <= before:
+            break
+    return t.withColumn("target", F.least("_most", F.lit(before) * F.col("_w"))).drop("_w", "_most")
 
 
 def _same_source(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
@@ -59,83 +70,92 @@ def _same_source(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def _tilt(cap: float):
-    return F.least(F.lit(float(cap)), F.col("prior") * F.exp(F.col("a") + F.col("b") * F.col("z")))
+    return F.least(F.lit(float(cap)), F.col("prior") * F.exp(F.col("b") * F.col("z")))
+
+
+def _exact(x):
+    """The sum of x, the same in any order of rows."""
+    return F.sum(x.cast("decimal(38,12)")).cast("double")
 
 
 def solve(cells: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
-    """Dual variables (source, a, b) by damped Newton steps on all sources at once.
+    """Dual variables (source, b) by bracketed Newton steps on all sources at once.
 
-    cells: source, size, prior, n. goals: source, source_size, n_docs, target. Stops when every source's words are
-    within NEAR of its target, relatively, or when a step changes nothing (a target at the cap).
+    cells: source, size, prior, n. goals: source, source_size, n_docs, target. Sources whose target is at the cap, or 0, are left out.
     """
-    goals = goals.where("source_size > 0").withColumn("mean", F.col("source_size") / F.col("n_docs"))
-    goals = goals.select("source", "mean", "target", (F.col("target") / F.col("mean")).alias("docs"))
-    base = written(_same_source(cells, goals).withColumn("z", F.col("size") / F.col("mean")).select("source", "z", "prior", "n", "docs"), "cells")
-    state = written(base.select("source").distinct().withColumns({"a": F.lit(0.0), "b": F.lit(0.0)}), "dual")
+    goals = goals.where((F.col("target") > 0) & (F.col("target") < F.col("source_size") * cap))
+    goals = goals.withColumn("mean", F.col("source_size") / F.col("n_docs")).select("source", "mean", (F.col("target") / F.col("mean")).alias("docs"))
+    base = _same_source(cells.where("size > 0 and prior > 0"), goals).withColumn("z", F.col("size") / F.col("mean"))
+    base = written(base.select("source", "z", "prior", "n", "docs"), "cells")
+    none = F.lit(None).cast("double")
+    state = written(base.select("source").distinct().withColumns({"b": F.lit(0.0), "low": none, "high": none, "err": none}), "dual")
+    worst = None
     for _ in range(STEPS):
         r = _tilt(cap)
-        free = F.when(r < cap, F.col("n") * r).otherwise(0.0)
-        sums = _same_source(base, state).groupBy("source", "a", "b", "docs").agg(
-            (F.sum(F.col("n") * r * F.col("z")) - F.col("docs")).alias("g1"),
-            (F.sum(F.col("n") * r) - F.col("docs")).alias("g2"),
-            F.sum(free * F.col("z") * F.col("z")).alias("h11"),
-            F.sum(free * F.col("z")).alias("h12"),
-            F.sum(free).alias("h22"),
-        )
-        det = F.col("h11") * F.col("h22") - F.col("h12") * F.col("h12")
-        full = det > 1e-9 * F.col("h11") * F.col("h22")
-        db = F.when(full, (F.col("h22") * F.col("g1") - F.col("h12") * F.col("g2")) / det).otherwise(0.0)
-        da = F.when(full, (F.col("h11") * F.col("g2") - F.col("h12") * F.col("g1")) / det).when(F.col("h22") > 0, F.col("g2") / F.col("h22")).otherwise(0.0)
-        bounded = lambda x: F.greatest(F.lit(-2.0), F.least(F.lit(2.0), x))
-        step = sums.select("source", "g1", "docs", "a", "b", bounded(da).alias("da"), bounded(db).alias("db"))
-        after = written(
-            step.select(
-                "source",
-                (F.col("a") - F.col("da")).alias("a"),
-                (F.col("b") - F.col("db")).alias("b"),
-                (F.abs("g1") / F.greatest("docs", F.lit(1e-12))).alias("off"),
-                (F.abs("da") + F.abs("db")).alias("moved"),
-            ),
-            "dual",
+        sums = _same_source(base, state).groupBy("source", "b", "low", "high", "err", "docs").agg(
+            _exact(F.col("n") * r * F.col("z")).alias("words"), _exact(F.when(r < cap, F.col("n") * r * F.col("z") * F.col("z")).otherwise(0.0)).alias("curve")
         )
+        off = F.log(F.col("words") / F.col("docs"))
+        sums = sums.withColumns({"off": F.coalesce(off, F.lit(-1e9)), "was": F.col("err")})
+        sums = sums.withColumns({"low": F.when(F.col("off") < 0, F.col("b")).otherwise(F.col("low")), "high": F.when(F.col("off") > 0, F.col("b")).otherwise(F.col("high"))})
+        newton = F.when(F.col("curve") > 0, F.col("b") - F.col("off") * F.col("words") / F.col("curve"))
+        inside = (newton > F.coalesce("low", F.lit(-1e300))) & (newton < F.coalesce("high", F.lit(1e300)))
+        better = F.col("was").isNull() | (F.abs("off") < 0.5 * F.col("was"))
+        halved = F.when(F.col("low").isNull(), 2 * F.col("high") - 1).when(F.col("high").isNull(), 2 * F.col("low") + 1).otherwise((F.col("low") + F.col("high")) / 2)
+        step = F.when(F.col("off") == 0, F.col("b")).when(F.coalesce(inside & better, F.lit(False)), newton).otherwise(halved)
+        reached, stuck = F.abs("off") < NEAR, (F.col("curve") == 0) & (F.col("off") < -NEAR)  # every document is at the cap
+        after = written(sums.select("source", F.when(reached, F.col("b")).otherwise(step).alias("b"), "low", "high", F.abs("off").alias("err"), stuck.alias("stuck")), "dual")
         discard(state)
-        state = after.drop("off", "moved")
-        state._lodestone_path = after._lodestone_path
-        worst = after.agg(F.max(F.least("off", "moved"))).first()[0]
+        state = after
+        worst, hopeless = after.agg(F.max("err"), F.max("stuck")).first()
         if worst is None or worst < NEAR:
+            return state.select("source", "b")
+        if hopeless:
             break
-    return state
+    raise RuntimeError(f"entropy balancing did not settle: a source's words are off by a factor of exp({worst})")
+
 
+def _copies(cells: pd.DataFrame, cap: int) -> pd.DataFrame:
+    """The cells of one source with all_, the copies each takes, from long to short documents."""
+    cells = cells.sort_values(["size", "prior"], ascending=[False, True], kind="stable")
+    wanted = taken = 0.0
+    out = []
+    for size, n, rate in zip(cells["size"].tolist(), cells["n"].tolist(), cells["rate"].tolist()):
+        wanted += size * n * rate
+        times = min(max(int((wanted - taken) / size + 0.5), 0), cap * n) if size else round(n * rate)
+        taken += times * size
+        out.append(times)
+    return cells.assign(all_=out)[["source", "size", "prior", "n", "all_"]]
 
-def copies(docs: DataFrame, key: str = "doc_id", prior: str | None = None, cap: float = CAP, ties: tuple[str, ...] = (), **aims) -> DataFrame:
+
+def copies(docs: DataFrame, key: str = "doc_id", prior: str | None = None, cap: int = CAP, ties: tuple[str, ...] = (), **aims) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the row). ties: columns that order rows of one key."""
-    docs = docs.withColumn("_prior", F.col(prior).cast("double") if prior else F.lit(1.0))
+    weight = F.when(F.col(prior).cast("double") > 0, F.col(prior).cast("double")).otherwise(0.0) if prior else F.lit(1.0)
+    docs = docs.withColumn("_prior", weight)
     cells = written(docs.groupBy("source", "size", F.col("_prior").alias("prior")).agg(F.count("*").alias("n")), "sizes")
     totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     goals = written(targets(totals, cap=cap, **aims), "goals")
-    dual = solve(cells, goals, cap)
-    known = _same_source(_same_source(cells, goals), dual, "left").withColumn("z", F.col("size") * F.col("n_docs") / F.col("source_size"))
-    rate = F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("target") >= F.col("source_size") * cap, F.lit(float(cap))).otherwise(F.round(_tilt(cap), 9))
-    rated = known.select("source", "size", "prior", "source_size", "target", F.coalesce(rate, F.lit(0.0)).alias("rate"), F.ceil(F.col("n") / CELL).cast("long").alias("parts"))
-    rated = written(rated.withColumnsRenamed({"source": "_s", "size": "_z", "prior": "_p"}), "rates")
+    known = _same_source(_same_source(cells, goals), solve(cells, goals, cap), "left").withColumn("z", F.col("size") * F.col("n_docs") / F.col("source_size"))
+    rate = F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("target") >= F.col("source_size") * cap, F.lit(float(cap))).otherwise(F.coalesce(_tilt(cap), F.lit(0.0)))
+    rated = known.select("source", "size", "prior", "n", rate.alias("rate"))
+    shares = rated.groupBy("source").applyInPandas(lambda own: _copies(own, int(cap)), "source string, size long, prior double, n long, all_ long")
+    shares = _same_source(shares, goals.select("source", "source_size", "target"))
+    shares = written(shares.withColumn("parts", F.ceil(F.col("n") / CELL)).withColumnsRenamed({"source": "_s", "size": "_z", "prior": "_p"}), "shares")
     spread = F.xxhash64(key, F.lit("cell"))
-    placed = docs.join(rated, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & F.col("_prior").eqNullSafe(F.col("_p")))
-    placed = placed.withColumn("_part", F.pmod(spread, F.col("parts"))).drop("_s", "_z", "_p", "parts")
+    cell = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & F.col("_prior").eqNullSafe(F.col("_p"))
+    placed = docs.join(shares, cell).withColumn("_part", F.pmod(spread, F.col("parts"))).drop("_s", "_z", "_p", "parts")
     inside = Window.partitionBy("source", "size", "_prior", "_part")
     placed = placed.withColumn("_k", F.row_number().over(inside.orderBy(F.xxhash64(key, F.lit("round")), key, *ties)))
-    counts = placed.groupBy("source", "size", "_prior", "_part", "rate").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("source").orderBy("size", "_prior", "_part").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("n") * F.col("rate")).over(order)
-    whole = F.floor(end + 0.5) - F.floor(end - F.col("n") * F.col("rate") + 0.5)
+    counts = placed.groupBy("source", "size", "_prior", "_part", "n", "all_").agg(F.count("*").alias("_own"))
+    order = Window.partitionBy("source", "size", "_prior").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum("_own").over(order)
+    upto = lambda x: F.floor(x.cast("decimal(20,0)") * F.col("all_") / F.col("n"))
     shares = counts.select(
-        F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_prior").alias("_p"), F.col("_part").alias("_q"), "n", whole.alias("_all")
-    )
-    out = placed.join(
-        shares,
-        F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & F.col("_prior").eqNullSafe(F.col("_p")) & (F.col("_part") == F.col("_q")),
+        F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_prior").alias("_p"), F.col("_part").alias("_q"), "_own", (upto(end) - upto(end - F.col("_own"))).cast("long").alias("_all")
     )
-    each = F.floor(F.col("_all") / F.col("n")) + F.when(F.col("_k") <= F.col("_all") % F.col("n"), 1).otherwise(0)
-    return out.withColumn("copies", F.least(each, F.lit(int(cap))).cast("long")).drop("_prior", "_part", "_k", "_s", "_z", "_p", "_q", "n", "_all", "rate")
+    out = placed.join(shares, cell & (F.col("_part") == F.col("_q")))
+    each = F.floor(F.col("_all") / F.col("_own")) + F.when(F.col("_k") <= F.col("_all") % F.col("_own"), 1).otherwise(0)
+    return out.withColumn("copies", F.least(each, F.lit(int(cap))).cast("long")).drop("_prior", "_part", "_k", "_s", "_z", "_p", "_q", "n", "all_", "_own", "_all")
 
 
 def digests(docs: DataFrame) -> DataFrame:
