@@ -1,14 +1,17 @@
 r"""Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Seeds are the matches of four fixed patterns (email, ip, card, phone). The words around every seed induce lexical patterns:
-the two words before it, and the word before with the word after. Every other token with a digit or an @ is a candidate, and
-what stands around it are patterns too. Patterns and values form a bipartite graph, which is scored in rounds:
+Seeds are the matches of four fixed patterns (email, ip, card, phone), which are spans of their own, and tokens in a form in which
+keys and secrets are written (SECRET). What stands around every seed induces lexical patterns: the two words before it, the
+word before with the word after, and the last word before with the signs between (`token = "`). Every other token with a digit or
+an @ is a candidate, and what stands around it are patterns too. Patterns and values form a bipartite graph, scored in rounds:
 
-    confidence(pattern) = sum of its values' scores / (its distinct values + 1), 0 below SUPPORT or CONFIDENT
-    score(value)        = 1 for a seed, else 1 - product over its patterns of (1 - confidence)
+    confidence(pattern) = sum of its values' trust / (its distinct values + 1), 0 below SUPPORT or CONFIDENT
+    score(value)        = 1 - product over its patterns of (1 - confidence)
+    trust(value)        = 1 for a seed, else its score
 
 so a value that a trusted context has named lends trust to its other contexts in the next round. Values that score
 CONFIDENT or more and have the shape of an identifier (SHAPE) are found: all their occurrences become spans of kind `id`.
+A SECRET token is found like any other: its form alone doesn't make it a span, a trusted context must name it.
 
 Texts are cut once by each pattern, in the scan; only matches with WINDOW characters of the whole text on either side, other
 matches among them, are shuffled. Rounds go on until the written scores, looked at every ROUNDS rounds, no longer rise.
@@ -38,6 +41,10 @@ TOKEN = r"(?<![\p{L}\p{N}@._%+/-])[\p{L}._%+/-]*+[\p{N}@][\p{L}\p{N}@._%+/-]*+"
 REGEX = (EMAIL, IP, CARD, PHONE, TOKEN)
 
 WINDOW, SUPPORT, CONFIDENT, ROUNDS = 80, 3.0, 0.7, 4
+#: Forms of keys and secrets. 128 bits or more in hexadecimal; prefixes that issuers of access tokens use.
+SECRET = r"^(?:(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}|akia[0-9a-z]{16}|gh[opsu]_[0-9a-z]{36}|xox[abp]-[0-9a-z-]{10,}|[sr]k_live_[0-9a-z]{16,})$"
+#: The last word and the signs after it, one at least.
+LABEL = r"(\p{L}[\p{L}\p{N}]*+[^\p{L}\p{N}]*[^\p{L}\p{N}\s][^\p{L}\p{N}]*)$"
 #: What a found value looks like: six characters or more, with four digits or an @ among them.
 SHAPE = r"^(?=.{6,})(?:(?:[^0-9]*[0-9]){4}|[^@]+@)"
 
@@ -128,26 +135,28 @@ def patterns(before: Column, after: Column) -> Column:
     plain = lambda c: F.translate(F.lower(c), "123456789", "000000000")
     left, right = F.regexp_extract_all(plain(before), F.lit(WORD), F.lit(0)), F.regexp_extract_all(plain(after), F.lit(WORD), F.lit(0))
     one, two, next_ = F.try_element_at(left, F.lit(-1)), F.try_element_at(left, F.lit(-2)), F.try_element_at(right, F.lit(1))
-    return F.array_compact(F.array(F.concat(two, F.lit(" "), one, F.lit(" _")), F.concat(one, F.lit(" _ "), next_)))
+    label = F.regexp_replace(F.nullif(F.regexp_extract(plain(before), LABEL, 1), F.lit("")), r"\s+", " ")
+    return F.array_compact(F.array(F.concat(two, F.lit(" "), one, F.lit(" _")), F.concat(one, F.lit(" _ "), next_), F.concat(label, F.lit("_"))))
 
 
 def scores(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, score) of every value that is not a seed and scores more than 0, by rounds over the pattern-instance graph.
+    """(value, score) of every value that is not a span of its own and scores more than 0, by rounds over the pattern-instance graph.
 
     Scores never fall from round to round; they are written every `rounds` rounds, until their sum no longer rises.
     """
-    seen = spans.select(F.explode(patterns(F.col("before"), F.col("after"))).alias("pattern"), F.lower("value").alias("value"), (F.col("kind") < 4).alias("seed"))
-    edges = written(few_files(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))), "edges")
+    value, base = F.lower("value"), F.col("kind") < 4
+    seen = spans.select(F.explode(patterns(F.col("before"), F.col("after"))).alias("pattern"), value.alias("value"), base.alias("base"), (base | value.rlike(SECRET)).alias("seed"))
+    edges = written(few_files(seen.groupBy("pattern", "value").agg(F.max("base").alias("base"), F.max("seed").alias("seed"))), "edges")
     state, total = None, 0
     while True:
         before = state
         for _ in range(rounds):
             known = F.when(F.col("seed"), 1.0)
             scored = edges.withColumn("s", known.otherwise(0.0)) if state is None else edges.join(state, "value", "left").withColumn("s", known.otherwise(F.coalesce("score", F.lit(0.0))))
-            sums = scored.groupBy("pattern").agg(F.round(F.sum("s"), 6).alias("mass"), F.count("*").alias("n"), F.count_if(~F.col("seed")).alias("open"))
+            sums = scored.groupBy("pattern").agg(F.round(F.sum("s"), 6).alias("mass"), F.count("*").alias("n"), F.count_if(~F.col("base")).alias("open"))
             trusted = sums.where((F.col("open") > 0) & (F.col("mass") >= SUPPORT) & (F.col("mass") / (F.col("n") + 1) >= CONFIDENT))
             trusted = trusted.select("pattern", F.log1p(-F.col("mass") / (F.col("n") + 1)).alias("doubt"))
-            state = edges.where(~F.col("seed")).join(trusted, "pattern").groupBy("value").agg(F.round(1 - F.exp(F.sum("doubt")), 6).alias("score"))
+            state = edges.where(~F.col("base")).join(trusted, "pattern").groupBy("value").agg(F.round(1 - F.exp(F.sum("doubt")), 6).alias("score"))
         state = written(few_files(state), "scores")
         now = state.agg(F.sum(F.col("score").cast("decimal(20,6)"))).first()[0] or 0
         if now <= total:
@@ -161,7 +170,7 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> tuple[DataFram
     """The rows of docs (written once: columns `keep` and a row number), that column's name, the spans (row, kind, start, end, value)."""
     whole, row, cut = (free(c, docs) for c in ("_pii_text", "_pii_row", "_pii_cut"))
     rows = written(_cut(docs.select(*[F.col(f"`{c}`") for c in keep], whole_text(text).alias(whole)), whole, row, cut).drop(whole), "cut")
-    spans = written(few_files(_placed(rows, row, cut)), "spans")
+    spans = written(_placed(rows, row, cut), "spans")
     named = scores(spans).where((F.col("score") >= CONFIDENT) & F.col("value").rlike(SHAPE)).select(F.col("value").alias("_named"))
     more = spans.where("kind = 4").join(named, F.lower("value") == F.col("_named"), "left_semi")
     return rows.drop(cut), row, spans.where("kind < 4").unionByName(more).select("row", "kind", "start", "end", "value")
@@ -173,7 +182,7 @@ def _joined(spans: Column) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id, n_spans (all of them) of every document."""
     rows, row, spans = find(docs, ["doc_id"])
     each = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("all"))
     whole = rows.join(each, F.col(row) == F.col("row"), "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))
@@ -184,6 +193,7 @@ def digests(docs: DataFrame) -> DataFrame:
         F.sha2(_joined(F.filter("all", lambda s: s["kind"] < 4)), 256).alias("base_sha256"),
         _joined(F.col("all")).alias("spans"),
         n(4).alias("n_id"),
+        F.size("all").cast("long").alias("n_spans"),
     )
 
 

@@ -54,8 +54,11 @@ def bootstrapped(rows):
         for a, b, seed in found:
             left, right = words(t[max(0, a - 80) : a]), words(t[b : b + 80])
             pats = ([f"{left[-2]} {left[-1]} _"] if len(left) > 1 else []) + ([f"{left[-1]} _ {right[0]}"] if left and right else [])
+            label = re.search(r"([^\W\d_][^\W_]*(?:[\W_]*[^\w\s]|[\W_]*_)[\W_]*)$", re.sub("[1-9]", "0", t[max(0, a - 80) : a].lower()))
+            pats += [re.sub(r"\s+", " ", label[1]) + "_"] if label else []
             occ += [(p, t[a:b].lower(), seed) for p in pats]
-    edges, seeds = {(p, v) for p, v, _ in occ}, {v for _, v, s in occ if s}
+    edges, own = {(p, v) for p, v, _ in occ}, {v for _, v, s in occ if s}
+    seeds = own | {v for _, v in edges if re.search(pii.SECRET, v)}
     score = {}
     for _ in range(pii.ROUNDS):
         conf = {}
@@ -66,7 +69,7 @@ def bootstrapped(rows):
                 conf[p] = mass / (len(vs) + 1)
         score = {}
         for p, v in edges:
-            if v not in seeds and p in conf:
+            if v not in own and p in conf:
                 score[v] = 1 - (1 - score.get(v, 0.0)) * (1 - conf[p])
     return {v for v, s in score.items() if s >= pii.CONFIDENT and re.search(pii.SHAPE, v)}
 
@@ -89,6 +92,26 @@ def test_trusted_contexts_find_unseen_values(spark, letters):
     assert got[20].spans == "id:17:27" and got[70].spans == "" and got[50].n_id == 0
 
 
+def test_contexts_of_secrets_find_secrets_of_other_forms(spark):
+    rng = random.Random(8)
+    digest = lambda n: "a1" + "".join(rng.choices("0123456789abcdef", k=n - 2))
+    rows = [(i, f'w{"xyz"[i % 3]} token = "{digest(40)}" and so on') for i in range(8)]
+    rows += [(10, 'other token = "hunter-20777" here'), (11, f"TOKEN = \"{digest(40).upper()}\"!!"), (12, f"a lone digest {digest(40)} of a file"), (13, "nothing of 12345678 here")]
+    want = bootstrapped(rows)
+    got = {r.doc_id: r for r in pii.digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert "hunter-20777" in want and len(want) == 10
+    assert all(got[i].n_id == got[i].n_spans == 1 for i in range(8)) and got[10].spans == "id:15:27" and got[11].n_id == 1
+    assert got[12].spans == got[13].spans == ""
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert clean[10] == 'other token = "[ID]" here' and clean[11] == 'TOKEN = "[ID]"!!' and clean[12] == rows[10][1]
+
+
+def test_a_very_long_text_is_redacted_whole(spark):
+    text = "word " * 300_000 + "a@b.co " + "more " * 300_000 + "10.0.0.1"
+    row = pii.redact(spark.createDataFrame([(1, text)], SCHEMA)).first()
+    assert row.text == text.replace("a@b.co", "[EMAIL]").replace("10.0.0.1", "[IP]")
+
+
 def test_redaction_keeps_columns_and_clean_rows(spark, letters):
     rows = [(1, "x a@b.co, 10.0.0.1!", "s", 19), (2, None, "s", None), (3, "clean", None, 5), (3, "clean", None, 5), (None, "é +49 30 1234567", "q", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, row string, n_chars long")
