@@ -32,11 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialised(df: DataFrame, label: str) -> DataFrame:
     """df written once to the folder in spark.checkpoint.dir and read back: later steps start from files that all executors share.
 
-    Where the setting is missing (tests), a temporary folder is set.
+    Where the setting is missing and all runs in one process (tests), a temporary folder is set; on a cluster it must be there.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
