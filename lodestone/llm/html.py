@@ -8,23 +8,29 @@ the m pages that have a node,
     importance of a branch  = (1 - GAMMA) presentation + GAMMA (mean content importance below it)
 
 so what looks and reads alike on every page of a site scores low. A block goes if its own node is below CUT, and stays if not; a
-node in a marked article or main part counts as RAISE more important than it scores. The tree needs at least LEAST pages of the
-node; there, a block also goes if ALL of them or more have its text. Where it has fewer, a prior decides: a page that marks its article or main part is that part only. Before both, what markup
-itself declares has importance 0: navigation, page header and footer, aside, form, script, style and elements whose class, id or
-role says menu, advert, notice, comment and the like.
+node in a marked article, main or content part counts as RAISE more important than it scores. The tree needs at least LEAST pages
+of the node; there, a block also goes if ALL of them or more have its text. Where it has fewer, a prior decides: a page that marks
+such parts is those parts only. Before both, what markup itself declares has importance 0: navigation, page header and footer,
+aside, form, button, script, style and elements whose class, id or role is menu, advert, notice, comments and the like (whole
+names, or names made of such words and of FILLER words only: `related-posts` is noise, `related-work` is not).
+
+Every page is parsed once; its blocks and nodes are written to a table, from which the counts of the tree, the decisions and the
+result are taken. Sums over the texts of a node are reduced before they meet the node's page count, as
+sum (1 - log_m n_i) = count - (sum ln n_i) / ln m, so a node that a third of all pages share is no hot group.
 
 Blocks are split at block elements, white space in a block becomes one space, blocks are joined by two newlines.
 
 Defined cases: null or empty html gives an empty text; null url is a host of its own; broken markup (unclosed or stray tags, cut
-entities) is read on as browsers do, roughly; repeated rows give repeated rows; pages of a host whose texts without declared
-noise are equal count as one page; rows with a null page_id are
-cut by the prior alone; an empty table gives an empty table; other columns are ignored.
+entities) is read on as browsers do, roughly; elements nested deeper than DEEP share the node at that depth, their text stays;
+repeated rows, also of one page_id or of none, give repeated rows; pages of a host whose texts without declared noise are equal
+count as one page; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -36,7 +42,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .shared import few_files, small_batches, written
 
-GAMMA, CUT, LEAST, RAISE, ALL = 0.8, 0.35, 4, 0.15, 0.9
+GAMMA, CUT, LEAST, RAISE, ALL, DEEP = 0.8, 0.35, 4, 0.15, 0.9, 128
 
 #: Elements without content, elements that break text into blocks, elements whose content is never text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,8 +51,8 @@ BLOCK = frozenset(
     "h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-RAW = frozenset("script style noscript template iframe noembed noframes title textarea svg math object".split())
-#: Elements, and words of a class, id or role, that declare what is not the article.
+RAW = frozenset("script style noscript template iframe noembed noframes title textarea".split())
+#: Elements, and names of a class, id or role, that declare what is not the article.
 NOISE = frozenset("nav footer aside form button select dialog menu head fieldset".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup "
@@ -54,51 +60,87 @@ NOISE_WORDS = frozenset(
     "reply replies respond disqus share sharing social related recommended newsletter subscribe signup login search pagination pager skip "
     "contentinfo widget".split()
 )
+#: Words that a name of noise may have beside those, and whole names that declare content.
+FILLER = frozenset(
+    "area bar block bottom box btn button buttons card cards column container entry form global group header icon icons inner item items left link "
+    "links list main mobile outer page panel post posts primary right row secondary section site slot text title to top unit wrap wrapper".split()
+)
+CONTENT = frozenset("content maincontent main-content article article-body article-content post-content post-body entry-content story story-body".split())
 #: Which open elements a start tag ends, and where the search for them stops.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
-MARK = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: A quote opens a value only right after the sign =; elsewhere it is a character like others.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|=)*+)(?:>|\Z)|[^<]+|<", re.S)
+MARK = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def _declares(name: str) -> bool:
+    """Whether a class, id or role is a word of noise, or is made of such words and fillers only."""
+    words = [w.lower() for w in WORDS.findall(name) if len(w) > 1]
+    return any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in FILLER for w in words)
 
 
-@functools.lru_cache(4096)
-def _node(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """(tag with its class, id and role; declared noise; declared article)."""
+@functools.lru_cache(8192)
+def _node(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """(tag with its class, id and role; declared noise; declared article or main; declared content)."""
     said = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in MARK.finditer(attributes)} if "=" in attributes else {}
-    words = {w.lower() for v in said.values() for w in WORDS.findall(v)}
+    names = [n for v in said.values() for n in v.split()]
     name = tag + "".join(f"[{k}={' '.join(said[k].split())}]" for k in sorted(said))
-    noise = tag in NOISE or tag == "header" or (bool(words & NOISE_WORDS) and tag not in ("html", "body", "article", "main"))
-    return name, noise, tag in ("article", "main") or "main" in said.get("role", "").split()
+    noise = tag in NOISE or tag == "header" or (tag not in ("html", "body", "article", "main") and any(map(_declares, names)))
+    return name, noise, tag in ("article", "main") or "main" in said.get("role", "").split(), any(n.lower() in CONTENT for n in names)
 
 
 class Block:
-    """One block of text: the names of its open elements, its text, and what the markup declares of it."""
+    """One block of text: the key of its own element, its text, and what the markup declares of it."""
+
+    __slots__ = ("article", "node", "noise", "region", "text")
+
+    def __init__(self, node: int, text: str, noise: bool, article: bool, region: int):
+        self.node, self.text, self.noise, self.article, self.region = node, text, noise, article, region
+
 
-    __slots__ = ("article", "noise", "path", "text")
+def _below(node: int, name: str) -> int:
+    return xxhash.xxh64_intdigest(f"{node:x}/{name}", 3) >> 1
 
-    def __init__(self, path: tuple[str, ...], text: str, noise: bool, article: bool):
-        self.path, self.text, self.noise, self.article = path, text, noise, article
 
+ROOT = xxhash.xxh64_intdigest("", 3) >> 1
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order, noise included."""
+
+def parse(html: str) -> tuple[list[Block], dict[int, tuple[list[str], list[int]]]]:
+    """The blocks of a page in order, noise included; and of every node its children in order, and the nodes above it with itself."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name, noise or within it, article or within it
+    nodes: dict[int, tuple[list[str], list[int]]] = {ROOT: ([], [ROOT])}
+    stack: list[tuple[str, int, bool, bool, int]] = []  # tag, node, noise or within it, article or within it, content part or 0
+    opened: Counter = Counter()
     text: list[str] = []
+    mute: list = []  # an inline element of noise: its tag, how many of that tag are open, the depth of the stack
+    regions = 0
+
+    def lays_out(node: int, name: str) -> None:
+        said = nodes[node][0]
+        if not said or said[-1] != name:
+            said.append(name)
 
-    def flush():
+    def flush() -> None:
         if text:
             said = " ".join("".join(text).split())
             text.clear()
             if said:
-                noise, article = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-                out.append(Block(tuple(s[1] for s in stack), said, noise, article))
+                _, node, noise, article, region = stack[-1] if stack else ("", ROOT, False, False, 0)
+                lays_out(node, "#text")
+                out.append(Block(node, said, noise, article, region))
 
     def close(tags: set, stop: set) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
+                for s in stack[k:]:
+                    opened[s[0]] -= 1
                 del stack[k:]
+                if mute and len(stack) < mute[2]:
+                    mute.clear()
                 return
             if stack[k][0] in stop:
                 return
@@ -109,20 +151,22 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         tag = m[2]
         if tag is None:
-            if html[m.start()] != "<" or m.end() - m.start() == 1:
+            if not mute and (html[m.start()] != "<" or m.end() - m.start() == 1):
                 text.append(unescape(m[0]))
             continue
         tag = tag.lower()
         if m[1]:
             if tag in BLOCK:
                 flush()
-                if any(s[0] == tag for s in stack):
-                    close({tag}, set())
+                close({tag}, set())
+            elif mute and tag == mute[0]:
+                mute[1] -= 1
+                if not mute[1]:
+                    mute.clear()
             continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
-                at = stop.end() if stop else end
+            at = stop.end() if stop else end
             continue
         if tag in ("br", "hr", "img", "wbr"):
             if tag == "hr":
@@ -130,147 +174,142 @@ def blocks(html: str) -> list[Block]:
             elif tag != "wbr":
                 text.append(" ")
             continue
-        if tag in VOID or tag not in BLOCK:
+        if tag in VOID:
+            continue
+        if tag not in BLOCK:
+            if mute:
+                mute[1] += tag == mute[0]
+            elif not m[3].endswith("/") and (tag in NOISE or ("=" in m[3] and _node(tag, m[3])[1])):
+                mute[:] = [tag, 1, len(stack)]
             continue
         flush()
         close({"p"}, {"table", "td", "th", "button", "caption"})
         if tag in ENDS:
             close(*ENDS[tag])
-        name, noise, article = _node(tag, m[3])
-        above = stack[-1] if stack else ("", "", False, False)
-        if tag == "header" and above[3]:
-            noise = bool({w.lower() for w in WORDS.findall(name[6:])} & NOISE_WORDS)  # an article's own heading
-        stack.append((tag, name, noise or above[2], article or above[3]))
+        name, noise, article, content = _node(tag, m[3])
+        _, above, in_noise, in_article, region = stack[-1] if stack else ("", ROOT, False, False, 0)
+        if tag == "header" and (in_article or region):
+            noise = any(map(_declares, re.findall(r"[^\[\]= ]+", name[6:])))  # an article's own heading
+        lays_out(above, name)
+        node = above
+        if len(stack) < DEEP:
+            node = _below(above, name)
+            if node not in nodes:
+                nodes[node] = ([], [*nodes[above][1], node])
+        if content and not region:
+            regions += 1
+            region = regions
+        stack.append((tag, node, noise or in_noise or bool(mute), article or in_article, region))
+        opened[tag] += 1
     flush()
-    return out
+    return out, nodes
 
 
-def judged(html: str) -> list[tuple[Block, bool]]:
-    """The blocks that are not declared noise, and whether the prior leaves them: those of the article if one is marked, else all."""
-    kept = [b for b in blocks(html) if not b.noise]
-    marked = any(b.article for b in kept)
-    return [(b, b.article or not marked) for b in kept]
+def judged(blocks: list[Block]) -> list[tuple[Block, bool, bool]]:
+    """The blocks that are not declared noise; whether the prior leaves them: those of the marked parts if there are any, else all;
+    whether they are marked. A content part that holds an article or main part is marked only there."""
+    kept = [b for b in blocks if not b.noise]
+    wider = {b.region for b in kept if b.article}
+    marked = [b.article or (b.region > 0 and b.region not in wider) for b in kept]
+    some = any(marked)
+    return [(b, m or not some, m) for b, m in zip(kept, marked)]
 
 
 def candidates(html: str) -> list[Block]:
     """The blocks that the prior leaves."""
-    return [b for b, left in judged(html) if left]
+    return [b for b, left, _ in judged(parse(html)[0]) if left]
 
 
-def _key(path: tuple[str, ...], depth: int) -> int:
-    return xxhash.xxh64_intdigest("/".join(path[:depth]), 3) >> 1
+def _text(said: str) -> int:
+    return xxhash.xxh64_intdigest(said, 5) >> 1
 
 
-NODES = "host string, content long, nodes array<long>, layouts array<long>, owners array<long>, texts array<long>, above array<array<long>>"
+PAGES = (
+    "row long, page_id string, url string, host string, content long, whole long, nodes array<long>, layouts array<long>, above array<array<long>>, owners array<long>, "
+    "texts array<long>, own array<long>, values array<long>, lefts array<boolean>, marks array<boolean>, said array<string>"
+)
 
 
-def nodes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, html) -> a row a page: the hash of its texts without declared noise; its nodes and their layouts; its texts, the nodes
-    that have them, and the keys of all nodes above."""
+def pages_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(row, page_id, url, host, html) -> one row a page. content: the hash of its texts without declared noise; nodes with their
+    layouts and the nodes above; texts with the nodes that own them, once each; own, values, lefts, marks, said: node, text's hash,
+    left by the prior, marked, and text of the blocks that are not declared noise."""
+    names = [c.split()[0] for c in PAGES.split(", ")]
     for part in parts:
         out = []
-        for host, html in zip(part["host"], part["html"]):
-            children: dict[tuple, list[str]] = {}
-            texts: dict[tuple, set[int]] = {}
-            content = xxhash.xxh64(seed=6)
-            for b in blocks(html):
-                for k in range(1, len(b.path) + 1):
-                    below = b.path[k] if k < len(b.path) else "#text"
-                    said = children.setdefault(b.path[:k], [])
-                    if not said or said[-1] != below:
-                        said.append(below)
-                texts.setdefault(b.path, set()).add(_text(b.text))
-                if not b.noise:
-                    content.update(b.text + "\n")
-            known = {path: _key(path, len(path)) for path in children}
-            found = [([known[path[:k]] for k in range(1, len(path) + 1)], t) for path, own in texts.items() for t in sorted(own)]
-            layouts = [xxhash.xxh64_intdigest("|".join(said), 4) >> 1 for said in children.values()]
-            out.append((host, content.intdigest() >> 1, list(known.values()), layouts, [a[-1] if a else 0 for a, _ in found], [t for _, t in found], [a for a, _ in found]))
+        for row, page, url, host, html in zip(part["row"], part["page_id"], part["url"], part["host"], part["html"]):
+            found, nodes = parse(html)
+            kept = judged(found)
+            content, whole = xxhash.xxh64(seed=6), xxhash.xxh64(seed=7)
+            for b, _, _ in kept:
+                content.update(b.text + "\n")
+            pairs = sorted({(b.node, _text(b.text)) for b in found})
+            layouts = [xxhash.xxh64_intdigest("|".join(said), 4) >> 1 for said, _ in nodes.values()]
+            whole.update(repr((list(zip(nodes, layouts)), pairs)))
+            out.append(
+                (row, page, url, host, content.intdigest() >> 1, whole.intdigest() >> 1, list(nodes), layouts, [a for _, a in nodes.values()], [n for n, _ in pairs], [t for _, t in pairs],
+                 [b.node for b, _, _ in kept], [_text(b.text) for b, _, _ in kept], [left for _, left, _ in kept], [m for _, _, m in kept], [b.text for b, _, _ in kept])
+            )
         if out:
-            yield pd.DataFrame(out, columns=["host", "content", "nodes", "layouts", "owners", "texts", "above"])
+            yield pd.DataFrame(out, columns=names)
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, value, above) of the rows of nodes(), copies of one page of a host once: layouts are kind 0, texts kind 1."""
-    one = pages.groupBy("host", "content").agg(F.min(F.struct("nodes", "layouts", "owners", "texts", "above")).alias("p"))
-    layouts = F.transform(F.arrays_zip("p.nodes", "p.layouts"), lambda x: F.struct(x["nodes"].alias("node"), F.lit(0).alias("kind"), x["layouts"].alias("value"), F.lit(None).cast("array<long>").alias("above")))
-    texts = F.transform(F.arrays_zip("p.owners", "p.texts", "p.above"), lambda x: F.struct(x["owners"].alias("node"), F.lit(1).alias("kind"), x["texts"].alias("value"), x["above"].alias("above")))
-    return one.select("host", F.explode(F.concat(layouts, texts)).alias("x")).select("host", "x.*")
-
-
-def _text(said: str) -> int:
-    return xxhash.xxh64_intdigest(said, 5) >> 1
-
-
-def asked(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(page_id, host, html) -> once a page: the nodes that the tree decides on (value 0) and their texts (value), whether the prior
-    leaves them and whether they are marked."""
-    for part in parts:
-        out = []
-        for page, host, html in zip(part["page_id"], part["host"], part["html"]):
-            page = None if page is None or page != page else int(page)
-            found = set()
-            for b, left in judged(html):
-                node = _key(b.path, len(b.path))
-                found |= {(node, 0, left, b.article), (node, _text(b.text), left, b.article)}
-            out += [(page, host, *f) for f in found]
-        if out:
-            frame = pd.DataFrame(out, columns=["page_id", "host", "node", "value", "left", "marked"])
-            frame["page_id"] = frame["page_id"].astype("Int64")
-            yield frame
+    """(host, node, kind, value, above) of the rows of pages_of(), copies of one page of a host once: layouts are kind 0, texts kind 1."""
+    one = pages.groupBy("host", "content").agg(F.min_by("row", "whole").alias("row")).select("row")
+    rows = pages.select("row", "host", "nodes", "layouts", "above", "owners", "texts").join(one, "row", "left_semi")
+    kind = lambda k: F.lit(k).alias("kind")
+    layouts = F.transform(F.arrays_zip("nodes", "layouts", "above"), lambda x: F.struct(x["nodes"].alias("node"), kind(0), x["layouts"].alias("value"), x["above"].alias("above")))
+    texts = F.transform(F.arrays_zip("owners", "texts"), lambda x: F.struct(x["owners"].alias("node"), kind(1), x["texts"].alias("value"), F.lit(None).cast("array<long>").alias("above")))
+    return rows.select("host", F.explode(F.concat(layouts, texts)).alias("x")).select("host", "x.*")
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """The rows of nodes() with n, the number of pages that have them."""
-    return rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"), F.first("above").alias("above"))
-
-
-def importances(rows: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of the style trees of all hosts, from the rows of nodes()."""
-    return _importances(counted(rows))
+    """The rows of distinct_pages() with n, the number of pages that have them; above follows from node."""
+    return rows.groupBy("host", "node", "kind", "value", "above").agg(F.count("*").alias("n"))
+
+
+def importances(counts: DataFrame) -> DataFrame:
+    """(host, node, pages, importance) of the style trees of all hosts, from the rows of counted()."""
+    layouts = counts.where("kind = 0").groupBy("host", "node", "above").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    several = F.col("m") > 1
+    looks = layouts.withColumn("looks", F.when(several, 1 - F.col("nlogn") / (F.col("m") * F.log("m"))).otherwise(1.0))
+    texts = counts.where("kind = 1").groupBy("host", "node").agg(F.count("*").alias("texts"), F.sum(F.log("n")).alias("logs"))
+    total = F.when(several, F.col("texts") - F.col("logs") / F.log("m")).otherwise(F.col("texts"))
+    leaf = looks.join(texts, ["host", "node"]).select("host", F.explode("above").alias("node"), total.alias("total"), "texts")
+    below = leaf.groupBy("host", "node").agg((F.sum("total") / F.sum("texts")).alias("reads"))
+    return looks.join(below, ["host", "node"]).select("host", "node", F.col("m").alias("pages"), ((1 - GAMMA) * F.col("looks") + GAMMA * F.col("reads")).alias("importance"))
 
 
-def _importances(counts: DataFrame) -> DataFrame:
-    layouts = counts.where("kind = 0").groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-    looks = layouts.select("host", "node", "m", F.when(F.col("m") > 1, 1 - F.col("nlogn") / (F.col("m") * F.log("m"))).otherwise(1.0).alias("looks"))
-    texts = counts.where("kind = 1").join(looks.select("host", "node", "m"), ["host", "node"])
-    leaf = texts.groupBy("host", "node").agg(
-        F.sum(F.when(F.col("m") > 1, 1 - F.log("n") / F.log("m")).otherwise(1.0)).alias("total"), F.count("*").alias("texts"), F.first("above").alias("above")
-    )
-    below = leaf.select("host", F.explode("above").alias("node"), "total", "texts").groupBy("host", "node").agg((F.sum("total") / F.sum("texts")).alias("reads"))
-    return looks.join(below, ["host", "node"]).select("host", "node", F.col("m").alias("pages"), ((1 - GAMMA) * F.col("looks") + GAMMA * F.col("reads")).alias("importance"))
+def decided(pages: DataFrame) -> DataFrame:
+    """(row, node, value) where the tree decides otherwise than the prior: on a node (value -1), or against a text of a node."""
+    counts = written(counted(distinct_pages(pages)), "counts")
+    known = written(few_files(importances(counts).where(F.col("pages") >= LEAST)), "known")
+    frequent = counts.where((F.col("kind") == 1) & (F.col("n") >= ALL * LEAST)).join(known, ["host", "node"])
+    frequent = written(few_files(frequent.where(F.col("n") >= ALL * F.col("pages")).select("host", "node", "value")), "everywhere")
+    blocks = pages.select("row", "host", F.explode(F.array_distinct(F.arrays_zip(F.col("own").alias("node"), F.col("values").alias("value"), F.col("lefts").alias("left"), F.col("marks").alias("marked")))).alias("b"))
+    blocks = blocks.select("row", "host", "b.*")
+    stays = F.col("importance") + F.when(F.col("marked"), RAISE).otherwise(0.0) >= CUT
+    nodes = blocks.join(known, ["host", "node"]).where(stays != F.col("left")).select("row", "node", F.lit(-1).cast("long").alias("value")).distinct()
+    return nodes.unionByName(blocks.join(frequent, ["host", "node", "value"]).select("row", "node", "value"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
-    given = small_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    sites = given.select("page_id", host.alias("host"), "html")
-    rows = distinct_pages(sites.select("host", "html").mapInPandas(nodes, NODES))
-    counts = written(counted(rows), "counts")
-    known = written(few_files(_importances(counts).where(F.col("pages") >= LEAST).select("host", "node", "pages", "importance")), "known")
-    everywhere = written(few_files(counts.where("kind = 1").join(known, ["host", "node"]).where(F.col("n") >= ALL * F.col("pages")).select("host", "node", "value")), "everywhere")
-    open_ = sites.mapInPandas(asked, "page_id long, host string, node long, value long, left boolean, marked boolean")
-    stays = F.col("importance") + F.when(F.col("marked"), RAISE).otherwise(0.0) >= CUT
-    turned = open_.where("value = 0").join(known, ["host", "node"]).where(stays != F.col("left")).select("page_id", "node", "value")
-    said = open_.where("value <> 0").join(everywhere, ["host", "node", "value"]).select("page_id", "node", "value")
-    turned = turned.unionByName(said).groupBy("page_id").agg(F.collect_set(F.struct("node", "value")).alias("turned"))
+    given = small_batches(pages).select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("string").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = written(given.mapInPandas(pages_of, PAGES), "pages")
+    turned = decided(rows).groupBy("row").agg(F.collect_list(F.struct("node", "value")).alias("turned"))
 
     @pandas_udf("string")
-    def text(html: pd.Series, turned: pd.Series) -> pd.Series:
+    def text(said: pd.Series, own: pd.Series, values: pd.Series, lefts: pd.Series, turned: pd.Series) -> pd.Series:
         out = []
-        for h, t in zip(html, turned):
-            if t is None:
-                out.append("\n\n".join(b.text for b in candidates(h)))
-                continue
-            other, repeated = {x["node"] for x in t if not x["value"]}, {(x["node"], x["value"]) for x in t}
-            kept = []
-            for b, left in judged(h):
-                node = _key(b.path, len(b.path))
-                if left != (node in other) and (node, _text(b.text)) not in repeated:
-                    kept.append(b.text)
-            out.append("\n\n".join(kept))
+        for words, nodes, hashes, left, t in zip(said, own, values, lefts, turned):
+            t = [] if t is None else t
+            other, repeated = {x["node"] for x in t if x["value"] < 0}, {(x["node"], x["value"]) for x in t}
+            out.append("\n\n".join(w for w, n, v, k in zip(words, nodes, hashes, left) if k != (n in other) and (n, v) not in repeated))
         return pd.Series(out, dtype=object)
 
-    joined = given.join(turned.hint("shuffle_hash"), "page_id", "left").withColumn("text", text.asNondeterministic()("html", "turned"))
-    return joined.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    blocks = rows.select("row", "page_id", "url", "said", "own", "values", "lefts")
+    joined = blocks.join(turned, "row", "left").withColumn("text", text.asNondeterministic()("said", "own", "values", "lefts", "turned"))
+    return joined.select(F.col("page_id").cast(pages.schema["page_id"].dataType).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 from lodestone.llm import html
 
@@ -37,9 +38,91 @@ def test_pages_of_a_site_without_an_article_element(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def site_style_tree(pages):
+    """The extraction of (row, host, html) by plain loops over whole trees: dicts of pages, no sums reduced ahead."""
+    parsed = {row: html.parse(h) for row, _, h in pages}
+    hosts = {}
+    for row, host, _ in pages:
+        hosts.setdefault(host, []).append(row)
+    out = {}
+    for host, rows in hosts.items():
+        one = {}
+        for row in rows:
+            blocks, nodes = parsed[row]
+            said = tuple(b.text for b, _, _ in html.judged(blocks))
+            shape = (sorted((n, tuple(c)) for n, (c, _) in nodes.items()), sorted({(b.node, b.text) for b in blocks}))
+            if said not in one or repr(shape) < one[said][0]:
+                one[said] = (repr(shape), row)
+        kept = [row for _, row in one.values()]
+        pages_of, layouts, texts, above = {}, {}, {}, {}
+        for row in kept:
+            blocks, nodes = parsed[row]
+            for n, (children, up) in nodes.items():
+                pages_of.setdefault(n, set()).add(row)
+                layouts.setdefault(n, {}).setdefault(tuple(children), set()).add(row)
+                above[n] = up
+            for b in blocks:
+                texts.setdefault(b.node, {}).setdefault(b.text, set()).add(row)
+        importance = {}
+        for n, who in pages_of.items():
+            m = len(who)
+            looks = -sum(len(x) / m * math.log(len(x) / m, m) for x in layouts[n].values()) if m > 1 else 1.0
+            leaves = [(1 - math.log(len(x), len(pages_of[d])) if len(pages_of[d]) > 1 else 1.0) for d, own in texts.items() if n in above[d] for x in own.values()]
+            if leaves and m >= html.LEAST:
+                importance[n] = (1 - html.GAMMA) * looks + html.GAMMA * sum(leaves) / len(leaves)
+        for row in rows:
+            left = []
+            for b, prior, marked in html.judged(parsed[row][0]):
+                if b.node in importance:
+                    prior = importance[b.node] + html.RAISE * marked >= html.CUT
+                    prior = prior and len(texts.get(b.node, {}).get(b.text, ())) < html.ALL * len(pages_of[b.node])
+                if prior:
+                    left.append(b.text)
+            out[row] = "\n\n".join(left)
+    return out
+
+
+def test_whole_sites_against_plain_loops(spark):
+    rng = random.Random(5)
+    say = lambda n=9: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(n))
+    low, pages = [say() for _ in range(4)], []
+    for i in range(90):
+        host = ["a.example", "b.example", "c.example", None][rng.choice([0, 0, 0, 1, 1, 2, 3])]
+        parts = [f"<div class='k{rng.randint(0, 3)}'><p>{rng.choice([say(), rng.choice(low)])}</p>{'<b>x</b>' * rng.randint(0, 1)}</div>" for _ in range(rng.randint(0, 6))]
+        if rng.random() < 0.5:
+            parts.insert(rng.randint(0, len(parts)), f"<article><p>{say()}</p><div>{rng.choice(low)}</div></article>")
+        pages.append((i if i % 9 else None, host and f"https://{host}/{i}", "<html><body>" + "".join(parts) + "</body></html>"))
+    pages += pages[:12] + [(7, None, None), (7, "https://a.example/z", ""), (2**60 + 1, "https://a.example/y", "<p>y</p>")]
+    want = site_style_tree([(k, (u or "").split("/")[2] if u else "", h or "") for k, (_, u, h) in enumerate(pages)])
+    got = [(r.page_id or -1, r.url or "", r.text) for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()]
+    assert sorted(got) == sorted((i or -1, u or "", want[k]) for k, (i, u, _) in enumerate(pages))
+    plain = ["\n\n".join(b.text for b in html.candidates(h or "")) for _, _, h in pages]
+    assert sum(want[k] != plain[k] for k in range(len(pages))) > 20  # the tree decides on these pages
+
+
+def test_what_markup_declares():
+    of = lambda x: [b.text for b in html.candidates(x)]
+    assert of("<article><p title=don't>Hello</p><p>World</p><p>It isn't all</p></article>") == ["Hello", "World", "It isn't all"]
+    assert of("<article><p>a<button>Subscribe now</button> b<span class='ad'>BUY <span>x</span> now</span> c</p><p>d</p></article>") == ["a b c", "d"]
+    assert of("<article><p>a<span class=ad>open<p>b</article>") == ["a", "b"]
+    assert of("<article><div class='related-work'><p>Real</p></div><div class='related-posts'>x</div><div class='cookieBanner ad-300x250'>y</div></article>") == ["Real"]
+    assert of("<main><p>one</p></main><div id='content'><p>two</p></div><div>rest</div>") == ["one", "two"]
+    assert of("<div id='content'><article><p>one</p></article><div>rest</div></div>") == ["one"]
+    assert of("<article><p>E = <math><mi>m</mi><mi>c</mi></math> and <svg><title>t</title><text>s</text></svg></p></article>") == ["E = mc and s"]
+    assert of("<p class=x id='a\"b' title = \"x>y\" data-k='>'>t</p>") == ["t"]
+
+
+def test_deep_and_very_long_pages_take_linear_time():
+    for page in ("<div>" * 20000 + "x", "".join(f"<div>t{i}" for i in range(20000)), "<p>" * 20000 + "x", "<ul><li>" * 10000 + "x", "<td>" * 20000, "<b class=ad>" * 20000 + "x", "</div>" * 20000, "<div><p>" * 10000 + "</p>" * 10000, "<a href='" * 20000):
+        began = time.process_time()
+        blocks, nodes = html.parse(page)
+        assert time.process_time() - began < 2 and len(nodes) <= 2 * html.DEEP + 2
+    assert [b.text for b in html.parse("".join(f"<div>t{i}" for i in range(2000)))[0]] == [f"t{i}" for i in range(2000)]
+
+
 def test_importance_follows_the_formula(spark):
-    rows = [(i, "h", 7, 0, i % 2, None) for i in range(4)] + [(i, "h", 7, 1, 9, [7]) for i in range(4)] + [(0, "h", 7, 1, 10, [7])]
-    got = html.importances(spark.createDataFrame(rows, "page_id long, host string, node long, kind int, value long, above array<long>")).collect()[0]
+    rows = [(i, "h", 7, 0, i % 2, [7]) for i in range(4)] + [(i, "h", 7, 1, 9, None) for i in range(4)] + [(0, "h", 7, 1, 10, None)]
+    got = html.importances(html.counted(spark.createDataFrame(rows, "page_id long, host string, node long, kind int, value long, above array<long>"))).collect()[0]
     looks = -2 * 0.5 * math.log(0.5, 4)
     assert abs(got.importance - (0.2 * looks + 0.8 * (0 + 1) / 2)) < 1e-9 and got.pages == 4
 
