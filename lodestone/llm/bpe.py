@@ -14,6 +14,7 @@ already has an output name is replaced.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -36,7 +37,11 @@ NONE = 1 << 40
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
-    """Ranks of a .tiktoken file."""
+    """Ranks of a .tiktoken file. A name without a folder is a public vocabulary, looked up where its library lies on this machine."""
+    if not os.path.dirname(path):
+        import public_tokenizers
+
+        path = public_tokenizers.path(path)
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 

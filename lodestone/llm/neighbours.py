@@ -128,7 +128,9 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, embedding) of the vectors that take part."""
-    v = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
+    given = vectors.schema[vector].dataType.elementType.simpleString()
+    kind = given if given in ("float", "double") else "double"
+    v = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("embedding"))
     fine = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists("embedding", lambda x: x != 0)
     v = v.where(fine)
     common = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -190,9 +192,10 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, key: str = "v
                 yield pd.DataFrame(out, columns=["first", "block", "near"])
 
     near = "array<struct<down: double, vec_id: long>>"
-    indexed = small_batches(firsts).mapInPandas(index, "vec_id long, embedding array<float>, code binary")
+    kind = firsts.schema["embedding"].dataType.simpleString()  # products are of the vectors as given, floats or doubles
+    indexed = small_batches(firsts).mapInPandas(index, f"vec_id long, embedding {kind}, code binary")
     indexed = indexed.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), "asks": F.lit(False)})
-    asked = queries.select(F.col("first").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates(["vec_id"])
+    asked = queries.select(F.col("first").alias("vec_id"), "embedding").dropDuplicates(["vec_id"])
     asked = asked.withColumns({"code": F.lit(None).cast("binary"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "asks": F.lit(True)})
     found = indexed.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks", "vec_id").mapInPandas(scan, f"first long, block int, near {near}")
     while True:

@@ -2,16 +2,16 @@
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2]); the last term is the sum of all
 pairwise interactions <v_i, v_j> x_i x_j in time linear in the features present. Features are the words of the
-whole text (hashed, damped counts scaled to length 1), statistics of its structure, each as a standardised number and as a
-bin, and one metadata feature, whether the n_chars column agrees with the text. labels, lang, source and doc_id
-never enter a score.
+whole text (hashed, damped counts scaled to length 1), statistics of its structure and the metadata of the row (the logarithm
+of its n_chars column), each as a standardised number and as a bin, and whether n_chars agrees with the text. labels, lang,
+source and doc_id never enter a score.
 
-The model is fitted on at most FIT_ROWS labelled rows, taken by the hash of doc_id from those that are not held out
-(crc32(doc_id as text) mod 4 = 2 is held out). It is small (BUCKETS x (1 + FACTORS) numbers) whatever the input, and is
+The model is fitted on at most FIT_ROWS labelled rows of at most FIT_WORDS distinct words each, taken by the hash of doc_id from
+those that are not held out (crc32(doc_id as text) mod 4 = 2 is held out). It is small (BUCKETS x (1 + FACTORS) numbers) whatever the input, and is
 broadcast; scoring touches each document once, with no shuffle.
 
-Defined cases: a null text counts as empty and is scored; null n_chars counts as disagreeing; rows labelled null are not
-used; repeated documents get equal scores; without labels of both kinds the score is the share of label 1 (0.5 without any
+Defined cases: a null text counts as empty and is scored; null n_chars counts as 0 and as disagreeing; rows labelled null, and
+documents that have both labels, are not used; repeated documents get equal scores; without labels of both kinds the score is the share of label 1 (0.5 without any
 label); an empty table gives an empty table.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql.functions import pandas_udf
 
 from .shared import free, small_batches, whole_text
 
-FIT_ROWS = 6000
+FIT_ROWS, FIT_WORDS = 6000, 8192
 BUCKETS, FACTORS, EPOCHS, BATCH, RATE, DECAY = 1 << 16, 6, 6, 128, 0.08, 1e-5
 THRESHOLD = 0.7
 #: Inner edges of the bins of each statistic, as standard scores.
@@ -56,16 +56,16 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 STATISTICS = (
     "log_bytes", "upper", "digit", "sign", "long_points", "other", "word_bytes", "distinct_words", "commonest_word",
-    "repeats_last_word", "words_with_inner_signs", "distinct_lines", "words_a_line", "sentence_ends", "all_upper_words",
+    "repeats_last_word", "words_with_inner_signs", "distinct_lines", "words_a_line", "sentence_ends", "all_upper_words", "log_n_chars",
 )
 
 
-def words_and_statistics(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the words, their damped counts scaled to length 1, and the statistics."""
+def words_and_statistics(text: str, n_chars=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words, their damped counts scaled to length 1, and the statistics, n_chars as the last."""
     raw = np.frombuffer(text.encode(), np.uint8)
     stats = np.zeros(len(STATISTICS))
     n = len(raw)
-    stats[0] = np.log1p(n)
+    stats[0], stats[15] = np.log1p(n), np.log1p(max(n_chars or 0, 0))
     if not n:
         return np.empty(0, np.int64), np.empty(0), stats
     kind = _KIND[raw]
@@ -132,7 +132,7 @@ class Model:
         if not len(self.w):
             return self.bias
         agrees = n_chars is not None and n_chars == len(text)
-        return float(1 / (1 + np.exp(-np.clip(self.raw(*self.features(*words_and_statistics(text), agrees)), -40, 40))))
+        return float(1 / (1 + np.exp(-np.clip(self.raw(*self.features(*words_and_statistics(text, n_chars), agrees)), -40, 40))))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]], labels: np.ndarray) -> Model:
@@ -181,8 +181,8 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """The model of at most `rows` labelled rows of docs that are not held out."""
     ids = (
-        labels.where("quality in (0, 1)").where(~held_out()).select("doc_id", "quality").dropDuplicates(["doc_id"])
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        labels.where("quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
+        .where(F.col("quality") == F.col("_most")).select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
     known = docs.select("doc_id", "text", "n_chars").join(F.broadcast(ids), "doc_id")
 
@@ -191,7 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             out = []
             for t, n, q, i in zip(part["text"], part["n_chars"], part["quality"], part["doc_id"]):
                 t = t or ""
-                b, v, s = words_and_statistics(t)
+                n = None if n is None or n != n else n
+                b, v, s = words_and_statistics(t, n)
+                if len(b) > FIT_WORDS:
+                    continue
                 out.append((i, q, b.astype(np.int32).tobytes(), v.astype(np.float32).tobytes(), s.tobytes(), n == len(t)))
             yield pd.DataFrame(out, columns=["doc_id", "quality", "b", "v", "s", "agrees"])
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, html, mixing, neighbours, parsing, pii, quality, repeats, simhash
 
-RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: A name, not a path: every worker looks it up where the library lies on its machine.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -248,7 +248,8 @@ def links(fps: DataFrame, size: int = CHUNK) -> DataFrame:
                 at, keys = pair_keys(fp[k : k + 4096])
                 yield pd.DataFrame({"key": keys, "fp": fp[k : k + 4096][at]})
 
-    rows = fps.select("fp").distinct().mapInPandas(keyed, "key long, fp long")
+    even = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = even.mapInPandas(keyed, "key long, fp long")
     found = written(
         rows.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(scan, "u long, v long, key long, chunk long"), "met"
     )

@@ -41,9 +41,15 @@ def test_one_piece_and_many_pieces_merge_alike():
 
 
 def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
-    rows = [(1, None, b"x"), (2, "ab ab", b"y"), (2, "ab ab", b"y")]
+    rows = [(1, None, b"x"), (2, "ab ab", b"y"), (2, "ab ab", b"y"), (None, "ab", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids binary")
     out = bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN).orderBy("doc_id").collect()
-    assert [bytes(r.decoded) for r in out] == [b"", b"ab ab", b"ab ab"] and bytes(out[0].ids) == b""
+    assert [bytes(r.decoded) for r in out] == [b"ab", b"", b"ab ab", b"ab ab"] and bytes(out[1].ids) == b""
     assert bpe.digests(df.limit(0), RANKS, PATTERN).count() == 0
-    assert [r.n_tokens for r in bpe.digests(df, RANKS, PATTERN).orderBy("doc_id").collect()][0] == 0
+    assert [r.n_tokens for r in bpe.digests(df, RANKS, PATTERN).orderBy("doc_id").collect()][1] == 0
+
+
+def test_a_very_long_text_through_the_query(spark, theirs):
+    rows = [(1, "the né ring " * 200_000 + "x" * 3000), (2, "東京" * 50_000)]
+    out = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, PATTERN).collect()
+    assert all(list(memoryview(bytes(r.ids)).cast("I")) == theirs.encode_ordinary(r.text) for r in out)

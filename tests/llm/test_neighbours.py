@@ -37,6 +37,14 @@ def test_recall_against_brute_force(spark):
     assert got[20][0][2] == pytest.approx(-want[20][0][0], rel=1e-12)
 
 
+def test_scores_of_double_vectors_are_exact(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=9).tolist(), "x") for i in range(300)]
+    of = {i: np.array(v) for i, v, _ in rows}
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, code string")).collect()
+    assert len(got) == 15 * 20 and all(r.score == pytest.approx(of[r.query_id] @ of[r.vec_id], rel=1e-13) for r in got)
+
+
 def test_parallel_residuals_are_smaller_than_with_plain_quantisation(monkeypatch):
     x = np.random.default_rng(3).normal(size=(1500, 64))
 

@@ -41,6 +41,16 @@ def test_held_out_accuracy(spark):
     assert again == {i: r.score for i, r in got.items()}
 
 
+def test_two_labels_of_a_document_and_columns_of_the_same_names(spark):
+    docs, labels = corpus(300)
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long")
+    of = lambda rows: {r.doc_id: r.score for r in quality.digests(d, spark.createDataFrame(rows, "doc_id long, quality int, text string")).collect()}
+    one = [(i, q, "x") for i, q, _ in labels]
+    clash = [i for i, _, _ in labels if i % 5 == 0]
+    both = one + [(i, 1 - q, "y") for i, q, _ in one if i in clash]
+    assert of(both) == of(both[::-1]) == of([r for r in one if r[0] not in clash])
+
+
 def test_cases(spark):
     schema = "doc_id long, text string, n_chars long, score string"
     d = spark.createDataFrame([(1, None, None, "x"), (None, "", 0, "y"), (2, "a b", 3, "z"), (2, "a b", 3, "z"), (3, " \n", 2, "")], schema)
