@@ -299,7 +299,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
     given = small_batches(pages).select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("string").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     rows = written(given.mapInPandas(pages_of, PAGES), "pages")
-    turned = decided(rows).groupBy("row").agg(F.collect_list(F.struct("node", "value")).alias("turned"))
+    turned = written(few_files(decided(rows).groupBy("row").agg(F.collect_list(F.struct("node", "value")).alias("turned"))), "turned")  # its size decides the join
 
     @pandas_udf("string")
     def text(said: pd.Series, own: pd.Series, values: pd.Series, lefts: pd.Series, turned: pd.Series) -> pd.Series:
