@@ -10,7 +10,8 @@ enough of them, else on level 2.
 
 Defined cases: null text counts as empty; two empty texts have likeness 1, an empty and another 0; texts of any length are
 parsed whole; equal texts have equal fingerprints. The next document is the one of the next greater doc_id (equal doc_ids by
-text; null doc_ids first), the first for the last; a lone document is its own next. An empty table gives an empty table.
+text), the first for the last; null doc_ids come first, by a hash of their texts (as ids from -2^63 up to -2^62), so that many of
+them are ranges like others; a lone document is its own next. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -196,7 +197,9 @@ def _compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """SCHEMA for every row of docs; texts are shuffled once, by ranges of doc_id."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", whole_text(text).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_key"))
+    keyed = docs.select("doc_id", whole_text(text).alias("text"), F.col("doc_id").alias("_key"))
+    unnamed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(-(1 << 63))
+    keyed = keyed.withColumn("_key", F.coalesce(F.col("_key").cast("long"), unnamed))
     sliced, bounds = _slices(keyed, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     if not bounds:
         return spark.createDataFrame([], SCHEMA)

@@ -15,7 +15,8 @@ elsewhere too. Per anchor there are
    matched between parts in a grouped aggregation that combines before the shuffle.
 
 Anchors are combined by context inside each batch before they are shuffled, so a large group of copies sends a row a batch.
-Hashes are 64 bits of GRAM bytes and, by another function, 64 of the context; both must agree.
+Hashes are 64 bits of GRAM bytes and, by another function, 64 of the context or, in parts of a frequent string, of the window; both
+must agree.
 
 Defined cases: null text counts as empty; texts shorter than WIDTH keep all bytes; a null doc_id comes before all others;
 rows that repeat a doc_id, or have none, are one document to the rule "earlier": only an earlier start in the same document counts,
@@ -117,7 +118,8 @@ def _emit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             both = gram ^ (full * np.uint64(_BASE))
             several = any(a[0] == b[0] and a[1] != b[1] for a, b in zip(rows[k:j], rows[k + 1 : j]))
             order = np.lexsort((row, at, doc, both)) if several else np.argsort(both, kind="stable")
-            new = np.append(True, both[order][1:] != both[order][:-1])
+            g, f = gram[order], full[order]
+            new = np.append(True, (g[1:] != g[:-1]) | (f[1:] != f[:-1]))  # not by their mix alone
             first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             done = np.zeros(len(order), bool)
             same = ~new & (doc[order] == doc[first]) & (at[order] == at[first])

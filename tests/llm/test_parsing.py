@@ -67,3 +67,11 @@ def test_few_rows_nulls_and_repeats(spark):
     many = parsing.fingerprints(spark.createDataFrame([(None, "q"), (2, "abcdefgh"), (2, "abcdefgh"), (None, None)], schema)).collect()
     assert len(many) == 4 and sorted(str(r.doc_id) for r in many) == ["2", "2", "None", "None"]
     assert parsing.fingerprints(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_documents_without_an_id_are_neighbours_by_hash(spark):
+    rows = [(None, f"text number {k} of those without an id") for k in range(300)] + [(k, f"named {k}") for k in range(20)]
+    got = parsing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    again = parsing.fingerprints(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sorted(r.edited_sha256 for r in got) == sorted(r.edited_sha256 for r in again)
+    assert len({r.edited_sha256 for r in got}) > 300

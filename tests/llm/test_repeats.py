@@ -122,3 +122,11 @@ def test_texts_of_one_id_or_none_equal_brute_force(spark, monkeypatch, many):
     got = repeats.digests(spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(3)).collect()
     as_text = lambda d, v: (str(d), *v)
     assert sorted(as_text(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == sorted(as_text(rows[k][0], v) for k, v in want.items())
+
+
+def test_a_text_longer_than_what_is_hashed_at_once(spark):
+    rng = random.Random(12)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=repeats.AT_ONCE + 50_000))
+    rows = [(1, long[:900] + "-" + long[repeats.AT_ONCE - 300 : repeats.AT_ONCE + 300]), (2, long), (3, "x" + long[500_000:500_400])]
+    got = sorted((r.doc_id, r.n_removed, r.n_spans) for r in repeats.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0, 0), (2, 1500, 2), (3, 400, 1)]
