@@ -86,17 +86,19 @@ def _some(found: Column, *names: str) -> Column:
     return F.arrays_overlap(found, F.array(*map(F.lit, names)))
 
 
+# Tags of which one makes a candidate; tags that do so only together with one of the second set.
+ALWAYS_KEPT = ("superconduct", "josephson", "andreev", "meissner", "cooper_pair", "squid", "transmon", "cuprate", "pnictide", "nickelate", "mgb2")
+KEPT_WITH = ((("hydride",), ("tc", "pairing", "vortex")), (("topological",), ("josephson", "andreev", "pairing")))
+HOSTS = ("superconduct", "cuprate", "pnictide", "nickelate", "mgb2")
+
+
 def worth_keeping(found: Column) -> Column:
     """Whether a set of tags makes a paper a candidate."""
-    return any_of([
-        _some(found, "superconduct", "josephson", "andreev", "meissner", "cooper_pair", "squid", "transmon", "cuprate", "pnictide", "nickelate", "mgb2"),
-        _some(found, "hydride") & _some(found, "tc", "pairing", "vortex"),
-        _some(found, "topological") & _some(found, "josephson", "andreev", "pairing"),
-    ])
+    return any_of([_some(found, *ALWAYS_KEPT), *[_some(found, *a) & _some(found, *b) for a, b in KEPT_WITH]])
 
 
 def candidate_class(found: Column) -> Column:
-    likely = _some(found, *MATERIAL_TAGS) & _some(found, "superconduct", "cuprate", "pnictide", "nickelate", "mgb2")
+    likely = _some(found, *MATERIAL_TAGS) & _some(found, *HOSTS)
     return (
         F.when(likely, "materials_tc_likely").when(_some(found, *DEVICE_TAGS), "devices_or_theory")
         .when(_some(found, "superconduct"), "general_superconductivity").otherwise("keyword_candidate")
@@ -158,10 +160,6 @@ def date_of_parts(parts: Column) -> Column:
     return F.when(at(1, None).isNotNull(), F.to_date(F.try_to_timestamp(written, F.lit("yyyy-MM-dd"))))
 
 
-def sortable(text: Column) -> Column:
-    return F.lower(F.trim(text))
-
-
 def geo_union(lists: Column) -> Column:
     """Distinct place names of many lists, case folded, in first spelling by order, sorted."""
     flat = F.filter(F.transform(F.flatten(lists), F.trim), lambda x: x != "")

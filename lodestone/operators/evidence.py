@@ -46,10 +46,9 @@ def weighted_mode(df: DataFrame, entity: str, source: str, value: str, confidenc
     said = F.trim(F.col(value).cast("string"))
     key = F.when((F.lower(said) != "") & (F.lower(said) != "unknown"), F.lower(said))
     rows = df.select(entity, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), key.alias("k"), said.alias("said"), w.alias("w"))
-    spelled = rows.groupBy(entity, "k", "said", "s").agg(F.count("*").alias("c"), F.sum("w").alias("w"))
-    spelling = spelled.groupBy(entity, "k", "said").agg(F.sum("c").alias("c"))
+    spelling = rows.groupBy(entity, "k", "said").agg(F.count("*").alias("c"))  # a row a spelling: combined before its shuffle
     best = spelling.groupBy(entity, "k").agg(F.max_by("said", F.struct("c", F.col("said"))).alias("said"), F.sum("c").alias("c"))
-    votes = spelled.groupBy(entity, "k").agg(F.sum("w").alias("w"), F.count_distinct("s").alias("voters"))
+    votes = rows.groupBy(entity, "k", "s").agg(F.sum("w").alias("w")).groupBy(entity, "k").agg(F.sum("w").alias("w"), F.count("*").alias("voters"))
     both = votes.withColumnRenamed("k", "_k").withColumnRenamed(entity, "_e").join(best, (F.col("_e") == F.col(entity)) & F.col("_k").eqNullSafe(F.col("k")))
     top = both.groupBy(entity).agg(
         F.sum("c").alias("records"),
@@ -74,6 +73,16 @@ def filled(value: str) -> Column:
     return F.when(F.col(value).cast("string") != "", F.col(value))
 
 
+def exact_median(df: DataFrame, entity: str, value: str, out: str = "median") -> DataFrame:
+    """(entity, out): the median of the values that are there. Equal values are counted first; the middle is found in running counts,
+    sorted on disk where an entity has many distinct values."""
+    cells = df.where(F.col(value).isNotNull()).groupBy(entity, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    own = Window.partitionBy(entity)
+    ranked = cells.withColumns({"upto": F.sum("c").over(own.orderBy("v")), "n": F.sum("c").over(own)})
+    middle = ranked.where((F.col("upto") * 2 >= F.col("n")) & ((F.col("upto") - F.col("c")) * 2 <= F.col("n")))  # one value, or the two about the middle
+    return middle.groupBy(entity).agg(((F.min("v") + F.max("v")) / 2).alias(out))
+
+
 def first_filled(value: str, order: list[str]) -> Column:
     """Aggregate: the first filled value in the given total order."""
     v = filled(value)

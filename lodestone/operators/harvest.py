@@ -204,8 +204,3 @@ def dashboard(papers: DataFrame, materials: DataFrame, chunks: DataFrame) -> Dat
     ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
-
-def keep_earlier(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row a key without regard to case: the earliest spelling."""
-    w = Window.partitionBy(F.lower(key)).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

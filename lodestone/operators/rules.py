@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import top_k
+
 # Highest plausible value by family, for audits and for tiers.
 AUDIT_CAPS = {
     "cuprate": 165.0, "iron_based": 110.0, "nickelate": 85.0, "hydride": 270.0, "mgb2": 42.0, "heavy_fermion": 25.0, "fulleride": 45.0,
@@ -61,8 +63,8 @@ def report(before: DataFrame, after: DataFrame, key: str = "id", samples: int =
     old = before.select(F.col(key).alias("_k"), F.col("needs_review").alias("_was"))
     new = after.join(old, F.col(key) == F.col("_k")).where("needs_review and not _was").select(F.col("review_reason").alias("rule"), key)
     both = new.unionByName(after.select(F.explode("counted").alias("rule"), key))
-    first = both.withColumn("_n", F.row_number().over(Window.partitionBy("rule").orderBy(key)))
-    return first.groupBy("rule").agg(F.count("*").alias("rows_flagged"), F.array_sort(F.collect_list(F.when(F.col("_n") <= samples, F.col(key)))).alias("sample"))
+    first = top_k(both, ["rule"], [F.col(key)], samples, "_n").groupBy("rule").agg(F.array_sort(F.collect_list(key)).alias("sample"))
+    return both.groupBy("rule").agg(F.count("*").alias("rows_flagged")).join(first, "rule")
 
 
 def deltas(reports: DataFrame) -> DataFrame:
@@ -71,32 +73,50 @@ def deltas(reports: DataFrame) -> DataFrame:
     return reports.withColumn("delta", F.col("rows_flagged") - before)
 
 
-def standard(papers: DataFrame, overrides: DataFrame, year: int) -> list[Rule]:
-    """The eleven standard rules over summaries that carry their records as an array."""
-    rec = lambda f: F.exists("records", f)
-    review = papers.where(F.size("materials_extracted") >= 15).select(F.col("id").alias("_paper"), F.lit(True).alias("_review"))
+def flat_records(rows: DataFrame) -> DataFrame:
+    """(id, place, fields of a record) of summaries that carry their records as an array."""
+    return rows.select("id", F.posexplode("records").alias("place", "r")).select("id", "place", "r.*")
+
+
+def standard(papers: DataFrame, overrides: DataFrame, year: int, records: DataFrame | None = None) -> list[Rule]:
+    """The eleven standard rules over summaries. records: (id, place, paper_id, pressure_gpa, tc_kelvin, ambient_sc, year), a row a record;
+    without it the summaries carry their records as an array. Rules read one row of flags an entity, summed up before the shuffle."""
+    review = papers.where(F.size("materials_extracted") >= 15).select(F.col("id").alias("_paper"))
     caps = overrides.where("field = 'tc_max' and is_cap").groupBy(F.col("canonical").alias("_c")).agg(F.min("override_value").try_cast("double").alias("_cap"))
     gone = papers.where("status = 'retracted'").select(F.col("id").alias("_rp"))
 
+    def of(rows: DataFrame) -> DataFrame:
+        return (flat_records(rows) if records is None else records).withColumnRenamed("id", "_m")
+
+    def seen(rows: DataFrame) -> DataFrame:
+        p, tc = F.col("pressure_gpa"), F.col("tc_kelvin")
+        any_ = lambda c: F.max(F.coalesce(c, F.lit(False)))
+        flags = of(rows).groupBy("_m").agg(
+            any_((p < 0) | (p > 500)).alias("_pressure"), any_((tc > 100) & (p < 50)).alias("_hot"), any_(F.col("ambient_sc") & (p > 1)).alias("_pressed"),
+            any_((F.col("year") < 1980) | (F.col("year") > year + 1)).alias("_odd_year"), F.max("year").alias("_latest"),
+        )
+        return rows.join(flags, F.col("id") == F.col("_m"), "left").drop("_m")
+
     def reviewed(rows: DataFrame) -> DataFrame:
-        return rows.join(review, F.try_element_at("records", F.lit(1))["paper_id"] == F.col("_paper"), "left")
+        first = of(rows).groupBy("_m").agg(F.min_by("paper_id", "place").alias("_first")).join(review, F.col("_first") == F.col("_paper"), "left_semi")
+        return rows.join(first.select("_m", F.lit(True).alias("_review")), F.col("id") == F.col("_m"), "left").drop("_m")
 
     def compound(rows: DataFrame) -> DataFrame:
         return rows.join(caps, F.col("formula_normalized") == F.col("_c"), "left")
 
     def retracted(rows: DataFrame) -> DataFrame:
-        said = rows.select(F.col("id").alias("_m"), F.explode("records").alias("r")).where("r.paper_id is not null")
-        all_ = said.join(gone, F.col("r.paper_id") == F.col("_rp"), "left").groupBy("_m").agg((F.count("*") == F.count("_rp")).alias("_sole"))
-        return rows.join(all_, F.col("id") == F.col("_m"), "left")
+        said = of(rows).where("paper_id is not null").groupBy("_m", "paper_id").agg(F.lit(1).alias("_one"))
+        all_ = said.join(gone, F.col("paper_id") == F.col("_rp"), "left").groupBy("_m").agg((F.count("*") == F.count("_rp")).alias("_sole"))
+        return rows.join(all_, F.col("id") == F.col("_m"), "left").drop("_m")
 
     return [
         Rule("tc_exceeds_family_cap", "critical", F.col("tc_max") > capped(AUDIT_CAPS, F.col("family"))),
         Rule("tc_at_ambient_above_record", "critical", F.col("ambient_sc") & (F.col("tc_max") > 152)),
-        Rule("implausible_pressure", "critical", rec(lambda r: (r["pressure_gpa"] < 0) | (r["pressure_gpa"] > 500))),
-        Rule("hydride_low_pressure_high_tc", "critical", (F.col("family") == "hydride") & rec(lambda r: (r["tc_kelvin"] > 100) & (r["pressure_gpa"] < 50))),
-        Rule("ambient_sc_with_high_pressure", "critical", rec(lambda r: r["ambient_sc"] & (r["pressure_gpa"] > 1))),
-        Rule("record_year_out_of_range", "warn", rec(lambda r: (r["year"] < 1980) | (r["year"] > year + 1))),
-        Rule("arxiv_year_mismatch", "info", rec(lambda r: r["year"] - 5 > F.col("arxiv_year"))),
+        Rule("implausible_pressure", "critical", F.col("_pressure"), seen),
+        Rule("hydride_low_pressure_high_tc", "critical", (F.col("family") == "hydride") & F.col("_hot")),
+        Rule("ambient_sc_with_high_pressure", "critical", F.col("_pressed")),
+        Rule("record_year_out_of_range", "warn", F.col("_odd_year")),
+        Rule("arxiv_year_mismatch", "info", F.col("_latest") - 5 > F.col("arxiv_year")),
         Rule("citation_conflation_review_paper", "critical", F.col("id").startswith("mat:") & (F.col("total_papers") == 1) & (F.col("tc_max") > 80) & F.col("_review"), reviewed),
         Rule("tc_exceeds_compound_cap", "critical", F.col("tc_max") > F.col("_cap"), compound),
         Rule("family_unconv_contradiction", "critical", F.col("is_unconventional") & (F.col("family") == "conventional")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -74,14 +75,71 @@ def valleys(bins: DataFrame, at: str = "bin", n: str = "n", near: float = 5, far
     return bins.withColumns({"left_peak": left, "right_peak": right}).withColumn("depth", F.round(F.try_divide(F.col(n), F.least("left_peak", "right_peak")), 4))
 
 
-def poisson_lower_tail(k: Column, mean: Column, most: int = 200) -> Column:
-    """P(X <= k) for a Poisson mean; k up to `most`."""
-    terms = F.transform(F.sequence(F.lit(0), F.least(k.cast("int"), F.lit(most))), lambda i: F.exp(-mean + i * F.ln(mean) - _log_factorial(i)))
-    return F.when(mean > 0, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(1.0)
+def _log_gamma(x: Column) -> Column:
+    """ln of the gamma function of x >= 1: Stirling's series, eight places up."""
+    y = x + 8
+    shift = reduce(lambda a, i: a * (x + i), range(1, 8), x)
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - F.ln(shift)
 
 
-def _log_factorial(i: Column) -> Column:
-    return F.aggregate(F.when(i > 0, F.sequence(F.lit(1), i)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, x: a + F.ln(x.cast("double")))
+def _series(n: Column, ratio) -> Column:
+    """1 + r(1) + r(1) r(2) + ... of n terms after the first."""
+    zero = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    step = lambda a, i: F.struct((a["term"] * ratio(i)).alias("term"), (a["sum"] + a["term"] * ratio(i)).alias("sum"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), zero, step)["sum"]).otherwise(1.0)
+
+
+def poisson_lower_tail(k: Column, mean: Column) -> Column:
+    """P(X <= k) for a Poisson mean, any k: the terms from k down, or one minus those from k + 1 up, each until they no longer count."""
+    k, mean = k.cast("double"), mean.cast("double")
+    probability = lambda i: F.exp(i * F.ln(mean) - mean - _log_gamma(i + 1))
+    reach = lambda x: F.ceil(40 + 12 * F.sqrt(x)).cast("int")
+    below = probability(k) * _series(F.least(k.cast("int"), reach(k)), lambda i: (k - i + 1) / mean)
+    above = probability(k + 1) * _series(reach(mean), lambda i: mean / (k + 1 + i))
+    return F.when(k < 0, 0.0).when(mean <= 0, 1.0).when(k <= mean, below).otherwise(1 - above)
+
+
+def valley_test(df: DataFrame, value: str, left: tuple[float, float], valley: tuple[float, float], right: tuple[float, float], candidates: int = 8,
+                widths: tuple[int, ...] = (5, 10, 15), replicates: int = 2000, seed: int = 42) -> DataFrame:
+    """(metric, value) of a gap between two peaks of a distribution.
+
+    Counts and densities of the three ranges [from, to); the count expected in the valley if its density were the geometric mean of the
+    peaks'; the Poisson lower tail, raw and times `candidates` (Bonferroni, 1 at most); for each bin width, the least valley bin over
+    the highest peak bin; the 95 % interval of valley density over the lower peak density by `replicates` Poisson resamplings of the
+    three counts. One pass over df; all else is on a row of counts.
+    """
+    v = F.col(value)
+    inside = lambda r: (v >= r[0]) & (v < r[1])
+    names, ranges = ("left", "valley", "right"), (left, valley, right)
+    every = {f"n_{n}": F.count_if(inside(r)) for n, r in zip(names, ranges)}
+    bins = {w: [[(a, min(a + w, r[1])) for a in np.arange(r[0], r[1], w).tolist() if a + w <= r[1]] for r in ranges] for w in widths}
+    for w, of in bins.items():
+        for n, cut in zip(names, of):
+            every |= {f"b_{w}_{n}_{j}": F.count_if(inside(x)) for j, x in enumerate(cut)}
+    one = df.agg(*[c.cast("double").alias(n) for n, c in every.items()])
+    rate = {n: F.col(f"n_{n}") / (r[1] - r[0]) for n, r in zip(names, ranges)}
+    expected = F.sqrt(rate["left"] * rate["right"]) * (valley[1] - valley[0])
+    out = {**{f"n_{n}": F.col(f"n_{n}") for n in names}, **{f"density_{n}": F.round(rate[n], 6) for n in names}, "expected": F.round(expected, 6)}
+    out["p_raw"] = poisson_lower_tail(F.col("n_valley"), expected)
+    out["p_bonferroni"] = F.least(F.lit(1.0), out["p_raw"] * candidates)
+    for w, (lefts, lows, rights) in bins.items():
+        cols = lambda n, cut: [F.col(f"b_{w}_{n}_{j}") for j in range(len(cut))]  # noqa: E731, B023
+        peaks, low = cols("left", lefts) + cols("right", rights), cols("valley", lows)
+        out[f"depth_{w}"] = F.round(F.try_divide(F.array_min(F.array(*low)), F.array_max(F.array(*peaks))), 6) if peaks and low else F.lit(None).cast("double")
+
+    def resampled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in parts:
+            for l, m, r in zip(t["n_left"], t["n_valley"], t["n_right"]):
+                rng = np.random.default_rng(seed)
+                x = [rng.poisson(n, replicates) / (b - a) for n, (a, b) in zip((l, m, r), ranges)]
+                low = np.minimum(x[0], x[2])
+                rho = x[1][low > 0] / low[low > 0]
+                a, b = np.percentile(rho, [2.5, 97.5]) if len(rho) else (math.nan, math.nan)
+                yield pd.DataFrame({"metric": ["depth_ci_low", "depth_ci_high"], "value": [a, b]})
+
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in out.items()])
+    rows = one.select(F.explode(pairs).alias("p")).select("p.metric", "p.value")
+    return rows.unionByName(one.select("n_left", "n_valley", "n_right").mapInPandas(resampled, "metric string, value double"))
 
 
 def density(bins: DataFrame, at: str, n: str, grid: list[float], bandwidth: float) -> DataFrame:

@@ -74,18 +74,18 @@ def records(papers: DataFrame) -> DataFrame:
     given = set(flat.select("r.*").columns)
     flat = flat.select("paper_id", "tier", "factor", "paper_year", "ord", *[F.col(f"r.{c}") for c in given if c not in ("paper_id", "ord", "year")],
                        F.coalesce(F.col("r.year") if "year" in given else F.lit(None), F.col("paper_year")).cast("int").alias("year"))
-    bare = F.regexp_replace(F.trim("formula"), r"(?U)\s+", "")
-    key = formulas.canonical(bare)
+    on_bare = lambda f: lambda c: f(F.regexp_replace(F.trim(c), r"(?U)\s+", ""))
+    flat = formulas.described(flat, "formula", key=on_bare(formulas.canonical), _reason=on_bare(formulas.invalid_reason), shown=on_bare(formulas.display))
     skip = F.coalesce(
         F.when(F.coalesce("formula", F.lit("")) == "", "no_formula"),
-        formulas.invalid_reason(bare),
+        F.col("_reason"),
         F.when(F.col("evidence_type") == "cited", "cited"),
         F.when(F.col("confidence") < MIN_CONFIDENCE, "low_confidence"),
         F.when(~F.col("tc_kelvin").between(*TC_RANGE), "tc_out_of_range"),
-        F.when(key == "", "empty_key"),
+        F.when(F.col("key") == "", "empty_key"),
     )
     lowered = F.when(F.col("factor") < 1, F.round(F.coalesce("confidence", F.lit(ev.DEFAULT_WEIGHT)) * F.col("factor"), 3)).otherwise(F.col("confidence"))
-    return flat.withColumns({"skip": skip, "key": key, "shown": formulas.display(bare), "confidence": lowered}).drop("factor", "paper_year")
+    return flat.withColumns({"skip": skip, "confidence": lowered}).drop("factor", "paper_year", "_reason")
 
 
 def _first_override(overrides: DataFrame, cap: bool) -> DataFrame:
@@ -148,6 +148,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         _wide(votes, {c: (c, "v") for c in VOTED}),
         _wide(agreed, {c: (c, "v") for c in FLAGS}),
         ev.display_form(rows, "key", "shown", "formula"),
+        *[ev.exact_median(rows, "key", c, c) for c in MEDIANS],
     ]
     amb = F.when(F.col("ambient"), tc)
     base = rows.groupBy("key").agg(
@@ -158,7 +159,6 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         ev.spread_dispute(amb).alias("spread"),
         ev.dominance(F.col("cited"), F.col("theory")).alias("dominant_evidence"),
         *[F.max(c).alias(c) for c in LARGEST],
-        *[F.median(c).alias(c) for c in MEDIANS],
         ev.earliest_filled("crystal_structure", "year", ORDER).alias("crystal_structure"),
         ev.earliest_filled("space_group", "year", ORDER).alias("space_group"),
         ev.first_filled("hc2_conditions", ORDER).alias("hc2_conditions"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import conjunction
+from .rules import conjunction, flat_records
 from .summary import CALCULATED, MEASURED
 from .tables import keep_first
 
@@ -19,9 +19,12 @@ def is_theory(measurement: Column, paper_type: Column, pressure: Column) -> Colu
     return F.when(m.isin(*MEASURED), False).when(m.isin(*CALCULATED), True).otherwise(by_type)
 
 
-def points(materials: DataFrame, papers: DataFrame, last_year: int, only_aps: bool = False, experimental_only: bool = False) -> DataFrame:
-    """One point a (material, year, value to 0.1, whole pressure, theory), the first record by position; years missing in a record come from its paper."""
-    flat = materials.select("id", "formula", "family", F.posexplode("records").alias("ord", "r"))
+def points(materials: DataFrame, papers: DataFrame, last_year: int, only_aps: bool = False, experimental_only: bool = False, records: DataFrame | None = None) -> DataFrame:
+    """One point a (material, year, value to 0.1, whole pressure, theory), the first record by position; years missing in a record come
+    from its paper. records: (id, place, fields), a row a record; without it the materials carry their records as an array."""
+    told = flat_records(materials) if records is None else records
+    told = told.select("id", F.col("place").alias("ord"), F.struct(*[c for c in told.columns if c not in ("id", "place")]).alias("r"))
+    flat = materials.select("id", "formula", "family").join(told, "id")
     year_of = papers.select(F.col("id").alias("_p"), F.coalesce(F.year("date_published"), F.year("date_submitted")).alias("_y"))
     rows = flat.join(year_of, F.col("r.paper_id") == F.col("_p"), "left")
     year = F.coalesce(F.nullif("r.year", F.lit(0)), F.nullif("r.measurement_year", F.lit(0)) if "measurement_year" in flat.select("r.*").columns else F.lit(None), F.col("_y"))

@@ -2,25 +2,63 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.numbers import cosine_distance, dot
+from lodestone.functions.numbers import cosine_distance
 
 from .tables import top_k
 
 
+BLOCK, ASKED = 16384, 2048
+
+
 def batch_knn(queries: DataFrame, points: DataFrame, k: int, qid: str = "query_id", pid: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """(qid, pid, rank, distance): the k nearest points of each query, ties to the smaller id, itself left out.
 
-    A stated set of queries meets every point that the filter leaves; Spark broadcasts the queries while they are below its size
-    limit, and a task keeps k points of each query before anything is shuffled.
+    Points are dealt into blocks of about BLOCK and queries into groups of about ASKED by hashes of their ids; each pair of a block and
+    a group is one product of two bounded matrices in double precision, and only k points a query and block go on. Vectors that are
+    null or zero, hold a null, or differ in length from the query have no distance and never show.
     """
     p = points.where(where) if where is not None else points
-    p = p.where(F.col(vector).isNotNull()).select(F.col(pid), F.col(vector).alias("_v"))
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(qid), F.col(vector).alias("_q"))
-    pairs = q.join(p, F.col(qid) != F.col(pid)).withColumn("distance", cosine_distance(F.col("_q"), F.col("_v")))
-    near = pairs.where("distance is not null").select(qid, pid, "distance")
+    p = p.where(F.col(vector).isNotNull()).select(F.col(pid).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks, groups = (max(1, math.ceil(n / most)) for n, most in ((p.count(), BLOCK), (q.count(), ASKED)))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = p.withColumn("block", deal(blocks)).withColumn("group", every(groups))
+    q = q.withColumn("group", deal(groups)).withColumn("block", every(blocks))
+    kinds = f"{qid} {queries.schema[qid].dataType.simpleString()}, {pid} {points.schema[pid].dataType.simpleString()}, distance double"
+
+    def sized(t: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Ids and unit vectors by length."""
+        out: dict[int, list] = {}
+        for i, v in zip(t["id"], t["v"]):
+            v = np.asarray(v, float)
+            n = np.sqrt((v * v).sum())
+            if n > 0:
+                out.setdefault(len(v), []).append((i, v / n))
+        return {d: (np.array([i for i, _ in rows]), np.stack([v for _, v in rows])) for d, rows in out.items()}
+
+    def meet(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out, here = [], sized(block)
+        for d, (ids, x) in sized(asked).items():
+            if d not in here:
+                continue
+            own, y = here[d]
+            for at in range(0, len(x), 256):
+                for i, far in zip(ids[at : at + 256], 1 - x[at : at + 256] @ y.T):
+                    far = np.where(own == i, np.inf, far)
+                    near = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1]) if len(far) > k else np.arange(len(far))
+                    near = near[np.lexsort((own[near], far[near]))][:k]
+                    out += [(i, own[j], far[j]) for j in near if far[j] < np.inf]
+        return pd.DataFrame(out, columns=[qid, pid, "distance"])
+
+    near = q.groupBy("block", "group").cogroup(p.groupBy("block", "group")).applyInPandas(meet, kinds)
     return top_k(near, [qid], [F.col("distance"), F.col(pid)], k)
 
 
@@ -64,6 +102,3 @@ def more_like_this(chunks: DataFrame, document: str, of, k: int, pid: str = "vec
     mean = named.groupBy(document).agg(F.avg("distance").alias("d"), F.count("*").alias("hits"))
     return mean.orderBy("d", document).limit(k).select(document, relevance(F.col("d")).alias("similarity"), "hits")
 
-
-def norms(points: DataFrame, pid: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    return points.select(pid, F.sqrt(dot(F.col(vector), F.col(vector))).alias("norm"))

@@ -238,15 +238,15 @@ def valley_depth(t, spark):
 
 
 @query("""
-WITH a AS (SELECT p_brand, count(*) AS n, max(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1996 AND p_size < 5 GROUP BY 1),
-b AS (SELECT p_brand, count(*) AS n, max(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1997 AND p_size < 5 GROUP BY 1)
+WITH a AS (SELECT p_brand, count(*) AS n, max(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1996 GROUP BY 1),
+b AS (SELECT p_brand, count(*) AS n, max(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1997 GROUP BY 1)
 SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, CASE WHEN a.p_brand IS NULL THEN 'added' WHEN b.p_brand IS NULL THEN 'removed'
  WHEN a.n IS DISTINCT FROM b.n OR a.q IS DISTINCT FROM b.q THEN 'changed' ELSE 'same' END AS side,
  CASE WHEN a.p_brand IS NULL OR b.p_brand IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.n IS DISTINCT FROM b.n THEN 'n' END, CASE WHEN a.q IS DISTINCT FROM b.q THEN 'q' END) END AS changed
 FROM a FULL JOIN b ON a.p_brand = b.p_brand""")
 def snapshot_diff(t, spark):
     """Two snapshots: what was added, removed or changed, and in which columns."""
-    j = t("lineitem").join(t("part").where("p_size < 5"), F.col("l_partkey") == F.col("p_partkey"))
+    j = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     side = lambda y: j.where(year() == y).groupBy("p_brand").agg(F.count("*").alias("n"), F.max("l_quantity").alias("q"))
     return T.diff(side(1996), side(1997), ["p_brand"], ["n", "q"]).withColumn("changed", F.array_join("changed", ","))
 
