@@ -138,7 +138,7 @@ def credibility(papers: DataFrame, overrides: DataFrame, refuted: DataFrame) ->
         F.count_distinct(F.nullif(F.col("r.formula"), F.lit(""))).alias("forms"),
         (F.count("k") > 0).alias("named"), F.count_if(F.col("k").isNotNull() & F.col("_rk").isNull()).alias("standing"),
         F.count_if(kind.isin("primary", "primary_experimental")).alias("primary"), F.count_if(kind == "cited").alias("cited"),
-        F.avg(F.when(F.col("r").isNotNull(), F.coalesce("r.confidence", F.lit(0.5)))).alias("conf"),
+        F.round(F.avg(F.when(F.col("r").isNotNull(), F.coalesce("r.confidence", F.lit(0.5)))), 9).alias("conf"),
         F.count_if(tc > 0).alias("tcs"), F.count_if((tc > 0) & (tc > cap * TOLERANCE)).alias("odd"),
         F.mode(F.lower(F.nullif(F.trim("r.paper_type"), F.lit(""))), True).alias("voted"),
     )

@@ -151,14 +151,16 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         *[ev.exact_median(rows, "key", c, c) for c in MEDIANS],
     ]
     amb = F.when(F.col("ambient"), tc)
-    base = rows.groupBy("key").agg(
-        F.count_distinct("paper_id").alias("total_papers"),
+    sizes = rows.groupBy("key", "paper_id").agg(F.lit(1).alias("_one")).groupBy("key").agg(F.count("paper_id").alias("total_papers"))
+    base = rows.groupBy("key").agg(  # numbers only: one hash aggregation, combined to a row an entity and partition
         F.max("given").alias("given"), F.max("good").alias("good"), F.max("cap").alias("cap"),
         F.min(F.when(F.col("year") > 1900, F.col("year"))).alias("arxiv_year"),
         F.max(F.coalesce("ambient_sc", F.lit(False))).alias("any_ambient"),
         ev.spread_dispute(amb).alias("spread"),
         ev.dominance(F.col("cited"), F.col("theory")).alias("dominant_evidence"),
         *[F.max(c).alias(c) for c in LARGEST],
+    )
+    picks = rows.groupBy("key").agg(
         ev.earliest_filled("crystal_structure", "year", ORDER).alias("crystal_structure"),
         ev.earliest_filled("space_group", "year", ORDER).alias("space_group"),
         ev.first_filled("hc2_conditions", ORDER).alias("hc2_conditions"),
@@ -168,7 +170,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         F.min("tier").alias("best_credibility_tier"),
     )
     s = base
-    for part in tops:
+    for part in (sizes, picks, *tops):
         s = s.join(part.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k"), "left").drop("_k")
     s = materialised(s, "votes")
     theory_only = F.col("tc_exp").isNull()
