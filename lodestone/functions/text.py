@@ -114,7 +114,7 @@ def enum(value: Column, allowed, underscore: bool = False) -> Column:
 
 def author_names(authors: Column) -> Column:
     """Trimmed names of a list of texts, empty ones left out."""
-    return F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), F.trim), lambda a: a.isNotNull() & (a != ""))
+    return F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a.isNotNull() & (a != ""))
 
 
 def short_credit(authors: Column) -> Column:
@@ -162,8 +162,8 @@ def date_of_parts(parts: Column) -> Column:
 
 def geo_union(lists: Column) -> Column:
     """Distinct place names of many lists, case folded, in first spelling by order, sorted."""
-    flat = F.filter(F.transform(F.flatten(lists), F.trim), lambda x: x != "")
-    folded = F.array_distinct(F.transform(flat, F.lower))
+    flat = F.filter(F.transform(F.flatten(lists), lambda x: F.trim(x)), lambda x: x != "")
+    folded = F.array_distinct(F.transform(flat, lambda x: F.lower(x)))
     return F.array_sort(F.transform(folded, lambda k: F.array_min(F.filter(flat, lambda x: F.lower(x) == k))))
 
 
@@ -171,6 +171,17 @@ def geo_confidence(explicit: Column, inferred: Column, countries: Column) -> Col
     return F.when(F.size(explicit) > 0, "high").when(F.size(inferred) > 0, "medium").when(F.size(countries) > 0, "low").otherwise("none")
 
 
+# Offset and prime of the 32-bit hash.
+FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
+
+
+def jitter(key: Column) -> Column:
+    """A number in [-0.5, 0.5) from the 32-bit FNV-1a hash of the key's code points: marks of equal place on a chart spread alike each time."""
+    points = F.transform(F.filter(F.split(key, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    step = lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(FNV_PRIME).cast("long"), F.lit(1 << 32))
+    return F.aggregate(points, F.lit(FNV_OFFSET).cast("long"), step) / float(1 << 32) - 0.5
+
+
 def fact_sentence(r: Column) -> Column:
     """One sentence on what a record says; null if it says nothing."""
     val = lambda c: F.nullif(r[c].cast("string"), F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,7 +73,33 @@ def alpha(df: DataFrame, item: str, value: str, interval: bool = False) -> DataF
     return t.select(F.col("n").cast("long").alias("values"), F.round(1 - F.try_divide(F.col("o") / F.col("n"), de), 6).alias("alpha"))
 
 
-def stability(df: DataFrame, paper: str, run: str, output: str) -> DataFrame:
-    """(paper, runs, distinct_outputs, same): whether every run of a paper gave the same set of outputs."""
-    sets = df.groupBy(paper, run).agg(F.array_sort(F.collect_set(output)).alias("s"))
-    return sets.groupBy(paper).agg(F.count("*").alias("runs"), F.count_distinct("s").alias("distinct_outputs")).withColumn("same", F.col("distinct_outputs") == 1)
+def run_stability(df: DataFrame, model: str, paper: str, run: str, item: str) -> DataFrame:
+    """(model, papers, stable, distinct, mean_outputs, pairs, identical, count_diff, median_dn) of repeated runs of each model.
+
+    A paper counts with every run that has it. stable: papers whose runs all gave one set of items; distinct: whose runs all differ. pairs: pairs
+    of runs of a paper, of which `identical` gave the same set and `count_diff` differ in its size; median_dn: the median of those size differences.
+    Runs are reduced to (set, runs that gave it) a paper, and size differences to counts, so pairs of runs are never listed.
+    """
+    sets = df.groupBy(model, paper, run).agg(F.array_sort(F.collect_set(item)).alias("s"))
+    kinds = sets.groupBy(model, paper, "s").agg(F.count("*").alias("c"))
+    sizes = kinds.groupBy(model, paper, F.size("s").alias("z")).agg(F.sum("c").alias("c"))
+    per = kinds.groupBy(model, paper).agg(F.sum("c").alias("runs"), F.count("*").alias("kinds"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("same"))
+    own = sizes.groupBy(model, paper).agg(F.collect_list(F.struct("z", "c")).alias("all"))  # at most as many sizes as runs
+    gaps = own.select(model, F.explode("all").alias("a"), "all").select(model, "a", F.explode("all").alias("b")).where("b.z > a.z")
+    gaps = gaps.groupBy(model, (F.col("b.z") - F.col("a.z")).alias("d")).agg(F.sum(F.col("a.c") * F.col("b.c")).alias("c"))
+    w = Window.partitionBy(model)
+    ranked = gaps.withColumns({"n": F.sum("c").over(w), "upto": F.sum("c").over(w.orderBy("d"))})
+    middle = ranked.where((F.col("upto") * 2 >= F.col("n")) & ((F.col("upto") - F.col("c")) * 2 <= F.col("n")))
+    moved = middle.groupBy(F.col(model).alias("_m")).agg(((F.min("d") + F.max("d")) / 2).alias("median_dn"), F.max("n").alias("count_diff"))
+    out = per.groupBy(model).agg(
+        F.count("*").alias("papers"), F.count_if(F.col("kinds") == 1).alias("stable"), F.count_if((F.col("kinds") == F.col("runs")) & (F.col("runs") > 1)).alias("distinct"),
+        F.round(F.avg("kinds"), 6).alias("mean_outputs"), F.sum(F.col("runs") * (F.col("runs") - 1) / 2).cast("long").alias("pairs"), F.sum("same").cast("long").alias("identical"),
+    )
+    return out.join(moved, F.col(model) == F.col("_m"), "left").drop("_m").fillna({"count_diff": 0, "median_dn": 0.0})
+
+
+def value_agreement(truth: DataFrame, found: DataFrame, keys: list[str], value: str, near: float = 2.0) -> DataFrame:
+    """One row: keys that both have with a value, and how many of the values differ by no more than `near`."""
+    t, f = (d.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(value).alias(name)) for d, name in ((truth, "_t"), (found, "_f")))
+    both = t.join(f, keys)
+    return both.agg(F.count("*").alias("compared"), F.count_if(F.abs(F.col("_t") - F.col("_f")) <= near).alias("close")).withColumn("rate", F.round(F.try_divide("close", "compared"), 6))

@@ -204,3 +204,11 @@ def dashboard(papers: DataFrame, materials: DataFrame, chunks: DataFrame) -> Dat
     ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
+
+def same_work(papers: DataFrame, preprint: str = "arxiv") -> DataFrame:
+    """papers (id, source, doi, title) with related_id: of a work that shares a DOI, or else a title (letters and digits, case folded),
+    the least id of the published version; null for that version itself and where there is none. One row a work is shuffled besides."""
+    key = F.coalesce(F.nullif(F.lower("doi"), F.lit("")), F.nullif(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", ""), F.lit("")))
+    rows = papers.withColumn("_work", key)
+    best = rows.where((F.col("source") != preprint) & F.col("_work").isNotNull()).groupBy(F.col("_work").alias("_w")).agg(F.min("id").alias("_best"))
+    return rows.join(best, F.col("_work") == F.col("_w"), "left").withColumn("related_id", F.when(F.col("_best") != F.col("id"), F.col("_best"))).drop("_work", "_w", "_best")

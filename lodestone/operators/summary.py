@@ -16,6 +16,7 @@ from lodestone.functions.text import source_label
 from lodestone.session import materialised
 
 from . import evidence as ev
+from .tables import stack_metrics
 
 # Fixed values of the pipeline.
 SANITY_MAX, CAP_SLACK, MIN_CONFIDENCE, TC_RANGE, NO_FAMILY_MAX = 250.0, 1.5, 0.3, (0.01, 300.0), 45.0
@@ -64,6 +65,11 @@ def is_theory(evidence: Column, measurement: Column, paper_type: Column) -> Colu
     )
 
 
+def classification(evidence: Column, measurement: Column, paper_type: Column) -> Column:
+    """cited, theoretical or experimental, as audits name a record."""
+    return F.when(evidence == "cited", "cited").when(is_theory(evidence, measurement, paper_type), "theoretical").otherwise("experimental")
+
+
 def records(papers: DataFrame) -> DataFrame:
     """One row a record of papers that count, with `key`, the confidence after the paper's tier, and `skip`: why it is left out."""
     tier = F.when((F.col("source") == "aps") | F.col("id").startswith("aps:"), "T1").otherwise(F.col("credibility_tier"))
@@ -301,6 +307,20 @@ def retire_orphans(merged: DataFrame, live: DataFrame) -> DataFrame:
     return rows.withColumns({"review_reason": F.when(hit, F.when(F.char_length(said) <= 200, said)).otherwise(F.col("review_reason")), "needs_review": F.col("needs_review") | hit}).drop("_k")
 
 
+def scorecard(s: DataFrame) -> DataFrame:
+    """(metric, value): what is doubtful in a run of summaries (columns as summarise() gives them)."""
+    shown, mark = F.col("formula"), formulas.signature(F.col("formula"))
+    bad = formulas.invalid_reason(F.regexp_replace(F.coalesce(shown, F.lit("")), r"(?U)\s+", "")).isNotNull()
+    theory_only = F.col("tc_max_experimental").isNull() & F.col("tc_max_theoretical").isNotNull() & (F.col("dominant_evidence") == "experimental")
+    counts = stack_metrics(s, {
+        "rows": F.count("*"), "needs_review": F.count_if("needs_review"), "visible": F.count_if(~F.col("needs_review")), "rejectable": F.count_if(bad),
+        "theory_headline": F.count_if(theory_only), "phase_inconsistent": F.count_if(F.col("structure_phase").isNotNull() & phase_checked(F.col("structure_phase"), shown).isNull()),
+        "null_family_with_papers": F.count_if(F.col("family").isNull() & (F.col("total_papers") > 0)),
+    })
+    groups = s.where(mark != "").groupBy(mark.alias("mark")).agg(F.min("formula_normalized").alias("low"), F.max("formula_normalized").alias("high"))
+    return counts.unionByName(stack_metrics(groups.where("low <> high"), {"near_duplicate_clusters": F.count("*")}))
+
+
 def link_variants(s: DataFrame, key: str = "formula_normalized", id: str = "id") -> DataFrame:
     """parent_id of variants whose parent is there, and variant_count of parents."""
     rows = s.withColumn("_p", formulas.parent_key(F.col(key)))

@@ -101,3 +101,38 @@ def merge_records(df: DataFrame, key: str, records: str, identity) -> DataFrame:
 def versioned(df: DataFrame, stamp: str) -> DataFrame:
     """One row: the version name of the latest stamp."""
     return df.agg(F.date_format(F.max(stamp), "'v'yyyy.MM.dd").alias("version"))
+
+
+def rewrite_records(records: Column, **fields) -> Column:
+    """The array of records with fields replaced by functions of the record, in the same order."""
+    def one(r: Column) -> Column:
+        for name, f in fields.items():
+            r = r.withField(name, f(r))
+        return r
+
+    return F.transform(records, one)
+
+
+def keep_records(records: Column, keep) -> Column:
+    """The records for which keep holds, in the same order; a condition without an answer does not drop a record."""
+    return F.filter(records, lambda r: F.coalesce(keep(r), F.lit(True)))
+
+
+def reordered(hits: DataFrame, by: str, missing, rank: str = "rank") -> DataFrame:
+    """A short list of hits by another column descending, `missing` where it is null; equal ones keep their rank."""
+    return hits.orderBy(F.coalesce(F.col(by), F.lit(missing).cast(hits.schema[by].dataType)).desc(), rank)
+
+
+def fidelity(fresh: DataFrame, old: DataFrame, key: str, fields: list[str], near: float = 0.05) -> DataFrame:
+    """(metric, value): how two runs of an aggregation agree: rows of each, of both, and of one only; per field the rows that match (numbers
+    within `near`, null equal to null)."""
+    a, b = fresh.select(key, F.struct(*fields).alias("_a")), old.select(key, F.struct(*fields).alias("_b"))
+    both = a.join(b, key, "full_outer")
+    shared = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+
+    def same(c: str) -> Column:
+        x, y = F.col(f"_a.{c}"), F.col(f"_b.{c}")
+        return x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= near, F.lit(False)) if fresh.schema[c].dataType.simpleString() in ("double", "float") else x.eqNullSafe(y)
+
+    metrics = {"fresh_rows": F.count("_a"), "old_rows": F.count("_b"), "in_both": F.count_if(shared), "orphans": F.count_if(F.col("_a").isNull()), "fresh_only": F.count_if(F.col("_b").isNull())}
+    return stack_metrics(both, metrics | {f"match_{c}": F.count_if(shared & same(c)) for c in fields})

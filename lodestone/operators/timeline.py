@@ -53,23 +53,28 @@ def visible(pending: bool = False) -> Column:
 
 
 def listing(materials: DataFrame, families: str = "", tc_min: float | None = None, min_papers: int | None = None, aps: bool = False,
-            max_tier: str | None = None, parents: bool = False, pending: bool = False, sort: str = "tc_max", offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page of summaries under optional filters, by one column descending, nulls last, ties by id; every row carries the total."""
+            max_tier: str | None = None, parents: bool = False, pending: bool = False, sort: str = "tc_max", offset: int = 0, limit: int = 50, records: DataFrame | None = None) -> DataFrame:
+    """One page of summaries under optional filters, by one column descending, nulls last, ties by id; every row carries the total.
+
+    records: (id, paper_id, ...), a row a record; without it the materials carry their records as an array.
+    """
     wanted = [f.strip() for f in families.split(",") if f.strip()]
     rows = materials.where(conjunction(
         visible(pending),
         F.col("family").isin(wanted) if wanted else None,
         F.col("tc_max") >= tc_min if tc_min is not None else None,
         F.col("total_papers") >= min_papers if min_papers is not None else None,
-        F.exists("records", lambda r: r["paper_id"].rlike("^aps:")) if aps else None,
+        F.exists("records", lambda r: r["paper_id"].rlike("^aps:")) if aps and records is None else None,
         F.col("best_credibility_tier") <= max_tier if max_tier else None,
         F.col("parent_id").isNull() if parents else None,
     ))
+    if aps and records is not None:
+        rows = rows.join(records.where(F.col("paper_id").startswith("aps:")).select("id").distinct(), "id", "left_semi")
     total = rows.agg(F.count("*").alias("total"))
     return rows.orderBy(F.col(sort).desc_nulls_last(), "id").offset(offset).limit(limit).join(total, F.lit(True))
 
 
-def phase_table(materials: DataFrame, id: str) -> DataFrame:
-    """The records of one material by pressure, value and year."""
-    flat = materials.where(F.col("id") == id).select(F.explode("records").alias("r")).select("r.*")
+def phase_table(materials: DataFrame, id: str, records: DataFrame | None = None) -> DataFrame:
+    """The records of one material by pressure, value and year. records: (id, fields), a row a record, if materials carry no arrays."""
+    flat = materials.where(F.col("id") == id).select(F.explode("records").alias("r")).select("r.*") if records is None else records.where(F.col("id") == id)
     return flat.orderBy(F.col("pressure_gpa").asc_nulls_last(), F.col("tc_kelvin").desc_nulls_last(), F.col("year").desc_nulls_last(), "paper_id")

@@ -26,3 +26,8 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def register(f, sql: str | None = None) -> None:
+    """query(sql) as a call."""
+    query(sql)(f)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
+import tempfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +61,14 @@ def pages_of_items(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("message.total-results").alias("total"), F.explode("message.items").alias("item"))
 
 
+def query_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(query, reported_total, pages, items, truncated) of landed pages of paged queries, a folder a query: whether all items have come."""
+    raw = spark.read.json(path, multiLine=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("query"), "message.*")
+    total, items = F.max("total-results"), F.sum(F.coalesce(F.size("items"), F.lit(0)))
+    one = raw.groupBy("query").agg(total.alias("reported_total"), F.count("*").alias("pages"), F.greatest(items, F.lit(0)).alias("items"))
+    return one.withColumn("truncated", F.coalesce((F.col("reported_total") > 0) & (F.col("items") < F.col("reported_total")), F.lit(False)))
+
+
 def feed(spark: SparkSession, path: str, defaults: dict[str, object]) -> DataFrame:
     """One row of a JSON file, missing fields filled from defaults."""
     df = spark.read.json(path, multiLine=True)
@@ -74,6 +88,57 @@ def oai_records(spark: SparkSession, path: str, category: str) -> DataFrame:
     )
 
 
+def oai_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(file, records, deleted, token, error) of landed harvest pages. A harvest is whole when one page a request has no token left."""
+    record = "array<struct<header: struct<_status: string>>>"
+    schema = f"error struct<_code: string>, ListRecords struct<record: {record}, resumptionToken: string>"
+    rows = spark.read.format("xml").option("rowTag", "OAI-PMH").option("ignoreNamespace", "true").schema(schema).load(path)
+    records = F.coalesce("ListRecords.record", F.array().cast(record))
+    return rows.select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.size(records).alias("records"),
+        F.size(F.filter(records, lambda r: F.coalesce(r["header"]["_status"] == "deleted", F.lit(False)))).alias("deleted"),
+        F.nullif(F.trim("ListRecords.resumptionToken"), F.lit("")).alias("token"), F.col("error._code").alias("error"),
+    )
+
+
+def sqlite(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
+    """The rows that sql gives on every SQLite file under path, a task a file; a file's bytes are the only thing a task holds."""
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for raw in part["content"]:
+                with tempfile.TemporaryDirectory() as own:
+                    name = os.path.join(own, "db")
+                    with open(name, "wb") as f:
+                        f.write(raw)
+                    db = sqlite3.connect(name)
+                    rows = db.execute(sql)
+                    while got := rows.fetchmany(10_000):
+                        yield pd.DataFrame(got, columns=names)
+                    db.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, schema)
+
+
+def dump(df: DataFrame, root: str, day: str, keep_days: int = 14) -> list[str]:
+    """A compressed snapshot of df under root/day=..., then snapshots more than keep_days older are deleted; the days that stay."""
+    df.write.mode("overwrite").option("compression", "gzip").json(f"{root.rstrip('/')}/day={day}")
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs, kept = top.getFileSystem(conf), []
+    first = pd.Timestamp(day) - pd.Timedelta(days=keep_days)
+    for entry in fs.listStatus(top):
+        name = entry.getPath().getName()
+        if name.startswith("day="):
+            if pd.Timestamp(name[4:]) < first:
+                fs.delete(entry.getPath(), True)
+            else:
+                kept.append(name[4:])
+    return sorted(kept)
+
+
 def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """A result as CSV with a header; with an order the files follow it, written by range so that no task holds all rows."""
     (df.orderBy(*order) if order else df).write.csv(path, header=True, mode="overwrite")

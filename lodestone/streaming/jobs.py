@@ -63,6 +63,63 @@ def alerts(df: DataFrame, key: str, failed: Column, order: list[str], after: int
     return run.where("_f").withColumn("streak", F.row_number().over(inside)).where(F.col("streak") == after).drop("_f", "_g")
 
 
+STREAKS = "key string, streak int, alert boolean"
+
+
+def _streaks(after: int):
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (streak,) = state.get if state.exists else (0,)
+        raised = False
+        for failed in pd.concat(list(parts)).sort_values("order")["failed"]:
+            streak = streak + 1 if failed else 0
+            raised |= streak == after
+        state.update((streak,))
+        yield pd.DataFrame({"key": [key[0]], "streak": [streak], "alert": [raised]})
+
+    return step
+
+
+def streaks(results: DataFrame, after: int = ALERT_AFTER) -> DataFrame:
+    """Results (key, failed, order) as a stream -> each key with news: its present run of failures, and whether it reached `after` just now.
+
+    `alerts` is the batch twin: the rows at which a run reaches `after`.
+    """
+    return results.groupBy("key").applyInPandasWithState(_streaks(after), STREAKS, "streak int", "update", GroupStateTimeout.NoTimeout)
+
+
+# Days to look back without a cursor, statuses that are final or done, seconds that a work folder lives.
+LOOK_BACK_DAYS, TERMINAL, DONE, FOLDER_SECONDS = 2, ("unsupported_no_jats", "unsupported_no_text"), ("ok", "ok_full"), 1800
+
+
+def since_cursor(df: DataFrame, cursor: Column, now: Column, ts: str = "ts", days: int = LOOK_BACK_DAYS) -> DataFrame:
+    """What a run has to take: from the day of the cursor on, or of `days` before now where there is none, up to now."""
+    first = F.coalesce(F.date_trunc("day", cursor), F.date_trunc("day", now - F.make_interval(days=F.lit(days))))
+    return df.where((F.col(ts) >= first) & (F.col(ts) <= now))
+
+
+def pending(wanted: DataFrame, history: DataFrame, key: str, order: list[str], status: str = "status") -> DataFrame:
+    """wanted without the keys whose last status is done or final; all others, failed and started ones too, are tried again."""
+    last = history.groupBy(F.col(key).alias("_k")).agg(F.max_by(status, F.struct(*order)).alias("_s"))
+    settled = last.where(F.col("_s").isin(*TERMINAL, *DONE))
+    return wanted.join(settled, F.col(key) == F.col("_k"), "left_anti")
+
+
+def throttled(df: DataFrame, key: str, ts: str, seconds: float, ties: list[str]) -> DataFrame:
+    """df with release: when a leaky bucket that passes one row of a key every `seconds` lets it go, as seconds since 1970.
+
+    release(k) = max(arrival(k), release(k - 1) + seconds) = seconds k + max over j <= k of (arrival(j) - seconds j), a running maximum.
+    """
+    w = Window.partitionBy(key).orderBy(ts, *ties)
+    at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    rows = df.withColumn("_k", F.row_number().over(w))
+    return rows.withColumn("release", F.max(at - F.col("_k") * seconds).over(w) + F.col("_k") * seconds).drop("_k")
+
+
+def expired(folders: DataFrame, now: Column, ts: str = "modified", seconds: int = FOLDER_SECONDS) -> DataFrame:
+    """Work folders that nothing has touched for longer than `seconds`."""
+    return folders.where(F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")) > seconds * 1_000_000)
+
+
 POOL = "key string, tries int, strategy string, state string"
 
 
