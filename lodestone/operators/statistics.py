@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import materialised
+
 
 def bootstrap(df: DataFrame, value: str, weight_seed: int = 42, replicates: int = 1000) -> DataFrame:
     """One row: mean and the 2.5 and 97.5 percentiles of its bootstrap means.
@@ -34,33 +36,70 @@ def bootstrap(df: DataFrame, value: str, weight_seed: int = 42, replicates: int
     return cells.agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")).join(ci, F.lit(True))
 
 
+VALUES, BOUNDS = 4096, 1024
+
+
+def _upto(cells: DataFrame) -> DataFrame:
+    """cells (v, c) with n and logs: count and sum of c ln v of the values from v on. Sums run inside ranges of v; a row a range gives the rest."""
+    ranges = materialised(cells.repartitionByRange("v").withColumn("_range", F.spark_partition_id()), "values")
+    log = F.col("c") * F.ln("v")
+    whole = ranges.groupBy("_range").agg(F.sum("c").alias("_c"), F.sum(log).alias("_l"))
+    after = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    later = whole.select("_range", *[F.coalesce(F.sum(x).over(after), F.lit(0.0)).alias(x) for x in ("_c", "_l")])
+    inside = Window.partitionBy("_range").orderBy(F.col("v").desc())
+    return ranges.join(later, "_range").select("v", "c", (F.sum("c").over(inside) + F.col("_c")).alias("n"), (F.sum(log).over(inside) + F.col("_l")).alias("logs"))
+
+
 def power_law(df: DataFrame, value: str, least_tail: int = 10) -> DataFrame:
     """One row: exponent, lower bound, distance and tail size of the best power law over positive whole numbers.
 
-    The maximum-likelihood exponent (continuous, shifted by 1/2) of every lower bound comes from running sums over the counts of
-    distinct values; the bound of least Kolmogorov-Smirnov distance wins. The table of distinct values is what is iterated.
+    The maximum-likelihood exponent (continuous, shifted by 1/2) of every lower bound comes from sums over the counts of distinct
+    values; the bound of least Kolmogorov-Smirnov distance wins, then the least bound. Distances are taken in bounded matrices, a block
+    of values against a group of bounds, so neither the values nor the bounds meet in one task.
     """
     cells = df.where(F.col(value) > 0).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("c"))
-
-    def fit(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("v")
-        v, c = t["v"].to_numpy(), t["c"].to_numpy()
-        best = None
-        for k, low in enumerate(v):
-            n = c[k:].sum()
-            logs = (c[k:] * np.log(v[k:] / (low - 0.5))).sum()
-            if n < least_tail or len(v) - k < 2 or logs <= 0:
-                break
-            a = 1 + n / logs
-            seen = np.cumsum(c[k:]) / n
-            model = 1 - ((v[k:] + 0.5) / (low - 0.5)) ** (1 - a)
-            d = np.abs(seen - model).max()
-            if best is None or d < best[2]:
-                best = (a, low, d, n)
-        a, low, d, n = best or (math.nan, math.nan, math.nan, 0)
-        return pd.DataFrame({"alpha": [a], "x_min": [low], "distance": [d], "tail": [int(n)]})
-
-    return cells.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(fit, "alpha double, x_min double, distance double, tail long")
+    tails = materialised(_upto(cells), "tails")
+    most, size = tails.agg(F.max("v"), F.count("*")).first()
+    spread = F.col("logs") - F.col("n") * F.ln(F.col("v") - 0.5)
+    bounds = tails.where((F.col("n") >= least_tail) & (F.col("v") < F.lit(most)) & (spread > 0)).select(F.col("v").alias("low"), F.col("n").alias("tail"), (1 + F.col("n") / spread).alias("alpha"))
+    blocks, groups = max(1, math.ceil(size / VALUES)), max(1, math.ceil(size / BOUNDS))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = bounds.withColumn("group", deal("low", groups)).withColumn("block", every(blocks))
+    right = tails.select("v", "c", "n").withColumn("block", deal("v", blocks)).withColumn("group", every(groups))
+
+    def distances(b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        low, tail, alpha = (b[x].to_numpy()[:, None] for x in ("low", "tail", "alpha"))
+        v, past = t["v"].to_numpy()[None], (t["n"] - t["c"]).to_numpy()[None]
+        if not v.size or not low.size:
+            return pd.DataFrame({"low": [], "d": []})
+        gap = np.abs((np.maximum(v + 0.5, low - 0.5) / (low - 0.5)) ** (1 - alpha) - past / tail)
+        return pd.DataFrame({"low": low[:, 0], "d": np.where(v >= low, gap, -1.0).max(axis=1)})
+
+    worst = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(distances, "low double, d double").groupBy("low").agg(F.max("d").alias("d"))
+    best = bounds.join(worst, "low").agg(F.min_by(F.struct("alpha", "low", "d", "tail"), F.struct(F.round("d", 12), F.col("low"))).alias("b"))
+    return best.select(F.col("b.alpha").alias("alpha"), F.col("b.low").alias("x_min"), F.col("b.d").alias("distance"), F.coalesce(F.col("b.tail"), F.lit(0)).cast("long").alias("tail"))
+
+
+def _erfc(z: Column) -> Column:
+    """Complementary error function of z >= 0, to seven places."""
+    t = 1 / (1 + 0.3275911 * z)
+    # Coefficients of the approximation.
+    poly = reduce(lambda a, c: a * t + c, (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592), F.lit(0.0))
+    return poly * t * F.exp(-z * z)
+
+
+def tail_ratio(df: DataFrame, value: str, x_min: float, alpha: float) -> DataFrame:
+    """One row: ratio, the log-likelihood of the power law over that of an exponential tail of the same bound, and p, how likely a ratio
+    so far from 0 is by chance; positive speaks for the power law. Sums over counts of distinct values in two passes."""
+    m = x_min - 0.5
+    cells = df.where(F.col(value) >= x_min).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("c"))
+    mean = cells.agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"))
+    rate = 1 / (F.col("mean") - m)
+    gap = F.ln(F.lit((alpha - 1) / m)) - alpha * F.ln(F.col("v") / m) - (F.ln(rate) - rate * (F.col("v") - m))
+    s = cells.join(mean, F.lit(True)).withColumn("g", gap).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("g")).alias("r"), F.sum(F.col("c") * F.col("g") * F.col("g")).alias("q"))
+    spread = F.sqrt(F.col("q") / F.col("n") - F.pow(F.col("r") / F.col("n"), 2))
+    return s.select(F.col("r").alias("ratio"), _erfc(F.abs("r") / (F.sqrt(2 * F.col("n")) * spread)).alias("p"))
 
 
 def histogram(df: DataFrame, value: str, width: float, out: str = "bin") -> DataFrame:

@@ -366,10 +366,24 @@ def chunk_windows(t, spark):
     return chunks(t("documents").withColumn("name", F.col("lang")), 512, 64).select("doc_id", "chunk", "tokens")
 
 
-@_rows_only
+@query("""
+WITH c AS (SELECT k::DOUBLE AS v, count(*)::DOUBLE AS c FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_partkey) GROUP BY 1),
+t AS (SELECT v, c, sum(c) OVER (ORDER BY v DESC) AS n, sum(c * ln(v)) OVER (ORDER BY v DESC) AS l FROM c),
+b AS (SELECT v AS low, n AS tail, 1 + n / (l - n * ln(v - 0.5)) AS alpha FROM t WHERE n >= 10 AND v < (SELECT max(v) FROM c)),
+d AS (SELECT low, tail, alpha, max(abs(pow((v + 0.5) / (low - 0.5), 1 - alpha) - (n - c) / tail)) AS d FROM b JOIN t ON v >= low GROUP BY ALL)
+SELECT round(arg_min(alpha, (round(d, 12), low)), 6) AS alpha, arg_min(low, (round(d, 12), low)) AS x_min, round(min(d), 6) AS distance, arg_min(tail, (round(d, 12), low))::BIGINT AS tail FROM d""")
 def power_law_fit(t, spark):
+    """The best power law in how many lines the parts have."""
     m = t("lineitem").groupBy("l_partkey").agg(F.count("*").alias("k"))
-    return statistics.power_law(m, "k")
+    return statistics.power_law(m, "k").withColumns({"alpha": F.round("alpha", 6), "distance": F.round("distance", 6)})
+
+
+@query("""
+WITH c AS (SELECT l_quantity::DOUBLE AS v, count(*)::DOUBLE AS c FROM lineitem WHERE l_quantity >= 5 GROUP BY 1), m AS (SELECT sum(c * v) / sum(c) - 4.5 AS s FROM c),
+g AS (SELECT c, ln(1.5 / 4.5) - 2.5 * ln(v / 4.5) + ln(s) + (v - 4.5) / s AS g FROM c, m) SELECT round(sum(c * g), 4) AS ratio FROM g""")
+def tail_likelihood(t, spark):
+    """A power law against an exponential tail."""
+    return statistics.tail_ratio(t("lineitem"), "l_quantity", 5.0, 2.5).select(F.round("ratio", 4).alias("ratio"))
 
 
 @_rows_only
@@ -377,13 +391,18 @@ def bootstrap_mean(t, spark):
     return statistics.bootstrap(t("lineitem"), "l_quantity", replicates=400)
 
 
-@_rows_only
+@query(r"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+ '[\s\p{Z}]+', ' ', 'g')) AS text FROM pages""")
 def markup_plain(t, spark):
     """Pages as plain text."""
     return t("pages").select("page_id", text.plain_markup(F.col("html")).alias("text"))
 
 
-@_rows_only
+@query("""
+WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS tc, l_quantity / 20 AS lam, l_tax AS mu, l_extendedprice / 100 AS o FROM lineitem),
+e AS (SELECT *, lam - mu * (1 + 0.62 * lam) AS low, CASE WHEN lam - mu * (1 + 0.62 * lam) > 0 THEN o / 1.2 * exp(-1.04 * (1 + lam) / (lam - mu * (1 + 0.62 * lam))) END AS est FROM x)
+SELECT l_orderkey, l_linenumber, round(est, 3) AS estimate, concat_ws(',', CASE WHEN low <= 0 THEN 'allen_dynes_denominator_nonpositive' END, CASE WHEN tc > 0 AND abs(est - tc) / greatest(tc, 1) > 0.6 THEN 'allen_dynes_mismatch' END) AS flags FROM e""")
 def coupling_check(t, spark):
     """A physical estimate against a stated value, with the flags it raises."""
     lam, mu, omega = F.col("l_quantity") / 20, F.col("l_tax"), F.col("l_extendedprice") / 100
@@ -393,7 +412,9 @@ def coupling_check(t, spark):
     )
 
 
-@_rows_only
+@query("""
+SELECT CASE WHEN l_linenumber % 3 = 0 THEN false WHEN l_linenumber % 3 = 1 THEN true ELSE l_returnflag = 'R' AND l_tax > 0 END AS theory, count(*) AS n FROM lineitem GROUP BY 1""")
 def timeline_theory(t, spark):
-    kind = timeline.is_theory(F.col("l_shipinstruct") if "l_shipinstruct" in t("lineitem").columns else F.lit(None).cast("string"), F.col("l_returnflag"), F.col("l_tax"))
+    said = F.element_at(F.array(F.lit(" ARPES"), F.lit("Eliashberg"), F.lit("unknown")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    kind = timeline.is_theory(said, F.when(F.col("l_returnflag") == "R", "theoretical"), F.col("l_tax"))
     return t("lineitem").groupBy(kind.alias("theory")).agg(F.count("*").alias("n"))
