@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import DOI, doi
 
 
+#: Stands for a quoted empty field while a file is read.
+EMPTY = "\x01"
+
+
 def csv_aliased(spark: SparkSession, path: str, aliases: dict[str, list[str]], required: list[str], sep: str = ",") -> DataFrame:
     """A CSV table with its columns renamed to logical names; headers match without case, the first alias wins. All values are text.
 
@@ -29,7 +33,8 @@ def csv_aliased(spark: SparkSession, path: str, aliases: dict[str, list[str]], r
 
 def tsv(spark: SparkSession, path: str) -> DataFrame:
     """A TSV table in which a quoted empty field is an empty text and a bare one is null."""
-    return spark.read.csv(path, header=True, sep="\t", emptyValue="", nullValue=None)
+    rows = spark.read.csv(path, header=True, sep="\t", emptyValue=EMPTY)  # Spark reads both as null if they read alike
+    return rows.select(*[F.when(F.col(f"`{c}`") == EMPTY, "").otherwise(F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

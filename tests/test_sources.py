@@ -1,6 +1,7 @@
 import gzip
 import io
 import json
+import sqlite3
 import tarfile
 
 import pytest
@@ -94,3 +95,47 @@ def test_sinks(spark, tmp_path):
     files.write_jsonl(df, f"{tmp_path}/j")
     assert files.jsonl(spark, f"{tmp_path}/j", "k int, v string").count() == 2
     assert spark.read.parquet(files.write_version(df, f"{tmp_path}/t", "v2024.01.01")).count() == 2
+
+
+def test_tsv_keeps_quoted_empty_apart_from_null(spark, tmp_path):
+    path = put(tmp_path / "t.tsv", 'a\tb\n1\t""\n2\t\n3\tx\n')
+    assert [(r.a, r.b) for r in files.tsv(spark, path).orderBy("a").collect()] == [("1", ""), ("2", None), ("3", "x")]
+
+
+def test_lines(spark, tmp_path):
+    files.write_lines(spark.createDataFrame([(1,), (2,)], "k int"), "k", f"{tmp_path}/l")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/l").collect()) == ["1", "2"]
+
+
+def test_sqlite_files(spark, tmp_path):
+    for k in range(3):
+        db = sqlite3.connect(tmp_path / f"{k}.db")
+        db.execute("create table ratings (model text, score real)")
+        db.executemany("insert into ratings values (?, ?)", [(f"m{k}", i / 2) for i in range(k * 3)])
+        db.commit()
+        db.close()
+    got = files.sqlite(spark, f"{tmp_path}/*.db", "select model, score from ratings order by score", "model string, score double").collect()
+    assert sorted(map(tuple, got)) == sorted((f"m{k}", i / 2) for k in range(3) for i in range(k * 3))
+
+
+def test_paged_harvests(spark, tmp_path):
+    page = lambda n, token, error="": f'<OAI-PMH>{error}<ListRecords>' + "".join(f'<record><header{" status=" + chr(34) + "deleted" + chr(34) if i == 0 else ""}><identifier>{i}</identifier></header></record>' for i in range(n)) + f"<resumptionToken>{token}</resumptionToken></ListRecords></OAI-PMH>"
+    put(tmp_path / "1.xml", page(3, "next"))
+    put(tmp_path / "2.xml", page(2, ""))
+    put(tmp_path / "3.xml", '<OAI-PMH><error code="noRecordsMatch">none</error></OAI-PMH>')
+    got = {r.file: (r.records, r.deleted, r.token, r.error) for r in files.oai_pages(spark, f"{tmp_path}/*.xml").collect()}
+    assert got == {"1.xml": (3, 1, "next", None), "2.xml": (2, 1, None, None), "3.xml": (0, 0, None, "noRecordsMatch")}
+    for q, total, sizes in (("a", 5, (2, 2)), ("b", 3, (2, 1))):
+        (tmp_path / q).mkdir()
+        for k, n in enumerate(sizes):
+            put(tmp_path / q / f"{k}.json", json.dumps({"message": {"total-results": total, "items": [{"DOI": f"{q}{k}{i}"} for i in range(n)]}}))
+    told = {r["query"]: (r.reported_total, r.pages, r["items"], r.truncated) for r in files.query_summary(spark, f"{tmp_path}/[ab]/*.json").collect()}
+    assert told == {"a": (5, 2, 4, True), "b": (3, 2, 3, False)}
+
+
+def test_dumps_are_pruned(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    for day in ("2024-01-01", "2024-01-10", "2024-01-16"):
+        kept = files.dump(df, str(tmp_path / "d"), day)
+    assert kept == ["2024-01-10", "2024-01-16"]
+    assert spark.read.json(str(tmp_path / "d")).count() == 2

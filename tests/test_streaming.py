@@ -55,3 +55,28 @@ def test_refresh_and_batch_rules(spark, events, tmp_path):
     assert [r.i for r in jobs.alerts(runs, "k", F.col("failed"), ["i"]).orderBy("i").collect()] == [5]
     good = {r.b: r.good for r in jobs.good_batches(spark.createDataFrame([("p", 1), ("p", 0), ("q", 1)], "b string, ok int"), "b", F.col("ok") == 1).collect()}
     assert good == {"p": False, "q": True}
+
+
+def test_streaks_equal_their_batch_twin(spark, tmp_path):
+    rows = [(k, not ((i * 7 + len(k)) % 5 == 0), i) for k in ("a", "bb", "ccc") for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, failed boolean, order int")
+    for part in range(4):  # a file a batch, in order
+        df.where(F.col("order").between(part * 10, part * 10 + 9)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/p{part}")
+    alerts = {(r.key, r.order // 10) for r in jobs.alerts(df, "key", F.col("failed"), ["order"]).collect()}
+    seen = set()
+    for part in range(4):
+        spark.read.parquet(f"{tmp_path}/in/p{part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/live")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/live")
+        q = jobs.streaks(stream).writeStream.foreachBatch(lambda d, _, part=part: seen.update((r.key, part) for r in d.where("alert").collect()))
+        q.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    assert alerts and seen == alerts
+
+
+def test_cursor_and_terminal_statuses(spark):
+    e = spark.createDataFrame([(i, f"2024-01-{i:02d} 12:00:00") for i in range(1, 11)], "i int, ts string").withColumn("ts", F.to_timestamp("ts"))
+    now = F.lit("2024-01-10 18:00:00").cast("timestamp")
+    assert sorted(r.i for r in jobs.since_cursor(e, F.lit(None).cast("timestamp"), now).collect()) == [8, 9, 10]
+    assert sorted(r.i for r in jobs.since_cursor(e, F.lit("2024-01-05 23:00:00").cast("timestamp"), now).collect()) == [5, 6, 7, 8, 9, 10]
+    past = spark.createDataFrame([("a", 1, "started"), ("a", 2, "ok_full"), ("b", 1, "unsupported_no_text"), ("c", 1, "dry_run_error")], "k string, n int, status string")
+    left = jobs.pending(spark.createDataFrame([(k,) for k in "abcd"], "k string"), past, "k", ["n"])
+    assert sorted(r.k for r in left.collect()) == ["c", "d"]
