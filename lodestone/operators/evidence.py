@@ -61,11 +61,15 @@ def weighted_mode(df: DataFrame, entity: str, source: str, value: str, confidenc
 
 def weighted_flag(df: DataFrame, entity: str, flag: str, confidence: str | None, out: str = "flag") -> DataFrame:
     """(entity, out): true or false where that side has AGREE of the weight and the other less than DISSENT; else null."""
-    w = weight(F.col(confidence)) if confidence else F.lit(1.0)
-    sums = df.groupBy(entity).agg(F.sum(F.when(F.col(flag), w).otherwise(0.0)).alias("t"), F.sum(F.when(~F.col(flag), w).otherwise(0.0)).alias("f"))
-    all_ = F.col("t") + F.col("f")
-    t, f = F.round(F.col("t") / F.nullif(all_, F.lit(0.0)), 9), F.round(F.col("f") / F.nullif(all_, F.lit(0.0)), 9)
-    return sums.select(entity, F.when((t >= AGREE) & (f < DISSENT), True).when((f >= AGREE) & (t < DISSENT), False).alias(out))
+    return df.groupBy(entity).agg(agreed_flag(F.col(flag), F.col(confidence) if confidence else F.lit(1.0)).alias(out))
+
+
+def agreed_flag(flag: Column, confidence: Column) -> Column:
+    """Aggregate: weighted_flag of one column."""
+    w = weight(confidence)
+    t, f = (F.sum(F.when(side, w).otherwise(0.0)) for side in (flag, ~flag))
+    share = lambda x: F.round(x / F.nullif(t + f, F.lit(0.0)), 9)
+    return F.when((share(t) >= AGREE) & (share(f) < DISSENT), True).when((share(f) >= AGREE) & (share(t) < DISSENT), False)
 
 
 def filled(value: str) -> Column:

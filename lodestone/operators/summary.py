@@ -147,14 +147,13 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
     maxima = ev.corroborated_max(_by_field(rows, kinds, "paper_id", "tc_kelvin"), "e", "paper_id", "tc_kelvin", "tc", "sup")
     said = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("v")) for c in VOTED])
     votes = ev.weighted_mode(_by_field(rows, said, "paper_id", "confidence"), "e", "paper_id", "v", "confidence", "v")
-    flags = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in FLAGS])
-    agreed = ev.weighted_flag(_by_field(rows, flags, "confidence"), "e", "v", "confidence", "v")
+    middles = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in MEDIANS])
+    medians = ev.exact_median(_by_field(rows, middles), "e", "v", "v")
     tops = [
         _wide(maxima, {f"{v}_{k}": (k, v) for k in ("exp", "theo", "amb") for v in ("tc", "sup")}),
         _wide(votes, {c: (c, "v") for c in VOTED}),
-        _wide(agreed, {c: (c, "v") for c in FLAGS}),
         ev.display_form(rows, "key", "shown", "formula"),
-        *[ev.exact_median(rows, "key", c, c) for c in MEDIANS],
+        _wide(medians, {c: (c, "v") for c in MEDIANS}),
     ]
     amb = F.when(F.col("ambient"), tc)
     sizes = rows.groupBy("key", "paper_id").agg(F.lit(1).alias("_one")).groupBy("key").agg(F.count("paper_id").alias("total_papers"))
@@ -164,7 +163,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         F.max(F.coalesce("ambient_sc", F.lit(False))).alias("any_ambient"),
         ev.spread_dispute(amb).alias("spread"),
         ev.dominance(F.col("cited"), F.col("theory")).alias("dominant_evidence"),
-        *[F.max(c).alias(c) for c in LARGEST],
+        *[F.max(c).alias(c) for c in LARGEST], *[ev.agreed_flag(F.col(c), F.col("confidence")).alias(c) for c in FLAGS],
     )
     picks = rows.groupBy("key").agg(
         ev.earliest_filled("crystal_structure", "year", ORDER).alias("crystal_structure"),
