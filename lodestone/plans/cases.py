@@ -244,3 +244,9 @@ _fact = lambda c: F.struct(
     F.lit(None).cast("string").alias("sample_form"), _part(c, 7).alias("doping_type"), _number(c, 8).alias("doping_level"), _part(c, 9).alias("comment"), F.lit(None).cast("string").alias("evidence_type"),
 )
 cases("fact_sentences", "T27, T28: what a record says, as a sentence.", list(FACTS), said=(lambda c: F.try_element_at(text.fact_sentences(F.array(_fact(c))), F.lit(1)), "string", list(FACTS.values())))
+
+HYDRIDE_KEYS = {"p|h3s|m|200|150.000001": "p|h3s|200|150|m", "p|||12.34567|": "p||12.346||", "q|lah10|dft||": "q|lah10|||dft"}
+cases(
+    "hydride_keys", "T10: the digest that tells hydride records apart.", list(HYDRIDE_KEYS),
+    key=(lambda c: harvest.record_key(_part(c, 1), _part(c, 2), _part(c, 3), _number(c, 4), _number(c, 5)), "string", ["hydride:" + hashlib.sha1(x.encode()).hexdigest() for x in HYDRIDE_KEYS.values()]),
+)

@@ -80,7 +80,8 @@ every AS (
   formula, key, reason, forms.family AS rule, l_quantity::DOUBLE AS tc, CASE WHEN l_tax > 0.06 THEN l_tax * 1000 END AS pressure, ['resistivity', 'dft', 'unknown'][l_linenumber % 3 + 1] AS measurement,
   l_discount * 10 AS given, CASE l_returnflag WHEN 'R' THEN 'cited' WHEN 'A' THEN 'primary_experimental' END AS evidence, l_linestatus = 'F' AS ambient,
   ['s-wave', 'd-wave', 'D-wave', ''][l_suppkey % 4 + 1] AS pairing, ['film', 'bulk'][l_linenumber % 2 + 1] AS form,
-  CASE WHEN l_suppkey % 7 = 5 THEN l_extendedprice / 1000 END AS rho_exponent, CASE WHEN l_suppkey % 7 = 6 THEN l_extendedprice / 1000 END AS hc2_tesla
+  CASE WHEN l_suppkey % 7 = 5 THEN l_extendedprice / 1000 END AS rho_exponent, CASE WHEN l_suppkey % 7 = 6 THEN l_extendedprice / 1000 END AS hc2_tesla,
+  CASE WHEN l_suppkey % 7 = 0 THEN l_extendedprice / 1000 END AS lattice_a, CASE WHEN l_suppkey % 7 = 1 THEN l_extendedprice / 1000 END AS lattice_c, CASE WHEN l_linenumber = 1 THEN 'P6/mmm' ELSE '' END AS grp
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN forms ON l_partkey % {len(FORMULAS)} = i),
 live AS (
  SELECT *, CASE WHEN tier = 'T3' THEN round(given * 0.8, 3) ELSE given END AS confidence, CASE WHEN reason IS NOT NULL THEN reason WHEN evidence = 'cited' THEN 'cited'
@@ -95,7 +96,10 @@ def evidence_summary(t, spark):
     return summary.link_variants(summary.summarise(flat)).drop("lattice_params")
 
 
-@query(f"""WITH {RECORDS_SQL},
+_ceilings = ", ".join(f"('{k}', {v})" for k, v in summary.FAMILY_CEILING.items())
+
+
+@query(f"""WITH {RECORDS_SQL}, ceilings(family, ceiling) AS (VALUES {_ceilings}),
 top AS (SELECT key, kind, v, reach, n FROM (
   SELECT key, kind, v, count(*) OVER (PARTITION BY key, kind ORDER BY v DESC) AS reach, count(*) OVER (PARTITION BY key, kind) AS n FROM (
    SELECT key, kind, paper_id, max(tc) AS v FROM (SELECT *, 'exp' AS kind FROM kept WHERE NOT theory UNION ALL SELECT *, 'theo' FROM kept WHERE theory UNION ALL SELECT *, 'amb' FROM kept WHERE ambient AND NOT theory) GROUP BY 1, 2, 3))
@@ -115,15 +119,21 @@ base AS (
  SELECT key, count(DISTINCT paper_id) AS total_papers, min(year) AS arxiv_year, min(tier) AS best_credibility_tier, max(hc2_tesla) AS hc2_tesla, median(rho_exponent) AS rho_exponent,
   coalesce(count(tc) FILTER (ambient AND NOT theory) >= 2 AND (max(tc) FILTER (ambient AND NOT theory) - min(tc) FILTER (ambient AND NOT theory)) / max(tc) FILTER (ambient AND NOT theory) > 0.3, false) AS disputed,
   CASE WHEN count(*) FILTER (NOT theory) / count(*) >= 0.75 THEN 'experimental' WHEN count(*) FILTER (theory) / count(*) >= 0.75 THEN 'theoretical' ELSE 'mixed' END AS dominant_evidence FROM kept GROUP BY 1)
+, firsts AS (SELECT key, arg_min(lattice_a, o) AS lattice_a, arg_min(lattice_c, o) AS lattice_c FROM (
+  SELECT key, coalesce(lattice_a, -1) AS lattice_a, coalesce(lattice_c, -1) AS lattice_c, (paper_id, formula, tc, coalesce(pressure, -1), measurement, given, coalesce(evidence, ''), ambient, pairing, grp, form) AS o FROM kept WHERE lattice_a IS NOT NULL OR lattice_c IS NOT NULL) GROUP BY 1)
 SELECT 'mat:' || key AS id, formula, family, round_even(greatest(coalesce(e, th), am), 3) AS tc_max, round_even(e, 3) AS tc_max_experimental, round_even(th, 3) AS tc_max_theoretical,
- round_even(least(am, greatest(coalesce(e, th), am)), 3) AS tc_ambient, dominant_evidence, CASE WHEN any_ambient THEN true WHEN (w - coalesce(t, 0)) / w >= 0.7 THEN false END AS ambient_sc, arxiv_year::INTEGER AS arxiv_year, total_papers,
+ round_even(least(am, greatest(coalesce(e, th), am)), 3) AS tc_ambient, dominant_evidence, CASE WHEN any_ambient THEN true WHEN (w - coalesce(flag.t, 0)) / w >= 0.7 THEN false END AS ambient_sc, arxiv_year::INTEGER AS arxiv_year, total_papers,
  CASE WHEN family = 'cuprate' AND pairing_symmetry IS NULL THEN 'd-wave' ELSE pairing_symmetry END AS pairing_symmetry, sample_form, round_even(hc2_tesla, 3) AS hc2_tesla, round_even(rho_exponent, 3) AS rho_exponent,
- disputed, best_credibility_tier FROM base JOIN best USING (key) JOIN won USING (key) JOIN flag USING (key) JOIN named USING (key)""")
+ disputed, best_credibility_tier, nullif(a.lattice_a, -1) AS lattice_a, nullif(a.lattice_c, -1) AS lattice_c, reason AS review_reason, reason IS NOT NULL AS needs_review
+FROM base JOIN best USING (key) JOIN won USING (key) JOIN flag USING (key) JOIN named USING (key) LEFT JOIN firsts a USING (key) LEFT JOIN ceilings USING (family),
+ LATERAL (SELECT greatest(coalesce(e, th), am) AS t) x, LATERAL (SELECT CASE WHEN x.t > ceiling THEN 'tc_max_' || printf('%.1f', x.t) || '_implausible_for_' || family || '_ceiling_' || printf('%.0f', ceiling) || 'K'
+  WHEN family IS NULL AND x.t > 45 THEN 'tc_max_' || printf('%.1f', x.t) || '_implausible_for_null_family_ceiling_45K' WHEN formula = 'LaMnO3Sr' THEN 'non_sc_material_suspected: CMR/AFM manganite'
+  WHEN formula = 'BaTiO3' THEN 'non_sc_material_suspected: ferroelectric/insulator' END AS reason) y""")
 def evidence_headline(t, spark):
     """The voted, quorate and counted columns of the summaries."""
     s = summary.summarise(summary.records(materialised(papers(t), "papers")).where("skip is null"))
     return s.select("id", "formula", "family", "tc_max", "tc_max_experimental", "tc_max_theoretical", "tc_ambient", "dominant_evidence", "ambient_sc", "arxiv_year", "total_papers", "pairing_symmetry",
-                    "sample_form", "hc2_tesla", "rho_exponent", "disputed", "best_credibility_tier")
+                    "sample_form", "hc2_tesla", "rho_exponent", "disputed", "best_credibility_tier", F.col("lattice_params.a").alias("lattice_a"), F.col("lattice_params.c").alias("lattice_c"), "review_reason", "needs_review")
 
 
 @query(f"WITH {RECORDS_SQL} SELECT skip, count(*) AS n FROM live GROUP BY 1")

@@ -331,3 +331,32 @@ def retrieved_sources(t, spark):
     names = F.array(F.lit("Au, A"), F.lit("Bo"), F.lit("Cy"))
     papers = ids.select(F.col("vec_id").cast("string").alias("id"), F.when(F.col("vec_id") % 4 == 1, "retracted").alias("status"), F.concat(F.lit("T"), "vec_id").alias("title"), names.alias("authors"), F.lit(None).cast("int").alias("year"))
     return H.retrieve(hits, chunks, papers, 4).select("query_id", "vec_id", "n", "block")
+
+
+@query("""
+WITH i AS (SELECT l_orderkey, l_linenumber, CASE l_suppkey % 4 WHEN 0 THEN 'PRB' WHEN 1 THEN 'PRPER' WHEN 2 THEN NULL ELSE 'PRL' END AS abbrev, '10.1103/PhysRev' || CASE WHEN l_partkey % 5 = 0 THEN 'Focus.' WHEN l_partkey % 5 = 1 THEN '.' ELSE 'B.' END || l_orderkey || '.' || l_linenumber AS doi,
+ CASE WHEN l_tax > 0.01 THEN ' 7' ELSE ' ' END AS volume, CASE WHEN l_tax > 0.02 THEN '2' END AS issue, CASE WHEN l_returnflag = 'A' THEN 'a1' END AS article, CASE WHEN l_returnflag = 'R' THEN '9' END AS page, year(l_shipdate) + 3 AS year FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN abbrev IN (EXCLUDED) THEN 'excluded_journal:' || abbrev WHEN lower(doi) LIKE '10.1103/physrevfocus.%' THEN 'excluded_doi_prefix:10.1103/PhysRevFocus.' WHEN trim(volume) = '' THEN 'missing_volume' WHEN issue IS NULL THEN 'missing_issue'
+ WHEN article IS NULL AND page IS NULL AND NOT (year <= YEAR AND regexp_matches(doi, 'LEGACY')) THEN 'missing_locator' END AS reason FROM i""".replace("EXCLUDED", ", ".join(f"'{x}'" for x in sorted(H.EXCLUDED_JOURNALS)) or "NULL").replace("YEAR AND", f"{H.LEGACY_YEAR} AND").replace("LEGACY", H.LEGACY_DOI))
+def harvest_rejects(t, spark):
+    """Why items are not harvested, the first reason in order."""
+    c, s = F.col, F.lit
+    kind = F.when(c("l_partkey") % 5 == 0, "Focus.").when(c("l_partkey") % 5 == 1, ".").otherwise("B.")
+    items = t("lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(c("l_suppkey") % 4 == 0, "PRB").when(c("l_suppkey") % 4 == 1, "PRPER").when(c("l_suppkey") % 4 == 3, "PRL").alias("abbrev"),
+        F.concat(s("10.1103/PhysRev"), kind, "l_orderkey", s("."), "l_linenumber").alias("doi"), F.when(c("l_tax") > 0.01, " 7").otherwise(" ").alias("volume"), F.when(c("l_tax") > 0.02, "2").alias("issue"),
+        F.when(c("l_returnflag") == "A", "a1").alias("article_number"), F.when(c("l_returnflag") == "R", "9").alias("page"), (F.year("l_shipdate") + 3).alias("year"),
+    )
+    return items.select("l_orderkey", "l_linenumber", H.reject_reason().alias("reason"))
+
+
+@query("""
+WITH s AS (SELECT p_type AS key, max(p_retailprice) AS tc, min(p_brand) AS phase FROM part GROUP BY 1), n AS (SELECT key, tc, phase, row_number() OVER (ORDER BY key) AS n FROM s)
+SELECT key, CASE WHEN n % 3 = 0 THEN least(tc, 1500) WHEN n % 3 = 1 THEN 7 ELSE tc END AS tc_max, CASE WHEN n % 2 = 0 THEN 'fixed' ELSE phase END AS structure_phase FROM n""")
+def curated_overrides(t, spark):
+    """Exact values replace fields, caps only lower them."""
+    s = t("part").groupBy(F.col("p_type").alias("key")).agg(F.max("p_retailprice").cast("double").alias("tc_max"), F.min("p_brand").alias("structure_phase"))
+    names = sorted(r.key for r in s.select("key").collect())
+    rows = [(k, "tc_max", "1500" if n % 3 == 0 else "7", n % 3 == 0, "book") for n, k in enumerate(names, 1) if n % 3 < 2] + [(k, "structure_phase", "fixed", False, "book") for n, k in enumerate(names, 1) if n % 2 == 0]
+    over = spark.createDataFrame(rows, "canonical string, field string, override_value string, is_cap boolean, source string")
+    return summary.apply_overrides(s.withColumn("review_reason", F.lit(None).cast("string")), over).select("key", "tc_max", "structure_phase")
