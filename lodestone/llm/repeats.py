@@ -351,6 +351,7 @@ def covers(raw: DataFrame) -> DataFrame:
         "doc", "row", (F.shiftright("spot", 16) - F.shiftright("spot", 8).bitwiseAND(255)).alias("start"), (F.shiftright("spot", 16) + F.col("spot").bitwiseAND(255)).alias("stop")
     )
     many = found.where("open").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select(F.col("gram").alias("_g"), F.ceil(F.col("n") / MANY).alias("parts"))
+    many = written(few_files(many), "many")  # a row for MANY anchors at most: its size decides the join, so a frequent gram is no hot group
     opened = found.where("open").join(many, F.col("gram") == F.col("_g"), "left")
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "spot"), F.col("parts"))).cast("int")
     opened = opened.select("doc", "row", F.struct("gram", "spot", part.alias("part"), F.col("parts").isNotNull().alias("frequent")).alias("w"))
