@@ -30,3 +30,12 @@ def test_empty_and_extra_columns(spark):
     df = spark.createDataFrame([(1, 0, "user", "q", "z")], SCHEMA + ", formatted string")
     assert chat.expand(df).collect()[0].loss_start is None
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
+
+
+def test_very_long_texts_and_a_conversation_without_an_id(spark):
+    long = "a </s> b\\ [INST] é " * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long[:-7]), (None, 0, "user", "q"), (None, 1, "assistant", "r"), (None, 1, "assistant", "r")]
+    got = {r.conv_id: r for r in chat.read_back(chat.expand(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert set(got) == {1, None} and got[None].n_turns == 3 and got[None].loss_chars == 2
+    assert got[1].loss_chars == len(long) - 7 and got[1].loss_sha256 == hashlib.sha256(long[:-7].encode()).hexdigest()
+    assert got[1].turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{long[:-7]}\n".encode()).hexdigest()

@@ -69,3 +69,13 @@ def test_an_empty_table_passes_through(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_very_long_text_goes_through_whole(spark, tmp_path):
+    long = "Wörter und words, many of them. " * 40_000 + "mail me@x.example.org"
+    rows = [(1, long, "en", "a", len(long)), (2, "some short text", "en", "a", 15), (3, "another one of these", "de", None, 20), (None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [r.text for r in cp.run(spark, str(tmp_path)).collect()]
+    assert {t for t in got if len(t) > 100} <= {long.replace("me@x.example.org", "[EMAIL]")} and len(got) <= 8
+    assert got

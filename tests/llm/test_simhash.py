@@ -90,3 +90,20 @@ def test_cases(spark):
     assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["3", "6", "9", "None"]
     assert simhash.keep_one(df).columns == df.columns
     assert simhash.digests(df.limit(0)).count() == 0
+
+
+def test_a_text_of_very_many_shingles(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(5000)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(70_000))
+    other = text.replace(" ", "\n", 9) + " tail"
+    got = {r.doc_id: r for r in simhash.digests(spark.createDataFrame([(1, text, "x"), (2, other, "y"), (3, "short", None)], "doc_id long, text string, fp string")).collect()}
+    words = text.split(" ")
+    counts = [0] * 64
+    for i in range(len(words) - 3):
+        h = xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42)
+        for b in range(64):
+            counts[b] += h >> b & 1
+    want = sum(1 << b for b in range(64) if 2 * counts[b] > len(words) - 3)
+    assert got[1].fingerprint == f"{want:016x}"
+    assert got[2].component_id == 1 and got[3].component_id == 3
