@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, mixing, pii, quality, simhash
 from lodestone.llm.queries import RANKS
-from lodestone.llm.shared import written
+from lodestone.llm.shared import discard, written, written_alone  # noqa: F401
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every other stage is written to the shared folder and read again."""
+    """The rows of the last stage; every other stage is written to the shared folder and read again, what it needed on the way is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

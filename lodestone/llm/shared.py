@@ -30,6 +30,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    _made.append(path)
     return out
 
 
@@ -38,13 +39,31 @@ def few_files(df: DataFrame) -> DataFrame:
     return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that written() made once nothing lazy reads it any more."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+#: Paths of the tables that written() has made in this process, in order.
+_made: list[str] = []
+
+
+def written_alone(spark: SparkSession, make, label: str) -> DataFrame:
+    """make() written as a table, then all tables deleted that written() made on the way: nothing lazy reads them any more."""
+    first = len(_made)
+    out = written(make(), label)
+    for path in _made[first:]:
+        if path != out._lodestone_path:
+            _delete(spark, path)
+    del _made[first:]
+    return out
 
 
 def free(name: str, df: DataFrame) -> str:
