@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import formulas
 from lodestone.functions.numbers import short_number as plain_number
 from lodestone.functions.text import source_label
-from lodestone.session import materialised
+from lodestone.session import discard, materialised
 
 from . import evidence as ev
 from .tables import stack_metrics
@@ -131,7 +131,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         overrides = spark.createDataFrame([], "canonical string, field string, override_value string, is_cap boolean, source string")
     if refuted is None:
         refuted = spark.createDataFrame([], "canonical string, claim_type string, claimed_tc double")
-    rows = materialised(rows, "accepted")
+    accepted = rows = materialised(rows, "accepted")
     cap = overrides.where("is_cap and field = 'tc_max'").groupBy(F.col("canonical").alias("_k")).agg(F.min("override_value").try_cast("double").alias("cap"))
     rows = rows.join(cap, F.col("key") == F.col("_k"), "left").drop("_k")
     tc = F.col("tc_kelvin")
@@ -143,6 +143,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
     regime = F.coalesce("tc_regime", F.lit("bulk_equilibrium"))
     rows = rows.withColumn("ambient", F.coalesce(tc.isNotNull() & F.col("ambient_sc") & ~regime.isin("high_pressure", "interface") & ~F.col("theory"), F.lit(False)))
     rows = materialised(rows, "records")  # read by every aggregate below
+    discard(accepted)
     kinds = F.array_compact(F.array(F.when(~F.col("theory") & ~F.col("cited"), "exp"), F.when(F.col("theory"), "theo"), F.when(F.col("ambient"), "amb")))
     maxima = ev.corroborated_max(_by_field(rows, kinds, "paper_id", "tc_kelvin"), "e", "paper_id", "tc_kelvin", "tc", "sup")
     said = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("v")) for c in VOTED])
@@ -177,7 +178,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
     s = base
     for part in (sizes, picks, *tops):
         s = s.join(part.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k"), "left").drop("_k")
-    s = materialised(s, "votes")
+    votes = s = materialised(s, "votes")
     theory_only = F.col("tc_exp").isNull()
     s = s.withColumn("tc_max", F.coalesce("tc_exp", "tc_theo")).withColumn("sup", F.coalesce(F.when(theory_only, F.col("sup_theo")).otherwise(F.col("sup_exp")), F.lit(0)))
     raised = F.coalesce(F.col("tc_amb") > F.col("tc_max"), F.lit(False))
@@ -196,10 +197,14 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         "has_competing_order": F.col("competing_order").isNotNull() | F.col("t_cdw_k").isNotNull() | F.col("t_sdw_k").isNotNull() | F.col("t_afm_k").isNotNull(),
         "face": formulas.interface(formulas.canonical(F.col("formula"))),
     })
-    s = materialised(s, "derived")
+    derived = s = materialised(s, "derived")
+    discard(rows)
+    discard(votes)
     s = s.withColumn("review_reason", review_reason()).withColumn("needs_review", F.col("review_reason").isNotNull())
     s = s.withColumnsRenamed({"tc_exp": "tc_max_experimental", "tc_theo": "tc_max_theoretical", "tc_amb": "tc_ambient"})
-    s = materialised(apply_overrides(s, overrides), "curated") if curated else s
+    if curated:
+        s = materialised(apply_overrides(s, overrides), "curated")
+        discard(derived)
     claim = refuted.groupBy(F.col("canonical").alias("_k")).agg(F.min("claim_type").alias("claim"))
     s = s.join(claim, F.col("key") == F.col("_k"), "left").drop("_k")
     noted = F.concat(F.lit("refuted:"), F.col("claim"))

@@ -43,4 +43,13 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialised() made once nothing lazy reads it any more; other tables are left alone."""
+    if path := getattr(df, "_lodestone_path", None):
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
