@@ -81,7 +81,7 @@ def records(papers: DataFrame) -> DataFrame:
     flat = flat.select("paper_id", "tier", "factor", "paper_year", "ord", *[F.col(f"r.{c}") for c in given if c not in ("paper_id", "ord", "year")],
                        F.coalesce(F.col("r.year") if "year" in given else F.lit(None), F.col("paper_year")).cast("int").alias("year"))
     on_bare = lambda f: lambda c: f(F.regexp_replace(F.trim(c), r"(?U)\s+", ""))
-    flat = formulas.described(flat, "formula", key=on_bare(formulas.canonical), _reason=on_bare(formulas.invalid_reason), shown=on_bare(formulas.display))
+    flat = formulas.described(flat, "formula", True, key=on_bare(formulas.canonical), _reason=on_bare(formulas.invalid_reason), shown=on_bare(formulas.display))
     skip = F.coalesce(
         F.when(F.coalesce("formula", F.lit("")) == "", "no_formula"),
         F.col("_reason"),
