@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html, mixing, neighbours, parsing, pii, quality, repeats, simhash
+from . import bitmaps, bpe, chat, divergence, forest, html, mixing, neighbours, parsing, pii, quality, repeats, simhash
 
 #: A name, not a path: every worker looks it up where the library lies on its machine.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -58,5 +58,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op4_bootstrapped_pii, op5_anisotropic_search, op6_site_style_tree, op7_chat_prefix_targets, op8_maximal_repeats, op9_simhash_golay, op10_byte_bpe)}
-ORACLE_SQL = {"op7_chat_prefix_targets": chat.ORACLE_SQL}
+def op11_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_divergence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
+def op13_bitmap_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmaps.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op4_bootstrapped_pii, op5_anisotropic_search, op6_site_style_tree, op7_chat_prefix_targets, op8_maximal_repeats, op9_simhash_golay, op10_byte_bpe, op11_lsh_forest, op12_divergence_vectors, op13_bitmap_interactions)}
+ORACLE_SQL = {
+    "op7_chat_prefix_targets": chat.ORACLE_SQL,
+    "op12_divergence_vectors": divergence.ORACLE_SQL,
+    "op13_bitmap_interactions": bitmaps.ORACLE_SQL,
+}
