@@ -9,7 +9,8 @@ the m pages that have a node,
 
 so what looks and reads alike on every page of a site scores low. A block goes if its own node is below CUT, and stays if not; a
 node in a marked article, main or content part counts as RAISE more important than it scores. The tree needs at least LEAST pages
-of the node; there, a block also goes if ALL of them or more have its text. Where it has fewer, a prior decides: a page that marks
+of the node; there, a block also goes if ALL of them or more have its text. A heading (LEADS) that the prior leaves stays whatever the
+tree says if the next block that is no heading stays, so the headings of a recipe stay and those of an advert go with it. Where it has fewer, a prior decides: a page that marks
 such parts is those parts only. Before both, what markup itself declares has importance 0: navigation, page header and footer,
 aside, form, button, script, style and elements whose class, id or role is menu, advert, notice, comments and the like (whole
 names, or names made of such words and of FILLER words only: `related-posts` is noise, `related-work` is not).
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import few_files, small_batches, written
+from .shared import small_batches, written
 
 GAMMA, CUT, LEAST, RAISE, ALL, DEEP = 0.8, 0.35, 4, 0.15, 0.9, 128
 
@@ -51,6 +52,8 @@ BLOCK = frozenset(
     "h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th "
     "thead tr ul".split()
 )
+#: Elements that head what follows them.
+LEADS = ("h1", "h2", "h3", "h4", "h5", "h6", "th", "dt", "summary", "caption", "figcaption")
 RAW = frozenset("script style noscript template iframe noembed noframes title textarea".split())
 #: Elements, and names of a class, id or role, that declare what is not the article.
 NOISE = frozenset("nav footer aside form button select dialog menu head fieldset".split())
@@ -92,12 +95,12 @@ def _node(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
 
 
 class Block:
-    """One block of text: the key of its own element, its text, and what the markup declares of it."""
+    """One block of text: the key of its own element, its text, what the markup declares of it, and whether it is a heading."""
 
-    __slots__ = ("article", "node", "noise", "region", "text")
+    __slots__ = ("article", "lead", "node", "noise", "region", "text")
 
-    def __init__(self, node: int, text: str, noise: bool, article: bool, region: int):
-        self.node, self.text, self.noise, self.article, self.region = node, text, noise, article, region
+    def __init__(self, node: int, text: str, noise: bool, article: bool, region: int, lead: bool):
+        self.node, self.text, self.noise, self.article, self.region, self.lead = node, text, noise, article, region, lead
 
 
 def _below(node: int, name: str) -> int:
@@ -129,7 +132,7 @@ def parse(html: str) -> tuple[list[Block], dict[int, tuple[list[str], list[int]]
             if said:
                 _, node, noise, article, region = stack[-1] if stack else ("", ROOT, False, False, 0)
                 lays_out(node, "#text")
-                out.append(Block(node, said, noise, article, region))
+                out.append(Block(node, said, noise, article, region, any(opened[t] for t in LEADS)))
 
     def close(tags: set, stop: set) -> None:
         if not any(opened[t] for t in tags):
@@ -215,6 +218,17 @@ def judged(blocks: list[Block]) -> list[tuple[Block, bool, bool]]:
     return [(b, m or not some, m) for b, m in zip(kept, marked)]
 
 
+def with_leads(kept: list[bool], lefts: list[bool], leads: list[bool]) -> list[bool]:
+    """kept, and headings that the prior leaves and that lead kept text: the next block that is no heading is kept."""
+    out, follows = list(kept), False
+    for i in range(len(out) - 1, -1, -1):
+        if not leads[i]:
+            follows = kept[i]
+        elif lefts[i] and follows:
+            out[i] = True
+    return out
+
+
 def candidates(html: str) -> list[Block]:
     """The blocks that the prior leaves."""
     return [b for b, left, _ in judged(parse(html)[0]) if left]
@@ -226,14 +240,14 @@ def _text(said: str) -> int:
 
 PAGES = (
     "row long, page_id string, url string, host string, content long, whole long, nodes array<long>, layouts array<long>, above array<array<long>>, owners array<long>, "
-    "texts array<long>, own array<long>, values array<long>, lefts array<boolean>, marks array<boolean>, said array<string>"
+    "texts array<long>, own array<long>, values array<long>, lefts array<boolean>, marks array<boolean>, leads array<boolean>, said array<string>"
 )
 
 
 def pages_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(row, page_id, url, host, html) -> one row a page. content: the hash of its texts without declared noise; nodes with their
-    layouts and the nodes above; texts with the nodes that own them, once each; own, values, lefts, marks, said: node, text's hash,
-    left by the prior, marked, and text of the blocks that are not declared noise."""
+    layouts and the nodes above; texts with the nodes that own them, once each; own, values, lefts, marks, leads, said: node, text's
+    hash, left by the prior, marked, heading, and text of the blocks that are not declared noise."""
     names = [c.split()[0] for c in PAGES.split(", ")]
     for part in parts:
         out = []
@@ -248,7 +262,7 @@ def pages_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             whole.update(repr((list(zip(nodes, layouts)), pairs)))
             out.append(
                 (row, page, url, host, content.intdigest() >> 1, whole.intdigest() >> 1, list(nodes), layouts, [a for _, a in nodes.values()], [n for n, _ in pairs], [t for _, t in pairs],
-                 [b.node for b, _, _ in kept], [_text(b.text) for b, _, _ in kept], [left for _, left, _ in kept], [m for _, _, m in kept], [b.text for b, _, _ in kept])
+                 [b.node for b, _, _ in kept], [_text(b.text) for b, _, _ in kept], [left for _, left, _ in kept], [m for _, _, m in kept], [b.lead for b, _, _ in kept], [b.text for b, _, _ in kept])
             )
         if out:
             yield pd.DataFrame(out, columns=names)
@@ -284,9 +298,9 @@ def importances(counts: DataFrame) -> DataFrame:
 def decided(pages: DataFrame) -> DataFrame:
     """(row, node, value) where the tree decides otherwise than the prior: on a node (value -1), or against a text of a node."""
     counts = written(counted(distinct_pages(pages)), "counts")
-    known = written(few_files(importances(counts).where(F.col("pages") >= LEAST)), "known")
+    known = written(importances(counts).where(F.col("pages") >= LEAST), "known")
     frequent = counts.where((F.col("kind") == 1) & (F.col("n") >= ALL * LEAST)).join(known, ["host", "node"])
-    frequent = written(few_files(frequent.where(F.col("n") >= ALL * F.col("pages")).select("host", "node", "value")), "everywhere")
+    frequent = written(frequent.where(F.col("n") >= ALL * F.col("pages")).select("host", "node", "value"), "everywhere")
     blocks = pages.select("row", "host", F.explode(F.array_distinct(F.arrays_zip(F.col("own").alias("node"), F.col("values").alias("value"), F.col("lefts").alias("left"), F.col("marks").alias("marked")))).alias("b"))
     blocks = blocks.select("row", "host", "b.*")
     stays = F.col("importance") + F.when(F.col("marked"), RAISE).otherwise(0.0) >= CUT
@@ -299,17 +313,18 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
     given = small_batches(pages).select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("string").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     rows = written(given.mapInPandas(pages_of, PAGES), "pages")
-    turned = written(few_files(decided(rows).groupBy("row").agg(F.collect_list(F.struct("node", "value")).alias("turned"))), "turned")  # its size decides the join
+    turned = written(decided(rows).groupBy("row").agg(F.collect_list(F.struct("node", "value")).alias("turned")), "turned")  # its size decides the join
 
     @pandas_udf("string")
-    def text(said: pd.Series, own: pd.Series, values: pd.Series, lefts: pd.Series, turned: pd.Series) -> pd.Series:
+    def text(said: pd.Series, own: pd.Series, values: pd.Series, lefts: pd.Series, leads: pd.Series, turned: pd.Series) -> pd.Series:
         out = []
-        for words, nodes, hashes, left, t in zip(said, own, values, lefts, turned):
+        for words, nodes, hashes, left, lead, t in zip(said, own, values, lefts, leads, turned):
             t = [] if t is None else t
             other, repeated = {x["node"] for x in t if x["value"] < 0}, {(x["node"], x["value"]) for x in t}
-            out.append("\n\n".join(w for w, n, v, k in zip(words, nodes, hashes, left) if k != (n in other) and (n, v) not in repeated))
+            kept = with_leads([k != (n in other) and (n, v) not in repeated for n, v, k in zip(nodes, hashes, left)], left, lead)
+            out.append("\n\n".join(w for w, k in zip(words, kept) if k))
         return pd.Series(out, dtype=object)
 
-    blocks = rows.select("row", "page_id", "url", "said", "own", "values", "lefts")
-    joined = blocks.join(turned, "row", "left").withColumn("text", text.asNondeterministic()("said", "own", "values", "lefts", "turned"))
+    blocks = rows.select("row", "page_id", "url", "said", "own", "values", "lefts", "leads")
+    joined = blocks.join(turned, "row", "left").withColumn("text", text.asNondeterministic()("said", "own", "values", "lefts", "leads", "turned"))
     return joined.select(F.col("page_id").cast(pages.schema["page_id"].dataType).alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))

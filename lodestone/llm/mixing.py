@@ -14,7 +14,7 @@ documents by that hash, so a size or source that a third of all rows share is sp
 
 Defined cases: null text has size 0; null source is a source of its own and comes last; documents of size 0 take
 0 words; a source without words has target 0; equal rows with equal doc_id are rounded one by one; null doc_id
-takes part like any other; a prior of null or below 0 counts as 0; an empty table gives an empty table; other columns pass
+takes part like any other; a prior of null or below 0 counts as 0; a source with a target whose words all have prior 0 is an error; an empty table gives an empty table; other columns pass
 through `mix` untouched.
 """
 
@@ -89,6 +89,8 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float = CAP) -> DataFrame:
     base = written(base.select("source", "z", "prior", "n", "docs"), "cells")
     none = F.lit(None).cast("double")
     state = written(base.select("source").distinct().withColumns({"b": F.lit(0.0), "low": none, "high": none, "err": none}), "dual")
+    if (bare := _same_source(goals, state.select("source"), "left_anti").first()) is not None:
+        raise RuntimeError(f"source {bare['source']!r} has a target, but no document with words has a prior above 0")
     worst = None
     for _ in range(STEPS):
         r = _tilt(cap)

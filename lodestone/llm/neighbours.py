@@ -9,15 +9,17 @@ codes (one byte), summed over the bytes of each code; the RERANK best of a block
 inner products in double precision.
 
 The codebooks are fitted on at most FIT_ROWS vectors, taken by the hash of vec_id; every vector is indexed and scanned. Vectors
-are dealt into blocks of about BLOCK by the hash of vec_id, and every query meets every block, a bounded matrix at a time; per
-query and block the best TOP + 1 go on, merged FAN blocks at a time.
+are dealt into blocks by a hash, and every query meets every block, a bounded matrix at a time; per query and block the best TOP + 1 go
+on, merged FAN blocks at a time. A small table has up to SPREAD blocks, so that several tasks share the work, a large one
+blocks of about BLOCK: up to SPREAD * BLOCK vectors the queries sent are a fixed multiple of the table.
 
 Equal vectors are searched once. Of a group of copies only the TOP + 1 least ids can ever be among the TOP nearest, and the
 window that picks them limits each partition before its shuffle, so a vector that a third of all rows share is no hot group.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do vectors of another
-length than the commonest (the lesser of equals); rows with a null vec_id take no part; repeated rows of one vec_id count
-once a row as candidates, once as queries; a query with fewer than TOP candidates gets all; an empty table gives an empty table.
+length than the commonest (the lesser of equals); rows with a null vec_id take no part; rows repeated with vec_id and vector
+count once; rows of one vec_id with different vectors are queries of their own (with ranks of their own under the one query_id) and candidates
+like others, also of each other; a query with fewer than TOP candidates gets all; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, written
 
-TOP, EVERY, RERANK, BLOCK, FAN = 20, 20, 200, 16384, 64
+TOP, EVERY, RERANK, BLOCK, SPREAD, FAN = 20, 20, 200, 65536, 8, 64
 FIT_ROWS, ROUNDS, SWEEPS, THRESHOLD = 12_000, 8, 2, 0.2
 
 
@@ -142,15 +144,16 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, key: str = "v
     spark = vectors.sparkSession
     rows = valid(vectors, key, vector)
     copies = Window.partitionBy("embedding").orderBy("vec_id")
-    kept = written(rows.withColumn("place", F.row_number().over(copies)).where(F.col("place") <= top + 1), "vectors")
-    firsts = kept.where("place = 1").select("vec_id", "embedding")
+    kept = written(rows.distinct().withColumn("place", F.row_number().over(copies)).where(F.col("place") <= top + 1), "vectors")
+    firsts = written(kept.where("place = 1").select("vec_id", "embedding").withColumn("node", F.monotonically_increasing_id()), "firsts")
     queries = rows.where(F.col("vec_id") % every == 0).distinct().withColumnRenamed("vec_id", "query_id")
-    queries = written(queries.join(firsts, "embedding").select("query_id", F.col("vec_id").alias("first"), "embedding"), "queries")
+    queries = written(queries.join(firsts.select("embedding", F.col("node").alias("first")), "embedding").select("query_id", "first", "embedding"), "queries")
     sample = firsts.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("embedding").toPandas()["embedding"]
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     quantiser = spark.sparkContext.broadcast(fit(np.array(sample.tolist(), np.float64)))
-    blocks = math.ceil(firsts.count() / BLOCK)
+    n = firsts.count()
+    blocks = max(math.ceil(n / BLOCK), min(SPREAD, math.ceil(n * SPREAD / BLOCK)))
 
     def index(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -174,10 +177,10 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, key: str = "v
                         continue
                     every_row = pd.concat(waiting)
                     waiting = []
-                    ids = every_row["vec_id"].to_numpy(np.int64)
+                    ids, nodes = (every_row[c].to_numpy(np.int64) for c in ("vec_id", "node"))
                     codes = np.frombuffer(b"".join(every_row["code"]), np.uint8).reshape(len(ids), -1).T.copy()
-                    ready = ids, codes, np.stack(every_row["embedding"].tolist()).astype(np.float64)
-                ids, codes, exact = ready
+                    ready = ids, nodes, codes, np.stack(every_row["embedding"].tolist()).astype(np.float64)
+                ids, nodes, codes, exact = ready
                 x = np.stack(own["embedding"].tolist()).astype(np.float64)
                 for begin in range(0, len(x), 256):
                     for k, table in enumerate(q.tables(x[begin : begin + 256]), begin):
@@ -187,28 +190,27 @@ def search(vectors: DataFrame, every: int = EVERY, top: int = TOP, key: str = "v
                         at = best(guess, ids, RERANK)
                         score = (exact[at] * x[k]).sum(axis=1)
                         first = best(score, ids[at], top + 1)
-                        out.append((int(own["vec_id"].iloc[k]), b, [{"down": float(-score[i]), "vec_id": int(ids[at[i]])} for i in first]))
+                        out.append((int(own["node"].iloc[k]), b, [{"down": float(-score[i]), "vec_id": int(ids[at[i]]), "node": int(nodes[at[i]])} for i in first]))
             if out:
                 yield pd.DataFrame(out, columns=["first", "block", "near"])
 
-    near = "array<struct<down: double, vec_id: long>>"
+    near = "array<struct<down: double, vec_id: long, node: long>>"
     kind = firsts.schema["embedding"].dataType.simpleString()  # products are of the vectors as given, floats or doubles
-    indexed = small_batches(firsts).mapInPandas(index, f"vec_id long, embedding {kind}, code binary")
-    indexed = indexed.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), "asks": F.lit(False)})
-    asked = queries.select(F.col("first").alias("vec_id"), "embedding").dropDuplicates(["vec_id"])
+    indexed = small_batches(firsts).mapInPandas(index, f"vec_id long, embedding {kind}, node long, code binary")
+    indexed = indexed.withColumns({"block": F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"), "asks": F.lit(False)})
+    asked = queries.select(F.col("first").alias("node"), "embedding").dropDuplicates(["node"]).withColumn("vec_id", F.lit(0).cast("long"))
     asked = asked.withColumns({"code": F.lit(None).cast("binary"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "asks": F.lit(True)})
-    found = indexed.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks", "vec_id").mapInPandas(scan, f"first long, block int, near {near}")
+    found = indexed.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks", "node").mapInPandas(scan, f"first long, block int, near {near}")
     while True:
         merged = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, top + 1)
         found = found.groupBy("first", F.floor(F.col("block") / FAN).cast("int").alias("block")).agg(merged.alias("near"))
         blocks = math.ceil(blocks / FAN)
         if blocks <= 1:
             break
-    one = found.select("first", F.explode("near").alias("n")).select("first", F.col("n.vec_id").alias("rep"), (-F.col("n.down")).alias("score"))
-    members = Window.partitionBy("embedding")
-    others = kept.select("vec_id", F.min("vec_id").over(members).alias("rep"))
+    one = found.select("first", F.explode("near").alias("n")).select("first", F.col("n.node").alias("node"), (-F.col("n.down")).alias("score"))
+    others = kept.select("vec_id", "embedding").join(firsts.select("embedding", "node"), "embedding").select("vec_id", "node")
     by_score = Window.partitionBy("first").orderBy(F.desc("score"), "vec_id")
-    spread = one.join(others, "rep").withColumn("k", F.row_number().over(by_score)).where(F.col("k") <= top + 1).select("first", "vec_id", "score")
-    paired = queries.select("query_id", "first").join(spread, "first").where("query_id <> vec_id")
-    ranked = paired.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    spread = one.join(others, "node").withColumn("k", F.row_number().over(by_score)).where(F.col("k") <= top + 1).select("first", "vec_id", "node", "score")
+    paired = queries.select("query_id", "first").join(spread, "first").where("query_id <> vec_id or first <> node")
+    ranked = paired.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "first").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

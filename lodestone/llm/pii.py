@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, discard, few_files, free, whole_text, written
+from .shared import WORD, discard, free, whole_text, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: The patterns in forms that match the same and never go back: a start that follows a character of the same run can't succeed.
@@ -146,7 +146,7 @@ def scores(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     value, base = F.lower("value"), F.col("kind") < 4
     seen = spans.select(F.explode(patterns(F.col("before"), F.col("after"))).alias("pattern"), value.alias("value"), base.alias("base"), (base | value.rlike(SECRET)).alias("seed"))
-    edges = written(few_files(seen.groupBy("pattern", "value").agg(F.max("base").alias("base"), F.max("seed").alias("seed"))), "edges")
+    edges = written(seen.groupBy("pattern", "value").agg(F.max("base").alias("base"), F.max("seed").alias("seed")), "edges")
     state, total = None, 0
     while True:
         before = state
@@ -157,7 +157,7 @@ def scores(spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             trusted = sums.where((F.col("open") > 0) & (F.col("mass") >= SUPPORT) & (F.col("mass") / (F.col("n") + 1) >= CONFIDENT))
             trusted = trusted.select("pattern", F.log1p(-F.col("mass") / (F.col("n") + 1)).alias("doubt"))
             state = edges.where(~F.col("base")).join(trusted, "pattern").groupBy("value").agg(F.round(1 - F.exp(F.sum("doubt")), 6).alias("score"))
-        state = written(few_files(state), "scores")
+        state = written(state, "scores")
         now = state.agg(F.sum(F.col("score").cast("decimal(20,6)"))).first()[0] or 0
         if now <= total:
             return state

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bitmaps, bpe, chat, divergence, forest, html, mixing, neighbours, parsing, pii, quality, repeats, simhash
+from .shared import written_alone
 
 #: A name, not a path: every worker looks it up where the library lies on its machine.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +18,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _alone(query):
+    """query, its result written as a table and the tables that it needed on the way deleted."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return written_alone(spark, lambda: query(spark, sf_dir), query.__name__)
+
+    return run
+
+
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -70,7 +83,7 @@ def op13_bitmap_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitmaps.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op4_bootstrapped_pii, op5_anisotropic_search, op6_site_style_tree, op7_chat_prefix_targets, op8_maximal_repeats, op9_simhash_golay, op10_byte_bpe, op11_lsh_forest, op12_divergence_vectors, op13_bitmap_interactions)}
+QUERIES = {f.__name__: _alone(f) for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op4_bootstrapped_pii, op5_anisotropic_search, op6_site_style_tree, op7_chat_prefix_targets, op8_maximal_repeats, op9_simhash_golay, op10_byte_bpe, op11_lsh_forest, op12_divergence_vectors, op13_bitmap_interactions)}
 ORACLE_SQL = {
     "op7_chat_prefix_targets": chat.ORACLE_SQL,
     "op12_divergence_vectors": divergence.ORACLE_SQL,

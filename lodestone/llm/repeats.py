@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import few_files, small_batches, written
+from .shared import small_batches, written
 
 WIDTH, GRAM = 100, 32
 REACH = WIDTH - GRAM
@@ -335,7 +335,7 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     or 0 where a doc has one text only."""
     raw = small_batches(docs).select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
     texts = raw.groupBy("doc").agg(F.min(F.xxhash64("raw")).alias("low"), F.max(F.xxhash64("raw")).alias("high"))
-    several = written(few_files(texts.where("low <> high").select(F.col("doc").alias("_doc"))), "several")
+    several = written(texts.where("low <> high").select(F.col("doc").alias("_doc")), "several")
     raw = raw.join(several, F.col("doc") == F.col("_doc"), "left")
     return raw.select("doc_id", "doc", F.when(F.col("_doc").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("raw")).alias("row"), "raw")
 
@@ -351,7 +351,7 @@ def covers(raw: DataFrame) -> DataFrame:
         "doc", "row", (F.shiftright("spot", 16) - F.shiftright("spot", 8).bitwiseAND(255)).alias("start"), (F.shiftright("spot", 16) + F.col("spot").bitwiseAND(255)).alias("stop")
     )
     many = found.where("open").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select(F.col("gram").alias("_g"), F.ceil(F.col("n") / MANY).alias("parts"))
-    many = written(few_files(many), "many")  # a row for MANY anchors at most: its size decides the join, so a frequent gram is no hot group
+    many = written(many, "many")  # a row for MANY anchors at most: its size decides the join, so a frequent gram is no hot group
     opened = found.where("open").join(many, F.col("gram") == F.col("_g"), "left")
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "spot"), F.col("parts"))).cast("int")
     opened = opened.select("doc", "row", F.struct("gram", "spot", part.alias("part"), F.col("parts").isNotNull().alias("frequent")).alias("w"))

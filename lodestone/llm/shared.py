@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,15 +31,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
-    _made.append(path)
+    scope = _made.get()
+    if scope is not None:
+        scope.append(path)
     return out
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """df in no more partitions than the cluster has cores: for small tables between steps, which else are a file a shuffle partition."""
-    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -51,18 +49,24 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-#: Paths of the tables that written() has made in this process, in order.
-_made: list[str] = []
+#: Paths of the tables that written() has made inside the innermost written_alone() of this thread, in order; None outside of any.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def written_alone(spark: SparkSession, make, label: str) -> DataFrame:
-    """make() written as a table, then all tables deleted that written() made on the way: nothing lazy reads them any more."""
-    first = len(_made)
-    out = written(make(), label)
-    for path in _made[first:]:
-        if path != out._lodestone_path:
-            _delete(spark, path)
-    del _made[first:]
+    """make() written as a table, then the tables deleted that make() had written on the way: nothing lazy reads them any more.
+
+    Only what make() itself has written goes, not what other threads or earlier calls have.
+    """
+    own: list[str] = []
+    outer = _made.set(own)
+    try:
+        made = make()
+    finally:
+        _made.reset(outer)
+    out = written(made, label)
+    for path in own:
+        _delete(spark, path)
     return out
 
 

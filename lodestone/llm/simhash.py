@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .graph import components
-from .shared import small_batches, whole_text, written
+from .shared import free, small_batches, whole_text, written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (lowest bit, bits) of each segment, and the pairs of segments that are joined.
@@ -268,13 +268,18 @@ def links(fps: DataFrame, size: int = CHUNK) -> DataFrame:
     return near.unionByName(met).distinct()
 
 
+def _rooted(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """marked (fp and more) with root, a fingerprint that names the component; and (root, component_id), its least doc_id."""
+    roots = components(links(marked))
+    rooted = marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rooted, written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the least doc_id that links reach, the own included) of every row."""
     marked = written(fingerprints(docs.select("doc_id", F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
-    roots = components(links(marked))
-    rooted = marked.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    first = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
-    return rooted.join(first, "root").select("doc_id", "fp", "component_id")
+    rooted, least = _rooted(marked)
+    return rooted.join(least, "root").select("doc_id", "fp", "component_id")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -283,11 +288,17 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs but for those whose group has a smaller doc_id; of repeated rows of one doc_id one stays.
+    """One row of each group: that of the least doc_id, null last, and of several rows of that id the one whose columns have the least hash.
 
-    Rows with a null doc_id stay: nothing says which of them is the first.
+    Rows are told apart by doc_id and a hash of all their columns, so texts that are no duplicates stay, also under one doc_id or
+    without one; of rows that are equal in every column one stays.
     """
-    found = near_duplicates(docs, text)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null"))
+    row = free("_content", docs)
+    told = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    docs = docs.withColumn(row, F.xxhash64(*told))
+    marked = fingerprints(docs.select("doc_id", F.col(row).alias("content"), F.col(f"`{text}`").alias("text"))).select("doc_id", "content", "fp")
+    rooted, least = _rooted(written(marked, "fingerprints"))
+    first = rooted.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("content").alias("_row"))
+    first = written(first.select(F.col("component_id").alias("_id"), "_row").distinct(), "kept")
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(row) == F.col("_row")), "left_semi")
+    return kept.dropDuplicates(["doc_id", row]).drop(row)

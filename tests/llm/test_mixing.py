@@ -100,6 +100,12 @@ def test_a_very_long_text(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5 * max(r.size for r in own)
 
 
+def test_a_source_that_the_prior_leaves_nothing_of_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "a", 50, 0.0), (2, "a", 50, None), (3, "b", 100, 1.0), (4, "b", 70, 1.0)], "doc_id long, source string, size long, prior double")
+    with pytest.raises(RuntimeError, match="'a' has a target"):
+        mixing.copies(docs, prior="prior", share=0.9)
+
+
 def test_a_prior_tilts_and_the_constraint_still_holds(spark):
     rows = [(i, "ab"[i % 2], 1 + i * 7 % 90, 0.2 + (i % 5) * 0.4) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long, prior double")

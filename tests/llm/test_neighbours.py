@@ -64,3 +64,16 @@ def test_cases(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.search(spark.createDataFrame([(*r, 5) for r in rows], SCHEMA)).collect())
     assert got == [(0, 1, 1), (0, 2, 20), (0, 3, 7), (20, 1, 0), (20, 2, 1), (20, 3, 7)]
     assert neighbours.search(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_two_vectors_of_one_id_are_two_queries(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist(), 0) for i in range(40)]
+    again = rng.normal(size=4).tolist()
+    got = neighbours.search(spark.createDataFrame([*rows, (20, again, 0), (20, again, 0)], SCHEMA)).collect()
+    want = []
+    for v in (rows[20][1], again):
+        x = np.array(v, np.float32).astype(float)
+        near = sorted((-float(x @ np.array(w, np.float32).astype(float)), i) for i, w in [*((i, w) for i, w, _ in rows), (20, again)] if i != 20 or w != v)[:20]
+        want += [(k + 1, i) for k, (_, i) in enumerate(near)]
+    assert sorted((r.rank, r.vec_id) for r in got if r.query_id == 20) == sorted(want)

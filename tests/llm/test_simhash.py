@@ -87,11 +87,19 @@ def test_cases(spark):
     got = sorted(((r.doc_id or -1, r.fingerprint, r.component_id) for r in simhash.digests(df).collect()))
     assert [(a, c) for a, _, c in got] == [(-1, 6), (3, 3), (5, 3), (6, 6), (7, 6), (7, 6), (9, 9)]
     assert got[1][1] == "0" * 16
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["3", "6", "9", "None"]
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["3", "6", "9"]
     assert simhash.keep_one(df).columns == df.columns
     assert simhash.digests(df.limit(0)).count() == 0
 
 
+def test_different_texts_under_one_id_or_none_stay(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six", "entirely other words are in this one", "and these are of no other text"]
+    rows = [(5, texts[0], 1), (5, texts[1], 1), (None, texts[2], 1), (None, texts[3], 1), (None, texts[3], 1), (None, texts[0], 1), (5, texts[0], 1), (5, texts[1], 2)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, _content int")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == sorted([(5, texts[0]), (5, texts[1]), (-1, texts[2]), (-1, texts[3])])
+    assert sorted(got, key=str) == sorted(simhash.keep_one(spark.createDataFrame(rows[::-1], "doc_id long, text string, _content int").repartition(5)).collect(), key=str)
+
+
 def test_a_text_of_very_many_shingles(spark):
     rng = random.Random(21)
     vocabulary = ["".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(5000)]
