@@ -4,17 +4,17 @@ A signature has LEVELS * TREES minhashes. Each tree is the table of all distinct
 its own position on, so one signature gives several sorted orders, and rows with a common prefix stand side by side. The orders are dealt by
 ranges of the whole key, so a region that a third of all rows share is cut at deeper levels and no task holds a group.
 
-1. Neighbours. In each order a row's predecessor shares the longest prefix with it that the region offers: few levels where rows
-   are sparse, many where they are dense. Of the predecessors over all trees the NEAREST with the longest common prefixes are candidates.
-   Confirmed ones already join most groups of near copies, with a few pairs a row however large the group is.
-2. The rest, exactly. A region is a run of rows that share LEVELS minhashes of a tree. A region whose rows the confirmed links have
-   not made one component is opened: all its pairs across components are tried, in units of two chunks of CHUNK rows at most, so a wide
-   region is many tasks. Regions of one component have nothing left to say about components.
-
-Pairs of both steps are first held against the size bound, which is exact, and the agreement of signatures (LEAST of 72; a pair of
-similarity 0.8 has fewer with a probability of 2e-8), and then confirmed by the full sets, which only these rows get from their
-texts. A pair of similarity 0.8 shares no region of any tree with a probability of (1 - 0.8^3)^24 = 3e-8; those are all the losses. Shingles are
-64-bit hashes, sets are told apart by 128-bit digests of all their shingles.
+A region is a run of rows that share LEVELS minhashes of a tree, in chunks of CHUNK rows or BULK shingles at most, cut along the order. Inside a
+chunk a row's candidates come by their longest common prefix with it, so from the deepest level that the region offers upwards, and rows that
+confirmed links have joined already are passed over: where rows are dense, the nearest at great depth settle it; where they are
+sparse, the search goes up to the region's first level. Every pair of a region is met, or is joined already, so nothing is capped. Chunks of one region
+first stand alone; if their links leave a region of several chunks in more than one component, pairs of its chunks are tried across components.
+A pair that shares regions in several trees is met in the first of them only.
+
+Pairs are first held against the size bound, which is exact, and the agreement of signatures (LEAST of 72; a pair of similarity 0.8 has
+fewer with a probability of 2e-8); only rows with such a partner get their full sets from their texts, which then confirm. A pair of
+similarity 0.8 shares no region of any tree with a probability of (1 - 0.8^3)^24 = 3e-8; those are all the losses. Shingles are 64-bit
+hashes, sets are told apart by 128-bit digests of all their shingles.
 
 Defined cases: null, empty and wordless texts have no shingles and are linked with nothing, each is its own component; fewer words than a
 shingle are one shingle, the whole sequence; equal sets are one node, linked by definition; rows with a null doc_id keep a row and take part,
@@ -30,9 +30,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .graph import components
 from .shared import small_batches, whole_text, written
@@ -40,7 +40,7 @@ from .shared import small_batches, whole_text, written
 SIZE, PERCENT = 4, 80
 TREES, LEVELS, DEEPER = 24, 3, 8
 HASHES = TREES * LEVELS
-NEAREST, LEAST, CHUNK = 2, 36, 1024
+LEAST, CHUNK, BULK = 36, 1024, 4_000_000
 _RNG = np.random.default_rng(20)
 _FACTORS, _SHIFTS = _RNG.integers(0, 2**64, (2, HASHES), np.uint64, endpoint=False)
 _FACTORS |= np.uint64(1)
@@ -110,180 +110,172 @@ def _order(m: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
 def _grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for low in range(0, len(b), 4096):
-            m, nodes = _matrix(b["signature"].iloc[low : low + 4096]), b["node"].to_numpy(np.int64)[low : low + 4096]
+            m, nodes, n = _matrix(b["signature"].iloc[low : low + 4096]), *(b[c].to_numpy(np.int64)[low : low + 4096] for c in ("node", "n"))
             for tree in range(TREES):
                 key, deep = _order(m, tree)
-                yield pd.DataFrame({"tree": tree, "key": key, "deep": deep, "node": nodes})
+                yield pd.DataFrame({"tree": tree, "key": key, "deep": deep, "node": nodes, "n": n})
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Levels below the first that two rows share, from the bytes of deep."""
-    differ = (a ^ b).view(np.uint64)
-    out = np.zeros(len(differ), np.int64)
-    for k in range(DEEPER):
-        out += differ >> np.uint64(8 * (DEEPER - 1 - k)) == 0
-    return out
-
-
-def _adjacent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a sorted partition that share a region with the row before or after, and the partition's first and last row.
-
-    tree, key, node, before (the row before in the region, -1 if none), depth (levels shared with it).
-    """
-    last, first = None, True
-    for b in batches:
-        if not len(b):
-            continue
-        b = b.assign(before=-1, depth=0)
-        b = pd.concat([last, b], ignore_index=True) if last is not None else b
-        tree, key, deep, node = (b[c].to_numpy() for c in ("tree", "key", "deep", "node"))
-        same = (tree[1:] == tree[:-1]) & (key[1:] == key[:-1])
-        new = np.flatnonzero(same) + 1
-        before, depth = b["before"].to_numpy().copy(), b["depth"].to_numpy().copy()
-        before[new], depth[new] = node[new - 1], LEVELS + _common(deep[new], deep[new - 1])
-        b = b.assign(before=before, depth=depth)
-        keep = before >= 0
-        keep[:-1] |= same
-        if first:
-            keep[0], first = True, False
-        last = b.iloc[-1:]
-        out = b.iloc[:-1][keep[:-1]]
-        if len(out):
-            yield out[["tree", "key", "node", "before", "depth"]]
-    if last is not None:
-        yield last[["tree", "key", "node", "before", "depth"]]
-
-
-def orders(nodes: DataFrame) -> DataFrame:
-    """tree, key, node, before, depth of the rows that share a region with a neighbour (and of the ends of ranges)."""
-    grown = nodes.select("node", "signature").mapInPandas(_grow, "tree int, key long, deep long, node long")
+def _chunked(rows: int, bulk: int):
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a sorted partition that share a region with the row before or after, and the partition's first and last row, with their chunk."""
+        part, last, at = TaskContext.get().partitionId() << 32, None, (None, 0, 0, 0)  # region, chunk, rows and shingles in it
+        for b in batches:
+            if not len(b):
+                continue
+            chunk = []
+            for tree, key, n in zip(b["tree"].tolist(), b["key"].tolist(), b["n"].tolist()):
+                region, c, k, size = at
+                if region != (tree, key):
+                    c, k, size = 0, 0, 0
+                elif k >= rows or size + n > bulk:
+                    c, k, size = c + 1, 0, 0
+                at = (tree, key), c, k + 1, size + n
+                chunk.append(part + c)
+            b = b[["tree", "key", "deep", "node"]].assign(chunk=np.array(chunk, np.int64))
+            first = last is None
+            b = b if first else pd.concat([last[0], b], ignore_index=True)
+            same = ((b["tree"].to_numpy()[1:] == b["tree"].to_numpy()[:-1]) & (b["key"].to_numpy()[1:] == b["key"].to_numpy()[:-1])).tolist()
+            keep = np.array([first or last[1], *same]) | np.array([*same, False])
+            last = b.iloc[-1:], bool(keep[-1])
+            if keep[:-1].any():
+                yield b.iloc[:-1][keep[:-1]]
+        if last is not None:
+            yield last[0]
+
+    return chunks
+
+
+def orders(nodes: DataFrame, chunk: int = CHUNK, bulk: int = BULK) -> DataFrame:
+    """tree, key, deep, node, chunk of the rows that share a region with a neighbour (and of the ends of ranges)."""
+    grown = nodes.select("node", "n", "signature").mapInPandas(_grow, "tree int, key long, deep long, node long, n long")
     by = ("tree", "key", "deep", "node")
-    return grown.repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(_adjacent, "tree int, key long, node long, before long, depth int")
-
-
-def _possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Of rows of signatures a with sizes n, and b with m: the sizes allow a link, and enough minhashes agree."""
-    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (np.count_nonzero(a == b, axis=-1) >= LEAST)
-
+    return grown.repartitionByRange(*by).sortWithinPartitions(*by).mapInPandas(_chunked(chunk, bulk), "tree int, key long, deep long, node long, chunk long")
 
-def promising(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The (u, v) of pairs whose sizes and signatures allow a link."""
 
-    @pandas_udf("boolean")
-    def may(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series(_possible(_matrix(a), _matrix(b), n.to_numpy(), m.to_numpy()))
+UNIT = ["tree", "key", "a", "b"]
 
-    told = nodes.select("node", "n", "signature")
-    both = pairs.join(told.toDF("u", "_n", "_a"), "u").join(told.toDF("v", "_m", "_b"), "v")
-    return both.where(may("_a", "_b", "_n", "_m")).select("u", "v")
 
-
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links between the row without `other` of each run of equal node and the rows after it, on their full sets."""
-    node, own = None, None
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of a sorted partition in frames of whole units, with the places at which units begin and the end."""
+    held = None
     for b in batches:
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        if len(b):
+            unit = b[UNIT].to_numpy(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(axis=1)]))
+            held = b.iloc[starts[-1] :]
+            if len(starts) > 1:
+                yield b.iloc[: starts[-1]], starts
+    if held is not None:
+        yield held, np.array([0, len(held)])
+
+
+def _possible(m: np.ndarray, n: np.ndarray, tree: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and j may be linked by their sizes and signatures, and this is the first tree in which they share a region."""
+    same = m[i] == m[j]
+    first = same.reshape(-1, TREES, LEVELS).all(axis=2).argmax(axis=1)
+    return (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (np.count_nonzero(same, axis=1) >= LEAST) & (first == tree[i])
+
+
+def _paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows that have a possible partner in their unit."""
+    for b, starts in _units(batches):
+        m, (n, tree, root, chunk) = _matrix(b["signature"]), (b[c].to_numpy(np.int64) for c in ("n", "tree", "root", "chunk"))
+        across, keep = (b["a"] != b["b"]).to_numpy(), np.zeros(len(b), bool)
+        low, size = starts[:-1], np.diff(starts)
+        two = low[size == 2]
+        two = two[(root[two] != root[two + 1]) & (~across[two] | (chunk[two] != chunk[two + 1]))]
+        two = two[_possible(m, n, tree, two, two + 1)] if len(two) else two
+        keep[two] = keep[two + 1] = True
+        for begin, k in zip(low[size > 2].tolist(), size[size > 2].tolist()):
+            for i in range(begin, begin + k - 1):
+                j = np.arange(i + 1, begin + k)
+                j = j[(root[j] != root[i]) & (not across[i] or chunk[j] != chunk[i])]
+                if len(j) and len(j := j[_possible(m, n, tree, i, j)]):
+                    keep[i] = keep[j] = True
+        if keep.any():
+            yield b[keep]
+
+
+def _shared(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The size of each set's intersection with own."""
+    every = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    return np.add.reduceat(own[at] == every, np.cumsum([0, *map(len, sets[:-1])]), dtype=np.int64)
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Confirmed links that join the rows of each unit as all its links do. Rows of a unit come in the tree's order."""
+    for b, starts in _units(batches):
+        m, (n, tree, node, chunk) = _matrix(b["signature"]), (b[c].to_numpy(np.int64) for c in ("n", "tree", "node", "chunk"))
+        root, across = b["root"].to_numpy(np.int64).copy(), (b["a"] != b["b"]).to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in b["shingles"]]
         links = []
-        for at, other, packed in zip(b["node"].tolist(), b["other"].tolist(), b["shingles"]):
-            s = np.frombuffer(packed, np.uint64)
-            if other < 0:
-                node, own = at, s
-                continue
-            assert node == at
-            few, many = (own, s) if len(own) < len(s) else (s, own)
-            place = np.searchsorted(many, few)
-            shared = int(np.count_nonzero(many[np.minimum(place, len(many) - 1)] == few))
-            if 100 * shared >= PERCENT * (len(own) + len(s) - shared):
-                links.append((other, at))
+        for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            for i in range(begin, end - 1):
+                at, step = i + 1, 8
+                while at < end:  # from the longest common prefix on; what is joined by then is passed over
+                    j = np.arange(at, min(end, at + step))
+                    at, step = at + step, 4 * step
+                    j = j[(root[j] != root[i]) & (not across[i] or chunk[j] != chunk[i])]
+                    if not len(j) or not len(j := j[_possible(m, n, tree, i, j)]):
+                        continue
+                    both = _shared(sets[i], [sets[x] for x in j])
+                    for x in j[100 * both >= PERCENT * (n[i] + n[j] - both)].tolist():
+                        if root[x] != root[i]:
+                            links.append((node[i], node[x]))
+                            own = root[begin:end]
+                            own[own == root[x]] = root[i]
         if links:
             yield pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (u, v) of pairs that are links: 100 |intersection| >= PERCENT |union| of the full sets, made from the texts of these rows only.
-
-    The u of a pair is sent to v with its set; which end is v is up to a hash, so a row in many pairs is not sent all of them.
-    """
+def confirmed(units: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v), links whose components are those of all links within the units: tree, key, a, b, chunk, deep, node, root."""
+    columns = [*UNIT, "chunk", "deep", "node", "root", "n", "signature"]
+    kinds = "tree int, key long, a long, b long, chunk long, deep long, node long, root long, n long, signature binary"
+    met = units.join(nodes.select("node", "n", "signature"), "node").select(*columns).repartition(*UNIT).sortWithinPartitions(*UNIT)
+    paired = written(met.mapInPandas(_paired, kinds), "paired")
+    wanted = written(nodes.select("node", "digest", "least").join(paired.select("node").distinct(), "node", "left_semi"), "wanted")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t) for t in b["text"]]
             yield pd.DataFrame({"digest": [_digest(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 
-    turn = F.xxhash64("u", "v") % 2 == 0
-    pairs = written(pairs.select(F.when(turn, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(turn, F.col("v")).otherwise(F.col("u")).alias("v")), "pairs")
-    wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = written(wanted.join(nodes.select("node", "digest", "least"), "node"), "wanted")
     ids = wanted.select(F.col("least").alias("_least")).distinct()
     texts = docs.select("doc_id", whole_text().alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
     sets = small_batches(texts.select("text")).mapInPandas(run, "digest binary, shingles binary")
     sets = written(sets.join(wanted.select("digest", "node"), "digest").dropDuplicates(["node"]).select("node", "shingles"), "sets")
-    own = sets.select("node", F.lit(-1).cast("long").alias("other"), "shingles").join(pairs.select(F.col("v").alias("node")), "node", "left_semi")
-    sent = pairs.join(sets.withColumnRenamed("node", "u"), "u").select(F.col("v").alias("node"), F.col("u").alias("other"), "shingles")
-    met = own.unionByName(sent).repartition("node").sortWithinPartitions("node", "other")
-    return written(met.mapInPandas(_confirm, "u long, v long"), "links")
+    full = paired.join(sets, "node").select(*columns, "shingles").repartition(*UNIT).sortWithinPartitions(*UNIT, "deep", "node")
+    return written(full.mapInPandas(_linked, "u long, v long"), "links")
 
 
-def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Possible pairs across components in each (tree, key, a, b) run of a sorted partition."""
-    held = None
-    for b in batches:
-        b = pd.concat([held, b], ignore_index=True) if held is not None else b
-        if not len(b):
-            continue
-        unit = b[["tree", "key", "a", "b"]].to_numpy(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(axis=1)]))
-        held = b.iloc[starts[-1] :]
-        yield from _across(b, starts)
-    if held is not None:
-        yield from _across(held, np.array([0, len(held)]))
-
-
-def _across(b: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-    """Pairs of the runs that begin at starts, without the last one."""
-    if len(starts) < 2:
-        return
-    m, n, node, root, chunk, left = _matrix(b["signature"]), *(b[c].to_numpy(np.int64) for c in ("n", "node", "root", "chunk", "a"))
-    right = b["b"].to_numpy(np.int64)
-    us, vs = [], []
-    for low, high in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        for i in range(low, high):
-            # within one chunk each row meets those after it, between two chunks those of the other
-            j = np.arange(i + 1, high) if left[i] == right[i] else low + np.flatnonzero(chunk[low:high] == right[i]) if chunk[i] == left[i] else np.empty(0, np.int64)
-            j = j[root[j] != root[i]]
-            if len(j):
-                j = j[_possible(m[i], m[j], n[i], n[j])]
-                us += [node[i]] * len(j)
-                vs += node[j].tolist()
-    if us:
-        yield pd.DataFrame({"u": np.minimum(us, vs), "v": np.maximum(us, vs)}).drop_duplicates()
-
-
-def across(regions: DataFrame, roots: DataFrame, nodes: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(u, v), possible pairs of rows that share a region and are not in one component yet. regions: tree, key, node; roots: node, root."""
-    rows = written(regions.join(roots, "node", "left").select("tree", "key", "node", F.coalesce("root", "node").alias("root")), "rooted")
-    mixed = rows.groupBy("tree", "key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low < _high")
-    mixed = mixed.select("tree", "key", F.ceil(F.col("_n") / size).cast("int").alias("chunks"))
-    open_ = rows.join(mixed, ["tree", "key"]).join(nodes.select("node", "n", "signature"), "node")
-    open_ = open_.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    units = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    units = units.withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")}).select("tree", "key", "a", "b", "chunk", "node", "root", "n", "signature")
-    run = units.repartition("tree", "key", "a", "b").sortWithinPartitions("tree", "key", "a", "b")
-    return run.mapInPandas(_meet, "u long, v long").distinct()
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def across(regions: DataFrame, roots: DataFrame) -> DataFrame:
+    """Units of two chunks of each region that has several and more than one component. regions: tree, key, deep, node, chunk; roots: node, root."""
+    several = regions.groupBy("tree", "key", "chunk").agg(F.lit(1).alias("_one")).groupBy("tree", "key").agg(F.collect_list("chunk").alias("chunks"))
+    several = written(several.where(F.size("chunks") > 1), "several")  # no longer than rows of a region / CHUNK, and ranges
+    rows = regions.join(several, ["tree", "key"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = written(rows, "wide")
+    mixed = rows.groupBy("tree", "key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("tree", "key")
+    rows = rows.join(mixed, ["tree", "key"]).withColumn("other", F.explode("chunks")).where("other <> chunk")
+    return rows.select("tree", "key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "deep", "node", "root")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", chunk: int = CHUNK, bulk: int = BULK) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach, the own included) of every row."""
     docs = docs.select("doc_id", F.col(text).alias("text"))
     marked = written(signed(docs), "signed")
     nodes = marked.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    regions = written(orders(nodes), "regions")
-    near = regions.where("before >= 0").groupBy("node", "before").agg(F.max("depth").alias("depth"))
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("depth"), "before"))
-    near = near.withColumn("_k", best).where(F.col("_k") <= NEAREST).select(F.least("node", "before").alias("u"), F.greatest("node", "before").alias("v")).distinct()
-    first = confirmed(promising(near, nodes), nodes, docs)
-    rest = across(regions.select("tree", "key", "node"), components(first), nodes, chunk)
-    roots = components(first.unionByName(confirmed(rest, nodes, docs)))
+    regions = written(orders(nodes, chunk, bulk), "regions")
+    alone = regions.select("tree", "key", F.col("chunk").alias("a"), F.col("chunk").alias("b"), "chunk", "deep", "node", F.col("node").alias("root"))
+    links = confirmed(alone, nodes, docs)
+    roots = written(components(links), "roots")
+    wide = written(across(regions, roots), "units")
+    if not wide.isEmpty():
+        roots = components(links.unionByName(confirmed(wide, nodes, docs)))
     named = nodes.select("digest", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

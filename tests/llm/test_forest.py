@@ -65,10 +65,11 @@ EDGE = [
 ]
 
 
-@pytest.mark.parametrize("chunk", [forest.CHUNK, 2])
-def test_components_are_those_of_all_pairs(spark, chunk):
+@pytest.mark.parametrize("how", [{}, {"chunk": 2}, {"bulk": 300}])
+def test_components_are_those_of_all_pairs(spark, how):
+    """Whole regions; chunks of two rows, or of few shingles, so that most links are found across chunks."""
     rows = corpus() + EDGE
-    assert found(spark, rows, chunk=chunk) == brute(rows)
+    assert found(spark, rows, **how) == brute(rows)
 
 
 def test_the_borders_of_the_threshold(spark):
@@ -78,21 +79,32 @@ def test_the_borders_of_the_threshold(spark):
     assert found(spark, rows) == brute(rows) and [c for _, _, c in brute(rows)] == [1, 1, 3]
 
 
-def test_a_wide_region_is_opened_in_chunks_only_where_links_are_missing(spark):
-    """A chain whose links run through one region: the second step alone, in chunks of two rows, gives what all pairs give."""
-    rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = forest.written(forest.signed(docs).where("n > 0").dropDuplicates(["digest"]).withColumnRenamed("doc_id", "least").withColumn("node", forest.F.col("least")), "nodes")
-    regions = nodes.select(forest.F.lit(0).alias("tree"), forest.F.lit(0).cast("long").alias("key"), "node")
-    none = spark.createDataFrame([], "node long, root long")
-    got = {(r.u, r.v) for size in (2, 7, 1024) for r in forest.across(regions, none, nodes, size).collect()}
-    kept = [(r.least, sets_of(dict(rows)[r.least])) for r in nodes.collect()]
-    near = {(min(a, b), max(a, b)) for a, s in kept for b, t in kept if a < b and 100 * len(s & t) >= 80 * len(s | t)}
-    assert near <= got
-    for size in (2, 7):
-        assert {(r.u, r.v) for r in forest.across(regions, none, nodes, size).collect()} == got
-    one = nodes.select("node", forest.F.lit(0).cast("long").alias("root"))
-    assert forest.across(regions, one, nodes).count() == 0
+def test_a_dense_group_whose_pairs_are_mostly_no_links(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base = [word() for _ in range(120)]
+    rows = [(k, " ".join(w if rng.random() > rng.choice([0, 0.02, 0.05]) else word() for w in base)) for k in range(180)]
+    want = brute(rows)
+    assert 1 < len({c for _, _, c in want}) < 150
+    assert found(spark, rows) == want and found(spark, rows, chunk=20) == want
+
+
+def test_regions_of_one_component_are_not_opened_again(spark):
+    regions = spark.createDataFrame([(0, 5, k, k, k // 3) for k in range(9)] + [(1, 6, 0, 1, 0), (1, 6, 0, 2, 0)], "tree int, key long, deep long, node long, chunk long")
+    one = spark.createDataFrame([(k, 0) for k in range(9)], "node long, root long")
+    assert forest.across(regions, one).count() == 0
+    units = forest.across(regions, one.where("node <> 8")).collect()
+    assert len(units) == 18 and {(r.a, r.b) for r in units} == {(0, 1), (0, 2), (1, 2)} and all(r.chunk in (r.a, r.b) for r in units)
+
+
+def test_the_ends_of_ranges_keep_their_neighbours(spark):
+    """Rows of one region that fall into different ranges still meet."""
+    docs = spark.createDataFrame([(k, f"one two three four five six {k}") for k in range(40)], "doc_id long, text string")
+    nodes = forest.written(forest.signed(docs).withColumnRenamed("doc_id", "node"), "nodes")
+    got = forest.orders(nodes).groupBy("tree", "key").count().where("count > 1").count()
+    m = forest._matrix(nodes.toPandas()["signature"])
+    runs = sum((forest.np.unique(forest._order(m, t)[0], return_counts=True)[1] > 1).sum() for t in range(forest.TREES))
+    assert got == runs
 
 
 def test_signatures_estimate_similarity_and_long_texts_are_whole(spark):
