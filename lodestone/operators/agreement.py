@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +77,113 @@ def alpha(df: DataFrame, item: str, value: str, interval: bool = False) -> DataF
     return t.select(F.col("n").cast("long").alias("values"), F.round(1 - F.try_divide(F.col("o") / F.col("n"), de), 6).alias("alpha"))
 
 
+#: Items below which an interval says nothing, labels whose weights a task holds.
+FEW_ITEMS, LABELS = 5, 1024
+
+
+def _weights(key: tuple, items: int, replicates: int, seed: int) -> np.ndarray:
+    """How often each replicate draws the `items` items of one profile: Poisson, from a hash of the profile."""
+    spread = int.from_bytes(repr(key).encode(), "little")
+    return np.random.default_rng([seed, spread]).poisson(items, replicates)
+
+
+def alpha_interval(df: DataFrame, item: str, value: str, interval: bool = False, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """One row: items, values, alpha, and the 2.5 and 97.5 percentiles (low, high) of alpha over items drawn with replacement.
+
+    alpha is no mean, so replicates need each item's part in observed and expected disagreement. Items with the same labels (nominal) or the same
+    count, sum and squares (interval) are one profile; a replicate draws a profile's items a Poisson number of times, the same whatever the partitions, and
+    is a row of sums. Nominal replicates are summed by label first. Items with one label don't count; below FEW_ITEMS items the interval is NaN,
+    as it is where no replicate has a value.
+    """
+    v = df.where(F.col(value).isNotNull()).select(F.col(item).alias("i"), F.col(value).alias("v"))
+    if interval:
+        x = F.col("v").cast("double")
+        per = v.groupBy("i").agg(F.count("*").alias("m"), F.sum(x).alias("s"), F.sum(x * x).alias("q")).where("m > 1")
+        cells = per.groupBy("m", "s", "q").agg(F.count("*").alias("items"))
+
+        def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n, o, s, q = np.zeros((4, replicates))
+            for part in parts:
+                for m, a, b, items in part[["m", "s", "q", "items"]].itertuples(index=False):
+                    w = _weights((m, a, b), items, replicates, seed)
+                    n, o, s, q = n + w * m, o + w * 2 * (m * b - a * a) / (m - 1), s + w * a, q + w * b
+            yield pd.DataFrame({"rep": np.arange(replicates), "n": n, "o": o, "s": s, "q": q})
+
+        sums = cells.mapInPandas(draw, "rep int, n double, o double, s double, q double").groupBy("rep").agg(*[F.sum(c).alias(c) for c in "nosq"])
+        expected = 2 * (F.col("n") * F.col("q") - F.col("s") * F.col("s")) / (F.col("n") * (F.col("n") - 1))
+    else:
+        counts = v.groupBy("i", "v").agg(F.count("*").alias("c"))
+        per = counts.groupBy("i").agg(F.array_sort(F.collect_list(F.struct(F.col("v").cast("string").alias("v"), "c"))).alias("p"), F.sum("c").alias("m")).where("m > 1")
+        cells = per.groupBy("p", "m").agg(F.count("*").alias("items"))
+
+        def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Rows (label, rep, n), and (null, rep, o)."""
+            o, of = np.zeros(replicates), {}
+            rows = lambda label, x: pd.DataFrame({"label": label, "rep": np.arange(replicates), "x": x})
+            for part in parts:
+                for p, m, items in part[["p", "m", "items"]].itertuples(index=False):
+                    w = _weights(tuple((x["v"], x["c"]) for x in p), items, replicates, seed)
+                    o += w * sum(x["c"] * (m - x["c"]) for x in p) / (m - 1)
+                    for x in p:
+                        of[x["v"]] = of.get(x["v"], 0) + w * float(x["c"])
+                    if len(of) > LABELS:
+                        yield from (rows(label, n) for label, n in of.items())
+                        of = {}
+            yield from (rows(label, n) for label, n in of.items())
+            yield rows(None, o)
+
+        sums = cells.mapInPandas(draw, "label string, rep int, x double").groupBy("rep", "label").agg(F.sum("x").alias("x"))
+        labelled = F.col("label").isNotNull()
+        sums = sums.groupBy("rep").agg(
+            F.sum(F.when(labelled, F.col("x"))).alias("n"), F.sum(F.when(labelled, F.col("x") * F.col("x"))).alias("sq"), F.sum(F.when(~labelled, F.col("x"))).alias("o")
+        )
+        expected = (F.col("n") * F.col("n") - F.col("sq")) / (F.col("n") * (F.col("n") - 1))
+    drawn = sums.where("n > 1").select((1 - F.try_divide(F.col("o") / F.col("n"), expected)).alias("a"))
+    ends = drawn.agg(*[F.percentile("a", F.lit(p)).alias(name) for name, p in (("low", 0.025), ("high", 0.975))])
+    some = F.coalesce("items", F.lit(0)) >= FEW_ITEMS
+    end = lambda c: F.when(some, F.coalesce(F.round(c, 6), F.lit(float("nan")))).otherwise(float("nan")).alias(c)
+    one = alpha(df, item, value, interval).join(cells.agg(F.sum("items").alias("items")), F.lit(True)).join(ends, F.lit(True))
+    return one.select(F.coalesce("items", F.lit(0)).alias("items"), "values", "alpha", end("low"), end("high"))
+
+
+def set_alpha(df: DataFrame, rater: str, paper: str, item: str, raters: int, by: list[str] | None = None, replicates: int = 0, seed: int = 42) -> DataFrame:
+    """(by..., papers, items, alpha, and with replicates low and high) of raters that each name a set of items a paper.
+
+    A paper counts that all `raters` have looked at; a rater that found nothing has a row with a null item. Its items are the union of what they name, each
+    labelled by every rater as named or not, so an item is told by the number of raters that name it, and alpha, and its replicates too, by the counts of those
+    numbers. With runs as raters and models in `by` it is the agreement of a model with itself.
+    """
+    by = by or []
+    seen = df.select(*by, paper, rater, item).distinct()
+    whole = seen.groupBy(*by, paper).agg(F.count_distinct(rater).alias("_r")).where(F.col("_r") == raters).drop("_r")
+    keys = [*by, paper]
+    named = seen.where(F.col(item).isNotNull()).join(whole, keys, "left_semi").groupBy(*keys, item).agg(F.count("*").alias("k"))
+    cells = named.groupBy(*by, "k").agg(F.count("*").alias("items"))
+    n, k = F.col("items") * F.lit(float(raters)), F.col("k") * F.col("items").cast("double")
+    sums = [F.sum("items").alias("items"), F.sum(n).alias("n"), F.sum(k).alias("one"), F.sum(2 * F.col("k") * (raters - F.col("k")) / (raters - 1.0) * F.col("items")).alias("o")]
+    zero = F.col("n") - F.col("one")
+    expected = (F.col("n") * F.col("n") - F.col("one") * F.col("one") - zero * zero) / (F.col("n") * (F.col("n") - 1))
+    value = 1 - F.try_divide(F.col("o") / F.col("n"), expected)
+    out = whole.groupBy(*by).agg(F.count("*").alias("papers"))
+    join = lambda a, b: a.join(b, by, "left") if by else a.join(b, F.lit(True), "left")
+    out = join(out, cells.groupBy(*by).agg(*sums).select(*by, "items", F.round(value, 6).alias("alpha"))).fillna({"items": 0})
+    if not replicates:
+        return out
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples(index=False):
+                w = _weights((*map(str, row[: len(by)]), row.k), row.items_, replicates, seed)
+                yield pd.DataFrame({**{c: [x] * replicates for c, x in zip(by, row)}, "k": row.k, "rep": np.arange(replicates), "items": w})
+
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    drawn = cells.withColumnRenamed("items", "items_").select(*by, "k", "items_").mapInPandas(draw, f"{kinds}k long, rep int, items long")
+    drawn = drawn.groupBy(*by, "rep").agg(*sums).where("n > 1").select(*by, value.alias("a"))
+    ends = drawn.groupBy(*by).agg(*[F.percentile("a", F.lit(p)).alias(name) for name, p in (("low", 0.025), ("high", 0.975))])
+    end = lambda c: F.when(F.col("items") >= FEW_ITEMS, F.coalesce(F.round(c, 6), F.lit(float("nan")))).otherwise(float("nan")).alias(c)
+    return join(out, ends).select(*by, "papers", "items", "alpha", end("low"), end("high"))
+
+
 def run_stability(df: DataFrame, model: str, paper: str, run: str, item: str) -> DataFrame:
     """(model, papers, stable, distinct, mean_outputs, pairs, identical, count_diff, median_dn) of repeated runs of each model.
 

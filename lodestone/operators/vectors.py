@@ -14,7 +14,7 @@ from lodestone.functions.numbers import cosine_distance
 from .tables import top_k
 
 
-BLOCK, ASKED = 16384, 2048
+BLOCK, ASKED, FEW = 16384, 16384, 64
 
 
 def batch_knn(queries: DataFrame, points: DataFrame, k: int, qid: str = "query_id", pid: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
@@ -62,6 +62,28 @@ def batch_knn(queries: DataFrame, points: DataFrame, k: int, qid: str = "query_i
     return top_k(near, [qid], [F.col("distance"), F.col(pid)], k)
 
 
+def distances(queries: DataFrame, points: DataFrame, qid: str = "query_id", pid: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(qid, pid, distance and the points' columns of `keep`) of every point to each of at most FEW queries, itself left out: one scan without a shuffle.
+
+    The queries, no more than FEW, become literals of the plan; more are an error, batch_knn is for those.
+    """
+    asked = queries.select(qid, F.col(vector).cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null)").limit(FEW + 1).collect()
+    if len(asked) > FEW:
+        raise ValueError(f"more than {FEW} queries; use batch_knn or an index")
+    p = points.where(F.col(vector).isNotNull()).select(pid, F.col(vector).cast("array<double>").alias("_v"), *keep)
+    if not asked:
+        return p.select(F.lit(None).cast(queries.schema[qid].dataType).alias(qid), pid, F.lit(None).cast("double").alias("distance"), *keep).limit(0)
+    of = [F.struct(F.lit(i).cast(queries.schema[qid].dataType).alias("i"), F.when(F.size("_v") == len(v), cosine_distance(F.col("_v"), F.array(*map(F.lit, v)))).alias("d")) for i, v in asked]
+    met = p.select(pid, *keep, F.explode(F.array(*of)).alias("_q")).select(F.col("_q.i").alias(qid), pid, F.col("_q.d").alias("distance"), *keep)
+    return met.where((F.col("distance").isNotNull()) & (F.col(qid) != F.col(pid)))
+
+
+def few_knn(queries: DataFrame, points: DataFrame, k: int, qid: str = "query_id", pid: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
+    """batch_knn for at most FEW queries, without Python: each partition keeps its k best of a query."""
+    p = points.where(where) if where is not None else points
+    return top_k(distances(queries, p, qid, pid, vector), [qid], [F.col("distance"), F.col(pid)], k)
+
+
 def knn(points: DataFrame, query: list[float], k: int, pid: str = "vec_id", vector: str = "embedding", where: Column | None = None) -> DataFrame:
     """(pid, distance) of the k nearest to one vector."""
     p = points.where(where) if where is not None else points
@@ -78,10 +100,14 @@ def relevance(distance: Column) -> Column:
     return F.round(1 - distance, 6)
 
 
-def one_hit_a_document(hits: DataFrame, document: str, k: int) -> DataFrame:
-    """The best hit of each document, the best k of those, numbered."""
-    best = top_k(hits, [document], [F.col("distance"), F.col("vec_id")], 1, "_r").drop("_r")
-    return best.orderBy("distance", "vec_id").limit(k)
+def one_hit_a_document(queries: DataFrame, points: DataFrame, document: str, k: int, qid: str = "query_id", pid: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(qid, document, pid, distance, rank): the best hit of each document for each of at most FEW queries, the best k of those.
+
+    Every point counts: each partition first keeps the best hit of a document, so no list of hits is ever cut before its documents are known.
+    """
+    met = distances(queries, points, qid, pid, vector, keep=(document,))
+    best = met.groupBy(qid, document).agg(F.min(F.struct("distance", pid)).alias("b")).select(qid, document, F.col(f"b.{pid}").alias(pid), F.col("b.distance").alias("distance"))
+    return top_k(best, [qid], [F.col("distance"), F.col(pid)], k)
 
 
 def passes(mats: Column, tc_min: float | None = None, pressure_max: float | None = None) -> Column:

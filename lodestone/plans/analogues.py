@@ -201,7 +201,7 @@ SELECT vec_id, round(list_cosine_distance(embedding::DOUBLE[], q::DOUBLE[]), 6)
 def knn_topk(t, spark):
     """Ten nearest to one vector among those that a filter leaves."""
     one = t("embeddings").where("vec_id = 7").select(F.col("vec_id").alias("query_id"), "embedding")
-    near = vectors.batch_knn(one, t("embeddings"), 10, where=F.col("label") < 3)
+    near = vectors.few_knn(one, t("embeddings"), 10, where=F.col("label") < 3)
     return near.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
