@@ -70,11 +70,16 @@ def classification(evidence: Column, measurement: Column, paper_type: Column) ->
     return F.when(evidence == "cited", "cited").when(is_theory(evidence, measurement, paper_type), "theoretical").otherwise("experimental")
 
 
-def records(papers: DataFrame) -> DataFrame:
-    """One row a record of papers that count, with `key`, the confidence after the paper's tier, and `skip`: why it is left out."""
+def counting(papers: DataFrame) -> DataFrame:
+    """The papers that count, with `tier` and the `factor` of its confidence: neither retracted nor of a tier without weight."""
     tier = F.when((F.col("source") == "aps") | F.col("id").startswith("aps:"), "T1").otherwise(F.col("credibility_tier"))
     factor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in TIER_FACTOR.items() for x in p]), tier), F.lit(1.0))
-    live = papers.where("status is null or status <> 'retracted'").withColumns({"tier": tier, "factor": factor}).where("factor > 0")
+    return papers.where("status is null or status <> 'retracted'").withColumns({"tier": tier, "factor": factor}).where("factor > 0")
+
+
+def records(papers: DataFrame) -> DataFrame:
+    """One row a record of papers that count, with `key`, the confidence after the paper's tier, and `skip`: why it is left out."""
+    live = counting(papers)
     date = F.coalesce("date_submitted", "date_published")
     flat = live.select(F.col("id").alias("paper_id"), "tier", "factor", F.year(date).alias("paper_year"), F.posexplode("materials_extracted").alias("ord", "r"))
     given = set(flat.select("r.*").columns)
@@ -146,9 +151,11 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
     discard(accepted)
     kinds = F.array_compact(F.array(F.when(~F.col("theory") & ~F.col("cited"), "exp"), F.when(F.col("theory"), "theo"), F.when(F.col("ambient"), "amb")))
     maxima = ev.corroborated_max(_by_field(rows, kinds, "paper_id", "tc_kelvin"), "e", "paper_id", "tc_kelvin", "tc", "sup")
-    said = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("v")) for c in VOTED])
-    votes = ev.weighted_mode(_by_field(rows, said, "paper_id", "confidence"), "e", "paper_id", "v", "confidence", "v")
-    middles = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in MEDIANS])
+    there = lambda fields: F.filter(F.array(*fields), lambda f: f["v"].isNotNull())  # noqa: E731  what a record leaves out makes no row
+    said = there([F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("v")) for c in VOTED])
+    counted = rows.withColumn("_n", F.when(F.col("good") == 0, F.col("given")).otherwise(F.col("good")))
+    votes = ev.weighted_mode(_by_field(counted, said, "paper_id", "confidence", "_n"), "e", "paper_id", "v", "confidence", "v", "_n")
+    middles = there([F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in MEDIANS])
     medians = ev.exact_median(_by_field(rows, middles), "e", "v", "v")
     tops = [
         _wide(maxima, {f"{v}_{k}": (k, v) for k in ("exp", "theo", "amb") for v in ("tc", "sup")}),

@@ -92,7 +92,7 @@ kept AS (SELECT *, CASE WHEN evidence = 'primary_experimental' THEN false ELSE m
 @query()
 def evidence_summary(t, spark):
     """Papers to summaries: flatten, vote, review, link variants. evidence_headline holds its columns against SQL."""
-    flat = summary.records(materialised(papers(t), "papers")).where("skip is null")
+    flat = summary.records(materialised(summary.counting(papers(t)).drop("tier", "factor"), "papers")).where("skip is null")
     return summary.link_variants(summary.summarise(flat)).drop("lattice_params")
 
 
