@@ -27,7 +27,7 @@ TIER_TOP, TOLERANCE = 300.0, 1.2
 
 @dataclass(frozen=True)
 class Rule:
-    """predicate: a condition on the rows; or prepare(rows) adds the column the condition reads."""
+    """predicate: a condition on the rows; prepare(rows), which rules may share, adds the columns that the condition reads."""
 
     name: str
     severity: str
@@ -44,9 +44,11 @@ def run(rows: DataFrame, rules: list[Rule]) -> DataFrame:
 
     A critical rule flags rows that are neither flagged nor decided; a later rule sees the flags of those before it. One pass.
     """
-    flagged, reason, counted = F.col("needs_review"), F.col("review_reason"), []
+    flagged, reason, counted, prepared = F.col("needs_review"), F.col("review_reason"), [], []
     for rule in rules:
-        rows = rule.prepare(rows) if rule.prepare else rows
+        if rule.prepare and rule.prepare not in prepared:
+            rows = rule.prepare(rows)
+            prepared.append(rule.prepare)
         holds = F.coalesce(rule.predicate, F.lit(False))
         if rule.severity == "critical":
             hit = holds & ~flagged & F.col("admin_decision").isNull()
@@ -113,10 +115,10 @@ def standard(papers: DataFrame, overrides: DataFrame, year: int, records: DataFr
         Rule("tc_exceeds_family_cap", "critical", F.col("tc_max") > capped(AUDIT_CAPS, F.col("family"))),
         Rule("tc_at_ambient_above_record", "critical", F.col("ambient_sc") & (F.col("tc_max") > 152)),
         Rule("implausible_pressure", "critical", F.col("_pressure"), seen),
-        Rule("hydride_low_pressure_high_tc", "critical", (F.col("family") == "hydride") & F.col("_hot")),
-        Rule("ambient_sc_with_high_pressure", "critical", F.col("_pressed")),
-        Rule("record_year_out_of_range", "warn", F.col("_odd_year")),
-        Rule("arxiv_year_mismatch", "info", F.col("_latest") - 5 > F.col("arxiv_year")),
+        Rule("hydride_low_pressure_high_tc", "critical", (F.col("family") == "hydride") & F.col("_hot"), seen),
+        Rule("ambient_sc_with_high_pressure", "critical", F.col("_pressed"), seen),
+        Rule("record_year_out_of_range", "warn", F.col("_odd_year"), seen),
+        Rule("arxiv_year_mismatch", "info", F.col("_latest") - 5 > F.col("arxiv_year"), seen),
         Rule("citation_conflation_review_paper", "critical", F.col("id").startswith("mat:") & (F.col("total_papers") == 1) & (F.col("tc_max") > 80) & F.col("_review"), reviewed),
         Rule("tc_exceeds_compound_cap", "critical", F.col("tc_max") > F.col("_cap"), compound),
         Rule("family_unconv_contradiction", "critical", F.col("is_unconventional") & (F.col("family") == "conventional")),

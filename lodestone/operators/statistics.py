@@ -36,7 +36,7 @@ def bootstrap(df: DataFrame, value: str, weight_seed: int = 42, replicates: int
     return cells.agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")).join(ci, F.lit(True))
 
 
-VALUES, BOUNDS = 4096, 1024
+VALUES, BOUNDS, RANGE = 4096, 1024, 16
 
 
 def _upto(cells: DataFrame) -> DataFrame:
@@ -108,10 +108,18 @@ def histogram(df: DataFrame, value: str, width: float, out: str = "bin") -> Data
 
 
 def valleys(bins: DataFrame, at: str = "bin", n: str = "n", near: float = 5, far: float = 30) -> DataFrame:
-    """Every bin with the highest bin on either side between near and far, and depth = n / the lower of the two."""
-    w = Window.partitionBy(F.lit(1)).orderBy(at)
+    """Every bin with the highest bin on either side between near and far, and depth = n / the lower of the two. Null places do not show.
+
+    The axis is cut into ranges of RANGE times far; a bin also goes, as a guest, to the ranges that its halo of far reaches, so each range is a window of
+    its own.
+    """
+    cell = lambda x: F.floor(x / (RANGE * far)).cast("long")
+    x = F.col(at)
+    dealt = bins.withColumn("_range", F.explode(F.sequence(cell(x - far), cell(x + far))))
+    w = Window.partitionBy("_range").orderBy(at)
     left, right = F.max(n).over(w.rangeBetween(-far, -near)), F.max(n).over(w.rangeBetween(near, far))
-    return bins.withColumns({"left_peak": left, "right_peak": right}).withColumn("depth", F.round(F.try_divide(F.col(n), F.least("left_peak", "right_peak")), 4))
+    own = dealt.withColumns({"left_peak": left, "right_peak": right}).where(F.col("_range") == cell(x)).drop("_range")
+    return own.withColumn("depth", F.round(F.try_divide(F.col(n), F.least("left_peak", "right_peak")), 4))
 
 
 def _log_gamma(x: Column) -> Column:

@@ -85,9 +85,10 @@ def stack_metrics(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
 
 
 def share(df: DataFrame, by: list[str], digits: int = 2) -> DataFrame:
-    """Count and percentage of each group; the total is a sum over the few groups."""
+    """Count and percentage of each group; the total is a row of its own."""
     counts = df.groupBy(*by).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), digits))
+    joined = counts.join(df.agg(F.count("*").alias("_all")), F.lit(True))
+    return joined.withColumn("pct", F.round(100.0 * F.col("n") / F.col("_all"), digits)).drop("_all")
 
 
 def merge_records(df: DataFrame, key: str, records: str, identity) -> DataFrame:

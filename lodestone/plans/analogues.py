@@ -328,13 +328,13 @@ def latest_per_key(t, spark):
 
 
 @query("""
-WITH n AS (SELECT c_custkey AS id, c_mktsegment AS seg, c_acctbal AS bal FROM customer WHERE c_custkey % 3 = 0), o AS (SELECT c_custkey + 1 AS id, 'old' AS seg, 0.0::DOUBLE AS bal FROM customer WHERE c_custkey % 2 = 0)
+WITH n AS (SELECT c_custkey AS id, c_mktsegment AS seg, c_acctbal AS bal FROM customer), o AS (SELECT c_custkey + 7 AS id, 'old' AS seg, 0.0::DOUBLE AS bal FROM customer)
 SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.seg ELSE n.seg END AS seg, CASE WHEN o.id IS NULL THEN n.bal ELSE o.bal END AS bal FROM o FULL JOIN n ON o.id = n.id""")
 def upsert_rows(t, spark):
     """Insert or update one column of a table by key; the other column keeps its old value."""
     c = t("customer")
-    old = c.where("c_custkey % 2 = 0").select((F.col("c_custkey") + 1).alias("id"), F.lit("old").alias("seg"), F.lit(0.0).alias("bal"))
-    new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
+    old = c.select((F.col("c_custkey") + 7).alias("id"), F.lit("old").alias("seg"), F.lit(0.0).alias("bal"))
+    new = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
     return T.upsert(old, new, ["id"], ["seg"])
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import agreement as A
-from lodestone.operators import tails
+from lodestone.operators import audits, rules, tails
 from lodestone.operators.vector_index import VectorIndex, fresh_path
 
-from .registry import query
+from .evidence_demo import with_records
+from .registry import ORACLE_SQL, query
 
 
 def _asked(e):
@@ -105,3 +106,21 @@ def discrete_tail(t, spark):
         return one
     ratios = tails.tail_ratios(v, "v", fit.x_min, fit.alpha)
     return one.unionByName(ratios.select(F.concat(F.lit("against_"), "alternative").alias("metric"), F.round("ratio", 4).alias("value"), F.round("p", 6).alias("p")))
+
+
+RULES = (
+    "tc_exceeds_family_cap", "tc_at_ambient_above_record", "implausible_pressure", "hydride_low_pressure_high_tc", "ambient_sc_with_high_pressure", "record_year_out_of_range",
+    "arxiv_year_mismatch", "citation_conflation_review_paper", "tc_exceeds_compound_cap", "family_unconv_contradiction", "sole_source_retracted", "no_such_rule",
+)
+
+
+@query(f"""WITH a AS ({ORACLE_SQL["audit_rules"]}), v(rule_name) AS (VALUES {", ".join(f"('{r}')" for r in RULES)}),
+hits AS (SELECT id, review_reason AS r FROM a WHERE needs_review UNION ALL SELECT id, unnest(string_split(counted, ',')) FROM a WHERE counted <> '')
+SELECT rule_name, CASE WHEN rule_name = 'no_such_rule' THEN -1 ELSE count(id) END AS rows_flagged FROM v LEFT JOIN hits ON r = rule_name GROUP BY rule_name""")
+def audit_reports(t, spark):
+    """The eleven rules one by one, with a twelfth that fails, as the reports table has them."""
+    p, m, flat = with_records(t)
+    over = spark.createDataFrame([("fese", "tc_max", "37", True, "book")], "canonical string, field string, override_value string, is_cap boolean, source string")
+    path = fresh_path(spark, "audit")
+    audits.audit(m, [*rules.standard(p, over, 2024, flat), rules.Rule("no_such_rule", "critical", F.col("no_such_column") > 0)], path, "first")
+    return audits.tables(spark, path)[0].read().select("rule_name", "rows_flagged")

@@ -183,13 +183,13 @@ def value_agreement(t, spark):
 
 
 @query("""
-WITH a AS (SELECT l_suppkey, max(l_quantity)::DOUBLE AS q, min(l_returnflag) AS f FROM lineitem WHERE l_linestatus = 'F' AND l_tax > 0.07 GROUP BY 1),
-b AS (SELECT l_suppkey, max(l_quantity)::DOUBLE AS q, min(l_returnflag) AS f FROM lineitem WHERE l_linestatus = 'O' AND l_tax > 0.07 GROUP BY 1), x AS (SELECT a.q AS aq, b.q AS bq, a.f AS af, b.f AS bf, a.l_suppkey AS ak, b.l_suppkey AS bk FROM a FULL JOIN b USING (l_suppkey))
+WITH a AS (SELECT l_suppkey, max(l_quantity)::DOUBLE AS q, min(l_returnflag) AS f FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+b AS (SELECT l_suppkey, max(l_quantity)::DOUBLE AS q, min(l_returnflag) AS f FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1), x AS (SELECT a.q AS aq, b.q AS bq, a.f AS af, b.f AS bf, a.l_suppkey AS ak, b.l_suppkey AS bk FROM a FULL JOIN b USING (l_suppkey))
 SELECT unnest(['fresh_rows', 'old_rows', 'in_both', 'orphans', 'fresh_only', 'match_q', 'match_f']) AS metric, unnest([count(ak), count(bk), count(*) FILTER (ak IS NOT NULL AND bk IS NOT NULL), count(*) FILTER (ak IS NULL), count(*) FILTER (bk IS NULL),
  count(*) FILTER (ak IS NOT NULL AND bk IS NOT NULL AND abs(aq - bq) <= 0.05), count(*) FILTER (ak IS NOT NULL AND bk IS NOT NULL AND af = bf)])::DOUBLE AS value FROM x""")
 def aggregator_fidelity(t, spark):
     """Two runs of an aggregation side by side: rows, orphans, matches by field."""
-    run = lambda s: t("lineitem").where((F.col("l_linestatus") == s) & (F.col("l_tax") > 0.07)).groupBy("l_suppkey").agg(F.max("l_quantity").cast("double").alias("q"), F.min("l_returnflag").alias("f"))
+    run = lambda s: t("lineitem").where(F.col("l_linestatus") == s).groupBy("l_suppkey").agg(F.max("l_quantity").cast("double").alias("q"), F.min("l_returnflag").alias("f"))
     return T.fidelity(run("F"), run("O"), "l_suppkey", ["q", "f"])
 
 
@@ -350,12 +350,13 @@ def harvest_rejects(t, spark):
 
 
 @query("""
-WITH s AS (SELECT p_type AS key, max(p_retailprice) AS tc, min(p_brand) AS phase FROM part GROUP BY 1), n AS (SELECT key, tc, phase, row_number() OVER (ORDER BY key) AS n FROM s)
+WITH s AS (SELECT p_type AS key, max(p_retailprice) AS tc, min(p_brand) AS phase FROM part GROUP BY 1), n AS (SELECT key, tc, phase, length(key) AS n FROM s)
 SELECT key, CASE WHEN n % 3 = 0 THEN least(tc, 1500) WHEN n % 3 = 1 THEN 7 ELSE tc END AS tc_max, CASE WHEN n % 2 = 0 THEN 'fixed' ELSE phase END AS structure_phase FROM n""")
 def curated_overrides(t, spark):
     """Exact values replace fields, caps only lower them."""
     s = t("part").groupBy(F.col("p_type").alias("key")).agg(F.max("p_retailprice").cast("double").alias("tc_max"), F.min("p_brand").alias("structure_phase"))
-    names = sorted(r.key for r in s.select("key").collect())
-    rows = [(k, "tc_max", "1500" if n % 3 == 0 else "7", n % 3 == 0, "book") for n, k in enumerate(names, 1) if n % 3 < 2] + [(k, "structure_phase", "fixed", False, "book") for n, k in enumerate(names, 1) if n % 2 == 0]
-    over = spark.createDataFrame(rows, "canonical string, field string, override_value string, is_cap boolean, source string")
+    book = F.col("key").alias("canonical"), F.lit("book").alias("source")
+    n = F.char_length("key")
+    over = s.where(n % 3 < 2).select(*book, F.lit("tc_max").alias("field"), F.when(n % 3 == 0, "1500").otherwise("7").alias("override_value"), (n % 3 == 0).alias("is_cap"))
+    over = over.unionByName(s.where(n % 2 == 0).select(*book, F.lit("structure_phase").alias("field"), F.lit("fixed").alias("override_value"), F.lit(False).alias("is_cap")))
     return summary.apply_overrides(s.withColumn("review_reason", F.lit(None).cast("string")), over).select("key", "tc_max", "structure_phase")
