@@ -83,7 +83,9 @@ def op13_bitmap_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitmaps.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: _alone(f) for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op4_bootstrapped_pii, op5_anisotropic_search, op6_site_style_tree, op7_chat_prefix_targets, op8_maximal_repeats, op9_simhash_golay, op10_byte_bpe, op11_lsh_forest, op12_divergence_vectors, op13_bitmap_interactions)}
+#: Results as long as their texts are not written a second time.
+WIDE = (op2_fingerprint_parsing, op6_site_style_tree)
+QUERIES = {f.__name__: f if f in WIDE else _alone(f) for f in (op1_quality_fm, op2_fingerprint_parsing, op3_mix_entropy_balancing, op4_bootstrapped_pii, op5_anisotropic_search, op6_site_style_tree, op7_chat_prefix_targets, op8_maximal_repeats, op9_simhash_golay, op10_byte_bpe, op11_lsh_forest, op12_divergence_vectors, op13_bitmap_interactions)}
 ORACLE_SQL = {
     "op7_chat_prefix_targets": chat.ORACLE_SQL,
     "op12_divergence_vectors": divergence.ORACLE_SQL,
