@@ -35,8 +35,8 @@ TAGS = {
     "tc": r"\bT\s*c\b|\bcritical temperature\b|\btransition temperature\b", "pairing": r"\bpairing\b|\bd[-\s]?wave\b|\bs[-\s]?wave\b|\bp[-\s]?wave\b",
     "charge_density_wave": r"charge[-\s]?density[-\s]?wave|\bCDW\b",
 }
-MATERIAL_TAGS = "cuprate pnictide nickelate hydride mgb2 heavy_fermion organic tc charge_density_wave".split()
-DEVICE_TAGS = "josephson andreev squid transmon topological".split()
+MATERIAL_TAGS = ["cuprate", "pnictide", "nickelate", "hydride", "mgb2", "heavy_fermion", "organic", "tc", "charge_density_wave"]
+DEVICE_TAGS = ["josephson", "andreev", "squid", "transmon", "topological"]
 SOURCES = (("arxiv:", "arXiv:"), ("aps:", "DOI: "), ("doi:", "DOI: "), ("nims:", "NIMS:"))
 PUBLICATION_TYPES = (("Review", "review"), ("MetaAnalysis", "review"), ("JournalArticle", "experimental"))
 DOI = r"(?i)10\.\d{4,9}/[^\s\"<>]+"

@@ -19,7 +19,9 @@ JOURNALS = {
     "PhysRevResearch": ("Physical Review Research", "PRResearch"), "PhysRevPhysEducRes": ("Physical Review Physics Education Research", "PRPER"),
     "PRXQuantum": ("PRX Quantum", "PRXQuantum"), "PRXEnergy": ("PRX Energy", "PRXEnergy"), "PRXLife": ("PRX Life", "PRXLife"),
 }
-FIRST_JOURNALS, SECOND_JOURNALS, EXCLUDED_JOURNALS = "PRB PRL PRX PRResearch PRMaterials".split(), "PRApplied RMP PRXQuantum PRA".split(), "Physics PRPER".split()
+FIRST_JOURNALS, SECOND_JOURNALS, EXCLUDED_JOURNALS = ["PRB", "PRL", "PRX", "PRResearch", "PRMaterials"], ["PRApplied", "RMP", "PRXQuantum", "PRA"], [
+    "Physics", "PRPER",
+]
 EXCLUDED_DOI, LEGACY_DOI, LEGACY_YEAR = "10.1103/PhysRevFocus.", r"(?i)^10\.1103/[A-Z][A-Z0-9]*\.\d+\.[A-Z]?\d+[A-Z]?(?:\.\d+)?$", 2001
 PUBLICATION_TYPES = {
     "JournalArticle": "experimental", "Conference": "experimental", "Review": "review", "CaseReport": "experimental", "ClinicalTrial": "experimental",

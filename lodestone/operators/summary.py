@@ -33,7 +33,7 @@ MEASURED = (
 CALCULATED = (
     "calculation", "dft", "first-principles", "first principles", "computational", "ab initio", "ab-initio", "allen-dynes", "eliashberg", "tight-binding",
 )
-INSULATORS = "batio3 pbtio3 catio3 laalo3 mgo al2o3 sio2 srzro3 bazro3 latio3 tio2".split()
+INSULATORS = ["batio3", "pbtio3", "catio3", "laalo3", "mgo", "al2o3", "sio2", "srzro3", "bazro3", "latio3", "tio2"]
 GARBAGE = (
     "descriptive_word", "condition_descriptor", "invalid_start", "system_designator_not_compound", "phase_prefix_in_formula",
     "incomplete_or_charged_formula", "english_element_name", "literal_placeholder", "single_element_symbol", "concatenated_prose",
@@ -44,11 +44,11 @@ MOST_CHARS = {
     "tc_max_conditions": 300, "competing_order": 100, "pressure_type": 50, "sample_form": 50, "substrate": 100, "doping_type": 50,
     "review_reason": 200, "family": 50,
 }
-VOTED = "structure_phase family pairing_symmetry gap_structure competing_order sample_form pressure_type doping_type".split()
-FLAGS = "ambient_sc is_unconventional disputed".split()
-LARGEST = "hc2_tesla lambda_eph omega_log_k rho_s_mev t_cdw_k t_sdw_k t_afm_k".split()
-MEDIANS = "rho_exponent doping_level".split()
-TEXT_OVERRIDES = "pairing_symmetry gap_structure competing_order crystal_structure space_group structure_phase".split()
+VOTED = ["structure_phase", "family", "pairing_symmetry", "gap_structure", "competing_order", "sample_form", "pressure_type", "doping_type"]
+FLAGS = ["ambient_sc", "is_unconventional", "disputed"]
+LARGEST = ["hc2_tesla", "lambda_eph", "omega_log_k", "rho_s_mev", "t_cdw_k", "t_sdw_k", "t_afm_k"]
+MEDIANS = ["rho_exponent", "doping_level"]
+TEXT_OVERRIDES = ["pairing_symmetry", "gap_structure", "competing_order", "crystal_structure", "space_group", "structure_phase"]
 ROUNDED = ["tc_max", "tc_ambient", "tc_max_experimental", "tc_max_theoretical", *LARGEST, *MEDIANS]
 ORDER = ["paper_id", "ord"]
 

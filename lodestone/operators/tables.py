@@ -137,3 +137,16 @@ def fidelity(fresh: DataFrame, old: DataFrame, key: str, fields: list[str], near
 
     metrics = {"fresh_rows": F.count("_a"), "old_rows": F.count("_b"), "in_both": F.count_if(shared), "orphans": F.count_if(F.col("_a").isNull()), "fresh_only": F.count_if(F.col("_b").isNull())}
     return stack_metrics(both, metrics | {f"match_{c}": F.count_if(shared & same(c)) for c in fields})
+
+
+def movers(old: DataFrame, new: DataFrame, keys: list[str], metrics: list[str], k: int = 10) -> DataFrame:
+    """(metric, rank, keys, old, new, delta, percent): of each metric the k keys that both snapshots have whose value has moved most, up or down.
+
+    Ties go by the keys; nulls do not move; percent is null where the old value is 0. Each partition keeps its k rows of a metric before the shuffle.
+    """
+    pairs = lambda df: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("_m"))
+    a = pairs(old).select(*keys, F.col("_m.metric").alias("metric"), F.col("_m.v").alias("old"))
+    b = pairs(new).select(*keys, F.col("_m.metric").alias("metric"), F.col("_m.v").alias("new"))
+    both = a.join(b, [*keys, "metric"]).withColumn("delta", F.round(F.col("new") - F.col("old"), 6)).where("delta <> 0")
+    both = both.withColumn("percent", F.round(100 * F.try_divide(F.col("delta"), F.abs("old")), 2))
+    return top_k(both, ["metric"], [F.abs("delta").desc(), *map(F.col, keys)], k).select("metric", "rank", *keys, "old", "new", "delta", "percent")

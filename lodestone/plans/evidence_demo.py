@@ -12,13 +12,19 @@ from lodestone.session import materialised
 from .registry import query
 
 #: Entities of the demonstration; a part stands for one of them in one of several spellings.
-FORMULAS = (
-    "MgB2 YBa2Cu3O7 YBa2Cu3O6.95 YBCO Bi2Sr2CaCu2O8 BSCCO La1.85Sr0.15CuO4 HgBa2CuO4 LaFeAsO FeSe FeSe/SrTiO3 BaFe2As2 LiFeAs NbSe2 2H-NbSe2 Nb3Sn Nb3Ge V3Si "
-    "CsV3Sb5 Sr2RuO4 UTe2 CeCoIn5 CeCu2Si2 LaH10 H3S YH9 K3C60 Cs3C60 Ba0.6K0.4BiO3 LaO0.5F0.5BiS2 YNi2B2C La3Ni2O7 NdNiO2 NbTi NbN TaS2 PdTe2 SnTe In Pb GaAs "
-    "LaMnO3Sr BaTiO3 Sr-Ru-O H Fm-3m-CeH10"
-).split()
-DOUBLES = "lattice_a lattice_c t_cdw_k t_sdw_k t_afm_k rho_exponent hc2_tesla lambda_eph omega_log_k rho_s_mev doping_level".split()
-TEXTS = "paper_type tc_regime family gap_structure crystal_structure structure_phase competing_order hc2_conditions substrate pressure_type doping_type".split()
+FORMULAS = [
+    "MgB2", "YBa2Cu3O7", "YBa2Cu3O6.95", "YBCO", "Bi2Sr2CaCu2O8", "BSCCO", "La1.85Sr0.15CuO4", "HgBa2CuO4", "LaFeAsO", "FeSe", "FeSe/SrTiO3",
+    "BaFe2As2", "LiFeAs", "NbSe2", "2H-NbSe2", "Nb3Sn", "Nb3Ge", "V3Si", "CsV3Sb5", "Sr2RuO4", "UTe2", "CeCoIn5", "CeCu2Si2", "LaH10", "H3S", "YH9",
+    "K3C60", "Cs3C60", "Ba0.6K0.4BiO3", "LaO0.5F0.5BiS2", "YNi2B2C", "La3Ni2O7", "NdNiO2", "NbTi", "NbN", "TaS2", "PdTe2", "SnTe", "In", "Pb", "GaAs",
+    "LaMnO3Sr", "BaTiO3", "Sr-Ru-O", "H", "Fm-3m-CeH10",
+]
+DOUBLES = [
+    "lattice_a", "lattice_c", "t_cdw_k", "t_sdw_k", "t_afm_k", "rho_exponent", "hc2_tesla", "lambda_eph", "omega_log_k", "rho_s_mev", "doping_level",
+]
+TEXTS = [
+    "paper_type", "tc_regime", "family", "gap_structure", "crystal_structure", "structure_phase", "competing_order", "hc2_conditions", "substrate",
+    "pressure_type", "doping_type",
+]
 
 
 def papers(t) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import formulas, numbers
 from lodestone.operators import agreement as A
 from lodestone.operators import audits, rules, tails
+from lodestone.operators import tables as T
 from lodestone.operators.vector_index import VectorIndex, fresh_path
 
 from .evidence_demo import with_records
@@ -124,3 +126,64 @@ def audit_reports(t, spark):
     path = fresh_path(spark, "audit")
     audits.audit(m, [*rules.standard(p, over, 2024, flat), rules.Rule("no_such_rule", "critical", F.col("no_such_column") > 0)], path, "first")
     return audits.tables(spark, path)[0].read().select("rule_name", "rows_flagged")
+
+
+@query("""
+WITH a AS (SELECT p_brand, count(*)::DOUBLE AS n, sum(l_quantity)::DOUBLE AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1996 GROUP BY 1),
+b AS (SELECT p_brand, count(*)::DOUBLE AS n, sum(l_quantity)::DOUBLE AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1997 GROUP BY 1),
+m AS (SELECT 'n' AS metric, p_brand, a.n AS old, b.n AS new FROM a JOIN b USING (p_brand) UNION ALL SELECT 'q', p_brand, a.q, b.q FROM a JOIN b USING (p_brand)),
+r AS (SELECT *, round(new - old, 6) AS delta, row_number() OVER (PARTITION BY metric ORDER BY abs(round(new - old, 6)) DESC, p_brand) AS rank FROM m WHERE round(new - old, 6) <> 0)
+SELECT metric, rank::INTEGER AS rank, p_brand, old, new, delta, round(100 * delta / nullif(abs(old), 0), 2) AS percent FROM r WHERE rank <= 10""")
+def snapshot_movers(t, spark):
+    """The brands whose lines and quantities moved most between two years."""
+    j = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    side = lambda y: j.where(F.year("l_shipdate") == y).groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    return T.movers(side(1996), side(1997), ["p_brand"], ["n", "q"])
+
+
+_units = " ".join(f"WHEN '{u}' THEN {k}" for u, k in numbers.KELVIN.items())
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity AS v, CASE l_linenumber % 6 WHEN 0 THEN 'K' WHEN 1 THEN 'meV' WHEN 2 THEN 'cm^-1' WHEN 3 THEN 'THz' WHEN 4 THEN 'furlong' END AS unit FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(v * CASE coalesce(unit, 'K') {_units} END, 6) AS kelvin FROM l""")
+def lines_in_kelvin(t, spark):
+    """Quantities in units of energy, read as temperatures; a unit nobody knows has none, a missing one is Kelvin."""
+    n = F.col("l_linenumber") % 6
+    unit = F.when(n == 0, "K").when(n == 1, "meV").when(n == 2, "cm^-1").when(n == 3, "THz").when(n == 4, "furlong")
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(numbers.to_kelvin(F.col("l_quantity"), unit), 6).alias("kelvin"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity * 10 - 20 AS tc, CASE WHEN l_tax > 0.02 THEN l_tax * 9000 END AS p, CASE WHEN l_discount > 0.03 THEN l_discount * 130 END AS lam,
+ CASE WHEN l_linenumber > 2 THEN l_linenumber / 10.0 END AS mu, CASE WHEN l_returnflag = 'R' THEN l_extendedprice / 10 END AS om, l_discount * 8 AS conf FROM lineitem)
+SELECT l_orderkey, l_linenumber, tc BETWEEN 0.01 AND 400 AND (p IS NULL OR p BETWEEN 0 AND 500) AND (lam IS NULL OR lam BETWEEN 0.01 AND 10) AND (mu IS NULL OR mu BETWEEN 0 AND 0.5)
+ AND (om IS NULL OR om BETWEEN 1 AND 5000) AND NOT (p IS NULL AND lam IS NULL AND mu IS NULL AND om IS NULL) AS fits,
+ round(CASE WHEN (tc > 300 OR tc < 0.01) AND conf >= 0.3 THEN 0.3 ELSE conf END, 6) AS confidence FROM l""")
+def hydride_gates(t, spark):
+    """Ranges that hydride records have to keep, and confidence lowered where the temperature is implausible."""
+    tc, p = F.col("l_quantity") * 10 - 20, F.when(F.col("l_tax") > 0.02, F.col("l_tax") * 9000)
+    lam, mu = F.when(F.col("l_discount") > 0.03, F.col("l_discount") * 130), F.when(F.col("l_linenumber") > 2, F.col("l_linenumber") / 10.0)
+    om = F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") / 10)
+    fits = numbers.hydride_fit(tc, p, lam, mu, om)
+    return t("lineitem").select("l_orderkey", "l_linenumber", fits.alias("fits"), F.round(numbers.capped_confidence(tc, F.col("l_discount") * 8), 6).alias("confidence"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, (100 + round(l_discount * 100)::INTEGER)::VARCHAR AS k, l_linenumber::VARCHAR AS n, l_suppkey % 4 AS a, l_partkey % 5 AS b, l_orderkey % 3 AS c FROM lineitem),
+p AS (SELECT *, ['la', 'nd', 'ba', 'y'][a + 1] AS first, ['cu', 'fe', 'ni', 'bi', 'ru'][b + 1] AS metal FROM l)
+SELECT l_orderkey, l_linenumber, first || k[1] || '.' || k[2:] || 'sr0.' || k[2:] || metal || n || CASE c WHEN 0 THEN 'o4' WHEN 1 THEN 'as2' ELSE '(o2f)2' END AS key,
+ array_to_string(list_transform([first, 'sr', metal, CASE c WHEN 1 THEN 'as' ELSE 'o' END], lambda x: upper(x[1]) || x[2:]), ',') || CASE c WHEN 2 THEN ',F' ELSE '' END AS elements FROM p""")
+def written_formulas(t, spark):
+    """Formulas made of a line's numbers in several spellings (brackets, subscripts, spaces, surplus): their keys and elements."""
+    k = (F.lit(100) + F.round(F.col("l_discount") * 100).cast("int")).cast("string")
+    first = F.element_at(F.array(*map(F.lit, ("La", "Nd", "Ba", "Y"))), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    metal = F.element_at(F.array(*map(F.lit, ("Cu", "Fe", "Ni", "Bi", "Ru"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    end = F.element_at(F.array(*map(F.lit, ("(O)_{4}", "[As2]", "(O2F)_2"))), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    end = F.when((F.col("l_orderkey") % 3 == 0), F.lit("[O_{4}]")).otherwise(end)
+    more = F.element_at(F.array(*map(F.lit, ("", "-δ", " + delta", "$", " "))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    left, right = F.substring(k, 1, 1), F.substring(k, 2, 2)
+    raw = F.concat(first, F.lit("_{"), left, F.lit("."), right, F.lit("} (Sr₀."), right, F.lit(")"), metal, F.lit("$_"), F.col("l_linenumber").cast("string"), F.lit("$ "), end, more)
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    told = formulas.described(rows, "raw", key=formulas.canonical, elements=lambda c: F.array_join(formulas.elements(c), ","))
+    return told.select("l_orderkey", "l_linenumber", "key", "elements")

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 SECTIONS = "path string, section int, name string, text string, has_equation boolean, has_table boolean, error string"
 # Markup that is not read, headings that end the text, shortest text that counts.
-SKIPPED = frozenset("table-wrap table fig graphic media disp-formula inline-formula tex-math math ref-list xref fn label caption".split())
+SKIPPED = frozenset([
+    "table-wrap", "table", "fig", "graphic", "media", "disp-formula", "inline-formula", "tex-math", "math", "ref-list", "xref", "fn", "label",
+    "caption",
+])
 BACK_MATTER = re.compile(r"(?im)^\s*(?:references|bibliography|acknowledge?ments?)\s*:?\s*$")
 LEAST_CHARS = 200
 

@@ -157,6 +157,24 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).write.text(path)
 
 
+def markdown(df: DataFrame, title: str, order: list[str], most: int = 200) -> DataFrame:
+    """(place, line): a report of df in Markdown, its first `most` rows in order and a last line that says how many more there are."""
+    cell = lambda c: F.coalesce(F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\|", "\\\\|"), r"\s+", " "), F.lit(""))
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    first = df.orderBy(*order).limit(most).select(F.struct(*order).alias("_o"), line([cell(c) for c in df.columns]).alias("line"))
+    ranked = first.groupBy().agg(F.array_sort(F.collect_list(F.struct("_o", "line"))).alias("all"))  # no more than `most` rows
+    rows = ranked.select(F.posexplode("all").alias("p", "r")).select((F.col("p") + 5).cast("long").alias("place"), F.col("r.line").alias("line"))
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    top = df.sparkSession.createDataFrame(list(enumerate(head, 1)), "place long, line string")
+    rest = df.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit(most + 6).cast("long").alias("place"), F.concat(F.lit("\n"), (F.col("n") - most).cast("string"), F.lit(" more rows")).alias("line"))
+    return top.unionByName(rows).unionByName(rest)
+
+
+def write_markdown(df: DataFrame, path: str, title: str, order: list[str], most: int = 200) -> None:
+    """A result as one Markdown file of at most `most` rows."""
+    markdown(df, title, order, most).orderBy("place").coalesce(1).select("line").write.mode("overwrite").text(path)
+
+
 def write_version(df: DataFrame, root: str, version: str) -> str:
     """A new version of a table in a folder of its own; readers switch by name, so a failed write is never seen."""
     path = f"{root.rstrip('/')}/{version}"

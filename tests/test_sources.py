@@ -139,3 +139,12 @@ def test_dumps_are_pruned(spark, tmp_path):
         kept = files.dump(df, str(tmp_path / "d"), day)
     assert kept == ["2024-01-10", "2024-01-16"]
     assert spark.read.json(str(tmp_path / "d")).count() == 2
+
+
+def test_a_report_in_markdown(spark, tmp_path):
+    df = spark.createDataFrame([(2, "a|b", None), (1, "x\ny", 1.5), (3, "z", 0.0)], "k int, name string, v double")
+    files.write_markdown(df, str(tmp_path / "all"), "Report", ["k"])
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "all")).collect())
+    assert text == "# Report\n\n| k | name | v |\n|-|-|-|\n| 1 | x y | 1.5 |\n| 2 | a\\|b |  |\n| 3 | z | 0.0 |"
+    lines = {r.place: r.line for r in files.markdown(df, "R", ["k"], 2).collect()}
+    assert len(lines) == 7 and lines[8] == "\n1 more rows"
