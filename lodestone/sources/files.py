@@ -159,7 +159,7 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
 
 def markdown(df: DataFrame, title: str, order: list[str], most: int = 200) -> DataFrame:
     """(place, line): a report of df in Markdown, its first `most` rows in order and a last line that says how many more there are."""
-    cell = lambda c: F.coalesce(F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\|", "\\\\|"), r"\s+", " "), F.lit(""))
+    cell = lambda c: F.coalesce(F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), r"\s+", " "), F.lit(""))
     line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
     first = df.orderBy(*order).limit(most).select(F.struct(*order).alias("_o"), line([cell(c) for c in df.columns]).alias("line"))
     ranked = first.groupBy().agg(F.array_sort(F.collect_list(F.struct("_o", "line"))).alias("all"))  # no more than `most` rows
