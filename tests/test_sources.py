@@ -148,3 +148,35 @@ def test_a_report_in_markdown(spark, tmp_path):
     assert text == "# Report\n\n| k | name | v |\n|-|-|-|\n| 1 | x y | 1.5 |\n| 2 | a\\|b |  |\n| 3 | z | 0.0 |"
     lines = {r.place: r.line for r in files.markdown(df, "R", ["k"], 2).collect()}
     assert len(lines) == 7 and lines[8] == "\n1 more rows"
+
+
+def unit_sizes(text, size):
+    """Word counts of what may not be parted: paragraphs, of longer ones sentences, of longer sentences runs of `size` words."""
+    import re
+
+    for paragraph in re.split(r"\n\s*\n", text or ""):
+        n = len(paragraph.split())
+        for part in [paragraph] if n <= size else re.split(r"(?<=[.!?])\s+", paragraph):
+            n = len(part.split())
+            yield from [size] * (n // size) + [n % size] * (n % size > 0)
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(512, 64), (60, 20), (7, 0)])
+def test_every_chunk_of_every_document(spark, size, overlap):
+    """Chunks hold all words in order, end where a unit ends, take all units that fit, and start with the end of the chunk before."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {}
+    for r in articles.chunks(docs.withColumn("name", docs.lang), size, overlap).collect():
+        got.setdefault(r.doc_id, []).append((r.chunk, r.text.split(" "), r.tokens))
+    for d in docs.collect():
+        words, units, at, before = (d.text or "").split(), list(unit_sizes(d.text, size)), 0, []
+        for k, (number, chunk, tokens) in enumerate(sorted(got.pop(d.doc_id, []))):
+            assert number == k and tokens == len(chunk) <= size
+            lead = min(overlap, len(before), max(0, size - units[0])) if k else 0
+            fresh = 0
+            while units and lead + fresh + units[0] <= size:
+                fresh += units.pop(0)
+            assert chunk == (before[len(before) - lead :] if lead else []) + words[at : at + fresh]
+            at, before = at + fresh, chunk
+        assert at == len(words) and not units
+    assert not got
