@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import formulas
+
 from .tables import top_k
 
 # Highest plausible value by family, for audits and for tiers.
@@ -126,6 +129,16 @@ def standard(papers: DataFrame, overrides: DataFrame, year: int, records: DataFr
     ]
 
 
+def naming(formula: str = "formula") -> list[Rule]:
+    """The four rules on how a formula is written, for a run between releases: text, systems, phases and charges that were taken for formulas."""
+    c = F.col(formula)
+    like = lambda *reasons: reduce(or_, [c.rlike(p) for r, p in formulas.REFUSED if r in reasons])
+    return [
+        Rule("ner_extracted_descriptive_text", "critical", like("descriptive_word", "condition_descriptor", "no_uppercase_element")),
+        *[Rule(r, "critical", like(r)) for r in ("system_designator_not_compound", "phase_prefix_in_formula", "incomplete_or_charged_formula")],
+    ]
+
+
 def credibility(papers: DataFrame, overrides: DataFrame, refuted: DataFrame) -> DataFrame:
     """(id, tier, reason) of every paper by the first rule that holds; records are read in place, caps and refuted claims joined."""
     plain = lambda c: F.replace(F.lower(c), F.lit(" "), F.lit(""))
