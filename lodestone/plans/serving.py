@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import audits, enrichment, rules, spotchecks, views
 from lodestone.operators.vector_index import fresh_path
+from lodestone.session import materialised
 
 from .registry import query
 
@@ -113,7 +114,7 @@ def enrichment_resumed(t, spark):
         F.concat(F.lit("p:"), "o_orderkey").alias("id"), F.lit("arxiv").alias("source"), F.lit(None).cast("string").alias("doi"), F.lit("A hydride").alias("title"), F.lit(None).cast("string").alias("abstract"),
         F.to_date("o_orderdate").alias("date_submitted"), F.lit(None).cast("date").alias("date_published"), "said", F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 2).alias("odd"),
     )
-    papers = enrichment.candidates(papers)
+    papers = materialised(enrichment.candidates(papers), "papers")
     path = fresh_path(spark, "enrichment")
     materials = spark.createDataFrame([("mat:lah10", "lah10")], "id string, formula_normalized string")
     enrichment.run(papers.withColumn("patience", F.lit(0)), materials, _lines, path, "first", rounds=2)
