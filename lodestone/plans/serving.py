@@ -117,8 +117,8 @@ def enrichment_resumed(t, spark):
     papers = materialised(enrichment.candidates(papers), "papers")
     path = fresh_path(spark, "enrichment")
     materials = spark.createDataFrame([("mat:lah10", "lah10")], "id string, formula_normalized string")
-    enrichment.run(papers.withColumn("patience", F.lit(0)), materials, _lines, path, "first", rounds=2)
-    enrichment.run(papers.withColumn("patience", F.col("odd") * 2), materials, _lines, path, "second", rounds=2, retry_failed=True)
+    enrichment.run(papers.withColumn("patience", F.lit(0)), materials, _lines, path, "first", rounds=1)
+    enrichment.run(papers.withColumn("patience", F.col("odd") * 2), materials, _lines, path, "second", rounds=1, retry_failed=True)
     found, events = enrichment.tables(spark, path)
     sums = found.read().groupBy("paper_id").agg(F.round(F.sum("confidence"), 6).alias("confidence"), F.round(F.sum("tc_kelvin"), 6).alias("tc"), F.max("year").alias("year"))
     return events.read().join(sums, "paper_id", "left").select("paper_id", "ok", "error", "n_records", "confidence", "tc", "year")
