@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import formulas
@@ -27,29 +27,35 @@ TEXTS = [
 ]
 
 
+def _line() -> Column:
+    """What a record is made of, in numbers: lines are shuffled as these, and become records only where those of a paper have come together."""
+    c, whole = F.col, lambda x: x.cast("int")
+    return F.struct(
+        whole(c("l_partkey") % len(FORMULAS) + 1).alias("formula"), c("l_quantity").alias("tc"), F.when(c("l_tax") > 0.06, c("l_tax") * 1000).alias("pressure"),
+        whole(c("l_linenumber") % 3 + 1).alias("measurement"), (c("l_discount") * 10).alias("confidence"), F.when(c("l_returnflag") == "R", 1).when(c("l_returnflag") == "A", 2).alias("evidence"),
+        (c("l_linestatus") == "F").alias("ambient"), whole(c("l_suppkey") % 4 + 1).alias("pairing"), (c("l_linenumber") == 1).alias("first"), whole(c("l_linenumber") % 2 + 1).alias("form"),
+        whole(c("l_suppkey") % 7).alias("measured"), (c("l_extendedprice") / 1000).alias("value"),
+    )
+
+
+def _record(r: Column) -> Column:
+    """A line as the record that was extracted."""
+    one = lambda names, at: F.get(F.array(*map(F.lit, names)), at - 1)
+    return F.struct(
+        one(FORMULAS, r["formula"]).alias("formula"), r["tc"].alias("tc_kelvin"), r["pressure"].alias("pressure_gpa"), one(("resistivity", "dft", "unknown"), r["measurement"]).alias("measurement"),
+        r["confidence"].alias("confidence"), one(("cited", "primary_experimental"), r["evidence"]).alias("evidence_type"), r["ambient"].alias("ambient_sc"),
+        one(("s-wave", "d-wave", "D-wave", ""), r["pairing"]).alias("pairing_symmetry"), F.when(r["first"], "P6/mmm").alias("space_group"), one(("film", "bulk"), r["form"]).alias("sample_form"),
+        F.lit(None).cast("boolean").alias("is_unconventional"),
+        F.lit(None).cast("boolean").alias("disputed"),
+        *[F.when(r["measured"] == k % 7, r["value"]).alias(c) for k, c in enumerate(DOUBLES)],
+        *[F.lit(None).cast("string").alias(c) for c in TEXTS],
+    )
+
+
 def papers(t) -> DataFrame:
     """papers with their nested records, deterministic from orders and lineitem."""
-    names = F.array(*map(F.lit, FORMULAS))
-    one = t("lineitem").select(
-        "l_orderkey",
-        F.struct(
-            F.element_at(names, (F.col("l_partkey") % len(FORMULAS) + 1).cast("int")).alias("formula"),
-            F.col("l_quantity").alias("tc_kelvin"),
-            F.when(F.col("l_tax") > 0.06, F.col("l_tax") * 1000).alias("pressure_gpa"),
-            F.element_at(F.array(F.lit("resistivity"), F.lit("dft"), F.lit("unknown")), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("measurement"),
-            (F.col("l_discount") * 10).alias("confidence"),
-            F.when(F.col("l_returnflag") == "R", "cited").when(F.col("l_returnflag") == "A", "primary_experimental").alias("evidence_type"),
-            (F.col("l_linestatus") == "F").alias("ambient_sc"),
-            F.element_at(F.array(F.lit("s-wave"), F.lit("d-wave"), F.lit("D-wave"), F.lit("")), (F.col("l_suppkey") % 4 + 1).cast("int")).alias("pairing_symmetry"),
-            F.when(F.col("l_linenumber") == 1, "P6/mmm").alias("space_group"),
-            F.element_at(F.array(F.lit("film"), F.lit("bulk")), (F.col("l_linenumber") % 2 + 1).cast("int")).alias("sample_form"),
-            F.lit(None).cast("boolean").alias("is_unconventional"),
-            F.lit(None).cast("boolean").alias("disputed"),
-            *[F.when(F.col("l_suppkey") % 7 == k % 7, F.col("l_extendedprice") / 1000).alias(c) for k, c in enumerate(DOUBLES)],
-            *[F.lit(None).cast("string").alias(c) for c in TEXTS],
-        ).alias("r"),
-    )
-    nested = one.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("materials_extracted"))
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(_line()).alias("lines"))
+    nested = lines.select("l_orderkey", F.sort_array(F.transform("lines", _record)).alias("materials_extracted"))
     o = t("orders").join(nested, F.col("o_orderkey") == F.col("l_orderkey"))
     return o.select(
         F.concat(F.when(F.col("o_orderkey") % 50 == 0, "aps:10.1103/").otherwise("arxiv:"), F.col("o_orderkey").cast("string")).alias("id"),
@@ -171,7 +177,7 @@ def with_records(t) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = materialised(papers(t), "papers")
     flat = summary.records(p).where("skip is null").withColumn("id", F.concat(F.lit("mat:"), F.col("key")))
     flat = materialised(
-        flat.select("id", F.struct("paper_id", "ord").alias("place"), "key", "shown", "paper_id", "pressure_gpa", "tc_kelvin", "ambient_sc", "year", "measurement", "paper_type"), "flat"
+        flat.select("id", F.struct("paper_id", "ord").alias("place"), "key", "shown", "paper_id", "pressure_gpa", "tc_kelvin", "ambient_sc", "year", "measurement", "paper_type", "tier"), "flat"
     )
     sizes = flat.groupBy("id", "paper_id").agg(F.lit(1).alias("_one")).groupBy("id").agg(F.count("*").alias("total_papers"))
     m = flat.groupBy("id").agg(F.min("shown").alias("formula"), F.min("key").alias("formula_normalized"), F.max("tc_kelvin").alias("tc_max"), F.max("ambient_sc").alias("ambient_sc"), F.min("year").alias("arxiv_year"))

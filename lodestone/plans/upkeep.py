@@ -26,18 +26,12 @@ SELECT 'mat:' || key AS id, family, tc_max, papers AS total_papers, best AS best
 def material_listing(t, spark):
     """One page of summaries by family, value, support, source and tier, under the default gates, with the total."""
     _, m, flat = with_records(t)
-    best = summary.records(summary_papers(t)).where("skip is null").groupBy(F.concat(F.lit("mat:"), F.col("key")).alias("id")).agg(F.min("tier").alias("best_credibility_tier"))
+    best = flat.groupBy("id").agg(F.min("tier").alias("best_credibility_tier"))
     m = m.join(best, "id").withColumn("parent_id", F.lit(None).cast("string"))
     page = timeline.listing(m, " cuprate,iron_based , hydride,conventional", tc_min=20.0, min_papers=2, aps=True, max_tier="T2", parents=True, offset=2, limit=10, records=flat)
     return page.select("id", "family", "tc_max", "total_papers", "best_credibility_tier", "total")
 
 
-def summary_papers(t):
-    from .evidence_demo import papers
-
-    return papers(t)
-
-
 @query(f"""WITH {RECORDS_SQL} SELECT paper_id, pressure AS pressure_gpa, tc AS tc_kelvin, year::INTEGER AS year FROM kept WHERE key = 'mgb2'""")
 def phase_records(t, spark):
     """The phase table of one material: its records by pressure, value and year."""
