@@ -1,6 +1,7 @@
 """What plans on the test tables shuffle and read."""
 
 import __spark_entry__ as entry
+from lodestone.operators import harvest, rules, tables
 from lodestone.plans import evidence_demo
 from lodestone.session import table
 
@@ -15,3 +16,29 @@ def test_lines_are_gathered_before_they_are_records(spark):
 
 def test_listing_reads_what_was_written(spark):
     assert not [f for f in entry.queries()["material_listing"](spark, SF).inputFiles() if "lineitem" in f]
+
+
+def test_tiers_are_one_grouping(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    over = spark.createDataFrame([], "canonical string, field string, override_value string, is_cap boolean, source string")
+    plan = rules.credibility(evidence_demo.papers(lambda name: table(spark, SF, name)), over, spark.createDataFrame([], "canonical string"))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" in plan and "distinct" not in plan
+
+
+def test_parts_hold_a_bounded_number_of_rows(spark):
+    got = tables.spread(spark.range(10_000), "id", rows=100)
+    assert got.rdd.getNumPartitions() == 100 and got.count() == 10_000 and tables.spread(spark.range(10), "id").rdd.getNumPartitions() == 4
+    sizes = [len(p) for p in got.rdd.glom().collect()]
+    assert max(sizes) < 200 and sum(sizes) == 10_000
+    plan = entry.queries()["countries_per_paper"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
+def test_texts_of_an_import_are_read_once(spark):
+    rows = [("MgB2", "39 K", "1 GPa", " ", "a"), ("Mg B2", None, "?", "hex", "b"), (None, "4", "0", "x", "c"), ("MgB2", "30-40", None, "hex", " "), ("", "5", "0", "x", "c")]
+    out = harvest.import_rows(spark.createDataFrame(rows, "formula string, tc string, pressure string, structure string, reference string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "numbers-" in str(out.inputFiles()) and plan.count("regexp_extract(tc") == 0
+    r = out.where("id = 'nims:mgb2'").first()
+    assert (r.tc_max, r.tc_ambient, r.ambient_sc, r.crystal_structure, r.pressure_type, r.total_papers, r.records) == (39.0, 35.0, True, "hex", "hydrostatic", 2, 3)
+    assert out.count() == 1
