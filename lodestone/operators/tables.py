@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,15 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def spread(df: DataFrame, *keys: str, rows: int = 1_000_000) -> DataFrame:
+    """df by the hash of its keys in parts of about `rows` rows, however narrow they are: parts that are cut by bytes hold more rows than a task's maps should.
+
+    Its rows are counted first, so it is for tables whose files know their number.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
+    return df.repartition(parts, *keys)
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
     """source rows replace target rows of the same key in the columns `update` (all by default), new keys are added."""
     rest = [c for c in target.columns if c not in keys]

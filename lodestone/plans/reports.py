@@ -176,7 +176,7 @@ WITH c AS (SELECT o_orderkey, count(DISTINCT s_nationkey) AS k FROM orders LEFT
 SELECT CASE WHEN k = 1 THEN '1' WHEN k = 2 THEN '2' WHEN k = 3 THEN '3' ELSE '4+' END AS countries, count(*) AS papers FROM c GROUP BY 1""")
 def countries_per_paper(t, spark):
     """Papers by their number of countries; none falls to the open class, as the report has it."""
-    j = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    j = t("orders").join(T.spread(t("lineitem"), "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     k = j.groupBy("o_orderkey").agg(F.count_distinct("s_nationkey").alias("k"))
     return k.groupBy(F.when(F.col("k").between(1, 3), F.col("k").cast("string")).otherwise("4+").alias("countries")).agg(F.count("*").alias("papers"))
 
