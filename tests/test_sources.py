@@ -180,3 +180,17 @@ def test_every_chunk_of_every_document(spark, size, overlap):
             at, before = at + fresh, chunk
         assert at == len(words) and not units
     assert not got
+
+
+def test_chunks_leave_in_pieces(spark, monkeypatch):
+    """Chunks of one batch leave a task as several batches, and are the same ones."""
+    df = spark.createDataFrame([(i, "x", f"w{i} " * 50) for i in range(200)] + [(200, None, None), (201, "y", " "), (None, "z", "ab cd")], "doc_id long, name string, text string").coalesce(1)
+    whole = sorted(articles.chunks(df, 10, 2).collect(), key=str)
+    monkeypatch.setattr(articles, "PIECE", 5_000)
+    out = articles.chunks(df, 10, 2)
+    assert sorted(out.collect(), key=str) == whole and len(whole) > 1_000
+    got = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: got.update(f=f))
+    articles.chunks(df, 10, 2)
+    sizes = [b.num_rows for b in got["f"](iter(df.select("doc_id", "name", "text").toArrow().to_batches()))]
+    assert sum(sizes) == len(whole) and max(sizes) < 200
