@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import formulas, numbers, text
+from lodestone.session import materialised
 
 from . import tables as T
 
@@ -123,7 +124,11 @@ def best_match(hits: DataFrame, key: str) -> DataFrame:
 
 def import_rows(rows: DataFrame) -> DataFrame:
     """Imported rows (formula, tc, pressure, structure, reference as text) -> one summary a formula."""
-    r = rows.select("formula", formulas.canonical(F.col("formula")).alias("key"), *[numbers.read_number(F.col(c)).alias(c) for c in ("tc", "pressure")], F.nullif(F.trim("structure"), F.lit("")).alias("structure"), F.nullif(F.trim("reference"), F.lit("")).alias("reference"))
+    said = materialised(rows.select(F.explode(F.array("tc", "pressure")).alias("_said")).distinct().withColumn("_n", numbers.read_number(F.col("_said"))), "numbers")  # each text is read once
+    r = formulas.described(rows, "formula", True, key=formulas.canonical)
+    for c in ("tc", "pressure"):
+        r = r.join(said.withColumnsRenamed({"_said": f"_said_{c}", "_n": f"_{c}"}), F.col(c) == F.col(f"_said_{c}"), "left")
+    r = r.select("formula", "key", F.col("_tc").alias("tc"), F.col("_pressure").alias("pressure"), F.nullif(F.trim("structure"), F.lit("")).alias("structure"), F.nullif(F.trim("reference"), F.lit("")).alias("reference"))
     r = r.where("key <> ''")
     spoken = F.concat_ws(", ", F.when(F.col("pressure") != 0, F.concat(F.lit("P="), F.col("pressure").cast("string"), F.lit(" GPa"))), "structure")
     ambient = F.max(F.when(F.coalesce("pressure", F.lit(0.0)) == 0, F.col("tc")))
