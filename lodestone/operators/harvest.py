@@ -157,9 +157,10 @@ def hydrides(raw: DataFrame) -> DataFrame:
     r = raw.withColumn("formula", F.regexp_replace("formula", r"(?U)\s+", "")).withColumns(n)
     r = r.withColumn("omega_log_k", F.coalesce("omega_log_k", numbers.to_kelvin(F.col("omega_log_source_value"), F.col("omega_log_source_unit"))))
     cols = [F.col(c) for c in ("tc_kelvin", "pressure_gpa", "lambda_eph", "mu_star", "omega_log_k")]
-    r = r.where(formulas.invalid_reason(F.col("formula")).isNull() & F.col("formula").rlike("[HD](?![a-z])") & numbers.hydride_fit(*cols))
+    r = formulas.described(r, "formula", True, key=formulas.canonical, _fine=lambda f: formulas.invalid_reason(f).isNull() & f.rlike("[HD](?![a-z])"))
+    r = r.where(F.col("_fine") & numbers.hydride_fit(*cols)).drop("_fine")
     r = r.withColumns({
-        "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")), "key": formulas.canonical(F.col("formula")),
+        "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")),
         "flags": numbers.coupling_flags(cols[0], cols[2], cols[3], cols[4]),
         "evidence_type": text.enum(F.col("evidence_type"), ("primary_theoretical", "primary_experimental", "cited")),
     })

@@ -82,3 +82,12 @@ def test_nested_records_and_samples(spark):
     assert {r.g: r["count"] for r in T.stratified(ids, "g", "id").groupBy("g").count().collect()} == {0: 33, 1: 33, 2: 33}
     kids = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "p int, v string")
     assert sorted(map(tuple, T.replace_children(kids, spark.createDataFrame([(1, "z")], "p int, v string"), "p").collect())) == [(1, "z"), (2, "c")]
+
+
+def test_hydride_formulas_are_judged_once_a_spelling(spark):
+    rows = [(f"p{i}", "LaH10", "250", "170") for i in range(50)] + [("q", "Sr-Ru-O", "2", "1"), ("q", "La H10", "251", "170"), ("q", None, "3", "1"), ("q", "MgB2", "39", "1")]
+    given = ("lambda_eph", "mu_star", "omega_log_k", "omega_log_source_value", "omega_log_source_unit", "method", "evidence_type", "confidence")
+    raw = spark.createDataFrame(rows, "paper_id string, formula string, tc_kelvin string, pressure_gpa string")
+    out = H.hydrides(raw.selectExpr("*", *[f"cast(null as string) as {c}" for c in given]))
+    assert any("spellings-" in f for f in out.inputFiles())
+    assert out.count() == 51 and {r.key for r in out.collect()} == {"lah10"}
