@@ -7,7 +7,8 @@ vectors of those leaves are exact (cosine, double precision). `probe` 1 reads ev
 the index's own vectors which share a wanted recall takes.
 
 What meets in one task is a block: leaves of one root of about BLOCK vectors together, or a part of a leaf that has more (copies of one vector
-fall into one leaf, so a leaf may be any size). A query is sent once to each block it probes, not once to each leaf.
+fall into one leaf, so a leaf may be any size), and a slice of about ASKS queries. A query is sent once to each block it probes, not once to each leaf;
+what a task makes of its queries leaves it in pieces of about PIECE numbers.
 
 Defined cases: vectors that are null, empty, zero, hold a null or non-finite component, or differ in length from those the index was built on
 take no part; rows with a null id take no part; equal vectors tie and go by the smaller id; an index of an empty table has no cells, and
@@ -30,7 +31,7 @@ from lodestone.session import materialised
 
 from .tables import top_k
 
-ROOTS, SAMPLE, ROUNDS, BLOCK = 1024, 65_536, 12, 16_384
+ROOTS, SAMPLE, ROUNDS, BLOCK, ASKS, PIECE = 1024, 65_536, 12, 16_384, 4096, 1 << 20
 
 
 def unit(df: DataFrame, key: str, vector: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -175,8 +176,9 @@ class VectorIndex:
 
         def rank_roots(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
-                part = part[part["v"].map(len) == dims] if dims else part.iloc[:0]
-                if len(part):
+                every = part[part["v"].map(len) == dims] if dims else part.iloc[:0]
+                step = max(1, PIECE // max(1, len(roots.value) * (dims + 2)))
+                for part in (every.iloc[i : i + step] for i in range(0, len(every), step)):
                     far = _far(np.array(part["v"].tolist()), roots.value)
                     place = np.argsort(np.argsort(far, axis=1, kind="stable"), axis=1) / far.shape[1]
                     row, root = np.nonzero(place < probe)
@@ -184,9 +186,9 @@ class VectorIndex:
 
         def rank_leaves(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             """Rows by root, its leaves before the queries that reach it: a row a query and block, with the leaves to read there."""
-            root, leaves = None, {}
+            root, leaves, names = None, {}, ["id", "v", "root", "block", "leaves", "needs"]
             for part in parts:
-                out = []
+                out, held = [], 0
                 for (r, asks), mine in part.groupby(["root", part["leaf"] < 0], sort=True):
                     if r != root:
                         root, leaves = r, {}
@@ -200,8 +202,12 @@ class VectorIndex:
                             for b in np.unique(at[read] // few):
                                 mark = read & (at // few == b)
                                 out.append((i, v, r, b, at[mark].tolist(), np.maximum(place[mark], need).tolist()))
+                                held += len(v) + 2 * len(out[-1][4])
+                            if held >= PIECE:
+                                yield pd.DataFrame(out, columns=names)
+                                out, held = [], 0
                 if out:
-                    yield pd.DataFrame(out, columns=["id", "v", "root", "block", "leaves", "needs"])
+                    yield pd.DataFrame(out, columns=names)
 
         q = unit(queries, qid, vector).mapInPandas(rank_roots, f"id {kind}, v array<double>, root int, need double").withColumn("leaf", F.lit(-1))
         salts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -212,6 +218,9 @@ class VectorIndex:
         asked = met.mapInPandas(rank_leaves, f"id {kind}, v array<double>, root int, block int, leaves array<int>, needs array<double>")
         asked = asked.join(size, ["root", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         placed = points.join(size, ["root", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        slices = max(1, math.ceil(queries.count() / ASKS))  # a block comes once a slice: its vectors are fewer than what the queries of a slice bring
+        asked = asked.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(slices)).cast("int"))
+        placed = placed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
         def meet(asks: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
             out = []
@@ -230,7 +239,7 @@ class VectorIndex:
                     out += zip([i] * len(near), ids[at[near]], far[near], need[near])
             return pd.DataFrame(out, columns=[qid, "id", "distance", "need"])
 
-        by = ("root", "block", "part")
+        by = ("root", "block", "part", "slice")
         return asked.groupBy(*by).cogroup(placed.groupBy(*by)).applyInPandas(meet, f"{qid} {kind}, id {own}, distance double, need double")
 
 

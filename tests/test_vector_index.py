@@ -95,3 +95,20 @@ def test_an_empty_table(spark):
     assert index.search(spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>"), 3).count() == 0
     with pytest.raises(ValueError):
         index.insert(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>"))
+
+
+def test_queries_come_in_slices(spark, tmp_path, monkeypatch):
+    """More queries than a slice holds, and pieces smaller than a batch, give the same rows."""
+    from lodestone.operators import vector_index as V
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.withColumnRenamed("vec_id", "query_id")
+    index = V.VectorIndex.build(df, str(tmp_path / "index"), leaf=20)
+    whole = sorted(map(tuple, index.search(asked, 5, 1.0).collect()))
+    monkeypatch.setattr(V, "ASKS", 50)
+    monkeypatch.setattr(V, "PIECE", 200)
+    out = index.search(asked, 5, 1.0)
+    assert "slice" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == whole and len(whole) == 2_000
