@@ -37,26 +37,28 @@ def corroborated_max(df: DataFrame, entity: str, source: str, value: str, out: s
     )
 
 
-def weighted_mode(df: DataFrame, entity: str, source: str, value: str, confidence: str | None, out: str = "winner", records: str | None = None) -> DataFrame:
+def weighted_mode(df: DataFrame, entity: str, source: str, value: str, confidence: str | None, out: str = "winner", records: DataFrame | None = None) -> DataFrame:
     """(entity, out): the text with most weight if it holds MIN_SHARE of it, in its commonest spelling; null without a consensus.
 
     Entities of two or more records need two sources for the winner; a missing source is one voter. Ties go to the smaller text. One pass: rows
-    become a row a spelling before the shuffle, with the least and the greatest hash of their sources, which differ when there are two. records: a column
-    with the number of the entity's records, where df leaves out those that say nothing.
+    become a row a spelling before the shuffle, with the least and the greatest hash of their sources, which differ when there are two. records: (entity, records),
+    the number of each entity's records, where df leaves out those that say nothing.
     """
     w = weight(F.col(confidence)) if confidence else F.lit(1.0)
     said = F.trim(F.col(value).cast("string"))
     key = F.when((F.lower(said) != "") & (F.lower(said) != "unknown"), F.lower(said))
-    rows = df.select(entity, F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("s"), key.alias("k"), said.alias("said"), w.alias("w"), (F.col(records) if records else F.lit(None).cast("long")).alias("r"))
-    spelled = rows.groupBy(entity, "k", "said").agg(F.count("*").alias("c"), F.sum("w").alias("w"), F.min("s").alias("low"), F.max("s").alias("high"), F.max("r").alias("r"))
+    rows = df.select(entity, F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("s"), key.alias("k"), said.alias("said"), w.alias("w"))
+    spelled = rows.groupBy(entity, "k", "said").agg(F.count("*").alias("c"), F.sum("w").alias("w"), F.min("s").alias("low"), F.max("s").alias("high"))
     votes = spelled.groupBy(entity, "k").agg(
-        F.max(F.struct("c", "said"))["said"].alias("said"), F.sum("c").alias("c"), F.sum("w").alias("w"), (F.min("low") < F.max("high")).alias("several"), F.max("r").alias("r")
+        F.max(F.struct("c", "said"))["said"].alias("said"), F.sum("c").alias("c"), F.sum("w").alias("w"), (F.min("low") < F.max("high")).alias("several")
     )
     top = votes.groupBy(entity).agg(
-        F.coalesce(F.max("r"), F.sum("c")).alias("records"),
+        F.sum("c").alias("records"),
         F.sum(F.when(F.col("k").isNotNull(), F.col("w"))).alias("total"),
         F.min(F.when(F.col("k").isNotNull(), F.struct((-F.round("w", 9)).alias("neg"), "k", "w", "several", "said"))).alias("top"),
     )
+    if records is not None:
+        top = top.drop("records").join(records.withColumnRenamed(entity, "_e"), F.col(entity) == F.col("_e"))
     fine = ((F.col("records") < 2) | F.col("top.several")) & ((F.col("total") <= 0) | (F.round(F.col("top.w") / F.col("total"), 9) >= MIN_SHARE))
     return top.select(entity, F.when(fine, F.col("top.said")).alias(out))
 

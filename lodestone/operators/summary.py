@@ -136,25 +136,30 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         overrides = spark.createDataFrame([], "canonical string, field string, override_value string, is_cap boolean, source string")
     if refuted is None:
         refuted = spark.createDataFrame([], "canonical string, claim_type string, claimed_tc double")
-    accepted = rows = materialised(rows, "accepted")
-    cap = overrides.where("is_cap and field = 'tc_max'").groupBy(F.col("canonical").alias("_k")).agg(F.min("override_value").try_cast("double").alias("cap"))
-    rows = rows.join(cap, F.col("key") == F.col("_k"), "left").drop("_k")
+    if curated:
+        cap = overrides.where("is_cap and field = 'tc_max'").groupBy(F.col("canonical").alias("_k")).agg(F.min("override_value").try_cast("double").alias("cap"))
+        rows = rows.join(materialised(cap, "caps"), F.col("key") == F.col("_k"), "left").drop("_k")  # written, so that its size is known
+    else:
+        rows = rows.withColumn("cap", F.lit(None).cast("double"))
     tc = F.col("tc_kelvin")
-    bad = F.coalesce((tc > SANITY_MAX) | (tc > F.col("cap") * CAP_SLACK), F.lit(False))
-    counts = rows.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("given"), F.count_if(~bad).alias("good"))
-    rows = rows.join(counts, F.col("key") == F.col("_k")).drop("_k").where((F.col("good") == 0) | ~bad)
+    rows = rows.where("key is not null").withColumn("bad", F.coalesce((tc > SANITY_MAX) | (tc > F.col("cap") * CAP_SLACK), F.lit(False)))
     rows = rows.withColumn("theory", is_theory(F.col("evidence_type"), F.col("measurement"), F.col("paper_type")))
     rows = rows.withColumn("cited", F.coalesce(F.col("evidence_type") == "cited", F.lit(False)))
     regime = F.coalesce("tc_regime", F.lit("bulk_equilibrium"))
     rows = rows.withColumn("ambient", F.coalesce(tc.isNotNull() & F.col("ambient_sc") & ~regime.isin("high_pressure", "interface") & ~F.col("theory"), F.lit(False)))
-    rows = materialised(rows, "records")  # read by every aggregate below
-    discard(accepted)
+    written = rows = materialised(rows, "records")  # read by every aggregate below
+    counts = materialised(rows.groupBy("key").agg(F.count("*").alias("given"), F.count_if(~F.col("bad")).alias("good")), "counts")
+    mixed = counts.where("good between 1 and given - 1").select(F.col("key").alias("_k"))
+    if not mixed.isEmpty():  # only entities with records of both kinds lose some: where there are none, nothing is written again
+        rows = materialised(rows.join(mixed, (F.col("key") == F.col("_k")) & F.col("bad"), "left_anti"), "kept")
+        discard(written)
     kinds = F.array_compact(F.array(F.when(~F.col("theory") & ~F.col("cited"), "exp"), F.when(F.col("theory"), "theo"), F.when(F.col("ambient"), "amb")))
     maxima = ev.corroborated_max(_by_field(rows, kinds, "paper_id", "tc_kelvin"), "e", "paper_id", "tc_kelvin", "tc", "sup")
     there = lambda fields: F.filter(F.array(*fields), lambda f: f["v"].isNotNull())  # noqa: E731  what a record leaves out makes no row
     said = there([F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("v")) for c in VOTED])
-    counted = rows.withColumn("_n", F.when(F.col("good") == 0, F.col("given")).otherwise(F.col("good")))
-    votes = ev.weighted_mode(_by_field(counted, said, "paper_id", "confidence", "_n"), "e", "paper_id", "v", "confidence", "v", "_n")
+    fields = F.explode(F.array(*[F.struct("key", F.lit(c).alias("field")) for c in VOTED]))
+    standing = counts.select(fields.alias("e"), F.when(F.col("good") == 0, F.col("given")).otherwise(F.col("good")).alias("records"))
+    votes = ev.weighted_mode(_by_field(rows, said, "paper_id", "confidence"), "e", "paper_id", "v", "confidence", "v", standing)
     middles = there([F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in MEDIANS])
     medians = ev.exact_median(_by_field(rows, middles), "e", "v", "v")
     tops = [
@@ -166,7 +171,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
     amb = F.when(F.col("ambient"), tc)
     sizes = rows.groupBy("key", "paper_id").agg(F.lit(1).alias("_one")).groupBy("key").agg(F.count("paper_id").alias("total_papers"))
     base = rows.groupBy("key").agg(  # numbers only: one hash aggregation, combined to a row an entity and partition
-        F.max("given").alias("given"), F.max("good").alias("good"), F.max("cap").alias("cap"),
+        F.max("cap").alias("cap"),
         F.min(F.when(F.col("year") > 1900, F.col("year"))).alias("arxiv_year"),
         F.max(F.coalesce("ambient_sc", F.lit(False))).alias("any_ambient"),
         ev.spread_dispute(amb).alias("spread"),
@@ -183,7 +188,7 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         F.min("tier").alias("best_credibility_tier"),
     )
     s = base
-    for part in (sizes, picks, *tops):
+    for part in (counts, sizes, picks, *tops):
         s = s.join(part.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k"), "left").drop("_k")
     votes = s = materialised(s, "votes")
     theory_only = F.col("tc_exp").isNull()
@@ -205,8 +210,8 @@ def summarise(rows: DataFrame, overrides: DataFrame | None = None, refuted: Data
         "face": formulas.interface(formulas.canonical(F.col("formula"))),
     })
     derived = s = materialised(s, "derived")
-    discard(rows)
-    discard(votes)
+    for done in (rows, counts, votes):
+        discard(done)
     s = s.withColumn("review_reason", review_reason()).withColumn("needs_review", F.col("review_reason").isNotNull())
     s = s.withColumnsRenamed({"tc_exp": "tc_max_experimental", "tc_theo": "tc_max_theoretical", "tc_amb": "tc_ambient"})
     if curated:

@@ -143,7 +143,7 @@ FROM base JOIN best USING (key) JOIN won USING (key) JOIN flag USING (key) JOIN
   WHEN formula = 'BaTiO3' THEN 'non_sc_material_suspected: ferroelectric/insulator' END AS reason) y""")
 def evidence_headline(t, spark):
     """The voted, quorate and counted columns of the summaries."""
-    s = summary.summarise(summary.records(materialised(papers(t), "papers")).where("skip is null"))
+    s = summary.summarise(summary.records(materialised(summary.counting(papers(t)).drop("tier", "factor"), "papers")).where("skip is null"))
     return s.select("id", "formula", "family", "tc_max", "tc_max_experimental", "tc_max_theoretical", "tc_ambient", "dominant_evidence", "ambient_sc", "arxiv_year", "total_papers", "pairing_symmetry",
                     "sample_form", "hc2_tesla", "rho_exponent", "disputed", "best_credibility_tier", F.col("lattice_params.a").alias("lattice_a"), F.col("lattice_params.c").alias("lattice_c"), "review_reason", "needs_review")
 

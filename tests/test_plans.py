@@ -1,7 +1,7 @@
 """What plans on the test tables shuffle and read."""
 
 import __spark_entry__ as entry
-from lodestone.operators import harvest, rules, tables
+from lodestone.operators import harvest, rules, summary, tables
 from lodestone.plans import evidence_demo
 from lodestone.session import table
 
@@ -42,3 +42,18 @@ def test_texts_of_an_import_are_read_once(spark):
     r = out.where("id = 'nims:mgb2'").first()
     assert (r.tc_max, r.tc_ambient, r.ambient_sc, r.crystal_structure, r.pressure_type, r.total_papers, r.records) == (39.0, 35.0, True, "hex", "hydrostatic", 2, 3)
     assert out.count() == 1
+
+
+def test_records_are_written_once(spark, monkeypatch):
+    made = {}
+
+    def spy(df, label, write=evidence_demo.materialised):
+        made[label] = df
+        return write(df, label)
+
+    monkeypatch.setattr(summary, "materialised", spy)
+    monkeypatch.setattr(evidence_demo, "materialised", spy)
+    assert entry.queries()["evidence_headline"](spark, SF).count() > 30
+    assert list(made) == ["papers", "records", "counts", "votes", "derived"]
+    assert "hashpartitioning(key" not in made["records"]._jdf.queryExecution().executedPlan().toString()
+    assert made["papers"].where("status = 'retracted' or credibility_tier in ('T4', 'T5') and source <> 'aps'").isEmpty()
