@@ -57,3 +57,11 @@ def test_records_are_written_once(spark, monkeypatch):
     assert list(made) == ["papers", "records", "counts", "votes", "derived"]
     assert "hashpartitioning(key" not in made["records"]._jdf.queryExecution().executedPlan().toString()
     assert made["papers"].where("status = 'retracted' or credibility_tier in ('T4', 'T5') and source <> 'aps'").isEmpty()
+
+
+def test_only_papers_that_count_get_records(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    plan = summary.counting(evidence_demo.papers(lambda name: table(spark, SF, name)))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert [i < join for i, line in enumerate(plan) if "transform(" in line] == [True]
+    assert any("Filter" in line and "o_orderstatus" in line for line in plan[join:])
