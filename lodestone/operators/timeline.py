@@ -26,8 +26,11 @@ def points(materials: DataFrame, papers: DataFrame, last_year: int, only_aps: bo
     told = told.select("id", F.col("place").alias("ord"), F.struct(*[c for c in told.columns if c not in ("id", "place")]).alias("r"))
     flat = materials.select("id", "formula", "family").join(told, "id")
     year_of = papers.select(F.col("id").alias("_p"), F.coalesce(F.year("date_published"), F.year("date_submitted")).alias("_y"))
-    rows = flat.join(year_of, F.col("r.paper_id") == F.col("_p"), "left")
-    year = F.coalesce(F.nullif("r.year", F.lit(0)), F.nullif("r.measurement_year", F.lit(0)) if "measurement_year" in flat.select("r.*").columns else F.lit(None), F.col("_y"))
+    own = F.coalesce(F.nullif("r.year", F.lit(0)), F.nullif("r.measurement_year", F.lit(0)) if "measurement_year" in flat.select("r.*").columns else F.lit(None))
+    flat = flat.withColumn("_own", own)
+    undated = flat.where("_own is null").join(year_of, F.col("r.paper_id") == F.col("_p"), "left")  # only records without a year are shuffled to their papers
+    rows = flat.where("_own is not null").unionByName(undated.drop("_p"), allowMissingColumns=True)
+    year = F.coalesce("_own", "_y")
     rows = rows.select(
         "id", "formula", "family", "ord", F.col("r.tc_kelvin").alias("tc_kelvin"), year.cast("int").alias("year"), F.col("r.pressure_gpa").alias("pressure_gpa"),
         F.col("r.paper_id").alias("paper_id"), is_theory(F.col("r.measurement"), F.col("r.paper_type"), F.col("r.pressure_gpa")).alias("is_theoretical"),

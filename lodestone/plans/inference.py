@@ -121,7 +121,7 @@ hits AS (SELECT id, review_reason AS r FROM a WHERE needs_review UNION ALL SELEC
 SELECT rule_name, CASE WHEN rule_name = 'no_such_rule' THEN -1 ELSE count(id) END AS rows_flagged FROM v LEFT JOIN hits ON r = rule_name GROUP BY rule_name""")
 def audit_reports(t, spark):
     """The eleven rules one by one, with a twelfth that fails, as the reports table has them."""
-    p, m, flat = with_records(t)
+    p, m, flat = with_records(t, every=True)
     over = spark.createDataFrame([("fese", "tc_max", "37", True, "book")], "canonical string, field string, override_value string, is_cap boolean, source string")
     path = fresh_path(spark, "audit")
     audits.audit(m, [*rules.standard(p, over, 2024, flat), rules.Rule("no_such_rule", "critical", F.col("no_such_column") > 0)], path, "first")

@@ -1,7 +1,9 @@
 """What plans on the test tables shuffle and read."""
 
+import datetime
+
 import __spark_entry__ as entry
-from lodestone.operators import harvest, rules, summary, tables
+from lodestone.operators import harvest, rules, summary, tables, timeline
 from lodestone.plans import evidence_demo
 from lodestone.session import table
 
@@ -65,3 +67,28 @@ def test_only_papers_that_count_get_records(spark):
     join = next(i for i, line in enumerate(plan) if "Join Inner" in line)
     assert [i < join for i, line in enumerate(plan) if "transform(" in line] == [True]
     assert any("Filter" in line and "o_orderstatus" in line for line in plan[join:])
+
+
+def test_only_records_without_a_year_meet_their_papers(spark):
+    day = lambda y: datetime.date(y, 5, 1)
+    m = spark.createDataFrame([("mat:a", "A", "f")], "id string, formula string, family string")
+    p = spark.createDataFrame([("p1", day(2001), day(2000)), ("p2", None, day(2003))], "id string, date_published date, date_submitted date")
+    said = [("p1", 10.0, 1999), ("p1", 11.0, None), ("p2", 12.0, 0), ("gone", 13.0, None), ("gone", 14.0, 2010), ("p2", 14.02, 2010)]
+    rows = [("mat:a", i, paper, tc, None, "dft", None, year) for i, (paper, tc, year) in enumerate(said)]
+    r = spark.createDataFrame(rows, "id string, place int, paper_id string, tc_kelvin double, pressure_gpa double, measurement string, paper_type string, year int")
+    pts = timeline.points(m, p, 2024, records=r)
+    assert sorted((x.tc_kelvin, x.year, x.paper_id) for x in pts.collect()) == [(10.0, 1999, "p1"), (11.0, 2001, "p1"), (12.0, 2003, "p2"), (14.0, 2010, "gone")]
+    plan = pts._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(" in plan[plan.index("LeftOuter") :] and "Union" in plan[: plan.index("LeftOuter")]
+
+
+def test_timeline_writes_papers_that_count(spark, monkeypatch):
+    made = {}
+
+    def spy(df, label, write=evidence_demo.materialised):
+        made[label] = df
+        return write(df, label)
+
+    monkeypatch.setattr(evidence_demo, "materialised", spy)
+    assert entry.queries()["timeline_points"](spark, SF).count() > 100
+    assert made["papers"].where("status = 'retracted' or credibility_tier in ('T4', 'T5') and source <> 'aps'").isEmpty()
