@@ -182,7 +182,7 @@ def with_records(t, every: bool = False) -> tuple[DataFrame, DataFrame, DataFram
     sizes = flat.groupBy("id", "paper_id").agg(F.lit(1).alias("_one")).groupBy("id").agg(F.count("*").alias("total_papers"))
     m = flat.groupBy("id").agg(F.min("shown").alias("formula"), F.min("key").alias("formula_normalized"), F.max("tc_kelvin").alias("tc_max"), F.max("ambient_sc").alias("ambient_sc"), F.min("year").alias("arxiv_year"))
     fam = formulas.family(F.col("formula"))
-    m = m.join(sizes, "id").withColumns({"family": fam, "is_unconventional": formulas.unconventional(fam), "needs_review": F.lit(False), "review_reason": F.lit(None).cast("string"), "admin_decision": F.lit(None).cast("string")})
+    m = materialised(m, "materials").join(sizes, "id", "left").withColumns({"family": fam, "is_unconventional": formulas.unconventional(fam), "needs_review": F.lit(False), "review_reason": F.lit(None).cast("string"), "admin_decision": F.lit(None).cast("string")})
     return p, m, flat.drop("key", "shown")
 
 

@@ -92,3 +92,10 @@ def test_timeline_writes_papers_that_count(spark, monkeypatch):
     monkeypatch.setattr(evidence_demo, "materialised", spy)
     assert entry.queries()["timeline_points"](spark, SF).count() > 100
     assert made["papers"].where("status = 'retracted' or credibility_tier in ('T4', 'T5') and source <> 'aps'").isEmpty()
+
+
+def test_coverage_counts_no_papers_of_materials(spark):
+    plan = entry.queries()["timeline_coverage"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert [line.count("Aggregate [") for line in plan if "Aggregate" in line] == [1] and "count(distinct" in plan[0]
+    plan = entry.queries()["material_listing"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "total_papers" in plan and "paper_id" in plan[plan.index("AS total_papers") :]
