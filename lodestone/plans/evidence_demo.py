@@ -68,6 +68,11 @@ def papers(t) -> DataFrame:
     )
 
 
+def written(t) -> DataFrame:
+    """The papers that count, written: the others would be written only to be left out of every record."""
+    return materialised(summary.counting(papers(t)).drop("tier", "factor"), "papers")
+
+
 # What the formulas above come to, in their order: key, reason of refusal, family.
 FACTS = (
     ("mgb2", None, "mgb2"), ("yba2cu3o7", None, "cuprate"), ("yba2cu3o6.95", None, "cuprate"), ("yba2cu3o7", None, "cuprate"), ("bi2sr2cacu2o8", None, "cuprate"),
@@ -104,7 +109,7 @@ kept AS (SELECT *, CASE WHEN evidence = 'primary_experimental' THEN false ELSE m
 @query()
 def evidence_summary(t, spark):
     """Papers to summaries: flatten, vote, review, link variants. evidence_headline holds its columns against SQL."""
-    flat = summary.records(materialised(summary.counting(papers(t)).drop("tier", "factor"), "papers")).where("skip is null")
+    flat = summary.records(written(t)).where("skip is null")
     return summary.link_variants(summary.summarise(flat)).drop("lattice_params")
 
 
@@ -143,7 +148,7 @@ FROM base JOIN best USING (key) JOIN won USING (key) JOIN flag USING (key) JOIN
   WHEN formula = 'BaTiO3' THEN 'non_sc_material_suspected: ferroelectric/insulator' END AS reason) y""")
 def evidence_headline(t, spark):
     """The voted, quorate and counted columns of the summaries."""
-    s = summary.summarise(summary.records(materialised(summary.counting(papers(t)).drop("tier", "factor"), "papers")).where("skip is null"))
+    s = summary.summarise(summary.records(written(t)).where("skip is null"))
     return s.select("id", "formula", "family", "tc_max", "tc_max_experimental", "tc_max_theoretical", "tc_ambient", "dominant_evidence", "ambient_sc", "arxiv_year", "total_papers", "pairing_symmetry",
                     "sample_form", "hc2_tesla", "rho_exponent", "disputed", "best_credibility_tier", F.col("lattice_params.a").alias("lattice_a"), F.col("lattice_params.c").alias("lattice_c"), "review_reason", "needs_review")
 
@@ -151,7 +156,7 @@ def evidence_headline(t, spark):
 @query(f"WITH {RECORDS_SQL} SELECT skip, count(*) AS n FROM live GROUP BY 1")
 def evidence_skips(t, spark):
     """How many records each reason leaves out."""
-    return summary.records(materialised(papers(t), "papers")).groupBy("skip").agg(F.count("*").alias("n"))
+    return summary.records(written(t)).groupBy("skip").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {RECORDS_SQL},
@@ -174,7 +179,7 @@ def credibility_tiers(t, spark):
 
 def with_records(t, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Papers that count, or every one; a small table of summaries; and their records, a row each."""
-    p = materialised(papers(t) if every else summary.counting(papers(t)).drop("tier", "factor"), "papers")
+    p = materialised(papers(t), "papers") if every else written(t)
     flat = summary.records(p).where("skip is null").withColumn("id", F.concat(F.lit("mat:"), F.col("key")))
     flat = materialised(
         flat.select("id", F.struct("paper_id", "ord").alias("place"), "key", "shown", "paper_id", "pressure_gpa", "tc_kelvin", "ambient_sc", "year", "measurement", "paper_type", "tier"), "flat"
